@@ -16,7 +16,12 @@ from pyspark.sql import DataFrame, SparkSession
 from ..shipping import ship
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
-SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Set while a block is open: shuffle files go when their job has ended, and Arrow batches
+#: stay small, for a worker holds a few numpy arrays for each byte of a batch.
+SETTINGS = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,9 +48,7 @@ def _delete_on_exit(spark: SparkSession, path: str) -> None:
 class Scratch:
     """``with Scratch(spark) as s: t = s.stage(df); return s.keep(result)``.
 
-    While the block is open, shuffle files go as soon as the job that made
-    them has ended: every step here ends in a written table, so none is read
-    twice.
+    Every step ends in a written table, so no shuffle is read by a later one.
     """
 
     def __init__(self, spark: SparkSession):
@@ -56,15 +59,17 @@ class Scratch:
         self.dropped: list[str] = []
 
     def __enter__(self) -> Scratch:
-        self.before = self.spark.conf.get(SHUFFLE_CLEANUP, None)
-        self.spark.conf.set(SHUFFLE_CLEANUP, "true")
+        self.before = {k: self.spark.conf.get(k, None) for k in SETTINGS}
+        for k, v in SETTINGS.items():
+            self.spark.conf.set(k, v)
         return self
 
     def __exit__(self, *exc) -> None:
-        if self.before is None:
-            self.spark.conf.unset(SHUFFLE_CLEANUP)
-        else:
-            self.spark.conf.set(SHUFFLE_CLEANUP, self.before)
+        for k, v in self.before.items():
+            if v is None:
+                self.spark.conf.unset(k)
+            else:
+                self.spark.conf.set(k, v)
         for path in self.dropped:
             self.remove(path)
 

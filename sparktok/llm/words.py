@@ -59,17 +59,17 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
+#: Bytes hashed at a time: the prefix sums of a block stay small, and so do the powers.
+BLOCK = 1 << 18
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _both_powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
-    got = _POWERS.get(int(base))
-    if got is None or len(got[0]) < n:
-        size = max(1 << 16, 1 << (n - 1).bit_length())
-        got = powers(base, size), powers(np.uint64(pow(int(base), -1, 1 << 64)), size)
-        if size <= 1 << 24:
-            _POWERS[int(base)] = got
-    return got
+def _both_powers(base: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the multiplier and of its inverse, as many as a block can need."""
+    if int(base) not in _POWERS:
+        size = BLOCK + LONG_WORD + 1
+        _POWERS[int(base)] = powers(base, size), powers(np.uint64(pow(int(base), -1, 1 << 64)), size)
+    return _POWERS[int(base)]
 
 
 @dataclass
@@ -83,15 +83,20 @@ class Words:
     first: np.ndarray
 
     def hashes(self, which: int = 0, lower: bool = False) -> np.ndarray:
-        table, base = TABLES[which], MULTIPLIERS[which]
-        table = lowered(table) if lower else table
-        if not len(self.start):
-            return np.zeros(0, dtype=np.uint64)
-        up, down = _both_powers(base, len(self.data) + 1)
-        sums = np.zeros(len(self.data) + 1, dtype=np.uint64)
-        np.multiply(table[self.data], up[: len(self.data)], out=sums[1:])
-        np.cumsum(sums, out=sums)
-        out = mix((sums[self.end] - sums[self.start]) * down[self.start])
+        table = lowered(TABLES[which]) if lower else TABLES[which]
+        up, down = _both_powers(MULTIPLIERS[which])
+        out = np.empty(len(self.start), dtype=np.uint64)
+        cuts = np.searchsorted(self.start, np.arange(0, len(self.data) + BLOCK, BLOCK))
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if a == b:
+                continue
+            base = self.start[a]
+            start = self.start[a:b] - base
+            end = np.minimum(self.end[a:b] - base, start + LONG_WORD)
+            sums = np.zeros(end[-1] + 1, dtype=np.uint64)
+            np.multiply(table[self.data[base : base + end[-1]]], up[: end[-1]], out=sums[1:])
+            np.cumsum(sums, out=sums)
+            out[a:b] = mix((sums[end] - sums[start]) * down[start])
         for i in np.nonzero(self.end - self.start >= LONG_WORD)[0]:
             word = self.data[self.start[i] : self.end[i]].tobytes()
             out[i] = xxhash.xxh3_64(word.lower() if lower else word, seed=which + 101).intdigest()
