@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ngram_join, substr_dedup
+from . import ngram_join, packing, substr_dedup
 from .scratch import Scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path() -> str:
+    """Vocabulary file of the packing query: a public tokenizer installed beside Python."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every document and their places in sequences of at most 2048 tokens."""
+    with Scratch(spark) as scratch:
+        return scratch.keep(packing.digests(table(spark, sf_dir, "documents"), scratch, tokenizer_path()))
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The component of every document under Jaccard similarity of 0.85 of 4-word shingles."""
     with Scratch(spark) as scratch:
@@ -53,7 +66,7 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_
 
 
 def queries() -> dict[str, Query]:
-    return {"op8_ngram_join": op8_ngram_join, "op10_substring_dedup": op10_substring_dedup}
+    return {"op1_best_fit_packing": op1_best_fit_packing, "op8_ngram_join": op8_ngram_join, "op10_substring_dedup": op10_substring_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
