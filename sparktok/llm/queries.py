@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ngram_join, packing, substr_dedup
+from . import ngram_join, packing, pii, quality, secrets, sharding, substr_dedup
 from .scratch import Scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,7 +27,48 @@ def tokenizer_path() -> str:
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of every document and their places in sequences of at most 2048 tokens."""
     with Scratch(spark) as scratch:
-        return scratch.keep(packing.digests(table(spark, sf_dir, "documents"), scratch, tokenizer_path()))
+        return scratch.keep(packing.digests(table(spark, sf_dir, "documents"), scratch, tokenizer_path()).withColumn("length", F.col("length").cast("long")))
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every document and the verdict of the threshold table."""
+    return quality.score(table(spark, sf_dir, "documents"))
+
+
+_STOP = ", ".join(f"'{w}'" for w in quality.STOP_WORDS)
+_RULES = " AND ".join(
+    f"(CASE WHEN {below} > 0 THEN {top}::DOUBLE / {below} ELSE 0 END) {sign} {bound}"
+    for _, top, below, least, most in quality.THRESHOLDS
+    for sign, bound in ((">=", least), ("<=", most))
+    if bound is not None
+)
+OP4_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, t, w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+g AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 1), lambda i: {{'i': i, 'g': array_to_string(w[i:i + 2], ' ')}})) AS s FROM d WHERE len(w) >= 3),
+k AS (SELECT doc_id, s.i AS i, count(*) OVER (PARTITION BY doc_id, s.g) AS n FROM g),
+r AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(range(i, i + 3)) AS j FROM k WHERE n > 1) GROUP BY doc_id),
+m AS (SELECT l.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+    (length(t) - length(regexp_replace(t, '[{quality.SYMBOLS}]', '', 'g')))::BIGINT AS n_symbols,
+    (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words,
+    len(list_filter(w, lambda x: x IN ({_STOP})))::BIGINT AS n_stop_words, len(l)::BIGINT AS n_lines
+    FROM l LEFT JOIN r ON r.doc_id = l.doc_id),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT *, NOT base_failed AND {_RULES} AS kept FROM b
+"""
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and digests of the personal data in every document."""
+    found = pii.find(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *(F.size(k.name).cast("long").alias(f"n_{k.name}") for k in pii.BASE), F.sha2(pii.joined(pii.BASE), 256).alias("base_sha256"), pii.joined((*pii.BASE, *pii.MORE)).alias("spans"))
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and place of every document, with 24 shards and with one more."""
+    with Scratch(spark) as scratch:
+        out = sharding.shard(table(spark, sf_dir, "documents"), scratch)
+        return scratch.keep(out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard"))
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,6 +88,17 @@ SELECT d.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(r.o)::BI
 """
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and digests of the secrets in every document and in what is encoded in it."""
+    found = secrets.find_all(table(spark, sf_dir, "documents"))
+
+    def count(kind: str):
+        return F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(k) for k in secrets.KINDS]
+    return found.select("doc_id", *counts, F.sha2(secrets.joined("base"), 256).alias("base_sha256"), secrets.joined("spans").alias("spans"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words left and removed, and a digest of what is kept, of every document."""
     with Scratch(spark) as scratch:
@@ -66,8 +118,10 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_best_fit_packing": op1_best_fit_packing, "op8_ngram_join": op8_ngram_join, "op10_substring_dedup": op10_substring_dedup}
+    found = (op1_best_fit_packing, op4_quality_rules, op5_pii, op6_sharding, op8_ngram_join, op9_secret_scan, op10_substring_dedup)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_ngram_join": OP8_SQL, "op10_substring_dedup": OP10_SQL}
+    """None for the others: DuckDB has no tokenizer, no CRC-32, no decoding worklist and no training."""
+    return {"op4_quality_rules": OP4_SQL, "op8_ngram_join": OP8_SQL, "op10_substring_dedup": OP10_SQL}
