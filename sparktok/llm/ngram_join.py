@@ -10,7 +10,7 @@
    (the rarest tokens, 1 - t of a set).  Their owners meet in tiles of one
    token and one band of sizes; the bit counts of hashed parity bitmaps bound
    the overlap from above, and pairs that pass are intersected exactly as
-   sorted arrays.
+   sorted arrays: first one pair of any two components, then all that are left.
 
 No step emits the pairs of a group: 3 emits a link or two for each document,
 and 4 only pairs between different components that the bitmaps let through.
@@ -62,8 +62,11 @@ def shingle_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
 
 
 def bitmap(s: np.ndarray) -> bytes:
-    """Parity bitmap of a set: 64 to 4096 bits, about one for each two elements or more."""
-    width = min(4096, max(64, 1 << (max(1, len(s) - 1) // 2).bit_length()))
+    """Parity bitmap of a set: at least four bits for each element, 64 to 16,384 in all.
+
+    So wide, few differing elements meet in a bit, and the bound is nearly the overlap itself.
+    """
+    width = min(1 << 14, max(64, 1 << (4 * len(s) - 1).bit_length()))
     bits = np.bincount((s >> np.uint64(20)).astype(np.int64) & (width - 1), minlength=width) & 1
     return np.packbits(bits.astype(bool), bitorder="little").tobytes()
 
@@ -187,8 +190,11 @@ def _neighbours(near: DataFrame, key: str, rule: Rule) -> DataFrame:
     return order.mapInArrow(work, "src long, dst long")
 
 
-def _tiles(entries: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs of different components that meet in a tile and pass the bitmaps' bound."""
+def _tiles(entries: DataFrame, rule: Rule, best_only: bool) -> DataFrame:
+    """Pairs of different components that meet in a tile and pass the bitmaps' bound.
+
+    ``best_only``: of the pairs of two components in a tile, the one with the highest bound.
+    """
 
     def tile(n, comp, rid, is_index, here, bits) -> Iterator[tuple[int, int]]:
         width = min(map(len, bits))
@@ -204,7 +210,14 @@ def _tiles(entries: DataFrame, rule: Rule) -> DataFrame:
             for k in range(packed.shape[1]):
                 differ += np.bitwise_count(packed[i, k] ^ packed[j, k])
             most = (n[i] + n[j] - differ) // 2
-            ok = (100 + rule.percent) * most >= rule.percent * (n[i] + n[j])
+            ok = np.nonzero((100 + rule.percent) * most >= rule.percent * (n[i] + n[j]))[0]
+            if best_only:
+                slack = (n[i] + n[j])[ok] / np.maximum(most[ok], 1)
+                lo, hi = np.minimum(comp[i], comp[j])[ok], np.maximum(comp[i], comp[j])[ok]
+                order = np.lexsort((rid[j][ok], rid[i][ok], slack, hi, lo))
+                fresh = np.ones(len(order), dtype=bool)
+                fresh[1:] = (np.diff(lo[order]) != 0) | (np.diff(hi[order]) != 0)
+                ok = ok[order[fresh]]
             yield from zip(np.minimum(rid[i], rid[j])[ok].tolist(), np.maximum(rid[i], rid[j])[ok].tolist(), strict=True)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,22 +305,25 @@ def join(docs: DataFrame, scratch: Scratch, n: int = SHINGLE, percent: int = PER
     links = [scratch.stage(_neighbours(near, f"m{k}", rule)) for k in range(len(SEEDS))]
     first = components(links[0].union(links[1]).union(links[2]), scratch)
 
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
+    # A band is a hair wider than any partner can be larger, so partners are at most one band apart.
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.000001 / percent))).cast("int")
     tokens = near.select("rid", "n", "n_index", F.posexplode("tokens").alias("place", "token"))
-    entries = scratch.stage(tokens.join(first.withColumnRenamed("node", "rid"), "rid", "left").select("token", "rid", "n", (F.col("place") < F.col("n_index")).alias("is_index"), F.coalesce("root", "rid").alias("comp"), band.alias("own")))
-    several = entries.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
-    mixed = entries.join(several, "token", "left_semi").join(near.select("rid", "bits"), "rid")
-    # Entries meet smaller ones of their own band and of the two below: rounding can move a partner by one more.
-    banded = mixed.withColumn("band", F.explode(F.array(F.col("own"), F.col("own") - 1, F.col("own") - 2))).withColumn("here", F.expr("band = own"))
-    pairs = scratch.stage(_tiles(banded.select("token", "band", "rid", "n", "is_index", "here", "comp", "bits"), rule).distinct())
-    more = scratch.stage(_verified(pairs, near, rule))
-    of = first.select(F.col("node"), F.col("root"))
-    more = more.join(of.toDF("a", "ra"), "a", "left").join(of.toDF("b", "rb"), "b", "left")
-    second = components(more.select(F.coalesce("ra", "a").alias("src"), F.coalesce("rb", "b").alias("dst")), scratch)
+    entries = scratch.stage(tokens.select("token", "rid", "n", (F.col("place") < F.col("n_index")).alias("is_index"), band.alias("own")))
+    label = scratch.stage(near.select("rid").join(first.toDF("rid", "root"), "rid", "left").select("rid", F.coalesce("root", "rid").alias("comp")))
+    # First one pair of any two components that meet, which joins most that belong together; then all that are left.
+    for best_only in (True, False):
+        labelled = entries.join(label, "rid")
+        banded = labelled.withColumn("band", F.explode(F.array(F.col("own"), F.col("own") - 1))).withColumn("here", F.expr("band = own"))
+        several = banded.groupBy("token", "band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.bool_or(F.expr("here and is_index")).alias("any")).where("lo < hi and any").select("token", "band")
+        mixed = banded.join(several, ["token", "band"], "left_semi").join(near.select("rid", "bits"), "rid")
+        pairs = scratch.stage(_tiles(mixed.select("token", "band", "rid", "n", "is_index", "here", "comp", "bits"), rule, best_only).distinct())
+        more = _verified(pairs, near, rule)
+        more = more.join(label.toDF("a", "src"), "a").join(label.toDF("b", "dst"), "b").select("src", "dst")
+        joined = components(more, scratch).toDF("comp", "root")
+        label = scratch.stage(label.join(joined, "comp", "left").select("rid", F.coalesce("root", "comp").alias("comp")))
 
     rows = found.select("rid", "doc_id", F.col("n").alias("n_shingles"), "f1", "f2").join(kinds, ["f1", "f2"], "left")
-    rows = rows.join(first.toDF("rep", "r1"), "rep", "left").withColumn("r1", F.coalesce("r1", "rep"))
-    rows = rows.join(second.toDF("r1", "r2"), "r1", "left").withColumn("root", F.coalesce("r2", "r1", "rid"))
+    rows = rows.join(label.toDF("rep", "comp"), "rep", "left").withColumn("root", F.coalesce("comp", "rep", "rid"))
     rows = scratch.stage(rows.select("rid", "doc_id", "n_shingles", "root"))
     least = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.min("rid").alias("first_rid"))
     return rows.join(least, "root").select("rid", "doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), F.col("first_rid").alias("root"), "component_id")

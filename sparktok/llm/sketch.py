@@ -1,6 +1,6 @@
 """Count-min sketches of hashed items, made per chunk and merged by block.
 
-A sketch has ``depth`` rows of ``2**bits`` cells whose counters stop at 2: all
+A sketch has ``depth`` rows of ``width`` cells whose counters stop at 2: all
 that is asked of it is "once or more often".  A chunk's sketch is sparse, so a
 row of it travels as the sorted cells that are set, cut into blocks, each
 block coded by Elias and Fano's method in about 2 + log2(cells / items) bits
@@ -21,9 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-SPARE_BITS = 3
+CELLS_AN_ITEM = 8
 MAX_BLOCKS = 1 << 16
-BLOCK_BITS = 22
+BLOCK_CELLS = 1 << 22
 
 
 def ef_encode(values: np.ndarray, universe: int) -> bytes:
@@ -59,28 +59,29 @@ def ef_decode(code: bytes | None) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Shape:
-    """Rows, cells a row (as bits) and blocks a row (as bits) of a sketch."""
+    """Rows, cells a row and blocks a row of a sketch."""
 
     depth: int
-    bits: int
-    block_bits: int
+    width: int
+    blocks: int
 
     @staticmethod
     def for_items(n: int, depth: int = 2) -> Shape:
-        """Eight to sixteen cells an item, in blocks of about four million cells."""
-        bits = min(58, max(10, n.bit_length() + SPARE_BITS))
-        return Shape(depth, bits, min(MAX_BLOCKS.bit_length() - 1, max(2, bits - BLOCK_BITS)))
+        """Eight cells an item, in blocks of about four million cells."""
+        width = CELLS_AN_ITEM * n + 1024
+        return Shape(depth, width, min(MAX_BLOCKS, max(4, width // BLOCK_CELLS)))
 
     @property
     def block_size(self) -> int:
-        return 1 << (self.bits - self.block_bits)
+        return -(-self.width // self.blocks)
 
     def cells(self, h: np.ndarray, row: int) -> np.ndarray:
         """The cell of each 64-bit hash in a row."""
         h = h * np.uint64((0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA24BAED4963EE407)[row])
         h ^= h >> np.uint64(32)
         h = h * np.uint64(0xFF51AFD7ED558CCD)
-        return (h >> np.uint64(64 - self.bits)).astype(np.int64)
+        h ^= h >> np.uint64(29)
+        return (h % np.uint64(self.width)).astype(np.int64)
 
 
 MESSAGE = "depth int, block int, chunk long, once binary, more binary"
