@@ -193,6 +193,7 @@ def _neighbours(near: DataFrame, key: str, rule: Rule) -> DataFrame:
 def _tiles(entries: DataFrame, rule: Rule, best_only: bool) -> DataFrame:
     """Pairs of different components that meet in a tile and pass the bitmaps' bound.
 
+    ``entries`` is a written table, so that the repartition here is a shuffle of its own.
     ``best_only``: of the pairs of two components in a tile, the one with the highest bound.
     """
 
@@ -316,10 +317,13 @@ def join(docs: DataFrame, scratch: Scratch, n: int = SHINGLE, percent: int = PER
         banded = labelled.withColumn("band", F.explode(F.array(F.col("own"), F.col("own") - 1))).withColumn("here", F.expr("band = own"))
         several = banded.groupBy("token", "band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.bool_or(F.expr("here and is_index")).alias("any")).where("lo < hi and any").select("token", "band")
         mixed = banded.join(several, ["token", "band"], "left_semi").join(near.select("rid", "bits"), "rid")
-        pairs = scratch.stage(_tiles(mixed.select("token", "band", "rid", "n", "is_index", "here", "comp", "bits"), rule, best_only).distinct())
+        # Written first: Spark would take the join's partitions for those that _tiles asks for, and then split or localize them.
+        mixed = scratch.stage(mixed.select("token", "band", "rid", "n", "is_index", "here", "comp", "bits"))
+        pairs = scratch.stage(_tiles(mixed, rule, best_only).distinct())
         more = _verified(pairs, near, rule)
         more = more.join(label.toDF("a", "src"), "a").join(label.toDF("b", "dst"), "b").select("src", "dst")
         joined = components(more, scratch).toDF("comp", "root")
+        scratch.drop(mixed)
         label = scratch.stage(label.join(joined, "comp", "left").select("rid", F.coalesce("root", "comp").alias("comp")))
 
     rows = found.select("rid", "doc_id", F.col("n").alias("n_shingles"), "f1", "f2").join(kinds, ["f1", "f2"], "left")
