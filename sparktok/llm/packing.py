@@ -33,7 +33,8 @@ CAPACITY = 2048
 END_ID = 0
 #: Items left to the exact search, and nodes that it may visit.
 TAIL_ITEMS, NODES = 120, 20_000
-MEMO = 500_000
+#: Units that a worker remembers, twice: those of now and those of before.
+MEMO = 600_000
 
 Pattern = tuple[int, tuple[int, ...]]
 
@@ -41,16 +42,20 @@ Pattern = tuple[int, tuple[int, ...]]
 
 #: White space as the tokenizer's pattern reads it (fixed values: Unicode's White_Space).
 _WS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Runs that no token crosses: a word with the space before it, or white space.
-_UNIT = re.compile(rf"[{_WS}]+(?![^{_WS}])| ?[^{_WS}]+|[{_WS}]+")
+#: Letters and digits that have been such since early Unicode.
+_PLAIN = r"0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0400-\u0481\u048a-\u04ff"
+#: Runs that no token crosses: a word with the space before it, up to ASCII that is no letter or
+#: digit; whatever else is without white space; white space.
+_UNIT = re.compile(rf"[{_WS}]+(?![^{_WS}])| ?[{_PLAIN}]++(?=[\x00-\x7f]|$)| ?[^{_WS}]+|[{_WS}]+")
 
 
 class Encoder:
     """Ids of whole texts by the ``tokenizers`` library, remembered by unit.
 
     A byte-level tokenizer whose pattern keeps a space with the word after it
-    never joins what ``_UNIT`` parts.  Texts that contain an added token's
-    string are encoded whole.
+    never joins what ``_UNIT`` parts.  Units not met before are encoded
+    together, one a line: the line break is a token of its own.  Texts that
+    contain an added token's string are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -59,21 +64,43 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.memo: dict[str, bytes] = {}
+        self.now: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+        (self.line,) = self._ids("\n")
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+    def _learn(self, units: list[str]) -> None:
+        words = [u for u in units if not u.isspace()]
+        self.now.update((u, self._ids(u).tobytes()) for u in units if u.isspace())
+        if not words:
+            return
+        ids = self._ids("\n".join(words))
+        code, at = ids.tobytes(), 0
+        for unit, stop in zip(words, [*(np.nonzero(ids == self.line)[0] * 4).tolist(), len(code)], strict=True):
+            self.now[unit] = code[at:stop]
+            at = stop + 4
 
     def __call__(self, text: str) -> np.ndarray:
         if any(t in text for t in self.added):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+            return self._ids(text)
         units = _UNIT.findall(text)
-        memo = self.memo
-        missing = [u for u in set(units) if u not in memo]
+        now = self.now
+        if len(now) > MEMO:
+            self.before, self.now = now, {}
+            now = self.now
+        missing = []
+        for unit in set(units):
+            if unit not in now:
+                known = self.before.get(unit)
+                if known is None:
+                    missing.append(unit)
+                else:
+                    now[unit] = known
         if missing:
-            if len(memo) + len(missing) > MEMO:
-                memo.clear()
-                missing = list(set(units))
-            for unit, code in zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False), strict=True):
-                memo[unit] = np.array(code.ids, dtype="<u4").tobytes()
-        return np.frombuffer(b"".join(map(memo.__getitem__, units)), dtype="<u4")
+            self._learn(missing)
+        return np.frombuffer(b"".join(map(now.__getitem__, units)), dtype="<u4")
 
 
 _ENCODERS: dict[str, Encoder] = {}
