@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from . import ngram_join, packing, pii, quality, secrets, sharding, substr_dedup
+from . import decontam, ngram_join, packing, pii, quality, secrets, sharding, substr_dedup
 from .scratch import Scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,6 +73,12 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         return scratch.keep(out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, whether it holds a passage of a benchmark item, and of which."""
+    with Scratch(spark) as scratch:
+        return scratch.keep(decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The component of every document under Jaccard similarity of 0.85 of 4-word shingles."""
     with Scratch(spark) as scratch:
@@ -120,7 +126,7 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_best_fit_packing, op4_quality_rules, op5_pii, op6_sharding, op8_ngram_join, op9_secret_scan, op10_substring_dedup)
+    found = (op1_best_fit_packing, op4_quality_rules, op5_pii, op6_sharding, op7_decontamination, op8_ngram_join, op9_secret_scan, op10_substring_dedup)
     return {f.__name__: f for f in found}
 
 
