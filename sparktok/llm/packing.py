@@ -17,6 +17,7 @@ from __future__ import annotations
 import itertools
 import os
 import re
+import struct
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -42,20 +43,28 @@ Pattern = tuple[int, tuple[int, ...]]
 
 #: White space as the tokenizer's pattern reads it (fixed values: Unicode's White_Space).
 _WS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Letters and digits that have been such since early Unicode.
-_PLAIN = r"0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0400-\u0481\u048a-\u04ff"
+#: Letters that have been such since early Unicode.
+_LETTERS = r"A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0400-\u0481\u048a-\u04ff"
+_WORD = re.compile(rf" ?[{_LETTERS}]+")
 #: Runs that no token crosses: a word with the space before it, up to ASCII that is no letter or
 #: digit; whatever else is without white space; white space.
-_UNIT = re.compile(rf"[{_WS}]+(?![^{_WS}])| ?[{_PLAIN}]++(?=[\x00-\x7f]|$)| ?[^{_WS}]+|[{_WS}]+")
+_UNIT = re.compile(rf"[{_WS}]+(?![^{_WS}])| ?[0-9{_LETTERS}]++(?=[\x00-\x7f]|$)| ?[^{_WS}]+|[{_WS}]+")
+
+
+def byte_characters() -> dict[int, str]:
+    """The character that a byte-level vocabulary writes for each byte: itself if it shows, else the next from U+0100."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = (b for b in range(256) if b not in shown)
+    return {b: chr(b) for b in shown} | {b: chr(0x100 + k) for k, b in enumerate(hidden)}
 
 
 class Encoder:
     """Ids of whole texts by the ``tokenizers`` library, remembered by unit.
 
     A byte-level tokenizer whose pattern keeps a space with the word after it
-    never joins what ``_UNIT`` parts.  Units not met before are encoded
-    together, one a line: the line break is a token of its own.  Texts that
-    contain an added token's string are encoded whole.
+    never joins what ``_UNIT`` parts.  A new unit of letters is a single word to
+    the tokenizer and goes to its model at once; others go through all of it.
+    Texts that contain an added token's string are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -63,43 +72,39 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.characters = self.tokenizer.model, byte_characters()
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.now: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
-        (self.line,) = self._ids("\n")
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
     def _learn(self, units: list[str]) -> None:
-        words = [u for u in units if not u.isspace()]
-        self.now.update((u, self._ids(u).tobytes()) for u in units if u.isspace())
-        if not words:
-            return
-        ids = self._ids("\n".join(words))
-        code, at = ids.tobytes(), 0
-        for unit, stop in zip(words, [*(np.nonzero(ids == self.line)[0] * 4).tolist(), len(code)], strict=True):
-            self.now[unit] = code[at:stop]
-            at = stop + 4
+        others = []
+        for unit in units:
+            if _WORD.fullmatch(unit):
+                found = self.model.tokenize(unit.encode().decode("latin-1").translate(self.characters))
+                self.now[unit] = struct.pack(f"<{len(found)}I", *[x.id for x in found])
+            else:
+                others.append(unit)
+        for unit, code in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False), strict=True):
+            self.now[unit] = struct.pack(f"<{len(code.ids)}I", *code.ids)
 
     def __call__(self, text: str) -> np.ndarray:
         if any(t in text for t in self.added):
             return self._ids(text)
         units = _UNIT.findall(text)
+        if len(self.now) > MEMO:
+            self.before, self.now = self.now, {}
         now = self.now
-        if len(now) > MEMO:
-            self.before, self.now = now, {}
-            now = self.now
-        missing = []
-        for unit in set(units):
-            if unit not in now:
-                known = self.before.get(unit)
-                if known is None:
-                    missing.append(unit)
-                else:
-                    now[unit] = known
+        missing = set(units).difference(now)
+        if missing and self.before:
+            known = missing.intersection(self.before)
+            now.update((u, self.before[u]) for u in known)
+            missing -= known
         if missing:
-            self._learn(missing)
+            self._learn(list(missing))
         return np.frombuffer(b"".join(map(now.__getitem__, units)), dtype="<u4")
 
 
