@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from . import decontam, ngram_join, packing, pii, quality, secrets, sharding, substr_dedup
+from . import decontam, langid, lm, ngram_join, packing, pii, quality, secrets, sharding, substr_dedup
 from .scratch import Scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,20 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         return scratch.keep(packing.digests(table(spark, sf_dir, "documents"), scratch, tokenizer_path()).withColumn("length", F.col("length").cast("long")))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probabilities of every document under the unigram base and the recurrent model."""
+    with Scratch(spark) as scratch:
+        return scratch.keep(lm.score(table(spark, sf_dir, "documents"), scratch))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document."""
+    docs = table(spark, sf_dir, "documents")
+    with Scratch(spark) as scratch:
+        found = langid.predict(docs.select("doc_id", "text"), langid.fit(docs)).withColumn("held_out", langid.held_out())
+        return scratch.keep(found.select("doc_id", "held_out", "lang_pred", "score", "rejected"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of every document and the verdict of the threshold table."""
     return quality.score(table(spark, sf_dir, "documents"))
@@ -126,7 +140,7 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_best_fit_packing, op4_quality_rules, op5_pii, op6_sharding, op7_decontamination, op8_ngram_join, op9_secret_scan, op10_substring_dedup)
+    found = (op1_best_fit_packing, op2_lm_scoring, op3_language_id, op4_quality_rules, op5_pii, op6_sharding, op7_decontamination, op8_ngram_join, op9_secret_scan, op10_substring_dedup)
     return {f.__name__: f for f in found}
 
 
