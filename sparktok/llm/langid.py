@@ -198,3 +198,20 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return docs.mapInArrow(work, f"{fields}, {OUT}")
+
+
+def keep(docs: DataFrame, model: Model | None) -> DataFrame:
+    """Rows of ``docs`` whose language is not rejected, all columns as they are."""
+    at, shared = docs.columns.index("text"), docs.sparkSession.sparkContext.broadcast(model)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for batch in batches:
+            texts = batch.column(at).cast(pa.string()).to_pylist()
+            good = np.zeros(len(texts), dtype=bool)
+            known = np.array([i for i, t in enumerate(texts) if model and t and LETTER.search(t)], dtype=np.int64)
+            for a, b in slices([texts[i] for i in known]):
+                good[known[a:b]] = model.predict([texts[i] for i in known[a:b]])[1] >= model.threshold
+            yield batch.filter(pa.array(good))
+
+    return docs.mapInArrow(work, docs.schema)

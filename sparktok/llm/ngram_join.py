@@ -270,17 +270,34 @@ def _verified(pairs: DataFrame, near: DataFrame, rule: Rule) -> DataFrame:
 def join(docs: DataFrame, scratch: Scratch, n: int = SHINGLE, percent: int = PERCENT, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """``rid, doc_id, n_shingles, root, component_id`` of each row of ``docs`` (doc_id, text).
 
-    ``rid`` numbers rows; ``root`` is the smallest rid of the row's component
-    and ``component_id`` the smallest doc_id there (null only if all are null).
+    ``rid`` numbers rows; ``component_id`` is the smallest doc_id of the row's
+    component (null only if all are null) and ``root`` the rid of the first row by
+    (doc_id, rid), null first.
     A text of fewer than ``n`` words is one shingle; null, empty and blank
     texts have none and link with nothing.  Equal sets of equal texts link,
     however often a row is repeated.  An empty table gives no rows; other
     columns are left out, so their names don't matter.  Shingles are compared
     as 64-bit hashes.
     """
-    rule = Rule(percent)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    chunks = scratch.stage(chunked(docs, chunk_bytes=chunk_bytes))
+    return _joined(scratch.stage(chunked(docs, chunk_bytes=chunk_bytes)), scratch, n, percent, chunk_bytes)
+
+
+def keep_first(docs: DataFrame, scratch: Scratch, n: int = SHINGLE, percent: int = PERCENT, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """Of each component of ``docs`` the first row by (doc_id, place), all columns as they are."""
+    names = docs.columns
+    plain = docs.toDF(*(f"c{k}" for k in range(len(names))))
+    doc_id, text = (f"c{names.index(k)}" for k in ("doc_id", "text"))
+    staged = scratch.stage(chunked(plain.withColumn(text, F.col(text).cast("string")), text=text, chunk_bytes=chunk_bytes))
+    chunks = staged.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), "chunk", "row")
+    kept = _joined(chunks, scratch, n, percent, chunk_bytes).where("rid = root").select("rid")
+    rid = F.shiftleft("chunk", ROW_BITS).bitwiseOR(F.col("row").cast("long")).alias("rid")
+    return staged.withColumn("rid", rid).join(kept, "rid", "left_semi").select(*plain.columns).toDF(*names)
+
+
+def _joined(chunks: DataFrame, scratch: Scratch, n: int, percent: int, chunk_bytes: int) -> DataFrame:
+    """The join over a written table of chunks."""
+    rule = Rule(percent)
     shape = sketch.Shape.for_items(total_bytes(chunks) // BYTES_A_WORD)
 
     def of_texts(batch: pa.RecordBatch) -> np.ndarray:
@@ -288,7 +305,6 @@ def join(docs: DataFrame, scratch: Scratch, n: int = SHINGLE, percent: int = PER
 
     told = scratch.stage(sketch.merged(sketch.send(chunks, of_texts, shape, 8 * chunk_bytes), shape))
     found = scratch.stage(_first_pass(chunks, told, shape, n, rule))
-    scratch.drop(chunks)
     scratch.drop(told)
 
     kinds = scratch.stage(found.where("f1 is not null").groupBy("f1", "f2").agg(F.min("rid").alias("rep")))
@@ -329,5 +345,5 @@ def join(docs: DataFrame, scratch: Scratch, n: int = SHINGLE, percent: int = PER
     rows = found.select("rid", "doc_id", F.col("n").alias("n_shingles"), "f1", "f2").join(kinds, ["f1", "f2"], "left")
     rows = rows.join(label.toDF("rep", "comp"), "rep", "left").withColumn("root", F.coalesce("comp", "rep", "rid"))
     rows = scratch.stage(rows.select("rid", "doc_id", "n_shingles", "root"))
-    least = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.min("rid").alias("first_rid"))
+    least = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.min(F.struct("doc_id", "rid"))["rid"].alias("first_rid"))
     return rows.join(least, "root").select("rid", "doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), F.col("first_rid").alias("root"), "component_id")
