@@ -66,16 +66,20 @@ def java(pattern: str) -> str:
     return "(?U)" + pattern.replace(r"\p{Han}", r"\p{IsHan}").replace(r"\s++$", r"\s++\z")
 
 
-def _isolate(pieces: Column, pattern: str) -> Column:
-    """Split every piece into the matches of a pattern and what lies between them."""
+def interleave(text: Column, pattern: str) -> Column:
+    """The matches of a Java pattern and what lies between them, in order, without empty strings."""
 
-    def parts(piece: Column) -> Column:
-        found = F.regexp_extract_all(piece, F.lit(pattern), F.lit(0))
-        between = F.split(piece, pattern, -1)
-        mixed = F.transform(between, lambda x, i: F.array(x, F.coalesce(F.get(found, i), F.lit(""))))
-        return F.array_remove(F.flatten(mixed), "")
+    def mixed(found: Column) -> Column:
+        between = F.split(text, pattern, -1)
+        return F.array_remove(F.flatten(F.transform(between, lambda x, i: F.array(x, F.coalesce(F.get(found, i), F.lit(""))))), "")
 
-    return F.flatten(F.transform(pieces, parts))
+    # Inside the outer lambda the matches are a variable, worked out once for each text.
+    return F.element_at(F.transform(F.array(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))), mixed), 1)
+
+
+def _each(pieces: Column, pattern: str) -> Column:
+    """Every piece split into the matches of a pattern and what lies between them."""
+    return F.flatten(F.transform(pieces, lambda x: interleave(x, pattern)))
 
 
 def pretokens(text: Column, scheme: str = DEFAULT) -> Column:
@@ -85,5 +89,5 @@ def pretokens(text: Column, scheme: str = DEFAULT) -> Column:
         return F.regexp_extract_all(text, F.lit(patterns[0]), F.lit(0))
     pieces = F.array_remove(F.array(text), "")
     for p in patterns:
-        pieces = _isolate(pieces, p)
+        pieces = _each(pieces, p)
     return pieces
