@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -95,8 +96,6 @@ def register(spark: SparkSession, model: TokenizerModel, prefix: str = "bpe") ->
     ship(spark)
     shared = spark.sparkContext.broadcast(model)
 
-    import pandas as pd
-
     @F.pandas_udf("array<int>")
     def encoded(texts: pd.Series) -> pd.Series:
         own = _cached(shared.value)
