@@ -115,7 +115,7 @@ def shard(docs: DataFrame, scratch: Scratch, shards: int = SHARDS, slots: int =
     rows = scratch.stage(rows)
 
     first = SlotMap.initial(shards, slots)
-    path = f"{scratch.root}-map"
+    path = f"{scratch.root}-map-{scratch.count}"
     scratch.dropped.append(path)
     for version in (first, first.grown()):
         version.save(scratch.spark, path)
