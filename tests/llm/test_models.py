@@ -207,10 +207,10 @@ def test_pipeline_keeps_clean_documents_and_drops_the_rest(spark, tmp_path):
         frame = spark.read.parquet(str(tmp_path / f"s{k}"))
         left.append({r["doc_id"] for r in frame.select("doc_id").collect()})
     assert not {9001, 9002} & left[0] and {r["doc_id"] for r in start} <= left[0]
-    assert not 9003 & 0 and len({9003, clean[0]["doc_id"]} & left[1]) == 1
+    assert len({9003, clean[0]["doc_id"]} & left[1]) == 1
     assert 9004 not in left[2] and left[3] == left[2] == left[4]
     final = {r["doc_id"]: r["text"] for r in spark.read.parquet(str(tmp_path / "s3")).collect()}
-    assert "[assign] end" in final[9005] or "[assign]" in final[9005]
+    assert "[assign]" in final[9005] and "abcdefgh12345678" not in final[9005]
     decoder = packing.Encoder(queries.tokenizer_path()).tokenizer
     parts = collections.defaultdict(dict)
     for r in frame.collect():
