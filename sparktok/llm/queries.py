@@ -80,6 +80,47 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(F.size(k.name).cast("long").alias(f"n_{k.name}") for k in pii.BASE), F.sha2(pii.joined(pii.BASE), 256).alias("base_sha256"), pii.joined((*pii.BASE, *pii.MORE)).alias("spans"))
 
 
+def _spans_sql(kind: str, pattern: str, keep: str) -> str:
+    """Rows (doc_id, kind, m, a, b) of a pattern's matches that pass; places are summed from matches and what lies between."""
+    return f"""SELECT doc_id, '{kind}' AS kind, m, a::INTEGER AS a, (a + length(m))::INTEGER AS b, t FROM (
+    SELECT doc_id, t, unnest(m) AS m, unnest(list_transform(range(1, len(m) + 1), lambda i: list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))) AS a
+    FROM (SELECT doc_id, t, regexp_extract_all(t, '{pattern}') AS m, string_split_regex(t, '{pattern}') AS g FROM d)) WHERE {keep}"""
+
+
+def _op5_sql() -> str:
+    digits = "regexp_replace(m, '[^0-9]', '', 'g')"
+    luhn = f"list_sum(list_transform(range(1, length({digits}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN reverse({digits})[i]::INT WHEN reverse({digits})[i]::INT > 4 THEN 2 * reverse({digits})[i]::INT - 9 ELSE 2 * reverse({digits})[i]::INT END)) % 10 = 0"
+    number = "list_transform(string_split(substring(replace(m, ' ', ''), 5) || substring(replace(m, ' ', ''), 1, 4), ''), lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN c::BIGINT ELSE ascii(c) - 55 END)"
+    mod97 = f"list_reduce([0::BIGINT] || {number}, lambda x, y: CASE WHEN y < 10 THEN (x * 10 + y) % 97 ELSE (x * 100 + y) % 97 END) = 1"
+    base = {
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
+        "ip": (r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "len(list_filter(string_split(m, '.'), lambda x: length(ltrim(x, '0')) > 3 OR coalesce(try_cast(x AS HUGEINT), 999) > 255)) = 0"),
+        "card": (r"[0-9](?:[\x20-]?[0-9])+", f"length({digits}) BETWEEN 13 AND 19 AND {luhn}"),
+        "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", f"length({digits}) BETWEEN 9 AND 15"),
+    }
+
+    def context(k: pii.Kind) -> str:
+        near = "(^|[^a-z])(" + "|".join(k.context) + ")($|[^a-z])"
+        before = f"lower(substring(t, greatest(a - {pii.CONTEXT_BEFORE}, 0) + 1, a - greatest(a - {pii.CONTEXT_BEFORE}, 0)))"
+        return f"(regexp_matches({before}, '{near}') OR regexp_matches(lower(substring(t, b + 1, {pii.CONTEXT_AFTER})), '{near}'))"
+
+    parts = [_spans_sql(k, p, keep) for k, (p, keep) in base.items()]
+    free = "NOT regexp_matches((CASE WHEN a > 0 THEN substring(t, a, 1) ELSE '' END) || chr(10) || substring(t, b + 1, 1), '[A-Za-z0-9+-]') AND NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = x.doc_id AND b.a < x.b AND x.a < b.b)"
+    more = [f"SELECT doc_id, kind, a, b FROM ({_spans_sql(k.name, k.pattern, mod97 if k.name == 'iban' else 'true')}) x WHERE {free}{'' if k.name == 'iban' else ' AND ' + context(k)}" for k in pii.MORE]
+    order = ", ".join(f"'{k.name}'" for k in (*pii.BASE, *pii.MORE))
+    counts = ", ".join(f"count(*) FILTER (kind = '{k}' AND NOT added)::BIGINT AS n_{k}" for k in base)
+    joined = f"string_agg(kind || ':' || a || ':' || b, ',' ORDER BY list_position([{order}], kind), a)"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+b AS ({' UNION ALL '.join(f'({p})' for p in parts)}),
+s AS (SELECT doc_id, kind, a, b, false AS added FROM b UNION ALL SELECT *, true FROM ({' UNION ALL '.join(f'({p})' for p in more)}))
+SELECT d.doc_id, {counts}, sha256(coalesce({joined} FILTER (NOT added), '')) AS base_sha256, coalesce({joined}, '') AS spans FROM d LEFT JOIN s ON s.doc_id = d.doc_id GROUP BY d.doc_id
+"""
+
+
+OP5_SQL = _op5_sql()
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard and place of every document, with 24 shards and with one more."""
     with Scratch(spark) as scratch:
@@ -146,4 +187,4 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     """None for the others: DuckDB has no tokenizer, no CRC-32, no decoding worklist and no training."""
-    return {"op4_quality_rules": OP4_SQL, "op8_ngram_join": OP8_SQL, "op10_substring_dedup": OP10_SQL}
+    return {"op4_quality_rules": OP4_SQL, "op5_pii": OP5_SQL, "op8_ngram_join": OP8_SQL, "op10_substring_dedup": OP10_SQL}

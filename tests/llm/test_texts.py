@@ -120,3 +120,21 @@ def test_base_secrets_and_digests(spark, edge_rows):
 def test_redacted_tables_keep_their_columns(spark):
     rows = secrets.redact_all(table(spark, [(1, f"a {SECRET} b"), (2, None)])).orderBy("doc_id").collect()
     assert [r["text"] for r in rows] == ["a [assign] b", None] and rows[0]["rid"] == "r"
+
+
+def test_pii_equals_its_sql(spark, edge_rows, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    from sparktok.llm import queries
+
+    rng = random.Random(12)
+    bits = ["DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "123-45-6789", "(212) 555-1234", "+1 (212) 555-1234", "4111 1111 1111 1111", "10.0.0.256", "1.2.3.4.5", "me@x.org", "me@x", " ssn ", " call ", " bank", ", ", " ", "é", "x", "-", "7"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(1, 9))) for _ in range(600)]
+    rows = [(k, t) for k, t in enumerate([*texts, None, "", *(t for _, t in edge_rows)])]
+    table(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    df = queries.op5_pii(spark, str(tmp_path))
+    names, result = sorted(df.columns), con.execute(queries.OP5_SQL)
+    at = [[d[0] for d in result.description].index(n) for n in names]
+    got = sorted([str(r[n]) for n in names] for r in df.collect())
+    assert got == sorted([str(r[i]) for i in at] for r in result.fetchall()) and sum("iban" in str(r) for r in got) > 20
