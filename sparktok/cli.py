@@ -47,9 +47,11 @@ def validate(spark: SparkSession, model: TokenizerModel, paths: list[str], separ
     """Documents that come out differently when files are split by the reader and when texts are split first."""
     by_reader = encode(_ordinals(TextSource(paths, separator).read(spark)), model)
     whole = TextSource(paths).read(spark)
-    parts = whole.select(F.col("doc_id").alias("_file"), F.posexplode(split_docs(F.col("text"), separator)).alias("_pos", "text"))
-    at = F.expr("row_number() over (partition by 1 order by _file, _pos) - 1") if len(paths) == 1 else F.expr("row_number() over (order by _file, _pos) - 1")
-    return mismatches(by_reader, encode(parts.withColumn("n", at), model))
+    parts = whole.select(F.col("doc_id").alias("_file"), split_docs(F.col("text"), separator).alias("_parts"))
+    # One row a file: few enough to be summed in order.
+    first = parts.select("_file", F.size("_parts").alias("_k")).select("_file", F.expr("coalesce(sum(_k) over (order by _file rows between unbounded preceding and 1 preceding), 0)").alias("_first"))
+    numbered = parts.join(first, "_file").select(F.col("_first"), F.posexplode("_parts").alias("_pos", "text")).select((F.col("_first") + F.col("_pos")).alias("n"), "text")
+    return mismatches(by_reader, encode(numbered, model))
 
 
 def main(args: list[str] | None = None) -> int:

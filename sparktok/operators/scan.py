@@ -68,6 +68,13 @@ def parse_size(text: str) -> int | None:
     return int(float(m[1]) * 1000 ** " kmgt".index(m[2] or " "))
 
 
+def key_block(rows: DataFrame, key: str, blocks: int = 1024) -> Column:
+    """Number of the range of keys that a row is in, of ``blocks`` equal ones between the least and the greatest key."""
+    lo, hi = rows.agg(F.min(key).cast("double"), F.max(key).cast("double")).first()
+    lo, wide = lo or 0.0, max((hi or 0.0) - (lo or 0.0), 1.0)
+    return F.floor((F.col(key).cast("double") - F.lit(lo)) / F.lit(wide) * (blocks - 1)).cast("int")
+
+
 def limit_bytes(df: DataFrame, most: int | None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The first documents in the order of ``key`` that fit in ``most`` bytes; the last is cut to what is left (binary).
 
@@ -76,9 +83,7 @@ def limit_bytes(df: DataFrame, most: int | None, key: str = "doc_id", text: str
     rows = df.withColumn("_bytes", F.octet_length(text).cast("long"))
     if most is None:
         return rows.withColumn(text, F.col(text).cast("binary")).drop("_bytes")
-    bounds = rows.agg(F.min(key).alias("_lo"), F.max(key).alias("_hi"))
-    wide = F.greatest(F.col("_hi").cast("double") - F.col("_lo").cast("double"), F.lit(1.0))
-    rows = rows.crossJoin(F.broadcast(bounds)).withColumn("_block", F.floor((F.col(key).cast("double") - F.col("_lo")) / wide * 1023).cast("int"))
+    rows = rows.withColumn("_block", key_block(rows, key))
     sums = rows.groupBy("_block").agg(F.sum("_bytes").alias("_sum"))
     before = sums.select("_block", F.expr("coalesce(sum(_sum) over (order by _block rows between unbounded preceding and 1 preceding), 0)").alias("_before")).where(F.col("_before") < most)
     rows = rows.join(F.broadcast(before), "_block")

@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scan import key_block
+
 
 def _array(ids) -> Column:
     return F.array(*(F.lit(int(i)) for i in ids)).cast("array<int>")
@@ -80,9 +82,7 @@ def packed_offsets(df: DataFrame, key: str, ids: str = "ids", blocks: int = 1024
     Sums of ranges of keys come first, so no task sorts or sums the whole table.
     """
     rows = df.select(key, F.size(ids).cast("long").alias("length"))
-    bounds = rows.agg(F.min(key).alias("lo"), F.max(key).alias("hi"))
-    wide = F.greatest(F.col("hi").cast("double") - F.col("lo").cast("double"), F.lit(1.0))
-    placed = rows.crossJoin(F.broadcast(bounds)).withColumn("_block", F.floor((F.col(key).cast("double") - F.col("lo")) / wide * (blocks - 1)).cast("int")).drop("lo", "hi")
+    placed = rows.withColumn("_block", key_block(rows, key, blocks))
     sums = placed.groupBy("_block").agg(F.sum("length").alias("_sum"))
     before = sums.select("_block", F.expr("coalesce(sum(_sum) over (order by _block rows between unbounded preceding and 1 preceding), 0)").alias("_before"))
     inside = F.expr(f"coalesce(sum(length) over (partition by _block order by `{key}` rows between unbounded preceding and 1 preceding), 0)")
