@@ -387,12 +387,29 @@ class Plan:
         return sequence, offset
 
 
-def ranked(staged: DataFrame) -> DataFrame:
-    """Add ``rank``, a piece's place among all of its length: the tasks' counts, summed up in the order of tasks."""
+#: Tables of first ranks up to this size are sent to all tasks; larger ones are joined by a shuffle.
+SENT_BYTES = 32 << 20
+
+
+def ranked(staged: DataFrame, capacity: int) -> DataFrame:
+    """Add ``rank``, a piece's place among all of its length: the tasks' counts, summed up in the order of tasks.
+
+    A task's first ranks are one array by length.  All of them take
+    8 * capacity bytes a task; whether that is sent or shuffled goes by it.
+    """
     each = staged.groupBy("part", "length").agg(F.count("*").alias("k"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    first = each.select("part", "length", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("first"))
-    return staged.join(first, ["part", "length"]).withColumn("rank", F.col("first") + F.col("place"))
+    first = each.select("part", "length", F.coalesce(F.sum("k").over(before), F.lit(0)).cast("long").alias("first"))
+
+    def by_length(table: pa.Table) -> pa.Table:
+        firsts = np.zeros(capacity + 1, dtype=np.int64)
+        firsts[table.column("length").to_numpy()] = table.column("first").to_numpy()
+        return pa.table({"part": table.column("part").slice(0, 1), "firsts": pa.array([firsts], pa.list_(pa.int64()))})
+
+    firsts = first.groupBy("part").applyInArrow(by_length, "part int, firsts array<long>")
+    if staged.select("part").distinct().count() * 8 * capacity <= SENT_BYTES:
+        firsts = F.broadcast(firsts)
+    return staged.join(firsts, "part").withColumn("rank", F.get("firsts", F.col("length")) + F.col("place")).drop("firsts")
 
 
 def assign(staged: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -403,8 +420,8 @@ def assign(staged: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     counts = {r["length"]: r["k"] for r in staged.groupBy("length").agg(F.count("*").alias("k")).collect()}
     plan = Plan.of(solve(counts, capacity))
     shared = staged.sparkSession.sparkContext.broadcast(plan)
-    ready = ranked(staged)
-    fields = [f for f in ready.schema.fields if f.name not in ("rank", "first")]
+    ready = ranked(staged, capacity)
+    fields = [f for f in ready.schema.fields if f.name != "rank"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
