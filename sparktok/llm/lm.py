@@ -7,9 +7,9 @@ class first, then the word in it.  Words of a head class have a softmax of
 their own, words of a tail class their smoothed share of the class's counts,
 so that the model gives every text a probability, unknown words included.
 
-Training is data-parallel: each task runs truncated backpropagation over its
-documents of a fixed share of the training documents, and the parameters of
-all tasks are averaged after each round.  Scoring reads every document from
+Training is data-parallel and reads every training document once: in each
+round, each task runs truncated backpropagation over its documents of that
+round, and the parameters of all tasks are averaged after it.  Scoring reads every document from
 its first word to its end and carries the state across windows.
 """
 
@@ -34,8 +34,8 @@ HEAD = CLASS_SIZE * HEAD_CLASSES
 SYMBOLS = HEAD + TAIL_CLASSES
 CLASSES = HEAD_CLASSES + TAIL_CLASSES
 HIDDEN = 16
-#: One training document in SHARE gives gradients, in each of ROUNDS; all of them give counts.
-SHARE, ROUNDS = 48, 3
+#: Every training document gives gradients once, in one of ROUNDS.
+ROUNDS = 3
 LANES, WINDOW, TRAIN_LANES, TRAIN_WINDOW = 256, 64, 64, 32
 RATE, MEAN, SQUARE, CLIP = 0.01, 0.9, 0.999, 1.0
 MAX_PARTS, PART_BYTES = 1 << 16, 4 << 20
@@ -148,6 +148,21 @@ class Vocabulary:
         return HEAD + tail_class(word) if found is None else found
 
 
+class Symbols(dict):
+    """Symbols by word, with a memory of at most ``most`` words outside the head."""
+
+    def __init__(self, vocabulary: Vocabulary, most: int = 1 << 18) -> None:
+        super().__init__(vocabulary.head)
+        self.vocabulary, self.most = vocabulary, len(vocabulary.head) + most
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.most:
+            self.clear()
+            self.update(self.vocabulary.head)
+        found = self[word] = HEAD + tail_class(word)
+        return found
+
+
 # ---------------------------------------------------------------- model
 
 
@@ -232,9 +247,9 @@ class Model:
         """
         p = self.p
         s, y = states.reshape(-1, HIDDEN), symbols.ravel()
-        at = np.nonzero(live.ravel())[0]
-        s, y = s[at], y[at]
         k = np.where(y < HEAD, y // CLASS_SIZE, HEAD_CLASSES + y - HEAD)
+        at = np.argsort(np.where(live.ravel(), k, CLASSES).astype(np.uint8), kind="stable")[: int(live.sum())]
+        s, y, k = s[at], y[at], k[at]
         logits = s @ p["c"]
         logits += p["cb"]
         logits -= logits.max(axis=1, keepdims=True)
@@ -249,17 +264,16 @@ class Model:
             grads["c"] += s.T @ logits
             grads["cb"] += logits.sum(axis=0)
             ds = logits @ p["c"].T
-        order = np.argsort(k, kind="stable")
-        cuts = np.searchsorted(k[order], np.arange(HEAD_CLASSES + 1))
+        cuts = np.searchsorted(k, np.arange(HEAD_CLASSES + 1)).tolist()
         for c in range(HEAD_CLASSES):
-            mine = order[cuts[c] : cuts[c + 1]]
-            if not len(mine):
+            mine = slice(cuts[c], cuts[c + 1])
+            if mine.start == mine.stop:
                 continue
             own, word = s[mine], y[mine] - c * CLASS_SIZE
             inner = own @ p["o"][c]
             inner += p["ob"][c]
             inner -= inner.max(axis=1, keepdims=True)
-            line = np.arange(len(mine))
+            line = rows[: len(word)]
             picked = inner[line, word]
             np.exp(inner, out=inner)
             sums = inner.sum(axis=1)
@@ -281,49 +295,106 @@ class Model:
     def backward(self, symbols: np.ndarray, fresh: np.ndarray, steps: list, grads: dict) -> None:
         """Backpropagation through one window; what lies before it is taken as given."""
         p, n = self.p, HIDDEN
+        h, z, r, un, m = (np.stack(x) for x in zip(*steps, strict=True))
+        to_m, to_z, to_r = (1 - z) * (1 - m * m), (h - m) * z * (1 - z), un * r * (1 - r)
         dh = np.zeros((symbols.shape[1], n), dtype=np.float32)
-        dg = np.empty((*symbols.shape, 3 * n), dtype=np.float32)
+        dg, da = np.empty((*symbols.shape, 3 * n), dtype=np.float32), np.empty((*symbols.shape, 3 * n), dtype=np.float32)
+        back, starts = np.ascontiguousarray(p["u"].T), fresh.any(axis=1)
         for t in range(len(symbols) - 1, -1, -1):
-            h, z, r, un, m = steps[t]
-            dm = dh * (1 - z) * (1 - m * m)
-            dz = dh * (h - m) * z * (1 - z)
-            dr = dm * un * r * (1 - r)
-            dg[t, :, :n], dg[t, :, n : 2 * n], dg[t, :, 2 * n :] = dz, dr, dm
-            da = np.concatenate([dz, dr, dm * r], axis=1)
-            grads["u"] += h.T @ da
-            dh = dh * z + da @ p["u"].T + grads["states"][t]
-            dh *= ~fresh[t][:, None]
+            g, d = dg[t], da[t]
+            dm = g[:, 2 * n :]
+            np.multiply(dh, to_z[t], out=g[:, :n])
+            np.multiply(dh, to_m[t], out=dm)
+            np.multiply(dm, to_r[t], out=g[:, n : 2 * n])
+            d[:, : 2 * n] = g[:, : 2 * n]
+            np.multiply(dm, r[t], out=d[:, 2 * n :])
+            dh *= z[t]
+            dh += d @ back
+            dh += grads["states"][t]
+            if starts[t]:
+                dh *= ~fresh[t][:, None]
         flat = dg.reshape(-1, 3 * n)
+        grads["u"] += h.reshape(-1, n).T @ da.reshape(-1, 3 * n)
         grads["b"] += flat.sum(axis=0)
-        np.add.at(grads["x"], symbols.ravel(), flat)
-
-    def train(self, lanes: Lanes) -> Model:
-        """One pass of Adam over the lanes, window by window, the state carried on."""
-        p = {k: v.copy() for k, v in self.p.items()}
-        model = Model(p)
-        mean, square = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
-        h = np.zeros((lanes.symbols.shape[1], HIDDEN), dtype=np.float32)
-        for step, a in enumerate(range(0, len(lanes.symbols), TRAIN_WINDOW), 1):
-            used = int(lanes.live[a].sum())
-            part, h = (slice(a, a + TRAIN_WINDOW), slice(0, used)), h[:used]
-            y, fresh, live = lanes.symbols[part], lanes.fresh[part], lanes.live[part]
-            keep: dict = {}
-            states, after = model.run(y, fresh, h, keep)
-            grads = {k: np.zeros_like(v) for k, v in p.items()}
-            model.outputs(states, y, live, grads)
-            model.backward(y, fresh, keep["steps"], grads)
-            n = max(1, int(live.sum()))
-            norm = float(np.sqrt(sum(float((grads[k] ** 2).sum()) for k in p))) / n
-            scale = np.float32((min(1.0, CLIP / norm) if norm > 0 else 1.0) / n)
-            rate = np.float32(RATE * np.sqrt(1 - SQUARE**step) / (1 - MEAN**step))
-            for k in p:
-                g = grads[k]
-                g *= scale
-                mean[k] += (1 - MEAN) * (g - mean[k])
-                square[k] += (1 - SQUARE) * (g * g - square[k])
-                p[k] -= rate * mean[k] / (np.sqrt(square[k]) + np.float32(1e-6))
-            h = after
-        return model
+        order = np.argsort(symbols.ravel().astype(np.uint16), kind="stable")
+        found, first = np.unique(symbols.ravel()[order], return_index=True)
+        grads["x"][found] += np.add.reduceat(flat[order], first, axis=0)
+
+
+class Learner:
+    """Adam over texts that run through lanes: each lane takes the next text when its own ends.
+
+    A text carries its state from window to window up to its end.  Lanes that
+    find no more text are left out; a step is taken when half of a full
+    window's words have given gradients, so the last, long texts don't make
+    steps of their own.
+    """
+
+    def __init__(self, model: Model, lanes: int) -> None:
+        self.model = Model({k: v.copy() for k, v in model.p.items()})
+        self.mean, self.square, self.grads = ({k: np.zeros_like(v) for k, v in model.p.items()} for _ in range(3))
+        self.lanes, self.least, self.step, self.words = lanes, lanes * TRAIN_WINDOW // 2, 0, 0
+        self.now: list[tuple[np.ndarray, int]] = []
+        self.h = np.zeros((0, HIDDEN), dtype=np.float32)
+
+    def feed(self, texts: list[np.ndarray], last: bool = False) -> None:
+        """Learns from texts, longest first, until lanes run out of them; all to their end if these are the last."""
+        texts = sorted((t[k : k + LONGEST] for t in texts for k in range(0, len(t), LONGEST)), key=len)
+        while self.now or texts:
+            if len(self.now) < self.lanes and texts:
+                new = [(texts.pop(), 0) for _ in range(min(self.lanes - len(self.now), len(texts)))]
+                self.now += new
+                self.h = np.concatenate([self.h, np.zeros((len(new), HIDDEN), dtype=np.float32)])
+            if not texts and not last:
+                return
+            self._window(texts)
+
+    def _window(self, texts: list[np.ndarray]) -> None:
+        shape = TRAIN_WINDOW, len(self.now)
+        y, fresh, live = np.zeros(shape, dtype=np.int32), np.zeros(shape, dtype=bool), np.zeros(shape, dtype=bool)
+        for k, (text, at) in enumerate(self.now):
+            t = 0
+            while t < TRAIN_WINDOW:
+                if at == len(text):
+                    if not texts:
+                        break
+                    text, at = texts.pop(), 0
+                fresh[t, k] = at == 0
+                n = min(TRAIN_WINDOW - t, len(text) - at)
+                y[t : t + n, k], live[t : t + n, k] = text[at : at + n], True
+                t, at = t + n, at + n
+            self.now[k] = text, at
+        keep: dict = {}
+        states, h = self.model.run(y, fresh, self.h, keep)
+        self.model.outputs(states, y, live, self.grads)
+        self.model.backward(y, fresh, keep["steps"], self.grads)
+        self.words += int(live.sum())
+        if self.words >= self.least:
+            self._step()
+        left = [k for k, (text, at) in enumerate(self.now) if at < len(text) or texts]
+        self.now, self.h = [self.now[k] for k in left], h[left]
+
+    def _step(self) -> None:
+        p, grads = self.model.p, self.grads
+        self.step += 1
+        norm = float(np.sqrt(sum(float((grads[k] ** 2).sum()) for k in p))) / self.words
+        scale = np.float32((min(1.0, CLIP / norm) if norm > 0 else 1.0) / self.words)
+        rate = np.float32(RATE * np.sqrt(1 - SQUARE**self.step) / (1 - MEAN**self.step))
+        for k in p:
+            g = grads[k]
+            g *= scale
+            self.mean[k] += (1 - MEAN) * (g - self.mean[k])
+            self.square[k] += (1 - SQUARE) * (g * g - self.square[k])
+            p[k] -= rate * self.mean[k] / (np.sqrt(self.square[k]) + np.float32(1e-6))
+            g.fill(0)
+        self.words = 0
+
+    def end(self) -> Model:
+        """The model after all that was fed."""
+        self.feed([], last=True)
+        if self.words:
+            self._step()
+        return self.model
 
 
 @dataclass
@@ -382,33 +453,33 @@ OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens
 LONGEST = 512
 #: Chunks are larger here: the steps of the longest text in one count as much as all others beside it.
 CHUNK = 12 << 20
-#: Training texts of a task are laid out and learned from in groups of so many words.
-TRAIN_WORDS = 400_000
+#: Training texts of a task are sorted and learned from in groups of so many words.
+TRAIN_WORDS = 4_000_000
 
 
 def _trained(chunks: DataFrame, vocabulary: Vocabulary, model: Model, scratch: Scratch) -> Model:
-    """Rounds of local training on the share and averaging, weighted by words."""
+    """Rounds of local training and averaging, weighted by words; each document not held out is in one of them."""
     context = chunks.sparkSession.sparkContext
-    share = chunks.where(~F.col("held_out") & (F.pmod(F.xxhash64("doc_id", F.lit("gradients")), F.lit(SHARE)) == 0)).select("text")
+    training = chunks.where(~F.col("held_out")).select("text", F.pmod(F.xxhash64("chunk", "row", F.lit("gradients")), F.lit(ROUNDS)).alias("round"))
     words = context.broadcast(vocabulary)
-    for _ in range(ROUNDS):
+    for k in range(ROUNDS):
         now = context.broadcast(model)
 
         def learn(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
-            model, weight, held, size = now.value, 0, [], 0
-            symbol = words.value.symbol
+            learner, weight, held, size = Learner(now.value, TRAIN_LANES), 0, [], 0
+            symbol = Symbols(words.value)
             for batch in batches:
                 for text in batch.column("text").cast(pa.binary()).to_pylist():
-                    t = np.array([*map(symbol, words_of(text)), END], dtype=np.int32)
-                    held += [t[k : k + LONGEST] for k in range(0, len(t), LONGEST)]
+                    t = np.array([*map(symbol.__getitem__, words_of(text)), END], dtype=np.uint16)
+                    held.append(t)
                     size += len(t)
                     if size >= TRAIN_WORDS:
-                        model = model.train(Lanes.of(held, TRAIN_LANES))
+                        learner.feed(held)
                         weight, held, size = weight + size, [], 0
-            if held:
-                model, weight = model.train(Lanes.of(held, TRAIN_LANES)), weight + size
+            learner.feed(held, last=True)
+            weight += size
             if weight:
-                yield pa.RecordBatch.from_arrays([pa.array([weight], pa.int64()), pa.array([model.pack()], pa.binary())], names=["weight", "model"])
+                yield pa.RecordBatch.from_arrays([pa.array([weight], pa.int64()), pa.array([learner.end().pack()], pa.binary())], names=["weight", "model"])
 
         def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             """One model of all that a task reads: a running sum, however many there are."""
@@ -420,7 +491,7 @@ def _trained(chunks: DataFrame, vocabulary: Vocabulary, model: Model, scratch: S
                 yield pa.RecordBatch.from_arrays([pa.array([weights], pa.int64()), pa.array([(total / weights).astype(np.float32).tobytes()], pa.binary())], names=["weight", "model"])
 
         kind = "weight long, model binary"
-        teams = share.mapInArrow(learn, kind).repartition(TEAMS).mapInArrow(average, kind).collect()
+        teams = training.where(F.col("round") == k).select("text").mapInArrow(learn, kind).repartition(TEAMS).mapInArrow(average, kind).collect()
         if teams:
             total = sum(r["weight"] for r in teams)
             model = model.unpack(sum(np.frombuffer(r["model"], dtype=np.float32).astype(np.float64) * (r["weight"] / total) for r in teams))

@@ -98,6 +98,21 @@ def test_scores_on_edges(spark, edge_rows):
         check_scores(held, lm.score(table(spark, held), scratch).collect())
 
 
+def test_every_training_document_reaches_backpropagation(spark):
+    """A round that a document is in moves the embeddings of its own word; no other document has it."""
+    rows = [(k, f"own{k} " * 3 + "shared words") for k in range(300)]
+    docs = table(spark, rows)
+    with Scratch(spark) as scratch:
+        chunks = scratch.stage(lm.chunked(docs.select("doc_id", "text").withColumn("held_out", lm.held_out()), chunk_bytes=2000))
+        words = [w for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2 for w in t.encode().split()]
+        _, v = vocabulary(words)
+        start = lm.Model.start(v)
+        got = lm._trained(chunks, v, start, scratch)
+    moved = np.abs(got.p["x"] - start.p["x"]).max(axis=1) > 0
+    own = [v.head[w] for w in set(words) if w.startswith(b"own")]
+    assert len(own) > 200 and moved[own].all()
+
+
 def test_model_beats_the_base_on_held_out_documents(spark):
     out = queries.op2_lm_scoring(spark, SF).where("held_out").agg(F.sum("base_score").alias("b"), F.sum("score").alias("s")).first()
     assert out["s"] > out["b"]
