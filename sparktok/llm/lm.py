@@ -339,7 +339,7 @@ class Learner:
 
     def feed(self, texts: list[np.ndarray], last: bool = False) -> None:
         """Learns from texts, longest first, until lanes run out of them; all to their end if these are the last."""
-        texts = sorted((t[k : k + LONGEST] for t in texts for k in range(0, len(t), LONGEST)), key=len)
+        texts = sorted((t for t in texts if len(t)), key=len)
         while self.now or texts:
             if len(self.now) < self.lanes and texts:
                 new = [(texts.pop(), 0) for _ in range(min(self.lanes - len(self.now), len(texts)))]
@@ -449,8 +449,6 @@ def log_probabilities(model: Model, texts: list[np.ndarray], constants: list[np.
 # ---------------------------------------------------------------- Spark
 
 OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-#: A longer training text is cut into parts that each start with an empty state (scoring cuts none).
-LONGEST = 512
 #: Chunks are larger here: the steps of the longest text in one count as much as all others beside it.
 CHUNK = 12 << 20
 #: Training texts of a task are sorted and learned from in groups of so many words.

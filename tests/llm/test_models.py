@@ -113,6 +113,23 @@ def test_every_training_document_reaches_backpropagation(spark):
     assert len(own) > 200 and moved[own].all()
 
 
+def test_training_carries_the_state_through_whole_texts(monkeypatch):
+    _, v = vocabulary([f"w{k}".encode() for k in range(99)])
+    m, rng = lm.Model.start(v), np.random.default_rng(2)
+    texts = [rng.integers(0, lm.SYMBOLS, n).astype(np.uint16) for n in (1500, 3, 700, 33, 64, 1, 32)]
+    seen, run = [], lm.Model.run
+    monkeypatch.setattr(lm, "RATE", 0.0)
+    monkeypatch.setattr(lm.Model, "run", lambda self, y, fresh, h, keep=None: seen.append((fresh, *run(self, y, fresh, h, keep))) or seen[-1][1:])
+    learner = lm.Learner(m, 1)
+    learner.feed(texts[:3])
+    learner.feed(texts[3:])
+    learner.end()
+    assert sum(int(fresh.sum()) for fresh, _, _ in seen) == len(texts)
+    states = np.concatenate([s[:, 0] for _, s, _ in seen])
+    want, _ = run(m, texts[0].astype(np.int32)[:, None], np.arange(1500)[:, None] == 0, np.zeros((1, lm.HIDDEN), np.float32))
+    assert np.allclose(states[:1500], want[:, 0], atol=1e-5)
+
+
 def test_model_beats_the_base_on_held_out_documents(spark):
     out = queries.op2_lm_scoring(spark, SF).where("held_out").agg(F.sum("base_score").alias("b"), F.sum("score").alias("s")).first()
     assert out["s"] > out["b"]
