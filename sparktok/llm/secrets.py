@@ -3,8 +3,8 @@
 Each text starts a worklist of layers.  A layer is scanned, then searched for
 encoded parts: percent and Unicode escapes are undone in place, base64 (plain,
 URL-safe, compressed) is unwrapped token by token.  Every result is a new
-layer unless its content has been met in this text, which ends cycles, and
-layers are taken until none is left.  A layer knows for each of its characters
+layer unless the same content from the same place has been met in this text,
+which ends cycles, and layers are taken until none is left.  A layer knows for each of its characters
 where it came from, so spans map back to the text.
 """
 
@@ -66,6 +66,13 @@ class Layer:
             return a, b
         return int(self.begin[a]), int(self.end[b - 1])
 
+    def key(self) -> bytes:
+        """Digest of the text and of where its characters begin; ends differ by padding where two ways lead to one part."""
+        digest = xxhash.xxh3_128(self.text.encode("utf-8", "surrogatepass"))
+        if self.begin is not None:
+            digest.update(np.ascontiguousarray(self.begin, dtype=np.int64))
+        return digest.digest()
+
 
 def _in_place(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
     """The layer with all runs of a pattern decoded where they stand."""
@@ -167,23 +174,30 @@ def _packed(layer: Layer) -> Iterator[Layer]:
         yield Layer(text, first, last, layer.depth + 1)
 
 
+def _decoded(layer: Layer) -> Iterator[Layer]:
+    """What is encoded in a layer, one after the other."""
+    yield from _packed(layer)
+    if "%" in layer.text and (got := _in_place(layer, PERCENT, _percent)):
+        yield got
+    if "\\" in layer.text and (got := _in_place(layer, UNICODE, _unicode)):
+        yield got
+
+
 def layers(text: str) -> Iterator[Layer]:
-    """The text and all that is decoded from it, each content once."""
-    seen = {xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass"))}
-    work = [Layer(text, None, None, 0)]
+    """The text and all that is decoded from it, each content once for each place that it came from."""
+    seen: dict[bytes, int] = {}
+    work = [iter([Layer(text, None, None, 0)])]
     while work:
-        layer = work.pop()
+        layer = next(work[-1], None)
+        if layer is None:
+            work.pop()
+            continue
+        key = layer.key()
+        if seen.get(key, layer.depth + 1) <= layer.depth:
+            continue
+        seen[key] = layer.depth
         yield layer
-        found = list(_packed(layer))
-        if "%" in layer.text and (got := _in_place(layer, PERCENT, _percent)):
-            found.append(got)
-        if "\\" in layer.text and (got := _in_place(layer, UNICODE, _unicode)):
-            found.append(got)
-        for new in found:
-            key = xxhash.xxh3_128_digest(new.text.encode("utf-8", "surrogatepass"))
-            if key not in seen:
-                seen.add(key)
-                work.append(new)
+        work.append(_decoded(layer))
 
 
 def find(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int, int]]]:

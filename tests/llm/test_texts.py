@@ -97,6 +97,15 @@ def test_layers_are_unwrapped_and_mapped(text, depth):
     assert "hunter2" not in secrets.redact(text, spans) and "[assign]" in secrets.redact(text, spans) and 0 <= a < b <= len(text)
 
 
+@pytest.mark.parametrize("token", [b64(SECRET), b64(zlib.compress(SECRET.encode())), b64(gzip.compress(SECRET.encode())), b64(b64("zz " + SECRET))])
+def test_repeated_tokens_are_found_at_every_place(token):
+    text = f"a {token} b {token}\nc {token}"
+    spans = secrets.find(text)[1]
+    assert len(spans) == 3 and [text[: s[1]].count(token) for s in spans] == [0, 1, 2]
+    assert token not in (left := secrets.redact(text, spans)) and left.count("[assign]") == 3 and len(secrets.find(left)[1]) == 0
+    assert [s[3] for s in secrets.find(f"{token} %41 \\u0041")[1]] == [spans[0][3]]
+
+
 def test_cycles_end_and_broken_layers_stay():
     for text in ("%25" * 50, "%2525252541", "A" * 500, b64(b"\x78\x9c broken"), "\\ud800\\u0041", "%ff%fe", ""):
         secrets.find(text)
