@@ -11,7 +11,6 @@ where it came from, so spans map back to the text.
 from __future__ import annotations
 
 import base64
-import binascii
 import gzip
 import re
 import zlib
@@ -36,8 +35,14 @@ PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-#: Characters that a layer may have; a compressed part that unpacks to more is left packed, and said so.
-LARGEST = 1 << 24
+#: Where in such a run a zlib or gzip stream may begin.
+STREAM = re.compile(r"(?:^|(?<=[/_-]))(?:e[A-P]|H4sI)")
+#: A compressed part that unpacks to more is read in pieces that overlap.
+LARGEST, OVERLAP, SLICE = 1 << 24, 1 << 16, 1 << 16
+_ABOVE = rb"[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2}"
+UTF8 = re.compile(rb"(?:[\x00-\x7f]|" + _ABOVE + rb")+")
+#: Readable stretches of bytes; the shortest secret has 14 characters.
+STRETCH = re.compile(rb"(?:[\t\n\r\x20-\x7e]|" + _ABOVE + rb"){14,}")
 
 
 def scan(text: str) -> list[tuple[str, int, int]]:
@@ -99,43 +104,85 @@ def _in_place(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
 
 
 def _percent(run: str) -> tuple[str, np.ndarray, np.ndarray] | None:
-    try:
-        text = bytes.fromhex(run.replace("%", "")).decode()
-    except UnicodeDecodeError:
+    """Bytes that aren't UTF-8 stay as they stand."""
+    data, at, parts, sizes = bytes.fromhex(run.replace("%", "")), 0, [], []
+    for m in UTF8.finditer(data):
+        text = m[0].decode()
+        parts += [run[3 * at : 3 * m.start()], text]
+        sizes += [1] * (3 * (m.start() - at)) + [3 * len(c.encode()) for c in text]
+        at = m.end()
+    if not parts:
         return None
-    sizes = np.array([len(c.encode()) for c in text], dtype=np.int64) * 3
+    parts.append(run[3 * at :])
+    sizes += [1] * len(parts[-1])
     stops = np.cumsum(sizes)
-    return text, stops - sizes, stops
+    return "".join(parts), stops - sizes, stops
 
 
 def _unicode(run: str) -> tuple[str, np.ndarray, np.ndarray] | None:
     units = [(int(m[1] or m[2], 16), m.start(), m.end()) for m in ESCAPE.finditer(run)]
-    text, first, last, k = [], [], [], 0
+    """Half surrogate pairs stay as they stand."""
+    text, first, last, k, changed = [], [], [], 0, False
     while k < len(units):
         code, a, b = units[k]
         if 0xD800 <= code < 0xDC00 and k + 1 < len(units) and 0xDC00 <= units[k + 1][0] < 0xE000:
             code, b, k = 0x10000 + ((code - 0xD800) << 10) + units[k + 1][0] - 0xDC00, units[k + 1][2], k + 1
+        k += 1
         if 0xD800 <= code < 0xE000:
-            return None
+            text.append(run[a:b]), first.extend(range(a, b)), last.extend(range(a + 1, b + 1))
+            continue
         text.append(chr(code)), first.append(a), last.append(b)
-        k += 1
-    return "".join(text), np.array(first), np.array(last)
+        changed = True
+    return ("".join(text), np.array(first), np.array(last)) if changed else None
 
 
-def unpacked(data: bytes, limit: int = LARGEST) -> bytes | None:
-    """What a zlib or gzip stream holds; None if it is none, broken, or larger than ``limit``."""
+def _wbits(data: bytes) -> int | None:
     if data[:2] == b"\x1f\x8b":
-        wbits = 16 + zlib.MAX_WBITS
-    elif data[:1] == b"\x78" and len(data) > 2 and (data[0] * 256 + data[1]) % 31 == 0:
-        wbits = zlib.MAX_WBITS
-    else:
+        return 16 + zlib.MAX_WBITS
+    return zlib.MAX_WBITS if data[:1] == b"\x78" and len(data) > 2 and (data[0] * 256 + data[1]) % 31 == 0 else None
+
+
+def _inflated(data: bytes) -> Iterator[bytes]:
+    """Parts of what all members of a stream hold, in order; ends where it breaks."""
+    while (wbits := _wbits(data)) is not None:
+        stream, at = zlib.decompressobj(wbits), 0
+        while not stream.eof:
+            some, at = (stream.unconsumed_tail, at) if stream.unconsumed_tail else (data[at : at + SLICE], at + SLICE)
+            try:
+                out = stream.decompress(some, 1 << 20)
+            except zlib.error:
+                return
+            if out:
+                yield out
+            elif not some:
+                return
+        data = (stream.unused_data + data[at:]).lstrip(b"\0")
+
+
+def pieces(data: bytes, limit: int = LARGEST, overlap: int = OVERLAP) -> Iterator[bytes]:
+    """All that a stream's members hold, in pieces of about ``limit`` bytes that overlap; none if it is no stream."""
+    held, new = bytearray(), 0
+    for out in _inflated(data):
+        held += out
+        new += len(out)
+        if new >= limit:
+            yield bytes(held)
+            held, new = held[-overlap:], 0
+    if new:
+        yield bytes(held)
+
+
+def unpacked(data: bytes, limit: int = LARGEST) -> bytes | None:
+    """What a zlib or gzip stream of one member holds; None if it is none, broken, or larger than ``limit``."""
+    wbits = _wbits(data)
+    if wbits is None:
         return None
     stream = zlib.decompressobj(wbits)
     try:
         out = stream.decompress(data, limit)
     except (zlib.error, gzip.BadGzipFile):
         return None
-    return out if stream.eof else None
+    return out if stream.eof and not stream.unused_data else None
 
 
 def _readable(data: bytes) -> str | None:
@@ -148,30 +195,49 @@ def _readable(data: bytes) -> str | None:
     return text if text and odd * 20 <= len(text) else None
 
 
+def _texts(data: bytes) -> Iterator[tuple[str, int]]:
+    """The readable text that bytes hold, or its readable stretches, with the byte where it begins."""
+    text = _readable(data)
+    if text is not None:
+        yield text, 0
+    else:
+        yield from ((m[0].decode(), m.start()) for m in STRETCH.finditer(data))
+
+
+def _bytes(token: str) -> bytes:
+    """Bytes of a run of base64 without padding, but for a last character that is too much."""
+    token = token[: len(token) - (len(token) % 4 == 1)]
+    return base64.b64decode(token + "=" * (-len(token) % 4))
+
+
 def _packed(layer: Layer) -> Iterator[Layer]:
-    """Texts inside base64 tokens of a layer; three bytes come from four characters."""
+    """Texts inside base64 tokens of a layer; three bytes come from four characters.
+
+    A token may stand behind others of its characters, as in a path, so each
+    run is read at all four alignments, and from where a stream may begin.
+    """
     for m in BASE64.finditer(layer.text):
-        token = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-        if len(token) % 4 == 1:
-            continue
-        try:
-            data = base64.b64decode(token + "=" * (-len(token) % 4), validate=True)
-        except (binascii.Error, ValueError):
-            continue
-        inner = unpacked(data)
-        text = _readable(inner if inner is not None else data)
-        if text is None:
-            continue
-        a, b = m.span()
-        if inner is not None:
-            first, last = np.full(len(text), a), np.full(len(text), b)
-        else:
-            sizes = np.array([len(c.encode()) for c in text], dtype=np.int64)
-            stops = np.cumsum(sizes)
-            first, last = a + (stops - sizes) // 3 * 4, np.minimum(a + ((stops - 1) // 3 + 1) * 4, b)
-        if layer.begin is not None:
-            first, last = layer.begin[first], layer.end[last - 1]
-        yield Layer(text, first, last, layer.depth + 1)
+        run, (a, b) = m[0].rstrip("="), m.span()
+        plain = run.replace("-", "+").replace("_", "/")
+        whole = False
+        for s in STREAM.finditer(run):
+            data = _bytes(plain[s.start() :])
+            one = unpacked(data)
+            whole = whole or (one is not None and s.start() == 0)
+            for piece in pieces(data) if one is None else (one,):
+                for text, _ in _texts(piece):
+                    first, last = a + s.start(), b
+                    if layer.begin is not None:
+                        first, last = layer.begin[first], layer.end[last - 1]
+                    yield Layer(text, np.broadcast_to(np.int64(first), len(text)), np.broadcast_to(np.int64(last), len(text)), layer.depth + 1)
+        for k in range(whole, 4):
+            for text, at in _texts(_bytes(plain[k:])):
+                sizes = np.array([len(c.encode()) for c in text], dtype=np.int64)
+                stops = np.cumsum(sizes) + at
+                first, last = a + k + (stops - sizes) // 3 * 4, np.minimum(a + k + ((stops - 1) // 3 + 1) * 4, b)
+                if layer.begin is not None:
+                    first, last = layer.begin[first], layer.end[last - 1]
+                yield Layer(text, first, last, layer.depth + 1)
 
 
 def _decoded(layer: Layer) -> Iterator[Layer]:

@@ -106,6 +106,28 @@ def test_repeated_tokens_are_found_at_every_place(token):
     assert [s[3] for s in secrets.find(f"{token} %41 \\u0041")[1]] == [spans[0][3]]
 
 
+OTHER = "".join(f"line {k} of {k * k}\n" for k in range(99))
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "https://h/x/" + b64(SECRET), "blob_" + b64(SECRET), "some-thing_" + b64(SECRET), b64(SECRET)[:-1] + "_and/more", "x/y/" + b64(zlib.compress(SECRET.encode())), "a_" + b64(gzip.compress(SECRET.encode())) + "_b", b64(b"\xff\xfe" + SECRET.encode() + b" \xff"),
+        "".join(f"%{c:02x}" for c in b"\xff" + SECRET.encode() + b"\xc3"), "\\ud800" + "".join(f"\\u{ord(c):04x}" for c in SECRET) + "\\udc00",
+        b64(gzip.compress(OTHER.encode()) + gzip.compress(SECRET.encode())), b64(gzip.compress((OTHER + SECRET + OTHER * 99).encode())[:-9]), b64(zlib.compress(b"a " * (secrets.LARGEST // 2 + 999) + SECRET.encode())),
+    ],
+)
+def test_parts_are_unwrapped_as_far_as_they_go(text):
+    spans = secrets.find(text)[1]
+    assert {s[0] for s in spans} == {"assign"} and not any("hunter2" in x.text for x in secrets.layers(secrets.redact(text, spans)))
+
+
+def test_pieces_overlap_and_reach_the_end():
+    data = bytes(range(256)) * 40000
+    got = list(secrets.pieces(zlib.compress(data), 1 << 20, 100))
+    assert len(got) > 5 and got[0] + b"".join(p[100:] for p in got[1:]) == data and list(secrets.pieces(b"none")) == []
+
+
 def test_cycles_end_and_broken_layers_stay():
     for text in ("%25" * 50, "%2525252541", "A" * 500, b64(b"\x78\x9c broken"), "\\ud800\\u0041", "%ff%fe", ""):
         secrets.find(text)
