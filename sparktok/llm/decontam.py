@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 from . import words
 
 #: Fixed masks; a one is a word that must agree.
-MASKS = ("111111", "11011011", "1101000110011", "1010110100101")
+MASKS = ("111111", "11011011", "1101000110011", "1010110100101", "11010101001")
+#: Masks for items of fewer than LEAST_WORDS words only, where longer ones don't fit around a replaced word.
+SHORT_MASKS = ("1111", "11011")
 #: An overlap counts from so many words in common (or all of a shorter item's), in parts of 100 of its length.
 LEAST_WORDS, PERCENT = 13, 80
 #: Shorter items would match by chance; they are left out.
@@ -68,16 +70,18 @@ class Items:
     marks: np.ndarray
 
     @staticmethod
-    def of(ids: list[int], texts: list[str], masks=MASKS) -> Items:
+    def of(ids: list[int], texts: list[str], masks=MASKS, short=SHORT_MASKS) -> Items:
         w = tokens(pa.array([(t or "").lower() for t in texts], pa.string()))
         h = w.hashes()
         seeds, item, place = [], [], []
-        for k, mask in enumerate(masks):
+        few = np.diff(w.first) < LEAST_WORDS
+        for k, mask in enumerate((*masks, *short)):
             at = w.windows(len(mask))
+            if k >= len(masks):
+                at = at[few[w.doc[at]]]
             seeds.append(seed(h, at, mask, k))
             item.append(w.doc[at])
             place.append(at - w.first[w.doc[at]])
-        # Items as short as a seed or shorter stand for themselves: their longest mask fits or they are left out.
         order = np.argsort(np.concatenate(seeds), kind="stable")
         seeds, item, place = (np.concatenate(x)[order] for x in (seeds, item, place))
         marks = np.zeros(1 << 20, dtype=bool)
@@ -120,12 +124,13 @@ def best_run(same: np.ndarray, percent: int) -> tuple[int, int, int]:
     return int(same[a:b].sum()), a, b
 
 
-def overlaps(texts: list[str | None], items: Items, masks=MASKS, least: int = LEAST_WORDS, percent: int = PERCENT, shortest: int = SHORTEST) -> list[list[tuple[int, int, int, int, int]]]:
+def overlaps(texts: list[str | None], items: Items, masks=MASKS, short=SHORT_MASKS, least: int = LEAST_WORDS, percent: int = PERCENT, shortest: int = SHORTEST) -> list[list[tuple[int, int, int, int, int]]]:
     """For each text its verified overlaps: (item id, agreeing words, words, first byte, last byte + 1) in the lowered text."""
     w = tokens(pa.array([(t or "").lower() for t in texts], pa.string()))
     h = w.hashes()
     pairs = set()
-    for k, mask in enumerate(masks):
+    few = (np.diff(items.first) < LEAST_WORDS).any()
+    for k, mask in enumerate((*masks, *short) if few else masks):
         at = w.windows(len(mask))
         i, j = items.hits(seed(h, at, mask, k))
         if len(i):
@@ -146,11 +151,12 @@ def overlaps(texts: list[str | None], items: Items, masks=MASKS, least: int = LE
     return out
 
 
-def blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[Items]:
-    """Test items in blocks of about ``block_words`` words, read one partition's rows at a time."""
+def blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS, unnamed: bool = False) -> Iterator[Items]:
+    """Test items in blocks of about ``block_words`` words, read one partition's rows at a time; ``unnamed``: those without id, too, as -1."""
+    named = F.lit(True) if unnamed else F.col("item_id").isNotNull()
     ids, texts, size = [], [], 0
-    for row in benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null").toLocalIterator():
-        ids.append(row["item_id"])
+    for row in benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where(named & F.col("text").isNotNull()).toLocalIterator():
+        ids.append(-1 if row["item_id"] is None else row["item_id"])
         texts.append(row["text"])
         size += len(row["text"]) // 5
         if size >= block_words:
@@ -212,9 +218,9 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Rows of ``docs`` without a verified overlap, all columns as they are."""
+    """Rows of ``docs`` without a verified overlap, all columns as they are; items need no id here."""
     context, at = docs.sparkSession.sparkContext, docs.columns.index("text")
-    for items in blocks(benchmark):
+    for items in blocks(benchmark, unnamed=True):
         shared = context.broadcast(items)
 
         def work(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

@@ -1,6 +1,7 @@
 """Language model, language identification, decontamination, shards, the pipeline."""
 
 import collections
+import itertools
 import math
 import random
 import zlib
@@ -190,6 +191,22 @@ def test_decontamination(spark, edge_rows):
     assert len(parts) > 3 and [bool(x) for x in decontam.overlaps(texts, whole)] == [any(decontam.overlaps([t], p)[0] and any(o[0] < 30 for o in decontam.overlaps([t], p)[0]) for p in parts) for t in texts]
 
 
+def test_masks_hit_all_that_the_rule_accepts():
+    """Every item of 6 to 12 words, and passage of 13 to 20, of whose inner words up to a fifth are replaced."""
+    item = [f"i{k}" for k in range(20)]
+    for n in range(6, 21):
+        items = decontam.Items.of([1], [" ".join(item[:n])] if n < 13 else [" ".join(item)])
+        for k in range(n - -(-n * 80 // 100) + 1):
+            texts = [" ".join("x" if j in gone else w for j, w in enumerate(item[:n])) for gone in itertools.combinations(range(1, n - 1), k)]
+            assert all(decontam.overlaps(texts, items)), (n, k)
+
+
+def test_items_without_id_are_cleaned_away(spark):
+    words = " ".join(f"q{k}" for k in range(20))
+    benchmark = spark.createDataFrame([(None, words)], "item_id long, text string")
+    assert [r["doc_id"] for r in decontam.clean(table(spark, [(1, f"a {words} b"), (2, "a b")]), benchmark).collect()] == [2]
+
+
 def test_shards(spark, edge_rows):
     with Scratch(spark) as scratch:
         rows = sharding.shard(table(spark, edge_rows), scratch).collect()
