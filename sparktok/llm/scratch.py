@@ -8,8 +8,10 @@ deleted when the block ends; the kept ones go when the JVM ends.
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,9 +27,11 @@ SETTINGS = {
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one only where the session names none (tests)."""
+    """The cluster's shared folder; a local one only where a local session names none (tests)."""
     found = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(CHECKPOINT_DIR)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{CHECKPOINT_DIR} must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="sparktok-")
         _delete_on_exit(spark, found)
         spark.conf.set(CHECKPOINT_DIR, found)
@@ -73,6 +77,17 @@ class Scratch:
         for path in self.dropped:
             self.remove(path)
 
+    @contextlib.contextmanager
+    def splits(self, most: int) -> Iterator[None]:
+        """Tables are read in splits of at most so many bytes, where each byte stands for much work."""
+        key, before = "spark.sql.files.maxPartitionBytes", self.spark.conf.get("spark.sql.files.maxPartitionBytes")
+        size = self.spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(before)
+        self.spark.conf.set(key, str(min(size, most)))
+        try:
+            yield
+        finally:
+            self.spark.conf.set(key, before)
+
     def write(self, df: DataFrame, keep: bool = False) -> str:
         self.count += 1
         path = f"{self.root}-{self.count}"
