@@ -26,12 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import sketch, words
-from .chunks import CHUNK_BYTES, chunked, total_bytes
+from .chunks import CHUNK_BYTES, ROW_BITS, chunked, rows_of, total_bytes
 from .components import components
 from .scratch import Scratch
 
 SHINGLE, PERCENT = 4, 85
-ROW_BITS = 16
 BYTES_A_WORD = 6
 SEEDS = tuple(np.uint64(x) for x in (0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F))
 RECENT = 24
@@ -290,20 +289,8 @@ def keep_first(docs: DataFrame, scratch: Scratch, n: int = SHINGLE, percent: int
     doc_id, text = (f"c{names.index(k)}" for k in ("doc_id", "text"))
     staged = scratch.stage(chunked(plain.withColumn(text, F.col(text).cast("string")), text=text, chunk_bytes=chunk_bytes))
     chunks = staged.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), "chunk", "row")
-    kept = _joined(chunks, scratch, n, percent, chunk_bytes).where("rid = root")
-
-    def marks(table: pa.Table) -> pa.Table:
-        """A chunk's kept rows as one bit each, four to a hexadecimal digit."""
-        rid = table.column("rid").to_numpy()
-        bits = np.zeros(1 << ROW_BITS, dtype=bool)
-        bits[rid & ((1 << ROW_BITS) - 1)] = True
-        nibbles = np.packbits(bits[: (int(np.nonzero(bits)[0][-1]) | 7) + 1]).tobytes().hex()
-        return pa.table({"chunk": pa.array([int(rid[0] >> ROW_BITS)], pa.int64()), "kept": [nibbles]})
-
-    # A bit a row is so little that Spark can send it to all tasks; if it is too much for that, the join shuffles.
-    kept = kept.select("rid", F.shiftright("rid", ROW_BITS).alias("chunk")).groupBy("chunk").applyInArrow(marks, "chunk long, kept string")
-    bit = F.expr("(cast(conv(substring(kept, row div 4 + 1, 1), 16, 10) as int) >> (3 - row % 4)) & 1 = 1")
-    return staged.join(scratch.stage(kept), "chunk").where(bit).select(*plain.columns).toDF(*names)
+    kept = _joined(chunks, scratch, n, percent, chunk_bytes).where("rid = root").select("rid")
+    return rows_of(staged, kept, scratch, among=True).select(*plain.columns).toDF(*names)
 
 
 def _joined(chunks: DataFrame, scratch: Scratch, n: int, percent: int, chunk_bytes: int) -> DataFrame:

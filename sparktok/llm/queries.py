@@ -131,7 +131,7 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document, whether it holds a passage of a benchmark item, and of which."""
     with Scratch(spark) as scratch:
-        return scratch.keep(decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+        return scratch.keep(decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), scratch))
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
