@@ -120,8 +120,8 @@ def _percent(run: str) -> tuple[str, np.ndarray, np.ndarray] | None:
 
 
 def _unicode(run: str) -> tuple[str, np.ndarray, np.ndarray] | None:
-    units = [(int(m[1] or m[2], 16), m.start(), m.end()) for m in ESCAPE.finditer(run)]
     """Half surrogate pairs stay as they stand."""
+    units = [(int(m[1] or m[2], 16), m.start(), m.end()) for m in ESCAPE.finditer(run)]
     text, first, last, k, changed = [], [], [], 0, False
     while k < len(units):
         code, a, b = units[k]
@@ -318,7 +318,13 @@ def find_all(docs: DataFrame) -> DataFrame:
 
 
 def redact_all(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with secrets in its text column replaced by their kinds; all columns stay, null text stays null."""
+    """``docs`` with secrets in its text column replaced by their kinds; all columns stay as they are.
+
+    Null text stays null, a text without secrets as it is.  Spans that overlap
+    or tie are replaced together, by the kind of the first (in the order of
+    ``find``).  Each row is read by itself: repeated rows come out alike, an
+    empty table gives no rows.
+    """
     at = docs.columns.index(text)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
