@@ -28,7 +28,8 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of a benchmark item."""
-    return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
+    with Scratch(spark) as scratch:
+        return scratch.keep(decontam.clean(docs, table(spark, sf_dir, "benchmark"), scratch))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,11 +57,20 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written to the shared folder and read again."""
+    """All stages over ``documents``; each result is written to the shared folder and read again.
+
+    Null and letterless texts go in the first stage; of repeated rows one is
+    left after the second.  Without a labelled row no language is known and
+    nothing is left; without benchmark items the third stage keeps all.  An
+    empty table gives no rows.  Each stage's tables go when the next is written.
+    """
     docs = table(spark, sf_dir, "documents")
-    store = Scratch(spark)
-    for _, stage in STAGES:
-        docs = store.keep(stage(spark, docs, sf_dir))
+    with Scratch(spark) as store:
+        for k, (_, stage) in enumerate(STAGES):
+            last = k == len(STAGES) - 1
+            out = (store.keep if last else store.stage)(stage(spark, docs, sf_dir))
+            store.drop(docs)
+            docs = out
     return docs
 
 
