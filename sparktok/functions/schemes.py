@@ -11,34 +11,24 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_ENDINGS = "(?i:'s|'t|'re|'ve|'m|'ll|'d)"
-_UPPER, _LOWER = r"\p{Lu}\p{Lt}\p{Lm}\p{Lo}\p{M}", r"\p{Ll}\p{Lm}\p{Lo}\p{M}"
-
-
-def _cased(upper: str, lower: str, ending: str, head: str, numbers: str, tail: str) -> str:
-    """The family whose words change case at most once."""
-    lead = r"[^\r\n\p{L}\p{N}]?"
-    return rf"{head}{lead}{upper}*{lower}+{ending}|{lead}{upper}+{lower}*{ending}|{numbers}| ?[^\s\p{{L}}\p{{N}}]+{tail}|\s*[\r\n]+|\s+(?!\S)|\s+"
-
-
 #: The published patterns, by the scheme's name (fixed values).
 PATTERNS: dict[str, tuple[str, ...]] = {
     "gpt2": (r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+",),
     "gpt4": (r"'(?i:[sdmt]|ll|ve|re)|[^\r\n\p{L}\p{N}]?+\p{L}++|\p{N}{1,3}+| ?[^\s\p{L}\p{N}]++[\r\n]*+|\s++$|\s*[\r\n]|\s+(?!\S)|\s+",),
-    "qwen2": (_ENDINGS + r"|[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}| ?[^\s\p{L}\p{N}]+[\r\n]*|\s*[\r\n]+|\s+(?!\S)|\s+",),
-    "qwen35": (_ENDINGS + r"|[^\r\n\p{L}\p{N}]?[\p{L}\p{M}]+|\p{N}| ?[^\s\p{L}\p{M}\p{N}]+[\r\n]*|\s*[\r\n]+|\s+(?!\S)|\s+",),
-    "olmo3": (_ENDINGS + r"|[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}{1,3}| ?[^\s\p{L}\p{N}]+[\r\n]*|\s*[\r\n]+|\s+(?!\S)|\s+",),
-    "o200k": (_cased(f"[{_UPPER}]", f"[{_LOWER}]", f"{_ENDINGS}?", "", r"\p{N}{1,3}", r"[\r\n/]*"),),
-    "nemotron": (_cased(f"[{_UPPER}]", f"[{_LOWER}]", "", "", r"\p{N}", r"[\r\n/]*"),),
-    "kimi": (_cased(rf"[{_UPPER}&&[^\p{{Han}}]]", rf"[{_LOWER}&&[^\p{{Han}}]]", f"{_ENDINGS}?", r"[\p{Han}]+|", r"\p{N}{1,3}", r"[\r\n]*"),),
+    "qwen2": (r"(?i:'s|'t|'re|'ve|'m|'ll|'d)|[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}| ?[^\s\p{L}\p{N}]+[\r\n]*|\s*[\r\n]+|\s+(?!\S)|\s+",),
+    "qwen35": (r"(?i:'s|'t|'re|'ve|'m|'ll|'d)|[^\r\n\p{L}\p{N}]?[\p{L}\p{M}]+|\p{N}| ?[^\s\p{L}\p{M}\p{N}]+[\r\n]*|\s*[\r\n]+|\s+(?!\S)|\s+",),
+    "olmo3": (r"(?i:'s|'t|'re|'ve|'m|'ll|'d)|[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}{1,3}| ?[^\s\p{L}\p{N}]+[\r\n]*|\s*[\r\n]+|\s+(?!\S)|\s+",),
+    "o200k": (r"[^\r\n\p{L}\p{N}]?[\p{Lu}\p{Lt}\p{Lm}\p{Lo}\p{M}]*[\p{Ll}\p{Lm}\p{Lo}\p{M}]+(?i:'s|'t|'re|'ve|'m|'ll|'d)?|[^\r\n\p{L}\p{N}]?[\p{Lu}\p{Lt}\p{Lm}\p{Lo}\p{M}]+[\p{Ll}\p{Lm}\p{Lo}\p{M}]*(?i:'s|'t|'re|'ve|'m|'ll|'d)?|\p{N}{1,3}| ?[^\s\p{L}\p{N}]+[\r\n/]*|\s*[\r\n]+|\s+(?!\S)|\s+",),
+    "nemotron": (r"[^\r\n\p{L}\p{N}]?[\p{Lu}\p{Lt}\p{Lm}\p{Lo}\p{M}]*[\p{Ll}\p{Lm}\p{Lo}\p{M}]+|[^\r\n\p{L}\p{N}]?[\p{Lu}\p{Lt}\p{Lm}\p{Lo}\p{M}]+[\p{Ll}\p{Lm}\p{Lo}\p{M}]*|\p{N}| ?[^\s\p{L}\p{N}]+[\r\n/]*|\s*[\r\n]+|\s+(?!\S)|\s+",),
+    "kimi": (r"[\p{Han}]+|[^\r\n\p{L}\p{N}]?[\p{Lu}\p{Lt}\p{Lm}\p{Lo}\p{M}&&[^\p{Han}]]*[\p{Ll}\p{Lm}\p{Lo}\p{M}&&[^\p{Han}]]+(?i:'s|'t|'re|'ve|'m|'ll|'d)?|[^\r\n\p{L}\p{N}]?[\p{Lu}\p{Lt}\p{Lm}\p{Lo}\p{M}&&[^\p{Han}]]+[\p{Ll}\p{Lm}\p{Lo}\p{M}&&[^\p{Han}]]*(?i:'s|'t|'re|'ve|'m|'ll|'d)?|\p{N}{1,3}| ?[^\s\p{L}\p{N}]+[\r\n]*|\s*[\r\n]+|\s+(?!\S)|\s+",),
     "deepseek_v3": (
         r"\p{N}{1,3}",
         "[一-龥぀-ゟ゠-ヿ]+",
         "[!\"#$%&'()*+,\\-./:;<=>?@\\[\\\\\\]^_`{|}~][A-Za-z]+|[^\r\n\\p{L}\\p{P}\\p{S}]?[\\p{L}\\p{M}]+| ?[\\p{P}\\p{S}]+[\r\n]*|\\s*[\r\n]+|\\s+(?!\\S)|\\s+",
     ),
 }
-#: A second published spelling of gpt4, read as the first.
-OTHER_SPELLINGS = {(_ENDINGS + r"|[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}{1,3}| ?[^\s\p{L}\p{N}]+[\r\n]*|\s*[\r\n]|\s+(?!\S)|\s+",): "gpt4"}
+#: A second published spelling of gpt4, read as the first (fixed value).
+OTHER_SPELLINGS = {(r"(?i:'s|'t|'re|'ve|'m|'ll|'d)|[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}{1,3}| ?[^\s\p{L}\p{N}]+[\r\n]*|\s*[\r\n]|\s+(?!\S)|\s+",): "gpt4"}
 ALIASES = {"r50k": "gpt2", "cl100k": "gpt4"}
 DEFAULT = "gpt2"
 
