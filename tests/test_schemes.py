@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sparktok.functions import schemes
 
-ALPHABET = " \n\r\t\x0b\x85\xa0​'stSTvLl1Ⅷ½.,!?/()ſéé日本々かナ゛ー漢Ǆǅʰ😀"
+ALPHABET = " \n\r\t\x0b\x85\xa0​\x01\ue000\u3099\u3040\u0301・゠'stSTvLl1Ⅷ½.,!?/()ſéé日本々かナ゛ー漢Ǆǅʰ😀"
 CASES = ["", " ", "  a", "a  ", "don't DON'T", "'ſx", "a\r\n\r\n b", "12345 678", "camelCaseHTTPServer", "日本語のテキスト", "x\n\n\n", "foo/bar//\n", " \t\n x", "a 中文b"]
 
 
@@ -27,7 +27,7 @@ def expected(text: str, scheme: str) -> list[str]:
 @pytest.mark.parametrize("scheme", list(schemes.PATTERNS))
 def test_columns_equal_the_published_pattern_and_partition_the_text(spark, scheme):
     rng = random.Random(scheme)
-    texts = CASES + ["".join(rng.choice(ALPHABET) for _ in range(rng.randint(1, 24))) for _ in range(1500)]
+    texts = CASES + ["".join(rng.choice(ALPHABET) for _ in range(rng.randint(1, 24))) for _ in range(4000)]
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").select("i", "text", schemes.pretokens(F.col("text"), scheme).alias("p")).collect()
     for r in rows:
         assert r["p"] == expected(r["text"], scheme), repr(r["text"])
