@@ -1,31 +1,36 @@
 """Encode and decode columns.
 
 Words repeat, so each worker remembers what it has merged; the encoder of a
-model is built once in a worker and found again by the model's digest.
+model is built once in a worker and found again by the model's digest.  A
+batch's ids go from the words' bytes to an Arrow array and back without
+becoming Python numbers.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans.model import TokenizerModel
 from ..shipping import ship
-from .encoder import Encoder, decode, encoder
+from .encoder import Decoder, Encoder, encoder
 
-_ENCODERS: dict[str, Encoder] = {}
+_MADE: dict[tuple[str, str], Encoder | Decoder] = {}
 
 
-def _cached(model: TokenizerModel) -> Encoder:
-    found = _ENCODERS.get(model.digest)
+def _cached(model: TokenizerModel, make: Callable = encoder) -> Encoder | Decoder:
+    key = make.__name__, model.digest
+    found = _MADE.get(key)
     if found is None:
-        if len(_ENCODERS) >= 4:
-            _ENCODERS.clear()
-        found = _ENCODERS[model.digest] = encoder(model)
+        if len(_MADE) >= 8:
+            _MADE.clear()
+        found = _MADE[key] = make(model)
     return found
 
 
@@ -33,16 +38,16 @@ def _schema(df: DataFrame, out: str, kind: str) -> str:
     return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != out), f"`{out}` {kind}"])
 
 
-def _with(df: DataFrame, column: str, out: str, kind: str, arrow: pa.DataType, make) -> DataFrame:
-    """``df`` with a column made from another in Arrow batches; ``make`` gets the column's values."""
+def _with(df: DataFrame, column: str, out: str, kind: str, make: Callable[[], Callable[[pa.Array], pa.Array]]) -> DataFrame:
+    """``df`` with a column made from another in Arrow batches; ``make`` gives what turns a batch's array into the new one."""
     ship(df.sparkSession)
     names = [f.name for f in df.schema.fields if f.name != out]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = make()
         for batch in batches:
-            values = [None if v is None else one(v) for v in batch.column(batch.schema.get_field_index(column)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(k)) for k in names), pa.array(values, arrow)], names=[*names, out])
+            values = one(batch.column(batch.schema.get_field_index(column)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(k)) for k in names), values], names=[*names, out])
 
     return df.mapInArrow(work, _schema(df, out, kind))
 
@@ -52,21 +57,46 @@ def _text(value: str | bytes, strict: bool) -> str:
     return value if isinstance(value, str) else bytes(value).decode("utf-8", "strict" if strict else "surrogateescape")
 
 
+def _packer(model: TokenizerModel, normalized: bool, added: bool) -> Callable[[str | bytes], bytes]:
+    """What gives a text's ids as bytes."""
+    own = _cached(model)
+    if model.kind == "piece":
+        return lambda v: own.packed(_text(v, True), normalized)
+    return (lambda v: own.packed(_text(v, False))) if added else (lambda v: own.plain(_text(v, False)))
+
+
+def lists(codes: list[bytes | None]) -> pa.Array:
+    """Arrays of ids from their bytes."""
+    stops = np.cumsum([0, *(0 if c is None else len(c) // 4 for c in codes)])
+    values = pa.Array.from_buffers(pa.int32(), int(stops[-1]), [None, pa.py_buffer(b"".join(c for c in codes if c is not None))])
+    return pa.ListArray.from_arrays(pa.array(stops, pa.int32()), values, mask=pa.array([c is None for c in codes], pa.bool_()))
+
+
 def encode(df: DataFrame, model: TokenizerModel, text: str = "text", out: str = "ids", normalized: bool = False, added: bool = True) -> DataFrame:
     """``df`` with an array of ids for each text (string or binary); null stays null, empty is [].
 
     ``normalized``: the texts have been normalized already (piece models).
-    ``added`` False: added tokens are ordinary text (byte models).
+    ``added`` False: added tokens aren't looked for (byte models); a piece that
+    is the content of one is still that token.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def make():
-        own = _cached(shared.value)
-        if shared.value.kind == "piece":
-            return lambda v: own(_text(v, True), normalized)
-        return (lambda v: own(_text(v, False))) if added else (lambda v: own.plain(_text(v, False)))
+        one = _packer(shared.value, normalized, added)
+        return lambda values: lists([None if v is None else one(v) for v in values.to_pylist()])
+
+    return _with(df, text, out, "array<int>", make)
+
+
+def count_tokens(df: DataFrame, model: TokenizerModel, text: str = "text", out: str = "tokens", normalized: bool = False, added: bool = True) -> DataFrame:
+    """``df`` with the number of each text's ids; they are not sent back. Null stays null."""
+    shared = df.sparkSession.sparkContext.broadcast(model)
+
+    def make():
+        one = _packer(shared.value, normalized, added)
+        return lambda values: pa.array([None if v is None else len(one(v)) // 4 for v in values.to_pylist()], pa.int64())
 
-    return _with(df, text, out, "array<int>", pa.list_(pa.int32()), make)
+    return _with(df, text, out, "long", make)
 
 
 def encode_distinct(df: DataFrame, model: TokenizerModel, word: str = "pretoken", out: str = "ids") -> DataFrame:
@@ -75,9 +105,12 @@ def encode_distinct(df: DataFrame, model: TokenizerModel, word: str = "pretoken"
 
 
 def decode_text(df: DataFrame, model: TokenizerModel, ids: str = "ids", out: str = "text") -> DataFrame:
-    """``df`` with the text of each array of ids; bytes that aren't UTF-8 are replaced."""
+    """``df`` with the text of each array of whole numbers; bytes that aren't UTF-8 are replaced, null stays null."""
+    kind = df.schema[ids].dataType
+    if not (isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.IntegralType)):
+        raise TypeError(f"ids are an array of whole numbers, not {kind.simpleString()}")
     shared = df.sparkSession.sparkContext.broadcast(model)
-    return _with(df, ids, out, "string", pa.string(), lambda: lambda v: decode(shared.value, v).decode("utf-8", "replace"))
+    return _with(df, ids, out, "string", lambda: _cached(shared.value, Decoder))
 
 
 def decode_join(df: DataFrame, vocab: DataFrame, key: str, ids: str = "ids", out: str = "text") -> DataFrame:
@@ -98,20 +131,21 @@ def register(spark: SparkSession, model: TokenizerModel, prefix: str = "bpe") ->
 
     @F.pandas_udf("array<int>")
     def encoded(texts: pd.Series) -> pd.Series:
-        own = _cached(shared.value)
-        return texts.map(lambda t: None if t is None else own(t))
+        one = _packer(shared.value, False, True)
+        return texts.map(lambda t: None if t is None else np.frombuffer(one(t), dtype="<i4"))
 
     @F.pandas_udf("string")
     def decoded(ids: pd.Series) -> pd.Series:
-        return ids.map(lambda x: None if x is None else decode(shared.value, [int(i) for i in x]).decode("utf-8", "replace"))
+        return _cached(shared.value, Decoder)(pa.array(ids, pa.list_(pa.int64()))).to_pandas()
 
     spark.udf.register(f"{prefix}_encode", encoded)
     spark.udf.register(f"{prefix}_decode", decoded)
 
 
 def token_totals(df: DataFrame, ids: str = "ids", *by: str) -> DataFrame:
-    """Documents and tokens, in all or by some columns."""
-    return df.groupBy(*by).agg(F.count("*").alias("docs"), F.coalesce(F.sum(F.size(ids)), F.lit(0)).cast("long").alias("tokens"))
+    """Documents and tokens, in all or by some columns; ``ids`` is a column of arrays, or of their lengths."""
+    size = F.size(ids) if isinstance(df.schema[ids].dataType, T.ArrayType) else F.col(ids)
+    return df.groupBy(*by).agg(F.count("*").alias("docs"), F.coalesce(F.sum(size), F.lit(0)).cast("long").alias("tokens"))
 
 
 def byte_length(text: str | Column) -> Column:

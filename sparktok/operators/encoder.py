@@ -1,11 +1,20 @@
-"""Encoding of one text at a time, with a memory of words: the body of the Arrow functions."""
+"""Encoding and decoding with a memory of words: the body of the Arrow functions.
+
+Ids are handled as bytes, four to an id: a text's are those of its words put
+end to end, so that no id becomes a Python number, and a batch's become an
+Arrow array as they are.
+"""
 
 from __future__ import annotations
 
 import re
+import struct
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 import regex
 
 from ..functions import schemes
@@ -15,8 +24,29 @@ from ..plans.model import AddedToken, TokenizerModel
 from .charsmap import Charsmap
 from .merging import merge
 
-#: Words that an encoder remembers before it starts anew.
-MEMO = 500_000
+#: Words that an encoder remembers before it starts anew, and the length of those worth it.
+MEMO, MEMO_LENGTH = 500_000, 256
+
+
+def code(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}i", *ids)
+
+
+class Memo(dict):
+    """Ids by word, as bytes; words that were ``given`` are never forgotten."""
+
+    def __init__(self, make: Callable[[str], list[int]], given: dict[str, bytes] | None = None):
+        super().__init__(given or {})
+        self.make, self.given = make, given or {}
+
+    def __missing__(self, word: str) -> bytes:
+        found = code(self.make(word))
+        if len(word) <= MEMO_LENGTH:
+            if len(self) >= MEMO:
+                self.clear()
+                self.update(self.given)
+            self[word] = found
+        return found
 
 
 def literals(tokens: list[AddedToken]) -> re.Pattern | None:
@@ -68,7 +98,10 @@ class ByteEncoder:
         self.single = [single.get(b, -1) for b in range(256)]
         self.whole = {b: i for i, b in reversed(list(enumerate(model.vocab))) if b} if model.ignore_merges else {}
         self.patterns = [regex.compile(p, regex.V1) for p in schemes.PATTERNS[schemes.by_name(model.scheme)]]
-        self.memo: dict[bytes, list[int]] = {}
+        self.memo = Memo(self.word)
+        # Without a split at added tokens, a piece that is one's content is that token (fixed: of up to 15 bytes).
+        whole = {t.content: code([t.id]) for t in model.added if 1 <= len(t.content.encode()) <= 15}
+        self.ordinary = Memo(self.word, whole) if whole else self.memo
 
     def pieces(self, text: str) -> list[str]:
         """A text's pieces under the scheme."""
@@ -86,32 +119,32 @@ class ByteEncoder:
             out = [p for p in parts if p]
         return out
 
-    def word(self, piece: bytes) -> list[int]:
-        found = self.memo.get(piece)
-        if found is None:
-            whole = self.whole.get(piece)
-            found = [whole] if whole is not None else merge([s for b in piece if (s := self.single[b]) >= 0], self.ranks)
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
-            self.memo[piece] = found
-        return found
+    def word(self, piece: str) -> list[int]:
+        """Ids of one piece, by merges."""
+        data = piece.encode("utf-8", "surrogateescape")
+        whole = self.whole.get(data)
+        return [whole] if whole is not None else merge([s for b in data if (s := self.single[b]) >= 0], self.ranks)
 
-    def plain(self, text: str) -> list[int]:
+    def plain(self, text: str) -> bytes:
         """Ids of a text in which nothing is looked for but words."""
-        return [i for piece in self.pieces(text) for i in self.word(piece.encode("utf-8", "surrogateescape"))]
+        return b"".join(map(self.ordinary.__getitem__, self.pieces(text)))
 
-    def __call__(self, text: str) -> list[int]:
-        out: list[int] = []
+    def packed(self, text: str) -> bytes:
+        """Ids of a text, as bytes."""
+        out: list[bytes] = []
         for part in self.split(text):
             if isinstance(part, int):
-                out.append(part)
+                out.append(code([part]))
                 continue
             if self.model.nfc and not part.isascii():
                 part = unicodedata.normalize("NFC", part)
             if self.model.prefix_space and not part.startswith(" "):
                 part = " " + part
-            out += self.plain(part)
-        return out
+            out += map(self.memo.__getitem__, self.pieces(part))
+        return b"".join(out)
+
+    def __call__(self, text: str) -> list[int]:
+        return np.frombuffer(self.packed(text), dtype="<i4").tolist()
 
 
 class PieceEncoder:
@@ -132,7 +165,9 @@ class PieceEncoder:
                 self.bytes[int(m[1], 16)] = i
             elif len(piece) == 1:
                 self.symbols[piece] = i
-        self.memo: dict[str, list[int]] = {}
+        self.memo = Memo(self.word)
+        mark = re.escape(model.metaspace.content) if model.metaspace else ""
+        self.words = re.compile(f"{mark}?[^{mark}]+|{mark}") if mark else None
 
     def normalize(self, text: str) -> str:
         for name, args in self.model.steps:
@@ -149,20 +184,14 @@ class PieceEncoder:
         return text
 
     def word(self, piece: str) -> list[int]:
-        found = self.memo.get(piece)
-        if found is None:
-            start: list[int] = []
-            for c in piece:
-                own = self.symbols.get(c)
-                start += [own] if own is not None else [i for b in c.encode() if (i := self.bytes[b]) is not None]
-            found = merge(start, self.ranks)
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
-            if len(piece) <= 256:
-                self.memo[piece] = found
-        return found
-
-    def section(self, text: str, first: bool) -> list[int]:
+        """Ids of one piece, by merges."""
+        start: list[int] = []
+        for c in piece:
+            own = self.symbols.get(c)
+            start += [own] if own is not None else [i for b in c.encode() if (i := self.bytes[b]) is not None]
+        return merge(start, self.ranks)
+
+    def section(self, text: str, first: bool) -> bytes:
         """Ids of normalized text between added tokens; ``first``: at the start of the document."""
         meta = self.model.metaspace
         if meta is not None:
@@ -170,19 +199,22 @@ class PieceEncoder:
             if text and not text.startswith(meta.content) and (meta.prepend == "always" or meta.prepend == "first" and first):
                 text = meta.content + text
             if meta.split:
-                return [i for piece in re.findall(f"{re.escape(meta.content)}?[^{re.escape(meta.content)}]+|{re.escape(meta.content)}", text) for i in self.word(piece)]
-        return self.word(text) if text else []
+                return b"".join(map(self.memo.__getitem__, self.words.findall(text)))
+        return self.memo[text] if text else b""
 
-    def __call__(self, text: str, normalized: bool = False) -> list[int]:
-        out: list[int] = []
+    def packed(self, text: str, normalized: bool = False) -> bytes:
+        """Ids of a text, as bytes."""
+        out: list[bytes] = []
         for n, part in enumerate(self.raw(text)):
             if isinstance(part, int):
-                out.append(part)
+                out.append(code([part]))
                 continue
             ready = part if normalized else self.normalize(part)
-            for m, inner in enumerate(self.late(ready)):
-                out += [inner] if isinstance(inner, int) else self.section(inner, n == 0 and m == 0)
-        return out
+            out += (code([inner]) if isinstance(inner, int) else self.section(inner, n == 0 and m == 0) for m, inner in enumerate(self.late(ready)))
+        return b"".join(out)
+
+    def __call__(self, text: str, normalized: bool = False) -> list[int]:
+        return np.frombuffer(self.packed(text, normalized), dtype="<i4").tolist()
 
 
 Encoder = ByteEncoder | PieceEncoder
@@ -192,21 +224,74 @@ def encoder(model: TokenizerModel) -> Encoder:
     return (PieceEncoder if model.kind == "piece" else ByteEncoder)(model)
 
 
-def decode(model: TokenizerModel, ids: list[int]) -> bytes:
-    """Bytes of ids.
+#: Bytes of texts that a decoder puts together at a time.
+DECODED = 4 << 20
 
-    Byte-level: an id that is not assigned is an error.  Piece: such ids are
-    passed over, the space mark becomes a space, and one space at the start
-    goes if the model puts one there.
+
+class Decoder:
+    """Texts of many arrays of ids at once: the vocabulary's bytes end to end, gathered by place.
+
+    An id beyond 32 bits (unsigned) is an error.  Byte-level: so is one that is
+    outside the vocabulary.  Piece: such ids are passed over, the space mark
+    becomes a space, and one space at the start goes if the model puts one
+    there.  Bytes that aren't UTF-8 are replaced.
     """
-    if model.kind == "byte":
-        for i in ids:
-            if not 0 <= i < len(model.vocab):
-                raise IndexError(f"id {i} is outside the vocabulary of {len(model.vocab)}")
-        return b"".join(model.vocab[i] for i in ids)
-    data = b"".join(model.vocab[i] for i in ids if 0 <= i < len(model.vocab))
-    text = data.decode("utf-8", "replace")
-    mark = model.metaspace.content if model.metaspace else "▁"
-    text = text.replace(mark, " ")
-    prepends = model.metaspace.prepend != "never" if model.metaspace else any(n == "prepend" for n, _ in model.steps)
-    return (text[1:] if prepends and text.startswith(" ") else text).encode()
+
+    def __init__(self, model: TokenizerModel):
+        self.model = model
+        self.data = np.frombuffer(b"".join(model.vocab), dtype=np.uint8)
+        self.stops = np.cumsum([0, *map(len, model.vocab)])
+        self.sizes = np.diff(self.stops)
+        self.mark = model.metaspace.content if model.metaspace else "▁"
+        self.prepends = model.metaspace.prepend != "never" if model.metaspace else any(n == "prepend" for n, _ in model.steps)
+
+    def packed(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
+        """Bytes of arrays of ids that lie end to end, ``counts`` of each."""
+        ids = ids.astype(np.int64, copy=False)
+        first = np.concatenate([[0], np.cumsum(counts)])
+        beyond = np.nonzero((ids < 0) | (ids > 0xFFFFFFFF))[0]
+        if len(beyond) and (self.model.kind == "piece" or ids[beyond[0]] > 0):
+            raise OverflowError(f"id {ids[beyond[0]]} is not an unsigned number of 32 bits")
+        known = (ids >= 0) & (ids < len(self.sizes))
+        if not known.all():
+            if self.model.kind == "byte":
+                raise IndexError(f"id {ids[~known][0]} is outside the vocabulary of {len(self.sizes)}")
+            ids, first = ids[known], np.concatenate([[0], np.cumsum(known)])[first]
+        size = self.sizes[ids]
+        stops = np.concatenate([[0], np.cumsum(size)])
+        edges, out = stops[first], []
+        a = 0
+        while a < len(first) - 1:
+            b = max(a + 1, int(np.searchsorted(edges, edges[a] + DECODED, "right")) - 1)
+            n = size[first[a] : first[b]]
+            begin = stops[first[a] : first[b]]
+            place = np.arange(edges[b] - edges[a]) + np.repeat(self.stops[ids[first[a] : first[b]]] - (begin - edges[a]), n)
+            data = self.data[place].tobytes()
+            cuts = (edges[a : b + 1] - edges[a]).tolist()
+            out += [data[x:y] for x, y in zip(cuts, cuts[1:], strict=False)]
+            a = b
+        return out
+
+    def texts(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
+        out = [x.decode("utf-8", "replace") for x in self.packed(ids, counts)]
+        return [self.plain(x) for x in out] if self.model.kind == "piece" else out
+
+    def plain(self, text: str) -> str:
+        """A piece model's text as it was before marks."""
+        text = text.replace(self.mark, " ")
+        return text[1:] if self.prepends and text.startswith(" ") else text
+
+    def __call__(self, ids: pa.Array) -> pa.Array:
+        """A column of lists as a column of texts; null stays null."""
+        counts = np.array(pa.compute.list_value_length(ids).fill_null(0), dtype=np.int64)
+        flat = ids.flatten()
+        if flat.null_count:
+            raise ValueError("an id is null")
+        return pa.array(self.texts(flat.to_numpy(zero_copy_only=False), counts), pa.string(), mask=np.array(ids.is_null()))
+
+
+def decode(model: TokenizerModel, ids: list[int]) -> bytes:
+    """Bytes of the ids of one text, by the rules of ``Decoder``."""
+    decoder = Decoder(model)
+    data = decoder.packed(np.array(ids, dtype=np.int64), np.array([len(ids)]))[0]
+    return data if model.kind == "byte" else decoder.plain(data.decode("utf-8", "replace")).encode()

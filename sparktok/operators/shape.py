@@ -76,13 +76,14 @@ def pad(df: DataFrame, rule: Padding, ids: str = "ids") -> DataFrame:
     return wrapped.withColumn("mask", F.concat(*marks)).withColumn(ids, F.concat(*pieces))
 
 
-def packed_offsets(df: DataFrame, key: str, ids: str = "ids", blocks: int = 1024) -> DataFrame:
+def packed_offsets(df: DataFrame, key: str, ids: str = "ids", ranges: int | None = None) -> DataFrame:
     """``key, length, offset``: where each row begins in one buffer of all rows in the order of ``key``.
 
+    Null keys come first, in any order among them; null ids have length 0.
     Sums of ranges of keys come first, so no task sorts or sums the whole table.
     """
-    rows = df.select(key, F.size(ids).cast("long").alias("length"))
-    placed = rows.withColumn("_block", key_block(rows, key, blocks))
+    rows = df.select(key, F.coalesce(F.size(F.coalesce(ids, F.array().cast(df.schema[ids].dataType))), F.lit(0)).cast("long").alias("length"))
+    placed = rows.withColumn("_block", key_block(rows, key, ranges))
     sums = placed.groupBy("_block").agg(F.sum("length").alias("_sum"))
     before = sums.select("_block", F.expr("coalesce(sum(_sum) over (order by _block rows between unbounded preceding and 1 preceding), 0)").alias("_before"))
     inside = F.expr(f"coalesce(sum(length) over (partition by _block order by `{key}` rows between unbounded preceding and 1 preceding), 0)")

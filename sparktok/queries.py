@@ -133,7 +133,7 @@ def bpe_encode_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bpe_token_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and tokens by language."""
-    return encode.token_totals(encode.encode(docs(spark, sf_dir).select("lang", "text"), small_model()), "ids", "lang")
+    return encode.token_totals(encode.count_tokens(docs(spark, sf_dir).select("lang", "text"), small_model()), "tokens", "lang")
 
 
 def bpe_decode_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -270,7 +270,7 @@ def limit_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LIMIT_SQL = """
 WITH s AS (SELECT doc_id, encode(text) AS b, coalesce(sum(octet_length(encode(text))) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS done FROM documents)
-SELECT doc_id, least(octet_length(b), 100000 - done)::BIGINT AS bytes, sha256(unhex(substring(hex(b), 1, (2 * least(octet_length(b), 100000 - done))::BIGINT))) AS sha FROM s WHERE done < 100000 AND octet_length(b) > 0
+SELECT doc_id, least(octet_length(b), 100000 - done)::BIGINT AS bytes, sha256(unhex(substring(hex(b), 1, (2 * least(octet_length(b), 100000 - done))::BIGINT))) AS sha FROM s WHERE done < 100000 OR done = 100000 AND octet_length(b) = 0
 """
 
 

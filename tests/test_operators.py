@@ -1,3 +1,4 @@
+import datetime
 import gzip
 import json
 import random
@@ -122,11 +123,48 @@ def test_limit_bytes(spark):
         got = b"".join(bytes(r["text"]) for r in scan.limit_bytes(df, most).orderBy("doc_id").collect())
         assert got == "abcééxyz".encode()[:most]
     assert scan.limit_bytes(df, None).count() == 4
+    # As long as all before it fits, an empty document stays; one that would be cut to nothing doesn't.
+    assert [r["doc_id"] for r in scan.limit_bytes(df, 3).orderBy("doc_id").collect()] == [0, 1]
     assert [scan.parse_size(x) for x in ("100MB", "2kb", "7", "1.5G", "none")] == [100_000_000, 2000, 7, 1_500_000_000, None]
     with pytest.raises(ValueError):
         scan.parse_size("lots")
 
 
+KEYS = {
+    "long": [None, -5, 0, 7, 8, 12, 10**15],
+    "string": [None, "", "a", "ab", "abcdefghij", "abcdefghik", "é"],
+    "timestamp": [None, *(datetime.datetime(y, 1, 1) for y in (1950, 1999, 2024, 2025, 2026, 9000))],
+    "double": [None, float("-inf"), -1.5, 0.0, 2.5, float("inf"), float("nan")],
+    "binary": [None, bytearray(b""), bytearray(b"a"), bytearray(b"a\xff"), bytearray(b"b"), bytearray(b"c"), bytearray(b"d")],
+}
+
+
+@pytest.mark.parametrize("kind", KEYS)
+def test_orders_of_keys(spark, kind):
+    """Null keys come first; keys that share their first bytes or lie far off are in order."""
+    texts = ["nul", "abc", "", "éé", "xyz", "1234567", None]
+    data = list(enumerate(zip(KEYS[kind], texts)))
+    df = spark.createDataFrame([(k, t, n) for n, (k, t) in random.Random(1).sample(data, 7)], f"key {kind}, text string, n int").repartition(3)
+    whole = "".join(t or "" for t in texts).encode()
+    for most in (0, 3, 4, 8, 100):
+        got = scan.limit_bytes(df, most, "key").orderBy("n").collect()
+        assert b"".join(bytes(r["text"] or b"") for r in got) == whole[:most] and (most < 100 or (len(got) == 7 and got[-1]["text"] is None))
+    offsets = shape.packed_offsets(df.withColumn("ids", F.when(F.col("text") != "xyz", F.array_repeat(F.lit(1), F.length("text")))), "key", ranges=4).collect()
+    assert len(offsets) == 7 and sum(r["length"] for r in offsets) == 3 + 3 + 2 + 7 and [r["offset"] for r in offsets if r["key"] is None] == [0]
+    assert sorted(r["offset"] for r in offsets) == [0, 3, 6, 6, 8, 8, 15]
+
+
+def test_keys_without_an_order_are_refused(spark):
+    with pytest.raises(TypeError, match="order"):
+        scan.limit_bytes(spark.createDataFrame([([1], "a")], "doc_id array<int>, text string"), 5)
+
+
+def test_ranges_follow_the_keys(spark):
+    df = spark.range(5000).select(F.when(F.col("id") == 7, F.lit(10**17)).otherwise(F.col("id")).alias("key"))
+    sizes = [r["count"] for r in df.select(scan.key_block(df, "key", 16).alias("b")).groupBy("b").count().collect()]
+    assert len(sizes) == 16 and max(sizes) < 500
+
+
 def test_normalizers(spark):
     df = spark.createDataFrame([(t,) for t in ("a  b   c d  ", "a \t  b", " x\xa0", "é", "")], "text string")
     assert [r[0] for r in df.select(normalize.collapse_spaces(F.col("text"), "▁")).collect()][:2] == ["a▁b▁c d▁", "a \t▁b"]
