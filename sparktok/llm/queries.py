@@ -122,10 +122,14 @@ OP5_SQL = _op5_sql()
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shard and place of every document, with 24 shards and with one more."""
+    """Shard and place of every document, with 24 shards and with one more, and its shard once bytes are evened out.
+
+    The map's versions stay in a folder of this call's own in the shared one:
+    the first, by which rows are placed, and the one evened out.
+    """
     with Scratch(spark) as scratch:
-        out = sharding.shard(table(spark, sf_dir, "documents"), scratch)
-        return scratch.keep(out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard"))
+        out = sharding.shard(table(spark, sf_dir, "documents"), scratch, f"{scratch.root}-slot-map")
+        return scratch.keep(out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard", "virtual_slot", "slot_bytes", "balanced_shard"))
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
