@@ -9,8 +9,9 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators.encode import encode
+from .operators.encode import count_tokens, encode
 from .operators.scan import limit_bytes, parse_size, split_docs
+from .operators.shape import Packed
 from .plans.loaders import load
 from .plans.model import TokenizerModel
 from .sources.files import TextSource
@@ -21,10 +22,15 @@ def rates(nbytes: int, tokens: int, seconds: float) -> str:
     return f"{nbytes / 1e6 / seconds:.1f} MB/s, {tokens / 1e6 / seconds:.2f} Mtok/s ({nbytes} bytes, {tokens} tokens, {seconds:.2f} s)"
 
 
-def bench(spark: SparkSession, model: TokenizerModel, docs: DataFrame) -> str:
-    """Encode all documents and report the rate."""
+def bench(spark: SparkSession, model: TokenizerModel, docs: DataFrame, packed: bool = False) -> str:
+    """Encode all documents and report the rate; ``packed``: into one buffer on the driver, else they are only counted."""
     began = time.perf_counter()
-    total = encode(docs.withColumn("nbytes", F.octet_length("text").cast("long")), model).agg(F.coalesce(F.sum("nbytes"), F.lit(0)).alias("b"), F.coalesce(F.sum(F.size("ids")), F.lit(0)).alias("t")).first()
+    if packed:
+        buffer = Packed.of(encode(docs, model).orderBy("doc_id"))
+        took = time.perf_counter() - began
+        nbytes = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+        return rates(nbytes, buffer.token_count, took)
+    total = count_tokens(docs.withColumn("nbytes", F.octet_length("text").cast("long")), model).agg(F.coalesce(F.sum("nbytes"), F.lit(0)).alias("b"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("t")).first()
     return rates(total["b"], total["t"], time.perf_counter() - began)
 
 
@@ -64,6 +70,7 @@ def main(args: list[str] | None = None) -> int:
         p.add_argument("--doc-separator", default="<|endoftext|>")
         if name == "bench":
             p.add_argument("--limit-bytes", default="none")
+            p.add_argument("--packed", action="store_true")
             p.add_argument("--parallel", action=argparse.BooleanOptionalAction, default=True)
     o = parser.parse_args(args)
     spark = SparkSession.builder.getOrCreate()
@@ -72,7 +79,7 @@ def main(args: list[str] | None = None) -> int:
         docs = TextSource(o.files, o.doc_separator).read(spark)
         limit = parse_size(o.limit_bytes)
         docs = limit_bytes(docs, limit) if limit is not None else docs
-        print(bench(spark, model, docs if o.parallel else docs.coalesce(1)))
+        print(bench(spark, model, docs if o.parallel else docs.coalesce(1), o.packed))
         return 0
     first = validate(spark, model, o.files, o.doc_separator).orderBy("n").limit(1).collect()
     print(f"first mismatch: {first[0]}" if first else "all documents match")

@@ -144,14 +144,16 @@ Source = TextSource | JsonlSource | ParquetSource | BytesSource
 
 
 def resolve(source) -> Source:
-    """A source as it is; a path or paths by the format of the first."""
+    """A source as it is; a path or paths by the endings of their names, which must be of one format."""
     if isinstance(source, Source):
         return source
     paths = _paths(source)
     if not paths:
         raise ValueError("no paths")
-    kind = {"text": TextSource, "jsonl": JsonlSource, "parquet": ParquetSource}[detect_format(paths[0])[0]]
-    return kind(paths)
+    formats = sorted({detect_format(p)[0] for p in paths})
+    if len(formats) > 1:
+        raise ValueError(f"files of one format can be read together, not {' and '.join(formats)}")
+    return {"text": TextSource, "jsonl": JsonlSource, "parquet": ParquetSource}[formats[0]](paths)
 
 
 def _unpacked(spark: SparkSession, paths: tuple[str, ...]) -> DataFrame:

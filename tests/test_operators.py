@@ -1,3 +1,4 @@
+import dataclasses
 import datetime
 import gzip
 import json
@@ -9,11 +10,13 @@ import pytest
 import regex
 from pyspark.sql import functions as F
 
+import sparktok
 from sparktok import cli, queries
 from sparktok.functions import normalize, schemes
-from sparktok.operators import counts, encode, scan, shape, train
-from sparktok.operators.encoder import encoder
-from sparktok.plans.model import TokenizerModel
+from sparktok.operators import batch, counts, encode, fragments, scan, shape, train
+from sparktok.operators import encoder as encoder_module
+from sparktok.operators.encoder import decode, encoder
+from sparktok.plans.model import AddedToken, TokenizerModel
 from sparktok.sources import files
 from sparktok.streaming import encode as streams
 
@@ -351,3 +354,102 @@ def test_queries_equal_their_sql(spark, sf):
         result = con.execute(sql)
         at = [[d[0] for d in result.description].index(n) for n in names]
         assert sorted([str(r[n]) for n in names] for r in df.collect()) == sorted([str(r[i]) for i in at] for r in result.fetchall()), name
+
+
+# ---- whole calls
+
+
+def test_batches_in_memory(spark, model):
+    own = encoder(model)
+    for given in (TEXTS, [t.encode() for t in TEXTS], tuple(TEXTS), pa.array(TEXTS, pa.large_string()), pa.chunked_array([TEXTS[:1], TEXTS[1:]]), pa.array([t.encode() for t in TEXTS]), pa.array(TEXTS).dictionary_encode()):
+        assert ids_of(batch.encode_batch(spark, given, model)) == [own(t) for t in TEXTS]
+    assert ids_of(batch.encode_batch(spark, [], model)) == [] and ids_of(batch.encode_batch(spark, pa.array(["a", None]), model)) == [[97], None]
+    for bad in (["a", b"a"], [1], "a", [None], pa.array([1]), pa.array([["a"]])):
+        with pytest.raises(TypeError):
+            batch.texts(spark, bad)
+
+
+def test_files_in_one_call(spark, model, tmp_path):
+    own = encoder(model)
+    (tmp_path / "a.txt").write_text(END.join(TEXTS))
+    (tmp_path / "b.jsonl").write_text("".join(json.dumps({"text": t}) + "\n" for t in TEXTS))
+    source = files.TextSource(tmp_path / "a.txt", END)
+    assert ids_of(batch.encode_files(spark, source, model)) == [own(t) for t in TEXTS] == ids_of(batch.encode_files(spark, str(tmp_path / "b.jsonl"), model))
+    packed = batch.encode_files(spark, source, model, packed=True)
+    assert packed.to_list() == [own(t) for t in TEXTS]
+    with pytest.raises(ValueError, match="one format"):
+        files.resolve([str(tmp_path / "a.txt"), str(tmp_path / "b.jsonl")])
+    want = Counter(p for t in TEXTS for p in regex.findall(schemes.PATTERNS["gpt2"][0], t))
+    for found in (batch.pretoken_counts_files(spark, str(tmp_path / "a.txt")), batch.pretoken_counts_files(spark, source), batch.pretoken_counts_files(spark, str(tmp_path / "b.jsonl"))):
+        assert {r["pretoken"]: r["cnt"] for r in found.collect()} == want
+    assert "tok/s" in cli.bench(spark, model, source.read(spark), packed=True)
+
+
+def test_wrapped_and_padded_in_one_call(spark, model):
+    df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    own = encoder(model)
+    rule = batch.Wrapping((1,), (2,), 3, True, ("zzz",))
+    assert ids_of(batch.encode_wrapped(df, model, rule)) == [[1, *own(t)[-3:], 2] for t in TEXTS]
+    assert ids_of(batch.encode_padded(df, model, shape.Padding(0, 4, True, True), ("zzz",))) == [own(t)[:4] for t in TEXTS]
+    for call in (lambda: batch.encode_wrapped(df, model, batch.Wrapping(forbid=("q", "zz", "quick"))), lambda: batch.encode_padded(df, model, shape.Padding(0), ("q", "zz", "quick"))):
+        with pytest.raises(scan.ForbiddenText) as e:
+            call()
+        assert e.value.indices == [0, 2]
+
+
+@pytest.mark.parametrize("scheme", list(schemes.PATTERNS))
+def test_long_texts_are_cut_where_no_token_crosses(spark, model, scheme):
+    tokens = (AddedToken("b cd", 300), AddedToken("x1", 301, rstrip=True), AddedToken("<m>", 302, lstrip=True, rstrip=True))
+    cut = dataclasses.replace(model, scheme=scheme, added=tokens)
+    rng = random.Random(scheme)
+    parts = ["a", "b cd", "x1", " ", "  ", "\n", "<m>", "word", "12", "don't", "é", ".", " b", " cd", "日本"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 120))) for _ in range(60)] + [None, "", "word " * 400]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("more", F.lit(1))
+    for target in (1, 20):
+        for t in texts:
+            edges = [0, *fragments.cuts(t or "", target, tokens), len(t or "")]
+            assert edges == sorted(edges) and all(b - a >= target for a, b in zip(edges, edges[1:-1]))
+    got = fragments.encode_long(df, cut, "doc_id", target=20)
+    assert ids_of(got) == ids_of(encode.encode(df, cut)) and set(got.columns) == {"doc_id", "text", "more", "ids"}
+    assert len(fragments.cuts("word " * 400, 20)) > 50
+
+
+def test_pieces_that_are_added_tokens(spark):
+    """Where added tokens aren't looked for, a piece that is the content of one is that token, above or below the merge's id."""
+    single = tuple(bytes([b]) for b in range(256))
+    df = spark.createDataFrame([(0, "hi"), (1, "hip hi")], "doc_id long, text string")
+    for vocab, merged, own in ((single + (b"hi",), 256, 1000), (single + (b"", b"hi"), 257, 256)):
+        m = TokenizerModel("byte", vocab, ((104, 105, merged),), (AddedToken("hi", own),))
+        assert ids_of(encode.encode(df, m, added=False)) == [[own], [merged, 112, 32, merged]]
+    long = TokenizerModel("byte", single, (), (AddedToken("h" * 16, 300), AddedToken("h" * 15, 301)))
+    got = ids_of(encode.encode(spark.createDataFrame([(0, "h" * 16), (1, "h" * 15)], "doc_id long, text string"), long, added=False))
+    assert got == [[104] * 16, [301]]
+
+
+def test_kinds_of_ids(spark, model):
+    for kind in ("smallint", "int", "bigint"):
+        assert encode.decode_text(spark.createDataFrame([([104, 105],), (None,)], f"ids array<{kind}>"), model).select("text").collect()[0]["text"] == "hi"
+    for kind in ("string", "double"):
+        with pytest.raises(TypeError, match="whole numbers"):
+            encode.decode_text(spark.createDataFrame([], f"ids array<{kind}>"), model)
+    piece = queries.piece_model()
+    assert decode(piece, [99999, 259, 266, *b"\x04"]) == decode(piece, [259, 266, 4])
+    for bad in (-1, 1 << 32):
+        with pytest.raises(OverflowError):
+            decode(piece, [bad])
+    with pytest.raises(IndexError, match="-1"):
+        decode(model, [-1])
+    with pytest.raises(Exception, match="outside the vocabulary"):
+        encode.decode_text(spark.createDataFrame([([99999],)], "ids array<int>"), model).collect()
+
+
+def test_decoding_many_arrays(spark, model, monkeypatch):
+    monkeypatch.setattr(encoder_module, "DECODED", 7)
+    rng = random.Random(2)
+    ids = [[rng.randrange(len(model.vocab)) for _ in range(rng.randint(0, 9))] for _ in range(200)]
+    got = encoder_module.Decoder(model)(pa.array([*ids, None], pa.list_(pa.int32()))).to_pylist()
+    assert got == [b"".join(model.vocab[i] for i in x).decode("utf-8", "replace") for x in ids] + [None]
+
+
+def test_version():
+    assert sparktok.__version__
