@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .functions import normalize, schemes
 from .operators import counts, encode, scan, shape
 from .operators import train as training
+from .plans.loaders import byte_alphabet
 from .plans.model import AddedToken, Metaspace, TokenizerModel
 from .sources import files
 
@@ -110,8 +111,8 @@ def conversation_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pretok_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pieces of the benchmark items in order."""
-    return counts.pretoken_rows(table(spark, sf_dir, "benchmark"), "item_id")
+    """The pieces of each document in order."""
+    return counts.pretoken_rows(docs(spark, sf_dir), "doc_id")
 
 
 # ---------------------------------------------------------------- byte-pair encoding
@@ -137,16 +138,15 @@ def bpe_token_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bpe_decode_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts of the benchmark items after encoding and decoding through the vocabulary table."""
-    items = table(spark, sf_dir, "benchmark").select("item_id", "text")
-    ids = encode.encode(items, small_model()).drop("text")
-    return encode.decode_join(ids, small_model().vocab_table(spark), "item_id").select("item_id", "text")
+    """Texts of the documents after encoding and decoding through the vocabulary table, as digests."""
+    ids = encode.encode(docs(spark, sf_dir).select("doc_id", "text"), small_model()).drop("text")
+    return encode.decode_join(ids, small_model().vocab_table(spark), "doc_id").select("doc_id", F.md5("text").alias("md5"))
 
 
 def bpe_decode_udf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same in an Arrow function, over the documents: lengths of the decoded texts."""
+    """The same in an Arrow function."""
     ids = encode.encode(docs(spark, sf_dir).select("doc_id", "text"), small_model()).drop("text")
-    return encode.decode_text(ids, small_model()).select("doc_id", F.length("text").cast("long").alias("chars"))
+    return encode.decode_text(ids, small_model()).select("doc_id", F.md5("text").alias("md5"))
 
 
 def pair_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,15 +171,133 @@ def vocab_size(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def train_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First merges learned from the documents."""
-    got = training.train_bpe(docs(spark, sf_dir), 256 + 20)
-    rows = [(rank, a, b, got.vocab[c].decode("utf-8", "replace")) for rank, (a, b, c) in enumerate(got.merges)]
+    """First merges learned from the documents; ties by the order in which byte-level vocabularies write bytes."""
+    return _learned(spark, training.train_bpe(docs(spark, sf_dir), 256 + TRAINED))
+
+
+def train_bpe_raw_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First merges learned from the benchmark items; ties by ids."""
+    return _learned(spark, training.train_bpe(table(spark, sf_dir, "benchmark"), 256 + TRAINED, tie_breaking="raw_token_ids"))
+
+
+def train_bpe_assembled_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First merges learned from the benchmark items; ties by the bytes of both tokens."""
+    return _learned(spark, training.train_bpe(table(spark, sf_dir, "benchmark"), 256 + TRAINED, tie_breaking="assembled_bytes"))
+
+
+#: Merges of the training queries.
+TRAINED = 20
+
+
+def _learned(spark: SparkSession, got: training.Trained) -> DataFrame:
+    rows = [(rank, a, b, got.vocab[c].hex()) for rank, (a, b, c) in enumerate(got.merges)]
     return spark.createDataFrame(rows, "rank int, left int, right int, token string")
 
 
+def byte_order() -> list[int]:
+    """Place of each byte among the characters by which byte-level vocabularies write them."""
+    characters = {b: c for c, b in byte_alphabet().items()}
+    order = sorted(range(256), key=characters.__getitem__)
+    return [order.index(b) for b in range(256)]
+
+
+def _train_sql(source: str, order: str) -> str:
+    """Training as a recursion over distinct words: symbols are <id> of three digits, then the token's bytes are put together.
+
+    ``order`` puts the ids and bytes of a pair's symbols (l, r, lb, rb) in the order of ties.
+    """
+    return f"""
+WITH RECURSIVE w AS (SELECT p, count(*) AS n FROM (SELECT unnest({_pieces_sql("gpt2")}) AS p FROM {source}) GROUP BY p),
+b AS (SELECT n, array_to_string(list_transform(regexp_extract_all(hex(encode(p)), '..'), lambda x: '<' || lpad(('0x' || x)::INT::VARCHAR, 3, '0') || '>'), '') AS s FROM w),
+v0 AS (SELECT map(list_transform(range(256), lambda i: '<' || lpad(i::VARCHAR, 3, '0') || '>'), list_transform(range(256), lambda i: lpad(hex(i), 2, '0'))) AS v),
+r(k, words, v, pair) AS (
+  SELECT 0, (SELECT list({{'n': n, 's': s}}) FROM b), v, NULL::VARCHAR FROM v0
+  UNION ALL
+  SELECT k + 1, list_transform(words, lambda x: {{'n': x.n, 's': replace(x.s, best, '<' || (256 + k) || '>')}}), map_concat(v, MAP {{'<' || (256 + k) || '>': v[best[1:5]] || v[best[6:10]]}}), best
+  FROM (SELECT k, words, v, (
+      SELECT q FROM (
+        SELECT q, sum(n) AS n, any_value(q[2:4]::INT) AS l, any_value(q[7:9]::INT) AS r, any_value(v[q[1:5]]) AS lb, any_value(v[q[6:10]]) AS rb FROM (
+          SELECT x.n AS n, unnest(list_transform(range(1, length(x.s) // 5), lambda i: x.s[5 * i - 4:5 * i + 5])) AS q FROM (SELECT unnest(words) AS x)
+        ) GROUP BY q) ORDER BY n DESC, {order} LIMIT 1) AS best FROM r WHERE k < {TRAINED}))
+SELECT (k - 1)::INTEGER AS rank, pair[2:4]::INTEGER AS left, pair[7:9]::INTEGER AS right, lower(v['<' || (255 + k) || '>']) AS token FROM r WHERE k > 0
+"""
+
+
+def _named(ids: Column) -> Column:
+    """Ids of the piece model as text: bytes as <HH>, others as <id>."""
+    return F.array_join(F.transform(ids, lambda i: F.when((i >= 3) & (i < 259), F.concat(F.lit("<"), F.lpad(F.hex((i - 3).cast("long")), 2, "0"), F.lit(">"))).otherwise(F.concat(F.lit("<"), i.cast("string"), F.lit(">")))), "")
+
+
 def sp_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens of each document under the piece model."""
-    return encode.encode(docs(spark, sf_dir).select("doc_id", "text"), piece_model()).select("doc_id", F.size("ids").cast("long").alias("tokens"), F.array_join(F.slice("ids", 1, 16), " ").alias("first_ids"))
+    """Tokens of each document under the piece model, and a digest of all of them."""
+    return encode.encode(docs(spark, sf_dir).select("doc_id", "text"), piece_model()).select("doc_id", F.size("ids").cast("long").alias("tokens"), F.md5(_named(F.col("ids"))).alias("md5"))
+
+
+def sp_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of the documents after encoding and decoding under the piece model, as digests."""
+    ids = encode.encode(docs(spark, sf_dir).select("doc_id", "text"), piece_model()).drop("text")
+    return encode.decode_text(ids, piece_model()).select("doc_id", F.md5("text").alias("md5"))
+
+
+def _sp_sql() -> str:
+    """Letters and the mark are symbols, all else is bytes; each merge is a replacement, in the order of ranks."""
+    model = piece_model()
+    pairs = ", ".join(f"({rank}, '<{a}><{b}>', '<{c}>')" for rank, (a, b, c) in enumerate(model.merges))
+    symbol = "CASE WHEN c = '▁' THEN '<259>' WHEN c BETWEEN 'a' AND 'z' THEN '<' || (260 + ascii(c) - 97) || '>' ELSE regexp_replace(hex(encode(c)), '(..)', '<\\1>', 'g') END"
+    return f"""
+WITH RECURSIVE m(rank, pair, merged) AS (VALUES {pairs}),
+t AS (SELECT doc_id, replace(text, ' ', '▁') AS t FROM documents),
+p AS (SELECT doc_id, unnest(list_transform(regexp_extract_all(t, '▁?[^▁]+|▁'), lambda w, i: {{'i': i, 'w': w}})) AS p FROM (SELECT doc_id, CASE WHEN t = '' OR starts_with(t, '▁') THEN t ELSE '▁' || t END AS t FROM t)),
+b AS (SELECT DISTINCT p.w AS w FROM p),
+r AS (SELECT w, array_to_string(list_transform(regexp_extract_all(w, '(?s).'), lambda c: {symbol}), '') AS s, 0 AS k FROM b UNION ALL SELECT w, replace(s, pair, merged), k + 1 FROM r JOIN m ON m.rank = r.k),
+e AS (SELECT doc_id, string_agg(s, '' ORDER BY p.i) AS s FROM p JOIN r ON r.w = p.w AND r.k = {len(model.merges)} GROUP BY doc_id)
+SELECT d.doc_id, (length(coalesce(s, '')) - length(replace(coalesce(s, ''), '<', '')))::BIGINT AS tokens, md5(coalesce(s, '')) AS md5 FROM documents d LEFT JOIN e USING (doc_id)
+"""
+
+
+#: Words whose ids are known for each of some small models: (case, text, ids), worked out by hand.
+KNOWN = (
+    ("rank order is list order", "abc", "97 350"),
+    ("rank order is list order", "ab", "300"),
+    ("rank order is list order", "bc", "350"),
+    ("rank order is id order", "abc", "300 99"),
+    ("whole words first", "abc", "400"),
+    ("whole words first", "ab", "300"),
+    ("no whole words", "abc", "97 350"),
+    ("added tokens", "a <m> b", "97 400 32 98"),
+    ("added tokens", "a \t\n<m>", "97 400"),
+    ("added tokens", "a <r> b", "97 32 401 98"),
+    ("added tokens", "<r>\n\n\nb", "401 98"),
+    ("added tokens", "<r> <m>", "401 400"),
+)
+
+
+def _known_models() -> dict[str, TokenizerModel]:
+    def model(words: dict[bytes, int], merges: tuple[tuple[int, int, int], ...] = (), **more) -> TokenizerModel:
+        vocab = [bytes([b]) for b in range(256)] + [b""] * (max(words.values(), default=255) - 255)
+        for w, i in words.items():
+            vocab[i] = w
+        return TokenizerModel("byte", tuple(vocab), merges, **more)
+
+    ab, bc = (97, 98, 300), (98, 99, 350)
+    listed = {b"ab": 300, b"bc": 350}
+    return {
+        "rank order is list order": model(listed, (bc, ab)),
+        "rank order is id order": model(listed, (ab, bc)),
+        "whole words first": model(listed | {b"abc": 400}, (bc, ab), ignore_merges=True),
+        "no whole words": model(listed | {b"abc": 400}, (bc, ab)),
+        "added tokens": model({}, added=(AddedToken("<m>", 400, lstrip=True), AddedToken("<r>", 401, rstrip=True))),
+    }
+
+
+def bpe_known_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of words under models that differ in the order of merges, whole words and added tokens."""
+    out = None
+    for case, model in _known_models().items():
+        rows = spark.createDataFrame([(case, text) for c, text, _ in KNOWN if c == case], "case string, text string")
+        found = encode.encode(rows, model).select("case", "text", F.array_join(F.transform("ids", lambda i: i.cast("string")), " ").alias("ids"))
+        out = found if out is None else out.union(found)
+    return out
 
 
 def _merge_values() -> str:
@@ -291,8 +409,8 @@ def substr_present(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def added_token_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts of the benchmark items between and at literals."""
-    return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(scan.split_added(F.col("text"), LITERALS), "|").alias("parts"))
+    """Parts of the documents between and at literals."""
+    return docs(spark, sf_dir).select("doc_id", F.md5(F.array_join(scan.split_added(F.col("text"), LITERALS), "|")).alias("md5"))
 
 
 def _normalizer(step: Callable[[Column], Column]) -> Query:
@@ -337,7 +455,7 @@ def queries() -> dict[str, Query]:
     named = {f"pretok_{s}" if s != "gpt2" else "pretoken_counts_gpt2": _pretok(s)[0] for s in schemes.PATTERNS}
     found = (
         tokens_per_lang, conversation_token_counts, pretok_rows, bpe_encode_words, bpe_encode_docs, bpe_token_totals, bpe_decode_roundtrip, bpe_decode_udf, pair_counts, vocab, merges, vocab_size,
-        train_bpe, sp_encode, pad_truncate, pad_left, wrap_truncate, packed_offsets, limit_bytes, doc_split_sep, forbid_scan, substr_present, added_token_split, jsonl_field_extract, scan_parquet, scan_bytes,
+        train_bpe, train_bpe_raw_ids, train_bpe_assembled_bytes, sp_encode, sp_decode, bpe_known_words, pad_truncate, pad_left, wrap_truncate, packed_offsets, limit_bytes, doc_split_sep, forbid_scan, substr_present, added_token_split, jsonl_field_extract, scan_parquet, scan_bytes,
     )
     return named | {"pretoken_topk_gpt2": pretoken_topk} | {f.__name__: f for f in found} | {k: _normalizer(step) for k, (step, _) in _NORMALIZERS.items()}
 
@@ -355,12 +473,18 @@ def oracle_sql() -> dict[str, str]:
         "pretoken_topk_gpt2": f"SELECT pretoken, count(*)::BIGINT AS cnt FROM ({words}) GROUP BY pretoken ORDER BY cnt DESC, pretoken LIMIT 100",
         "tokens_per_lang": f"SELECT lang, count(*)::BIGINT AS docs, sum(len({gpt2}))::BIGINT AS pretokens, sum(octet_length(encode(text)))::BIGINT AS bytes FROM documents GROUP BY lang",
         "conversation_token_counts": f"SELECT conv_id, count(*)::BIGINT AS turns, sum(len({gpt2}))::BIGINT AS pretokens FROM conversations GROUP BY conv_id",
-        "pretok_rows": f"SELECT item_id, (generate_subscripts(p, 1) - 1)::INTEGER AS pos, unnest(p) AS pretoken FROM (SELECT item_id, {gpt2} AS p FROM benchmark)",
+        "pretok_rows": f"SELECT doc_id, (generate_subscripts(p, 1) - 1)::INTEGER AS pos, unnest(p) AS pretoken FROM (SELECT doc_id, {gpt2} AS p FROM documents)",
         "bpe_encode_words": f"WITH RECURSIVE {_encoded_sql(words)} SELECT pretoken, ids FROM enc",
         "bpe_encode_docs": f"WITH RECURSIVE {_encoded_sql(by_doc)} SELECT d.doc_id, coalesce(sum({_tokens('ids')}), 0)::BIGINT AS tokens FROM documents d LEFT JOIN w ON w.doc_id = d.doc_id LEFT JOIN enc ON enc.pretoken = w.pretoken GROUP BY d.doc_id",
         "bpe_token_totals": f"WITH RECURSIVE {_encoded_sql(by_doc)} SELECT w.lang, count(DISTINCT w.doc_id)::BIGINT AS docs, sum({_tokens('ids')})::BIGINT AS tokens FROM w JOIN enc ON enc.pretoken = w.pretoken GROUP BY w.lang",
-        "bpe_decode_roundtrip": "SELECT item_id, text FROM benchmark",
-        "bpe_decode_udf": "SELECT doc_id, length(text)::BIGINT AS chars FROM documents",
+        "bpe_decode_roundtrip": "SELECT doc_id, md5(text) AS md5 FROM documents",
+        "bpe_decode_udf": "SELECT doc_id, md5(text) AS md5 FROM documents",
+        "train_bpe": _train_sql("documents", ", ".join(f"CASE WHEN {x} < 256 THEN {_ints(byte_order())}[{x} + 1] ELSE {x} END" for x in "lr")),
+        "train_bpe_raw_ids": _train_sql("benchmark", "l, r"),
+        "train_bpe_assembled_bytes": _train_sql("benchmark", "lb, rb"),
+        "sp_encode": _sp_sql(),
+        "sp_decode": "SELECT doc_id, md5(CASE WHEN starts_with(text, ' ') THEN substring(text, 2) ELSE text END) AS md5 FROM documents",
+        "bpe_known_words": "SELECT * FROM (VALUES " + ", ".join(f"({_quoted(c)}, {_quoted(t)}, {_quoted(i)})" for c, t, i in KNOWN) + ') v("case", text, ids)',
         "pair_counts": f"WITH RECURSIVE {_encoded_sql(words)}, n AS (SELECT pretoken, count(*) AS n FROM w GROUP BY pretoken), s AS (SELECT list_transform(regexp_extract_all(ids, '<(m?)([0-9a-f]+)>', 0), lambda x: CASE WHEN x[2] = 'm' THEN x[3:-2]::BIGINT ELSE ('0x' || x[2:-2])::BIGINT END) AS s, n FROM enc JOIN n USING (pretoken)) SELECT l AS left, r AS right, sum(n)::BIGINT AS cnt FROM (SELECT unnest(s[1:-2]) AS l, unnest(s[2:]) AS r, n FROM s WHERE len(s) > 1) GROUP BY l, r",
         "vocab": f"SELECT id::INTEGER AS id, bytes FROM (VALUES {names}) v(id, bytes)",
         "merges": f"SELECT rank::INTEGER AS rank, l::INTEGER AS left, r::INTEGER AS right, m::INTEGER AS merged FROM (VALUES {', '.join(f'({k}, {a}, {b}, {c})' for k, (a, b, c) in enumerate(model.merges))}) v(rank, l, r, m)",
@@ -369,7 +493,7 @@ def oracle_sql() -> dict[str, str]:
         "doc_split_sep": f"WITH p AS (SELECT doc_id, list_filter(string_split(text, {_quoted(SEPARATOR)}), lambda x: x <> '') AS p FROM documents) SELECT doc_id, len(p)::BIGINT AS parts, array_to_string(list_transform(p, lambda x: length(x)), ' ') AS lengths FROM p",
         "forbid_scan": flags,
         "substr_present": f"SELECT doc_id, concat_ws(',', {held}) AS patterns FROM documents",
-        "added_token_split": f"SELECT item_id, array_to_string(list_filter(string_split(regexp_replace(text, '({literal})', chr(57345) || '\\1' || chr(57345), 'g'), chr(57345)), lambda x: x <> ''), '|') AS parts FROM benchmark",
+        "added_token_split": f"SELECT doc_id, md5(array_to_string(list_filter(string_split(regexp_replace(text, '({literal})', chr(57345) || '\\1' || chr(57345), 'g'), chr(57345)), lambda x: x <> ''), '|')) AS md5 FROM documents",
         "jsonl_field_extract": "SELECT text, count(*)::BIGINT AS cnt FROM conversations GROUP BY text",
         "scan_parquet": "SELECT count(*)::BIGINT AS docs, sum(octet_length(encode(coalesce(text, ''))))::BIGINT AS bytes FROM documents",
         "scan_bytes": "SELECT text FROM (VALUES ('a'), ('b'), ('c'), ('d')) v(text)",
