@@ -1,28 +1,34 @@
 """Training of byte-pair vocabularies.
 
-Spark counts the words of the corpus; the distinct ones come to the driver,
-which keeps for each pair the words that hold it and a heap of pair counts,
-so each merge touches only the words that it changes.
+Spark counts the words of the corpus.  Where the distinct ones fit, they come
+to the driver, which keeps the places of each pair in numpy arrays and a heap
+of pair counts, so each merge touches only what it changes.  Where they don't,
+pairs are counted by Spark in rounds, and only the most frequent ones come.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections import defaultdict
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.schemes import DEFAULT
 from ..plans.loaders import byte_alphabet
 from ..plans.model import AddedToken, TokenizerModel
+from ..shipping import ship
 from .counts import pretoken_counts
+from .merging import merge
 from .scan import split_docs
 
 TIES = ("huggingface", "raw_token_ids", "assembled_bytes")
 DEFAULT_SEPARATOR = "<|endoftext|>"
-#: Distinct words that the driver takes; a corpus with more needs ``least_count``.
+#: Distinct words that the driver takes; with more of them, training stays distributed.
 MOST_WORDS = 5_000_000
 
 
@@ -54,17 +60,71 @@ def _tie_key(mode: str, vocab: list[bytes]):
     raise ValueError(f"unknown tie-breaking: {mode!r} (one of {TIES})")
 
 
-def rewrite(word: list[int], pair: tuple[int, int], new: int) -> list[int]:
-    """A word with a pair merged, left to right."""
-    out, k = [], 0
-    while k < len(word):
-        if k + 1 < len(word) and (word[k], word[k + 1]) == pair:
-            out.append(new)
-            k += 2
-        else:
-            out.append(word[k])
-            k += 1
-    return out
+class Corpus:
+    """Distinct words as one array of symbols, linked to their neighbours, with the places of each pair.
+
+    A merge looks at the pair's own places only; places that no longer hold it
+    are passed over.  ``counts`` are those of pairs side by side, overlaps
+    included, each word counted as often as it occurs.
+    """
+
+    def __init__(self, words: list[bytes], times: list[int]):
+        sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        self.symbols = np.frombuffer(b"".join(words), dtype=np.uint8).astype(np.int32)
+        n = len(self.symbols)
+        word = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
+        self.times, self.word = np.array(times, dtype=np.int64), word
+        last = np.ones(n, dtype=bool)
+        last[:-1] = word[1:] != word[:-1]
+        place = np.arange(n, dtype=np.int32)
+        self.after = np.where(last, -1, place + 1).astype(np.int32)
+        self.before = np.where(np.concatenate([[True], last[:-1]])[:n], -1, place - 1).astype(np.int32)
+        at = np.nonzero(~last)[0].astype(np.int32)
+        self.places: dict[tuple[int, int], list[np.ndarray]] = {}
+        self.counts: dict[tuple[int, int], int] = {}
+        for pair, count, where in self._grouped(at):
+            self.counts[pair], self.places[pair] = count, [where]
+
+    def _grouped(self, at: np.ndarray) -> Iterator[tuple[tuple[int, int], int, np.ndarray]]:
+        """Pairs that begin at some places: each with its count and places."""
+        key = self.symbols[at].astype(np.int64) << 32 | self.symbols[self.after[at]]
+        order = np.argsort(key, kind="stable")
+        at, key = at[order], key[order]
+        first = np.nonzero(np.concatenate([[True], key[1:] != key[:-1]]))[0] if len(at) else np.zeros(0, dtype=np.int64)
+        sums = np.add.reduceat(self.times[self.word[at]], first) if len(at) else []
+        for k, n, where in zip(key[first].tolist(), np.asarray(sums).tolist(), np.split(at, first[1:]), strict=False):
+            yield (k >> 32, k & 0xFFFFFFFF), n, where
+
+    def merge(self, pair: tuple[int, int], new: int) -> set[tuple[int, int]]:
+        """Put ``new`` for a pair wherever it stands, left to right; the pairs whose counts may have changed."""
+        a, b = pair
+        at = np.unique(np.concatenate(self.places.pop(pair)))
+        at = at[(self.symbols[at] == a) & (self.after[at] >= 0)]
+        at = at[self.symbols[self.after[at]] == b]
+        if a == b and len(at):
+            # In a run of equal symbols every other pair is merged.
+            begins = np.concatenate([[True], self.after[at[:-1]] != at[1:]])
+            run = np.maximum.accumulate(np.where(begins, np.arange(len(at)), 0))
+            at = at[(np.arange(len(at)) - run) % 2 == 0]
+        gone = self.after[at]
+        left, right = self.before[at], self.after[gone]
+        near = np.unique(np.concatenate([left[left >= 0], at, gone]))
+        touched: set[tuple[int, int]] = set()
+        for p, n, _ in self._grouped(near[self.after[near] >= 0]):
+            self.counts[p] -= n
+            touched.add(p)
+        self.symbols[at], self.symbols[gone], self.after[at] = new, -1, right
+        self.before[right[right >= 0]] = at[right >= 0]
+        near = near[self.symbols[near] >= 0]
+        for p, n, where in self._grouped(near[self.after[near] >= 0]):
+            self.counts[p] = self.counts.get(p, 0) + n
+            touched.add(p)
+            if new in p:
+                self.places.setdefault(p, []).append(where)
+        for p in touched:
+            if not self.counts[p]:
+                del self.counts[p]
+        return touched
 
 
 def train(words: list[tuple[bytes, int]], vocab_size: int, specials: tuple[str, ...] = (), tie_breaking: str = "huggingface") -> Trained:
@@ -75,55 +135,100 @@ def train(words: list[tuple[bytes, int]], vocab_size: int, specials: tuple[str,
     """
     vocab = [bytes([b]) for b in range(256)] + [s.encode() for s in specials]
     key = _tie_key(tie_breaking, vocab)
-    symbols = [list(w) for w, _ in sorted(words)]
-    times = [n for _, n in sorted(words)]
-    count: dict[tuple[int, int], int] = defaultdict(int)
-    where: dict[tuple[int, int], set[int]] = defaultdict(set)
-    for i, word in enumerate(symbols):
-        for pair in zip(word, word[1:]):
-            count[pair] += times[i]
-            where[pair].add(i)
-    heap = [(-n, key(p), p) for p, n in count.items()]
+    corpus = Corpus([w for w, _ in words], [n for _, n in words])
+    heap = [(-n, key(p), p) for p, n in corpus.counts.items()]
     heapq.heapify(heap)
     merges: list[tuple[int, int, int]] = []
     while len(vocab) < vocab_size and heap:
         n, _, pair = heapq.heappop(heap)
-        if -n != count.get(pair, 0) or n >= 0:
+        if -n != corpus.counts.get(pair, 0) or n >= 0:
             continue
         new = len(vocab)
         vocab.append(vocab[pair[0]] + vocab[pair[1]])
         merges.append((*pair, new))
-        touched = set()
-        for i in where.pop(pair):
-            word = symbols[i]
-            for p in zip(word, word[1:]):
-                count[p] -= times[i]
-                touched.add(p)
-            symbols[i] = rewrite(word, pair, new)
-            for p in zip(symbols[i], symbols[i][1:]):
-                count[p] += times[i]
-                where[p].add(i)
-                touched.add(p)
-        for p in touched:
-            if count[p] > 0:
-                heapq.heappush(heap, (-count[p], key(p), p))
-            else:
-                count.pop(p, None)
+        for p in corpus.merge(pair, new):
+            if p in corpus.counts:
+                heapq.heappush(heap, (-corpus.counts[p], key(p), p))
+    return Trained(tuple(vocab), tuple(merges), tuple(specials))
+
+
+WORDS = "word binary, cnt long"
+
+
+def _pairs(words: DataFrame, merges: list[tuple[int, int, int]]) -> DataFrame:
+    """(left, right, cnt) of a table of words (word, cnt) after merges, in the order of these."""
+    ship(words.sparkSession)
+    ranks = {}
+    for rank, (a, b, new) in enumerate(merges):
+        ranks.setdefault((a, b), (rank, new))
+    shared = words.sparkSession.sparkContext.broadcast(ranks)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: Counter = Counter()
+            for word, n in zip(batch.column("word").to_pylist(), batch.column("cnt").to_pylist(), strict=True):
+                symbols = merge(list(word), shared.value)
+                for p in zip(symbols, symbols[1:]):
+                    found[p] += n
+            cols = [[a for a, _ in found], [b for _, b in found], list(found.values())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int32(), pa.int64()), strict=True)], names=["left", "right", "cnt"])
+
+    return words.mapInArrow(work, "left int, right int, cnt long").groupBy("left", "right").agg(F.sum("cnt").alias("cnt"))
+
+
+def train_distributed(words: DataFrame, vocab_size: int, specials: tuple[str, ...] = (), tie_breaking: str = "huggingface", most_pairs: int = 1000) -> Trained:
+    """The same merges from a table of words (word binary, cnt long) that stays distributed.
+
+    A round counts all pairs under the merges so far and takes the most
+    frequent ones as long as they share no symbol with one before them, taken
+    or not: such merges change no other's count, and a pair that one of them
+    makes is at most as frequent as one that was passed over.  The driver gets
+    ``most_pairs`` pairs a round, and all that tie with the last of them.
+    """
+    vocab = [bytes([b]) for b in range(256)] + [s.encode() for s in specials]
+    key = _tie_key(tie_breaking, vocab)
+    merges: list[tuple[int, int, int]] = []
+    while len(vocab) < vocab_size:
+        pairs = _pairs(words, merges)
+        top = pairs.orderBy(F.desc("cnt")).limit(most_pairs)
+        least = F.broadcast(top.agg(F.min("cnt").alias("least"), F.count("*").alias("n")))
+        found = pairs.join(least, F.col("cnt") >= F.col("least")).select("left", "right", "cnt", "n").collect()
+        if not found:
+            break
+        ranked = sorted(((-r["cnt"], key((r["left"], r["right"])), (r["left"], r["right"])) for r in found))
+        complete = found[0]["n"] < most_pairs
+        taken, seen = [], set()
+        for n, _, pair in ranked:
+            if seen.intersection(pair):
+                break
+            taken.append((n, pair))
+            seen.update(pair)
+        else:
+            n = None if complete else ranked[-1][0]
+        # What the first one passed over, or one that was not collected, may bring forth is as frequent as it at most.
+        sure = [pair for m, pair in taken if n is None or m < n] or [ranked[0][2]]
+        for pair in sure[: vocab_size - len(vocab)]:
+            merges.append((*pair, len(vocab)))
+            vocab.append(vocab[pair[0]] + vocab[pair[1]])
     return Trained(tuple(vocab), tuple(merges), tuple(specials))
 
 
-def train_bpe(df: DataFrame, vocab_size: int, specials: tuple[str, ...] = (), tie_breaking: str = "huggingface", separator: str | None = None, text: str = "text", scheme: str = DEFAULT, least_count: int = 1) -> Trained:
+def train_bpe(df: DataFrame, vocab_size: int, specials: tuple[str, ...] = (), tie_breaking: str = "huggingface", separator: str | None = None, text: str = "text", scheme: str = DEFAULT, least_count: int = 1, most_words: int = MOST_WORDS) -> Trained:
     """Train on a table of texts.
 
     ``separator`` parts each text into documents first.  The count is
-    distributed; the driver holds the distinct words, at most MOST_WORDS of
-    them.  Words rarer than ``least_count`` are left out.
+    distributed.  Up to ``most_words`` distinct words are merged on the driver,
+    more of them by rounds of Spark jobs, with the same result.  Words rarer
+    than ``least_count`` are left out.
     """
     _tie_key(tie_breaking, [])
     docs = df.select(F.explode(split_docs(F.col(text), separator)).alias("text")) if separator else df.select(F.col(text).alias("text"))
     counted = pretoken_counts(docs, "text", scheme).where(F.col("cnt") >= least_count)
-    found = counted.limit(MOST_WORDS + 1).toPandas()
-    if len(found) > MOST_WORDS:
-        raise ValueError(f"more than {MOST_WORDS} distinct words; raise least_count")
-    words = [(w.encode(), int(n)) for w, n in zip(found["pretoken"], found["cnt"], strict=True)]
-    return train(words, vocab_size, specials, tie_breaking)
+    words = counted.select(F.col("pretoken").cast("binary").alias("word"), "cnt").persist()
+    try:
+        if words.count() > most_words:
+            return train_distributed(words, vocab_size, specials, tie_breaking)
+        found = words.toArrow()
+    finally:
+        words.unpersist()
+    return train(list(zip(found.column("word").to_pylist(), found.column("cnt").to_pylist(), strict=True)), vocab_size, specials, tie_breaking)

@@ -187,6 +187,17 @@ def test_counts_weights_and_pairs(spark):
     assert [tuple(r) for r in counts.pair_counts(words).collect()] == [(1, 1, 10)]
 
 
+def rewrite(word, pair, new):
+    """A word with a pair merged, left to right."""
+    out = []
+    for x in word:
+        if out and (out[-1], x) == pair:
+            out[-1] = new
+        else:
+            out.append(x)
+    return out
+
+
 def naive(words, size, specials, key):
     vocab, words, merges = [bytes([b]) for b in range(256)] + [s.encode() for s in specials], [(list(w), n) for w, n in words], []
     while len(vocab) < size:
@@ -198,11 +209,22 @@ def naive(words, size, specials, key):
             break
         best = min(count, key=lambda p: (-count[p], key(p, vocab)))
         merges.append((*best, len(vocab)))
-        words = [(train.rewrite(w, best, len(vocab)), n) for w, n in words]
+        words = [(rewrite(w, best, len(vocab)), n) for w, n in words]
         vocab.append(vocab[best[0]] + vocab[best[1]])
     return merges
 
 
+def test_distributed_training_equals_that_on_the_driver(spark):
+    """Few letters, so that pairs tie, overlap and share symbols; rounds of few pairs; more merges asked for than there are."""
+    rng = random.Random(6)
+    for k, most in enumerate((2, 5, 1000)):
+        words = Counter(bytes(rng.choice(b"aab ") for _ in range(rng.randint(1, 7))) for _ in range(40))
+        table = spark.createDataFrame([(bytearray(w), n) for w, n in words.items()], "word binary, cnt long")
+        for tie in train.TIES[: k + 1]:
+            size = 256 + (12 if k else 400)
+            assert train.train_distributed(table, size, (), tie, most) == train.train(list(words.items()), size, (), tie)
+
+
 @pytest.mark.parametrize("tie", train.TIES)
 def test_training_equals_recounting(tie):
     from sparktok.plans.loaders import byte_alphabet
@@ -222,6 +244,8 @@ def test_training_on_a_table(spark, sf):
     got = train.train_bpe(docs, 256 + 15, ("<s>",))
     words = Counter(w.encode() for r in docs.collect() for w in regex.findall(schemes.PATTERNS["gpt2"][0], r["text"]))
     assert got == train.train(list(words.items()), 256 + 15, ("<s>",)) and len(got.merges) == 14
+    for tie in train.TIES:
+        assert train.train_bpe(docs, 256 + 40, ("<s>",), tie, most_words=100) == train.train_bpe(docs, 256 + 40, ("<s>",), tie)
     assert train.train([], 100).vocab == tuple(bytes([b]) for b in range(256))
     with pytest.raises(ValueError):
         train.train_bpe(docs, 300, tie_breaking="coin")
