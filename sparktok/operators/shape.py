@@ -59,18 +59,26 @@ class Padding:
 def pad(df: DataFrame, rule: Padding, ids: str = "ids") -> DataFrame:
     """``df`` with rows of one width in ``ids``, and ``length`` and ``mask``.
 
-    Width: ``max_length`` with ``pad_to_max_length``, else the longest row,
-    which one aggregate finds; a row longer than ``max_length`` is an error.
+    Width: ``max_length`` with ``pad_to_max_length``; nothing runs then, and a
+    longer row is an error when it is met.  Else the longest row, which one
+    aggregate finds at once; if that is longer than ``max_length``, it is an
+    error here.
     """
     room = rule.room
     inner = truncate(F.col(ids), room, rule.truncate_left) if rule.truncate else F.col(ids)
     wrapped = df.withColumn(ids, F.concat(_array(rule.prefix), inner, _array(rule.suffix))).withColumn("length", F.size(ids).cast("long"))
-    longest = wrapped.agg(F.max("length")).first()[0] or 0
-    if rule.max_length is not None and longest > rule.max_length:
-        raise ValueError(f"a row has {longest} tokens, max_length is {rule.max_length}")
-    width = rule.max_length if rule.pad_to_max_length else longest
-    empty = F.array_repeat(F.lit(rule.pad_id).cast("int"), (F.lit(width) - F.col("length")).cast("int"))
-    ones, zeros = F.array_repeat(F.lit(1), F.col("length").cast("int")), F.array_repeat(F.lit(0), (F.lit(width) - F.col("length")).cast("int"))
+    if rule.pad_to_max_length:
+        width = rule.max_length
+        if not rule.truncate:
+            message = F.concat(F.lit("a row has "), F.col("length").cast("string"), F.lit(f" tokens, max_length is {width}"))
+            wrapped = wrapped.withColumn("length", F.when(F.col("length") > width, F.raise_error(message).cast("long")).otherwise(F.col("length")))
+    else:
+        width = wrapped.agg(F.max("length")).first()[0] or 0
+        if rule.max_length is not None and width > rule.max_length:
+            raise ValueError(f"a row has {width} tokens, max_length is {rule.max_length}")
+    missing = (F.lit(width) - F.col("length")).cast("int")
+    empty = F.array_repeat(F.lit(rule.pad_id).cast("int"), missing)
+    ones, zeros = F.array_repeat(F.lit(1), F.col("length").cast("int")), F.array_repeat(F.lit(0), missing)
     pieces = (empty, F.col(ids)) if rule.pad_left else (F.col(ids), empty)
     marks = (zeros, ones) if rule.pad_left else (ones, zeros)
     return wrapped.withColumn("mask", F.concat(*marks)).withColumn(ids, F.concat(*pieces))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -68,6 +68,23 @@ class TokenizerModel:
     def merge_bytes(self) -> list[tuple[bytes, bytes]]:
         return [(self.vocab[a], self.vocab[b]) for a, b, _ in self.merges]
 
+    def with_added(self, *tokens: AddedToken) -> TokenizerModel:
+        """This model with more added tokens, whose contents stand in the vocabulary at their ids."""
+        vocab = list(self.vocab)
+        for t in tokens:
+            if t.id < 0 or not t.content:
+                raise ValueError(f"an added token has a content and an id from 0, not {t.content!r} and {t.id}")
+            vocab += [b""] * (t.id + 1 - len(vocab))
+            vocab[t.id] = t.content.encode()
+        return replace(self, vocab=tuple(vocab), added=(*self.added, *tokens))
+
+    def with_options(self, **changes) -> TokenizerModel:
+        """This model with another scheme, normalization or rule of merges."""
+        allowed = {"scheme", "nfc", "prefix_space", "ignore_merges", "steps", "metaspace"}
+        if not set(changes) <= allowed:
+            raise ValueError(f"options are {', '.join(sorted(allowed))}, not {', '.join(sorted(set(changes) - allowed))}")
+        return replace(self, **changes)
+
     def special_tokens(self) -> dict[str, int]:
         return {t.content: t.id for t in self.added if t.special}
 

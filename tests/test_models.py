@@ -7,7 +7,7 @@ import pytest
 from sparktok.operators.encoder import decode, encoder
 from sparktok.operators.merging import _merge_long, merge
 from sparktok.plans import loaders
-from sparktok.plans.model import Metaspace
+from sparktok.plans.model import AddedToken, Metaspace
 
 
 def byte_json(vocab=(), merges=(), added=(), pre=None, normalizer=None, **model) -> str:
@@ -158,3 +158,14 @@ def test_merging_short_and_long_agree():
                 fresh += 1
         word = [rng.randrange(6) for _ in range(rng.randint(2, 60))]
         assert merge(word, ranks) == _merge_long(word, ranks)
+
+
+def test_models_with_changes():
+    base = loaders.load_hf_json(byte_json())
+    more = base.with_added(AddedToken("<x>", base.vocab_size + 3, special=True))
+    assert more.vocab_size == base.vocab_size + 4 and more.vocab[-1] == b"<x>" and more.digest != base.digest
+    assert encoder(more)("a<x>b") == [97, more.vocab_size - 1, 98] and len(encoder(base)("<x>")) == 3 and more.special_tokens()["<x>"] == more.vocab_size - 1
+    assert encoder(base.with_options(prefix_space=True))("a") == [32, 97]
+    for bad in (lambda: base.with_added(AddedToken("", 5)), lambda: base.with_added(AddedToken("a", -1)), lambda: base.with_options(vocab=())):
+        with pytest.raises(ValueError):
+            bad()

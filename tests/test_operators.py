@@ -88,6 +88,8 @@ def test_padding(spark):
     for bad in (shape.Padding(0, 1, prefix=(1, 2)), shape.Padding(0, truncate=True), shape.Padding(0, 3)):
         with pytest.raises(ValueError):
             shape.pad(df, bad)
+    with pytest.raises(Exception, match="a row has 5 tokens, max_length is 3"):
+        shape.pad(df, shape.Padding(0, 3, True)).collect()
 
 
 def test_wrapping(spark):
