@@ -128,6 +128,68 @@ def test_pieces_overlap_and_reach_the_end():
     assert len(got) > 5 and got[0] + b"".join(p[100:] for p in got[1:]) == data and list(secrets.pieces(b"none")) == []
 
 
+def plain_layers(text, depth=0):
+    """All that a text holds, decoded by other means: each encoding tried on each run of its characters, recursively."""
+    yield text
+    if depth > 6:
+        return
+    found = set()
+    if "%" in text:
+        found.add(urllib.parse.unquote(text))
+    if "\\" in text:
+        pairs = re.sub(r"\\u([dD][89abAB][0-9a-fA-F]{2})\\u([dD][c-fC-F][0-9a-fA-F]{2})", lambda m: (bytes.fromhex(m[1]) + bytes.fromhex(m[2])).decode("utf-16-be"), text)
+        found.add(re.sub(r"\\(?:u([0-9a-fA-F]{4})|x([0-9a-fA-F]{2}))", lambda m: chr(int(m[1] or m[2], 16)), pairs))
+    for run in re.findall(r"[A-Za-z0-9+/_-]{16,}", text):
+        for part in {run, *re.split(r"[/_-]", run)}:
+            data = base64.urlsafe_b64decode(part.replace("+", "-").replace("/", "_") + "=" * (-len(part) % 4)) if len(part) % 4 != 1 else b""
+            for unpack in (bytes, zlib.decompress, gzip.decompress):
+                try:
+                    found.add(unpack(data).decode())
+                except (ValueError, OSError, EOFError, zlib.error):
+                    pass
+    for inner in found - {text, ""}:
+        yield from plain_layers(inner, depth + 1)
+
+
+def holds_secret(text):
+    return any(secrets.scan(x) for x in plain_layers(text))
+
+
+WRAP = {
+    "percent": lambda t: "".join(f"%{b:02X}" for b in t.encode()),
+    "quoted": urllib.parse.quote,
+    "unicode": lambda t: "".join(f"\\u{ord(c):04x}" for c in t),
+    "bytes": lambda t: "".join(f"\\x{ord(c):02x}" for c in t),
+    "base64": lambda t: base64.b64encode(t.encode()).decode(),
+    "url-safe": lambda t: base64.urlsafe_b64encode(t.encode()).decode(),
+    "zlib": lambda t: base64.b64encode(zlib.compress(t.encode())).decode(),
+    "gzip": lambda t: base64.b64encode(gzip.compress(t.encode(), mtime=0)).decode(),
+}
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_nested_layers_hold_no_secret_that_is_not_found(seed):
+    """Secrets wrapped one to four times, several and some of them repeated in a text: each place is found and blotted out."""
+    rng = random.Random(seed)
+    kinds = {"assign": lambda: f"{rng.choice(('password', 'API_KEY', 'token'))}{rng.choice((' = ', ': ', '='))}{''.join(rng.choices('abcdefXYZ0123456789', k=rng.randint(8, 20)))}", "access": lambda: "AKIA" + "".join(rng.choices("ABCDEFGH0123456789", k=16)), "hex": lambda: "".join(rng.choices("0123456789abcdef", k=40))}
+    wrapped = []
+    for _ in range(3):
+        text = kinds[rng.choice(list(kinds))]()
+        for _ in range(rng.randint(1, 4)):
+            text = WRAP[rng.choice(list(WRAP))](f"{rng.choice(('', 'note '))}{text}{rng.choice(('', ' end'))}" if rng.random() < 0.5 else text)
+        wrapped.append(text)
+    parts, places = [], []
+    for text in rng.sample(wrapped * 2, 6):
+        parts.append(f"{rng.choice(('Some words here', 'key', '<<', '%zz', 'a/b'))} ")
+        places.append((sum(map(len, parts)), text))
+        parts += [text, rng.choice((" ", "\n", " ; "))]
+    whole = "".join(parts)
+    assert all(whole[a : a + len(t)] == t for a, t in places) and all(holds_secret(t) for _, t in places)
+    spans = secrets.find(whole)[1]
+    assert all(any(a <= s[1] and s[2] <= a + len(t) for s in spans) for a, t in places)
+    assert not holds_secret(secrets.redact(whole, spans))
+
+
 def test_cycles_end_and_broken_layers_stay():
     for text in ("%25" * 50, "%2525252541", "A" * 500, b64(b"\x78\x9c broken"), "\\ud800\\u0041", "%ff%fe", ""):
         secrets.find(text)
