@@ -185,3 +185,9 @@ def joined(kinds) -> Column:
     """kind:start:end of all spans, by kind as listed and start."""
     spans = F.concat(*(F.col(k.name) for k in kinds))
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+
+
+def scores(kinds) -> Column:
+    """Scores of all spans in hundredths, in the same order."""
+    spans = F.concat(*(F.col(k.name) for k in kinds))
+    return F.array_join(F.transform(spans, lambda x: F.round(x["score"] * 100).cast("int").cast("string")), ",")

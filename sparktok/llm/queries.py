@@ -75,9 +75,9 @@ SELECT *, NOT base_failed AND {_RULES} AS kept FROM b
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts and digests of the personal data in every document."""
+    """Counts and digests of the personal data in every document, and the score of each span in hundredths."""
     found = pii.find(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", *(F.size(k.name).cast("long").alias(f"n_{k.name}") for k in pii.BASE), F.sha2(pii.joined(pii.BASE), 256).alias("base_sha256"), pii.joined((*pii.BASE, *pii.MORE)).alias("spans"))
+    return found.select("doc_id", *(F.size(k.name).cast("long").alias(f"n_{k.name}") for k in pii.BASE), F.sha2(pii.joined(pii.BASE), 256).alias("base_sha256"), pii.joined((*pii.BASE, *pii.MORE)).alias("spans"), pii.scores((*pii.BASE, *pii.MORE)).alias("scores"))
 
 
 def _spans_sql(kind: str, pattern: str, keep: str) -> str:
@@ -104,17 +104,24 @@ def _op5_sql() -> str:
         before = f"lower(substring(t, greatest(a - {pii.CONTEXT_BEFORE}, 0) + 1, a - greatest(a - {pii.CONTEXT_BEFORE}, 0)))"
         return f"(regexp_matches({before}, '{near}') OR regexp_matches(lower(substring(t, b + 1, {pii.CONTEXT_AFTER})), '{near}'))"
 
+    def score(k: pii.Kind) -> str:
+        checked = pii.CHECKSUM_BONUS if k.name in ("card", "iban") else 0
+        near = f" + CASE WHEN {context(k)} THEN {round(100 * pii.CONTEXT_BONUS)} ELSE 0 END" if k.context else ""
+        return f"least(100, {round(100 * (k.base + checked))}{near})"
+
     parts = [_spans_sql(k, p, keep) for k, (p, keep) in base.items()]
     free = "NOT regexp_matches((CASE WHEN a > 0 THEN substring(t, a, 1) ELSE '' END) || chr(10) || substring(t, b + 1, 1), '[A-Za-z0-9+-]') AND NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = x.doc_id AND b.a < x.b AND x.a < b.b)"
-    more = [f"SELECT doc_id, kind, a, b FROM ({_spans_sql(k.name, k.pattern, mod97 if k.name == 'iban' else 'true')}) x WHERE {free}{'' if k.name == 'iban' else ' AND ' + context(k)}" for k in pii.MORE]
+    more = [f"SELECT doc_id, kind, a, b, {score(k)} AS score FROM ({_spans_sql(k.name, k.pattern, mod97 if k.name == 'iban' else 'true')}) x WHERE {free}{'' if k.name == 'iban' else ' AND ' + context(k)}" for k in pii.MORE]
+    scored = "CASE kind " + " ".join(f"WHEN '{k.name}' THEN {score(k)}" for k in pii.BASE) + " END"
     order = ", ".join(f"'{k.name}'" for k in (*pii.BASE, *pii.MORE))
     counts = ", ".join(f"count(*) FILTER (kind = '{k}' AND NOT added)::BIGINT AS n_{k}" for k in base)
-    joined = f"string_agg(kind || ':' || a || ':' || b, ',' ORDER BY list_position([{order}], kind), a)"
+    in_order = f"',' ORDER BY list_position([{order}], kind), a"
+    joined = f"string_agg(kind || ':' || a || ':' || b, {in_order})"
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 b AS ({' UNION ALL '.join(f'({p})' for p in parts)}),
-s AS (SELECT doc_id, kind, a, b, false AS added FROM b UNION ALL SELECT *, true FROM ({' UNION ALL '.join(f'({p})' for p in more)}))
-SELECT d.doc_id, {counts}, sha256(coalesce({joined} FILTER (NOT added), '')) AS base_sha256, coalesce({joined}, '') AS spans FROM d LEFT JOIN s ON s.doc_id = d.doc_id GROUP BY d.doc_id
+s AS (SELECT doc_id, kind, a, b, {scored} AS score, false AS added FROM b UNION ALL SELECT *, true FROM ({' UNION ALL '.join(f'({p})' for p in more)}))
+SELECT d.doc_id, {counts}, sha256(coalesce({joined} FILTER (NOT added), '')) AS base_sha256, coalesce({joined}, '') AS spans, coalesce(string_agg(score::INTEGER::VARCHAR, {in_order}), '') AS scores FROM d LEFT JOIN s ON s.doc_id = d.doc_id GROUP BY d.doc_id
 """
 
 
