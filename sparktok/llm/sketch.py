@@ -118,25 +118,28 @@ def messages(chunk: int, h: np.ndarray, shape: Shape) -> Iterator[tuple]:
 def merged(sent: DataFrame, shape: Shape) -> DataFrame:
     """Merge messages by block; for each chunk its own cells that are repeated.
 
-    A block's two bit tables bound the memory; messages are read in batches.
+    A task holds a block's two tables, a byte for each cell, and its messages
+    as they are coded; they are read, and answered, a batch at a time.
     """
     size = shape.block_size
 
-    def merge(table: pa.Table) -> pa.Table:
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, twice = np.zeros(size, dtype=bool), np.zeros(size, dtype=bool)
-        once, more = table.column("once"), table.column("more")
-        for i in range(len(table)):
-            got = ef_decode(once[i].as_py())
-            twice[got[seen[got]]] = True
-            seen[got] = True
-            twice[ef_decode(more[i].as_py())] = True
-            seen |= twice
-        out = []
-        for i in range(len(table)):
-            got = np.sort(np.concatenate([ef_decode(once[i].as_py()), ef_decode(more[i].as_py())]))
-            out.append(ef_encode(got[twice[got]], size))
-        keep = pa.array([bool(x) for x in out])
-        return pa.table({"depth": table.column("depth"), "block": table.column("block"), "chunk": table.column("chunk"), "cells": pa.array(out, pa.binary())}).filter(keep)
+        held = []
+        for batch in batches:
+            held.append(batch)
+            for once, more in zip(batch.column("once"), batch.column("more"), strict=True):
+                got, several = ef_decode(once.as_py()), ef_decode(more.as_py())
+                twice[got[seen[got]]] = True
+                seen[got] = True
+                twice[several] = seen[several] = True
+        for batch in held:
+            out = []
+            for once, more in zip(batch.column("once"), batch.column("more"), strict=True):
+                got = np.sort(np.concatenate([ef_decode(once.as_py()), ef_decode(more.as_py())]))
+                out.append(ef_encode(got[twice[got]], size))
+            names = ["depth", "block", "chunk"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in names), pa.array(out, pa.binary())], names=[*names, "cells"]).filter(pa.array([bool(x) for x in out]))
 
     return sent.groupBy("depth", "block").applyInArrow(merge, REPLY)
 
