@@ -127,7 +127,12 @@ def score(docs: DataFrame, thresholds=THRESHOLDS) -> DataFrame:
 
     Null text counts as empty: no words, so it fails.  ``n_dup_lines`` are
     lines with a word that equal an earlier one; ``n_repeat_words`` are words
-    in 3-word windows found twice or more.  Rows are judged one by one:
+    in 3-word windows found twice or more.  Stop words are those of English,
+    German, French and Spanish, in lower case as they stand; a text in another
+    language fails by that rule, so its table of thresholds is to be another.
+    Windows are told apart by 64 bits less those of the text's word count: in
+    texts of millions of words, windows that share a hash with others that
+    repeat, in turn with them, may be missed.  Rows are judged one by one:
     repeated rows and null ids get a row each, an empty table none.  Other
     columns are left out, so their names don't matter.
     """
