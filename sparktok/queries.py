@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import base64
 import functools
+import tempfile
+import uuid
 from collections import Counter
 from collections.abc import Callable
 
@@ -13,12 +16,14 @@ from pyspark.sql import functions as F
 from .functions import normalize, schemes
 from .operators import counts, encode, scan, shape
 from .operators import train as training
-from .plans.loaders import byte_alphabet
+from .plans.loaders import byte_alphabet, load
 from .plans.model import AddedToken, Metaspace, TokenizerModel
 from .sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: Between documents of a file.
+END = "<|endoftext|>"
 SEPARATOR, PAD, PREFIX, SUFFIX, MAX_LENGTH = ". ", 0, (1, 2), (3,), 64
 FORBIDDEN = ["example.com", "token =", "qqqq", "\n"]
 LITERALS = ["the", "then", "<m>", "."]
@@ -440,6 +445,60 @@ def scan_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.BytesSource(["a<|sep|>b<|sep|><|sep|>c", "d"], "<|sep|>").read(spark).select("text")
 
 
+def _folder(spark: SparkSession, ending: str) -> str:
+    """A new folder in the one that driver and executors share (a local session may name none), gone when the session ends."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="sparktok-")
+    path = f"{shared.rstrip('/')}/sparktok-{uuid.uuid4().hex}{ending}"
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(there)
+    return path
+
+
+def _counted(texts: DataFrame) -> DataFrame:
+    return texts.groupBy(F.md5("text").alias("md5")).agg(F.count("*").alias("cnt"))
+
+
+def scan_text_sep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as plain text with a separator, and read again."""
+    path = _folder(spark, "")
+    docs(spark, sf_dir).select("text").write.option("lineSep", END).text(path)
+    return _counted(files.TextSource(path, END).read(spark))
+
+
+def scan_text_gz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, compressed."""
+    path = _folder(spark, "")
+    docs(spark, sf_dir).select("text").write.option("lineSep", END).option("compression", "gzip").text(path)
+    return _counted(files.TextSource(path, END).read(spark))
+
+
+def scan_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark items written as one file, and read as one document."""
+    path = _folder(spark, "")
+    table(spark, sf_dir, "benchmark").orderBy("item_id").coalesce(1).select("text").write.option("lineSep", END).text(path)
+    return _counted(files.resolve(path).read(spark))
+
+
+def scan_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as JSON lines, and read by the ending of the folder's name."""
+    path = _folder(spark, ".jsonl")
+    docs(spark, sf_dir).select(F.to_json(F.struct("doc_id", "text")).alias("value")).write.text(path)
+    return _counted(files.resolve(path).read(spark))
+
+
+def load_tiktoken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merges found again from a list of tokens by rank."""
+    tokens = [*(bytes([b]) for b in range(256)), b"th", b"he", b"the", b" the"]
+    with tempfile.NamedTemporaryFile("w", suffix=".tiktoken") as file:
+        file.write("".join(f"{base64.b64encode(t).decode()} {rank}\n" for rank, t in enumerate(tokens)))
+        file.flush()
+        return load(file.name).merges_table(spark)
+
+
 _NORMALIZERS: dict[str, tuple[Callable[[Column], Column], str]] = {
     "add_prefix_space": (normalize.add_prefix_space, "CASE WHEN t <> '' AND NOT starts_with(t, ' ') THEN ' ' || t ELSE t END"),
     "sp_prepend": (normalize.prepend, "CASE WHEN t <> '' THEN '▁' || t ELSE t END"),
@@ -455,7 +514,7 @@ def queries() -> dict[str, Query]:
     named = {f"pretok_{s}" if s != "gpt2" else "pretoken_counts_gpt2": _pretok(s)[0] for s in schemes.PATTERNS}
     found = (
         tokens_per_lang, conversation_token_counts, pretok_rows, bpe_encode_words, bpe_encode_docs, bpe_token_totals, bpe_decode_roundtrip, bpe_decode_udf, pair_counts, vocab, merges, vocab_size,
-        train_bpe, train_bpe_raw_ids, train_bpe_assembled_bytes, sp_encode, sp_decode, bpe_known_words, pad_truncate, pad_left, wrap_truncate, packed_offsets, limit_bytes, doc_split_sep, forbid_scan, substr_present, added_token_split, jsonl_field_extract, scan_parquet, scan_bytes,
+        train_bpe, train_bpe_raw_ids, train_bpe_assembled_bytes, sp_encode, sp_decode, bpe_known_words, pad_truncate, pad_left, wrap_truncate, packed_offsets, limit_bytes, doc_split_sep, forbid_scan, substr_present, added_token_split, jsonl_field_extract, scan_parquet, scan_bytes, scan_text, scan_text_sep, scan_text_gz, scan_jsonl, load_tiktoken,
     )
     return named | {"pretoken_topk_gpt2": pretoken_topk} | {f.__name__: f for f in found} | {k: _normalizer(step) for k, (step, _) in _NORMALIZERS.items()}
 
@@ -496,6 +555,11 @@ def oracle_sql() -> dict[str, str]:
         "added_token_split": f"SELECT doc_id, md5(array_to_string(list_filter(string_split(regexp_replace(text, '({literal})', chr(57345) || '\\1' || chr(57345), 'g'), chr(57345)), lambda x: x <> ''), '|')) AS md5 FROM documents",
         "jsonl_field_extract": "SELECT text, count(*)::BIGINT AS cnt FROM conversations GROUP BY text",
         "scan_parquet": "SELECT count(*)::BIGINT AS docs, sum(octet_length(encode(coalesce(text, ''))))::BIGINT AS bytes FROM documents",
+        "scan_text": f"SELECT md5(string_agg(text || {_quoted(END)}, '' ORDER BY item_id)) AS md5, 1::BIGINT AS cnt FROM benchmark",
+        "scan_text_sep": "SELECT md5(text) AS md5, count(*)::BIGINT AS cnt FROM documents WHERE text <> '' GROUP BY ALL",
+        "scan_text_gz": "SELECT md5(text) AS md5, count(*)::BIGINT AS cnt FROM documents WHERE text <> '' GROUP BY ALL",
+        "scan_jsonl": "SELECT md5(text) AS md5, count(*)::BIGINT AS cnt FROM documents GROUP BY ALL",
+        "load_tiktoken": 'SELECT rank::INTEGER AS rank, l::INTEGER AS "left", r::INTEGER AS "right", m::INTEGER AS merged FROM (VALUES (0, 116, 104, 256), (1, 104, 101, 257), (2, 256, 101, 258), (3, 32, 258, 259)) v(rank, l, r, m)',
         "scan_bytes": "SELECT text FROM (VALUES ('a'), ('b'), ('c'), ('d')) v(text)",
     }
     return out | {k: _normalizer_sql(sql) for k, (_, sql) in _NORMALIZERS.items()}

@@ -33,7 +33,10 @@ def _paths(paths) -> tuple[str, ...]:
 
 @dataclass(frozen=True)
 class TextSource:
-    """Whole files, or with ``separator`` the documents that it parts; empty documents are left out then."""
+    """Whole files, or with ``separator`` the documents that it parts; empty documents are left out then.
+
+    A file of no bytes is no document either: Spark's readers pass over it.
+    """
 
     paths: tuple[str, ...]
     separator: str | None = None
@@ -43,14 +46,13 @@ class TextSource:
         object.__setattr__(self, "separator", separator)
 
     def read(self, spark: SparkSession) -> DataFrame:
-        zst = any(detect_format(p)[1] == "zst" for p in self.paths)
-        if zst:
+        if any(detect_format(p)[1] == "zst" for p in self.paths):
             whole = _unpacked(spark, self.paths)
             docs = whole.select(F.explode(split_docs(F.col("text"), self.separator)).alias("text")) if self.separator else whole
-        elif self.separator:
-            docs = spark.read.option("lineSep", self.separator).text(list(self.paths)).where("value <> ''").withColumnRenamed("value", "text")
+        elif not self.separator:
+            docs = spark.read.text(list(self.paths), wholetext=True).withColumnRenamed("value", "text")
         else:
-            docs = spark.read.option("wholetext", True).text(list(self.paths)).withColumnRenamed("value", "text")
+            docs = spark.read.option("lineSep", self.separator).text(list(self.paths)).where("value <> ''").withColumnRenamed("value", "text")
         return _numbered(docs)
 
 

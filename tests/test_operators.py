@@ -285,6 +285,21 @@ def test_all_formats_read_the_same(spark, corpus):
     assert texts(files.BytesSource(["a,b", ",c"], ",").read(spark)) == ["a", "b", "c"]
 
 
+def test_documents_of_several_lines(spark, tmp_path):
+    """Whole files and parted ones keep their line ends; a file of no bytes is no document."""
+    parts = ["a\nb\r\n", "\n", "c\n\nd"]
+    for name, data in (("m.txt", END.join(parts)), ("e.txt", "")):
+        (tmp_path / name).write_bytes(data.encode())
+        (tmp_path / f"{name}.gz").write_bytes(gzip.compress(data.encode()))
+        with pa.CompressedOutputStream(str(tmp_path / f"{name}.zst"), "zstd") as out:
+            out.write(data.encode())
+    for ending in ("", ".gz", ".zst"):
+        assert texts(files.TextSource(tmp_path / f"m.txt{ending}").read(spark)) == [END.join(parts)]
+        assert texts(files.TextSource(tmp_path / f"m.txt{ending}", END).read(spark)) == parts
+        assert texts(files.TextSource(tmp_path / f"e.txt{ending}").read(spark)) == ([""] if ending else [])
+        assert texts(files.TextSource(tmp_path / f"e.txt{ending}", END).read(spark)) == []
+
+
 def test_source_errors(spark, corpus, tmp_path):
     with pytest.raises(ValueError, match="there are: text"):
         files.ParquetSource(corpus / "d.parquet", "nope").read(spark)
