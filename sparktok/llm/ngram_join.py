@@ -7,10 +7,13 @@
 3. Sorted neighbourhoods under a few smallest hashes give exact links that
    join up large groups of near copies without looking at all of their pairs.
 4. Whatever could still link two components shares a token of the prefixes
-   (the rarest tokens, 1 - t of a set).  Their owners meet in tiles of one
-   token and one band of sizes; the bit counts of hashed parity bitmaps bound
-   the overlap from above, and pairs that pass are intersected exactly as
-   sorted arrays: first one pair of any two components, then all that are left.
+   (1 - t of a set, the rarest tokens by a table of hashed counts).  Their
+   owners meet in tiles of one token and one band of sizes; where these are
+   many, they are parted into blocks and a tile is of two blocks, so that no
+   task gets all of a frequent token.  The bit counts of hashed parity bitmaps
+   bound the overlap from above, and pairs that pass are intersected exactly
+   as sorted arrays: first one pair of any two components, then all that are
+   left.
 
 No step emits the pairs of a group: 3 emits a link or two for each document,
 and 4 only pairs between different components that the bitmaps let through.
@@ -34,10 +37,17 @@ SHINGLE, PERCENT = 4, 85
 BYTES_A_WORD = 6
 SEEDS = tuple(np.uint64(x) for x in (0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F))
 RECENT = 24
-BLOCK = 512
-
+#: Rows of a token and band in one block, of which a tile has two at most; each row is sent once for each block.
+#: No more blocks than MOST_BLOCKS: beyond that they grow.  STRIP rows at a time are compared with all others of a tile.
+BLOCK, MOST_BLOCKS, STRIP = 512, 128, 512
+#: Hashed counts of tokens, which put the prefixes in order: one table of 4 MB, whatever the corpus.
+COUNTERS = 1 << 20
+#: Tables of counts that the driver adds up.
+TEAMS = 4
+
+TILE = ("token", "band", "i", "j")
 FOUND = "rid long, doc_id long, n int, f1 long, f2 long, shingles binary"
-NEAR = "rid long, n int, shingles binary, tokens array<long>, n_index int, bits binary, m0 long, m1 long, m2 long"
+NEAR = "rid long, n int, shingles binary, shared binary, bits binary, m0 long, m1 long, m2 long"
 
 
 def ceil_div(a, b):
@@ -141,28 +151,80 @@ def _first_pass(chunks: DataFrame, told: DataFrame, shape: sketch.Shape, n: int,
 
 
 def _near(sets: DataFrame, told: DataFrame, shape: sketch.Shape, rule: Rule) -> DataFrame:
-    names = ["rid", "n", "shingles", "tokens", "n_index", "bits", "m0", "m1", "m2"]
-    kinds = [pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.int32(), pa.binary(), *[pa.int64()] * 3]
+    """Sets of which enough may occur elsewhere; ``shared`` has these tokens, in the order of their hashes."""
+    names = ["rid", "n", "shingles", "shared", "bits", "m0", "m1", "m2"]
+    kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), *[pa.int64()] * 3]
 
     def work(rows: pa.Table, reply: pa.Table) -> pa.Table:
         out = []
         repeated = sketch.Repeated(reply, shape) if len(reply) else None
         for rid, code in zip(rows.column("rid").to_pylist(), rows.column("shingles").to_pylist(), strict=True) if repeated else ():
             s = np.frombuffer(code, dtype=np.uint64)
-            n = len(s)
             shared = s[repeated(s)]
-            if len(shared) < rule.least_shared(n):
+            if len(shared) < rule.least_shared(len(s)):
                 continue
-            alone = n - len(shared)
-            tokens = _signed(shared[: max(0, rule.probe(n) - alone)])
             least = [int(_signed(words.mix(shared ^ x).min(keepdims=True))[0]) for x in SEEDS]
-            out.append((rid, n, code, tokens, max(0, rule.index(n) - alone), bitmap(s), *least))
+            out.append((rid, len(s), code, shared.tobytes(), bitmap(s), *least))
         cols = list(zip(*out, strict=True)) or [()] * len(names)
         return pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
     return sets.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(work, NEAR)
 
 
+def _counts(near: DataFrame, counters: int) -> np.ndarray:
+    """How many sets have tokens of each hash, added up by tasks, by a few teams and by the driver."""
+
+    def given(total: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([np.minimum(total, 0xFFFFFFFF).astype("<u4").tobytes()], pa.binary())], names=["counts"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(counters, dtype=np.int64)
+        for batch in batches:
+            every = np.frombuffer(b"".join(batch.column("shared").to_pylist()), dtype=np.uint64)
+            np.add.at(total, _counter(every, counters), 1)
+        yield given(total)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(counters, dtype=np.int64)
+        for batch in batches:
+            for x in batch.column("counts"):
+                total += np.frombuffer(x.as_py(), dtype="<u4")
+        yield given(total)
+
+    total = np.zeros(counters, dtype=np.int64)
+    for row in near.select("shared").mapInArrow(count, "counts binary").repartition(TEAMS).mapInArrow(add, "counts binary").collect():
+        total += np.frombuffer(row["counts"], dtype="<u4")
+    return np.minimum(total, 0xFFFFFFFF).astype(np.uint32)
+
+
+def _counter(tokens: np.ndarray, counters: int) -> np.ndarray:
+    return (tokens >> np.uint64(16)).astype(np.int64) & (counters - 1)
+
+
+def _prefixes(near: DataFrame, rule: Rule, counters: int) -> DataFrame:
+    """(token, rid, n, is_index) of each token of a set's prefix: the rarest by hashed counts, then the smallest.
+
+    Tokens that occur in no other set come before all others, whatever their count.
+    """
+    shared = near.sparkSession.sparkContext.broadcast(_counts(near, counters))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens, sizes, index = [np.zeros(0, dtype=np.uint64)], [], [np.zeros(0, dtype=bool)]
+            for n, code in zip(batch.column("n").to_pylist(), batch.column("shared").to_pylist(), strict=True):
+                s = np.frombuffer(code, dtype=np.uint64)
+                alone = n - len(s)
+                k = max(0, rule.probe(n) - alone)
+                s = s[np.argsort(shared.value[_counter(s, counters)], kind="stable")[:k]]
+                tokens.append(s)
+                sizes.append(len(s))
+                index.append(np.arange(len(s)) < rule.index(n) - alone)
+            rid, n = (np.repeat(batch.column(c).to_numpy(), sizes) for c in ("rid", "n"))
+            yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(tokens))), pa.array(rid, pa.int64()), pa.array(n, pa.int32()), pa.array(np.concatenate(index))], names=["token", "rid", "n", "is_index"])
+
+    return near.select("rid", "n", "shared").mapInArrow(work, "token long, rid long, n int, is_index boolean")
+
+
 def _neighbours(near: DataFrame, key: str, rule: Rule) -> DataFrame:
     """Exact links between documents close to each other in the order of (key, size)."""
 
@@ -192,19 +254,22 @@ def _neighbours(near: DataFrame, key: str, rule: Rule) -> DataFrame:
 def _tiles(entries: DataFrame, rule: Rule, best_only: bool) -> DataFrame:
     """Pairs of different components that meet in a tile and pass the bitmaps' bound.
 
+    A tile is of one token, one band and two blocks (i, j) of its rows, or one.
     ``entries`` is a written table, so that the repartition here is a shuffle of its own.
     ``best_only``: of the pairs of two components in a tile, the one with the highest bound.
     """
 
-    def tile(n, comp, rid, is_index, here, bits) -> Iterator[tuple[int, int]]:
+    def tile(n, comp, rid, is_index, here, block, bits) -> Iterator[tuple[int, int]]:
         width = min(map(len, bits))
+        one_block = block[0] == block.min() == block.max()
         packed = np.stack([np.frombuffer(x, dtype=np.uint8) if len(x) == width else folded(np.frombuffer(x, dtype=np.uint8), width) for x in bits]).view(np.uint64)
-        for a in range(0, len(n), BLOCK):
-            left = a + np.nonzero((is_index & here)[a : a + BLOCK])[0]
+        for a in range(0, len(n), STRIP):
+            left = a + np.nonzero((is_index & here)[a : a + STRIP])[0]
             if not len(left):
                 continue
             bigger = (n[None, :] > n[left, None]) | ((n[None, :] == n[left, None]) & (rid[None, :] > rid[left, None]))
-            i, j = np.nonzero(bigger & rule.sizes(n[left, None], n[None, :]) & (comp[left, None] != comp[None, :]))
+            met = (comp[left, None] != comp[None, :]) & (one_block | (block[left, None] != block[None, :]))
+            i, j = np.nonzero(bigger & met & rule.sizes(n[left, None], n[None, :]))
             i = left[i]
             differ = np.zeros(len(i), dtype=np.int64)
             for k in range(packed.shape[1]):
@@ -224,15 +289,18 @@ def _tiles(entries: DataFrame, rule: Rule, best_only: bool) -> DataFrame:
         held: list[pa.RecordBatch] = []
 
         def done(table: pa.Table, last: bool) -> tuple[list[tuple[int, int]], pa.Table]:
-            key = table.column("token").to_numpy(), table.column("band").to_numpy()
-            edges = [0, *(np.nonzero((np.diff(key[0]) != 0) | (np.diff(key[1]) != 0))[0] + 1).tolist(), len(table)]
+            changes = np.zeros(len(table) - 1, dtype=bool)
+            for c in TILE:
+                key = table.column(c).to_numpy()
+                changes |= key[1:] != key[:-1]
+            edges = [0, *(np.nonzero(changes)[0] + 1).tolist(), len(table)]
             out: set[tuple[int, int]] = set()
-            n, comp, rid = (table.column(c).to_numpy().astype(np.int64) for c in ("n", "comp", "rid"))
+            n, comp, rid, block = (table.column(c).to_numpy().astype(np.int64) for c in ("n", "comp", "rid", "block"))
             is_index, here, bits = table.column("is_index").to_numpy(), table.column("here").to_numpy(), table.column("bits").to_pylist()
             stop = len(edges) - 1 if last else len(edges) - 2
             for a, b in zip(edges[:stop], edges[1 : stop + 1], strict=True):
                 if b - a > 1:
-                    out.update(tile(n[a:b], comp[a:b], rid[a:b], is_index[a:b], here[a:b], bits[a:b]))
+                    out.update(tile(n[a:b], comp[a:b], rid[a:b], is_index[a:b], here[a:b], block[a:b], bits[a:b]))
             return list(out), table.slice(edges[stop]) if stop >= 0 else table
 
         def pairs(out: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -248,7 +316,8 @@ def _tiles(entries: DataFrame, rule: Rule, best_only: bool) -> DataFrame:
         if held:
             yield pairs(done(pa.Table.from_batches(held).combine_chunks(), True)[0])
 
-    order = entries.repartition("token", "band").sortWithinPartitions("token", "band", "rid")
+    # By ranges, which hold about as many rows each: by hash, several large tiles would meet in one task.
+    order = entries.repartitionByRange(*TILE).sortWithinPartitions(*TILE, "rid")
     return order.mapInArrow(work, "a long, b long")
 
 
@@ -322,17 +391,18 @@ def _joined(chunks: DataFrame, scratch: Scratch, n: int, percent: int, chunk_byt
 
     # A band is a hair wider than any partner can be larger, so partners are at most one band apart.
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.000001 / percent))).cast("int")
-    tokens = near.select("rid", "n", "n_index", F.posexplode("tokens").alias("place", "token"))
-    entries = scratch.stage(tokens.select("token", "rid", "n", (F.col("place") < F.col("n_index")).alias("is_index"), band.alias("own")))
+    entries = scratch.stage(_prefixes(near, rule, COUNTERS).withColumn("own", band))
     label = scratch.stage(near.select("rid").join(first.toDF("rid", "root"), "rid", "left").select("rid", F.coalesce("root", "rid").alias("comp")))
     # First one pair of any two components that meet, which joins most that belong together; then all that are left.
     for best_only in (True, False):
         labelled = entries.join(label, "rid")
         banded = labelled.withColumn("band", F.explode(F.array(F.col("own"), F.col("own") - 1))).withColumn("here", F.expr("band = own"))
-        several = banded.groupBy("token", "band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.bool_or(F.expr("here and is_index")).alias("any")).where("lo < hi and any").select("token", "band")
-        mixed = banded.join(several, ["token", "band"], "left_semi").join(near.select("rid", "bits"), "rid")
+        several = banded.groupBy("token", "band").agg(F.count("*").alias("k"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.bool_or(F.expr("here and is_index")).alias("any")).where("lo < hi and any")
+        several = scratch.stage(several.select("token", "band", F.least(F.ceil(F.col("k") / BLOCK), F.lit(MOST_BLOCKS)).cast("int").alias("blocks")))
+        mixed = banded.join(several, ["token", "band"]).withColumn("block", F.pmod(F.xxhash64("rid"), "blocks").cast("int"))
+        mixed = mixed.withColumn("tile", F.explode(F.expr("transform(sequence(0, blocks - 1), x -> struct(least(x, block) as i, greatest(x, block) as j))")))
         # Written first: Spark would take the join's partitions for those that _tiles asks for, and then split or localize them.
-        mixed = scratch.stage(mixed.select("token", "band", "rid", "n", "is_index", "here", "comp", "bits"))
+        mixed = scratch.stage(mixed.join(near.select("rid", "bits"), "rid").select("token", "band", "tile.i", "tile.j", "block", "rid", "n", "is_index", "here", "comp", "bits"))
         pairs = scratch.stage(_tiles(mixed, rule, best_only).distinct())
         more = _verified(pairs, near, rule)
         more = more.join(label.toDF("a", "src"), "a").join(label.toDF("b", "dst"), "b").select("src", "dst")
@@ -343,5 +413,6 @@ def _joined(chunks: DataFrame, scratch: Scratch, n: int, percent: int, chunk_byt
     rows = found.select("rid", "doc_id", F.col("n").alias("n_shingles"), "f1", "f2").join(kinds, ["f1", "f2"], "left")
     rows = rows.join(label.toDF("rep", "comp"), "rep", "left").withColumn("root", F.coalesce("comp", "rep", "rid"))
     rows = scratch.stage(rows.select("rid", "doc_id", "n_shingles", "root"))
-    least = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.min(F.struct("doc_id", "rid"))["rid"].alias("first_rid"))
+    # Written, so that the join is one of two tables, in which Spark splits the rows of a large component.
+    least = scratch.stage(rows.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.min(F.struct("doc_id", "rid"))["rid"].alias("first_rid")))
     return rows.join(least, "root").select("rid", "doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), F.col("first_rid").alias("root"), "component_id")
