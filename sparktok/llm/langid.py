@@ -33,8 +33,9 @@ BUCKETS, DIMENSIONS = 1 << 15, 16
 #: of each the driver gets a count for each bucket.
 MOST_LANGUAGES, PER_LANGUAGE, IN_ALL = 256, 700, 40_000
 EPOCHS, RATE = 12, 1.0
-#: Kept aside for calibration: one in so many; of those answered rightly this share may be rejected.
-ASIDE, REJECTED = 5, 0.002
+#: Kept aside for calibration: one in so many.  The threshold lies between the scores that these shares have: of whole
+#: texts answered rightly those that score less, of texts in strange letters those that score more.
+ASIDE, REJECTED, PASSED = 5, 0.002, 0.01
 UNKNOWN = "und"
 LETTER = regex.compile(r"\p{L}")
 #: First letters of other scripts in which a text can be written anew for calibration (fixed values: Greek, Cyrillic,
@@ -211,11 +212,12 @@ def train(samples: list[tuple[str, int, np.ndarray, np.ndarray]], seed: int = 1)
         met[buckets] += counts * weight[k]
     log_share = np.log((met + 0.5) / (met.sum() + 0.5 * BUCKETS))
     table = np.concatenate([e @ w, log_share[:, None]], axis=1).astype(np.float32)
-    return calibrated(Model(languages, table, bias, 1.0, (0.0, 1.0, 1.0), (0.0, 30.0), 0.0), [s for s in samples if s[1] != LEARN and s[0] in number] or use)
+    return calibrated(Model(languages, table, bias, 1.0, (0.0, 1.0, 1.0), (0.0, 30.0), 0.0), [s for s in samples if s[1] != LEARN and s[0] in number], use)
 
 
-def calibrated(model: Model, samples: list[tuple[str, int, np.ndarray, np.ndarray]]) -> Model:
-    """The model with temperature, familiarity and threshold from samples kept aside."""
+def calibrated(model: Model, aside: list[tuple[str, int, np.ndarray, np.ndarray]], use: list[tuple[str, int, np.ndarray, np.ndarray]]) -> Model:
+    """The model with temperature, familiarity and threshold from samples kept aside; without a whole text there, from those it learned from."""
+    samples = aside if any(s[1] == CHECK for s in aside) else use + aside
     kind, n = np.array([s[1] for s in samples]), np.array([int(s[3].sum()) for s in samples])
     means = np.array([(s[3] / s[3].sum()) @ model.table[s[2]] for s in samples], dtype=np.float64)
     truth, line = np.array([model.languages.index(s[0]) for s in samples]), np.arange(len(samples))
@@ -233,7 +235,9 @@ def calibrated(model: Model, samples: list[tuple[str, int, np.ndarray, np.ndarra
         model.curve = logistic(deviation(familiar, n, model.usual), known)
     best, score = model.judge(means, n)
     right = score[whole & (best == truth)]
-    model.threshold = min(0.5, float(np.quantile(right, REJECTED))) if len(right) else 0.5
+    least = float(np.quantile(right, REJECTED)) if len(right) else 0.5
+    most = float(np.quantile(score[~known], 1 - PASSED)) if not known.all() else least
+    model.threshold = min(0.5, least, max(most, (least * most) ** 0.5))
     return model
 
 
