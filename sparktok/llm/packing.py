@@ -5,11 +5,13 @@ is a histogram of at most ``capacity`` lengths.  The driver solves that and
 sends back patterns with multiplicities; every piece then finds its sequence
 from its rank among the pieces of its length.
 
-The solver takes the largest remaining length, enumerates undominated fillings
-of the room beside it, and applies the one that wastes least as often as the
-counts allow; what little is left is searched by branch and bound, pruned by
-the waste that a better answer can afford.  Best-fit decreasing is the first
-incumbent, of the whole and of that last part.
+The solver takes the largest remaining length, finds the undominated filling
+of the room beside it that wastes least, and applies it as often as the counts
+allow; what little is left is searched by branch and bound over all undominated
+fillings.  It begins anew for some lengths above which pieces are packed among
+themselves, which is the branch that the fullest filling rules out.  All of it
+is pruned by the waste that a better answer can afford.  Best-fit decreasing is
+the first incumbent, of the whole and of that last part.
 """
 
 from __future__ import annotations
@@ -32,8 +34,10 @@ from .scratch import Scratch
 
 CAPACITY = 2048
 END_ID = 0
-#: Items left to the exact search, and nodes that it may visit.
-TAIL_ITEMS, NODES = 120, 20_000
+#: Items left to the exact search, nodes that it may visit, and fillings that it takes at a node.
+TAIL_ITEMS, NODES, FILLINGS = 120, 20_000, 4000
+#: Lengths at which the solver begins anew, at most: coarse steps, then finer ones around the best.
+DIVES = 24
 #: Units that a worker remembers, twice: those of now and those of before.
 MEMO = 600_000
 
@@ -199,6 +203,8 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
 def fillings(items: list[int], room: int, least: int) -> list[tuple[int, ...]]:
     """Undominated sets of ``items`` (sorted, largest first) within ``room`` of at least ``least``; fullest first.
 
+    They are of the first FILLINGS sets that are found, those with large items.
+
     A set is dominated if some of it could be replaced by one larger item left
     out that still fits.
     """
@@ -206,7 +212,7 @@ def fillings(items: list[int], room: int, least: int) -> list[tuple[int, ...]]:
     rest = list(itertools.accumulate(reversed(items)))[::-1] + [0]
 
     def grow(k: int, chosen: tuple[int, ...], total: int) -> None:
-        if len(out) > 4000 or total + min(rest[k], room - total) < least:
+        if len(out) > FILLINGS or total + min(rest[k], room - total) < least:
             return
         while k < len(items) and items[k] > room - total:
             k += 1
@@ -281,61 +287,52 @@ class Completion:
                 return
 
 
-def _fill(n: np.ndarray, room: int) -> tuple[int, ...]:
-    """The fullest of the undominated fillings of up to three items; n: pieces left of each length."""
+def fullest(n: np.ndarray, room: int) -> tuple[int, ...]:
+    """A filling of ``room`` that no other exceeds, with as large items as that allows; n: pieces left of each length.
+
+    One, two or three items that leave no room are looked for first; else all
+    sums that any items give are followed, one bit each.
+    """
     there = np.nonzero(n[: room + 1])[0]
     if not len(there):
         return ()
     if there[-1] == room:
         return (room,)
-    upto = np.maximum.accumulate(np.where(n > 0, np.arange(len(n)), 0))
-
-    def pair(space: int, a: np.ndarray) -> tuple[int, tuple[int, ...]]:
-        """The fullest pair with its larger item among a."""
-        most = np.minimum(a, space - a)
-        b = upto[most]
-        same = (b == a) & (n[a] < 2)
-        b = np.where(same, upto[np.maximum(np.minimum(most, a - 1), 0)], b)
-        k = int(np.argmax(a + b + a / (4.0 * len(n))))
-        return int(a[k] + b[k]), (int(a[k]), int(b[k])) if b[k] else (int(a[k]),)
-
-    best = pair(room, there)
-    if best[0] < room:
-        for x in there[::-1][:48].tolist():
-            smaller = there[there <= min(x - 1, room - x)]
-            if len(smaller):
-                total, two = pair(room - x, smaller)
-                if total + x > best[0]:
-                    best = total + x, (x, *two)
-                    if best[0] == room:
-                        break
-        # What is still free is filled up with repeats of what fits.
-        chosen, space = list(best[1]), room - best[0]
-        taken = {x: chosen.count(x) for x in chosen}
-        while space and (x := int(upto[space])):
-            while x and n[x] <= taken.get(x, 0):
-                x = int(upto[x - 1])
-            if not x:
-                break
-            times = min(space // x, int(n[x]) - taken.get(x, 0))
-            chosen += [x] * times
-            taken[x] = taken.get(x, 0) + times
-            space -= times * x
-        return tuple(sorted(chosen, reverse=True))
-    return best[1]
-
 
-def solve(counts: dict[int, int], capacity: int = CAPACITY, tail_items: int = TAIL_ITEMS, nodes: int = NODES) -> list[Pattern]:
-    """Bins of a histogram of lengths as (how often, lengths); never more than best-fit decreasing takes."""
-    counts = {x: k for x, k in counts.items() if k}
-    if not counts:
-        return []
-    if min(counts) < 1 or max(counts) > capacity:
-        raise ValueError(f"lengths are from 1 to {capacity}")
-    incumbent = best_fit(counts, capacity)
-    bound = lower_bound(counts, capacity)
-    if bins(incumbent) == bound:
-        return incumbent
+    def pair(space: int, most: int, used: int) -> tuple[int, ...]:
+        """Two lengths of at most ``most`` that add up to ``space``, beside a piece of ``used``."""
+        a = there[(there <= min(most, space - 1)) & (2 * there >= space)]
+        need = np.where(2 * a == space, 2, 1)
+        ok = (n[space - a] >= need + (space - a == used)) & (n[a] >= need + (a == used))
+        return (int(a[ok][-1]), int(space - a[ok][-1])) if ok.any() else ()
+
+    if found := pair(room, room, 0):
+        return found
+    for x in there[::-1][:64].tolist():
+        if room - x > 1 and (found := pair(room - x, x, x)):
+            return (x, *found)
+    sums, layers = 1, []
+    inside = (1 << (room + 1)) - 1
+    lengths = there.tolist()
+    for x in lengths:
+        layers.append(sums)
+        for _ in range(min(int(n[x]), room // x)):
+            more = sums | (sums << x) & inside
+            if more == sums:
+                break
+            sums = more
+    goal, out = sums.bit_length() - 1, []
+    for x, before in zip(reversed(lengths), reversed(layers), strict=True):
+        k = min(int(n[x]), goal // x)
+        while k and not before >> (goal - k * x) & 1:
+            k -= 1
+        out += [x] * k
+        goal -= k * x
+    return tuple(out)
+
+
+def complete(counts: dict[int, int], capacity: int, spare: int, tail_items: int, nodes: int) -> list[Pattern] | None:
+    """Bins of a histogram by completion of the largest length, each filling as often as it can be; None once more than ``spare`` is wasted."""
     n = np.zeros(capacity + 1, dtype=np.int64)
     for x, k in counts.items():
         n[x] = k
@@ -343,16 +340,59 @@ def solve(counts: dict[int, int], capacity: int = CAPACITY, tail_items: int = TA
     while int(n.sum()) > tail_items:
         largest = int(np.nonzero(n)[0][-1])
         n[largest] -= 1
-        chosen = (largest, *_fill(n, capacity - largest))
+        chosen = (largest, *fullest(n, capacity - largest))
         n[largest] += 1
         uses = {x: chosen.count(x) for x in chosen}
         times = min(int(n[x]) // k for x, k in uses.items())
         for x, k in uses.items():
             n[x] -= times * k
         out.append((times, chosen))
+        spare -= times * (capacity - sum(chosen))
+        if spare < 0:
+            return None
     tail = [x for x in np.nonzero(n)[0].tolist() for _ in range(int(n[x]))]
-    out += [(1, items) for items in Completion(tail, capacity, nodes).solve()]
-    return out if bins(out) < bins(incumbent) else incumbent
+    return out + [(1, items) for items in Completion(tail, capacity, nodes).solve()]
+
+
+def solve(counts: dict[int, int], capacity: int = CAPACITY, tail_items: int = TAIL_ITEMS, nodes: int = NODES, dives: int = DIVES) -> list[Pattern]:
+    """Bins of a histogram of lengths as (how often, lengths); never more than best-fit decreasing takes."""
+    counts = {x: k for x, k in counts.items() if k}
+    if not counts:
+        return []
+    if min(counts) < 1 or max(counts) > capacity:
+        raise ValueError(f"lengths are from 1 to {capacity}")
+    best, bound = best_fit(counts, capacity), lower_bound(counts, capacity)
+    volume = sum(x * k for x, k in counts.items())
+    lengths, tried = sorted(counts), set()
+
+    def dive(top: int) -> int:
+        """Pack lengths above ``top`` among themselves and all others among themselves; how many bins that takes."""
+        nonlocal best
+        tried.add(top)
+        bins_now, spare = [], (bins(best) - 1) * capacity - volume
+        for part in ({x: k for x, k in counts.items() if x > top}, {x: k for x, k in counts.items() if x <= top}):
+            found = complete(part, capacity, spare, tail_items, nodes)
+            if found is None:
+                return bins(best) + 1
+            spare -= sum(times * (capacity - sum(items)) for times, items in found)
+            bins_now += found
+        if bins(bins_now) < bins(best):
+            best = bins_now
+        return bins(bins_now)
+
+    step, centre = len(lengths), len(lengths) - 1
+    while bins(best) > bound and len(tried) < dives:
+        step = max(1, step // 4)
+        near = [k for k in range(centre - 4 * step, centre + 4 * step + 1, step) if 0 <= k < len(lengths) and lengths[k] not in tried]
+        scores = {}
+        for k in near:
+            if bins(best) > bound and len(tried) < dives:
+                scores[k] = dive(lengths[k])
+        if scores and min(scores.values()) <= bins(best):
+            centre = min(scores, key=lambda k: (scores[k], -k))
+        if step == 1:
+            break
+    return best
 
 
 @dataclass
