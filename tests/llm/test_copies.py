@@ -31,10 +31,11 @@ def test_word_hashes_do_not_depend_on_where_a_word_stands():
 
 
 def test_components(spark):
+    """Chains, random links, a node with very many, links repeated, in both directions, to itself and to nothing."""
     rng = random.Random(1)
-    links = [(k, k + 1) for k in range(200, 260)] + [(rng.randrange(100), rng.randrange(100)) for _ in range(60)]
+    links = [(500, 500 + k) for k in range(90)] + [(550, 499), (499, 550), (499, 550), (7, 7), (600, 400), (600, 401)] + [(k, k + 1) for k in range(200, 260)] + [(rng.randrange(100), rng.randrange(100)) for _ in range(60)]
     with Scratch(spark) as scratch:
-        got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(links, "src long, dst long"), scratch).collect()}
+        got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame([*links, (None, 5), (5, None)], "src long, dst long"), scratch).collect()}
         assert components.components(spark.createDataFrame([], "src long, dst long"), scratch).count() == 0
     parent = {x: x for e in links for x in e}
 
@@ -116,6 +117,37 @@ def test_large_group_of_near_copies_is_joined_over_many_tasks(spark):
     assert got == brute_components(rows, 4, 85)
 
 
+def shared_passages(rng, k, passages=60, of_each=4, head=120):
+    """Texts of one head and some of a few passages: every token is in very many of them, and some pairs are near copies."""
+    first, parts = sentence(rng, head, 10**6), [sentence(rng, 40, 10**6) for _ in range(passages)]
+    return [" ".join([first, *rng.sample(parts, of_each)]) for _ in range(k)]
+
+
+def test_blocks_of_frequent_tokens_equal_brute_force(spark, monkeypatch):
+    """Owners of a token in blocks of about 16, so that tiles are of two blocks, and all pairs still meet."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 16)
+    rng = random.Random(31)
+    rows = list(enumerate(shared_passages(rng, 250, 8, 5, 60)))
+    with Scratch(spark) as scratch:
+        got = collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.join(table(spark, rows).repartition(4), scratch, chunk_bytes=30_000).collect())
+    want = brute_components(rows, 4, 85)
+    assert got == want and 10 < len({c for _, _, c in want}) < 240
+
+
+def test_prefixes_have_the_rarest_tokens(spark):
+    """The prefix of a set whose first tokens by hash are frequent is of its rare ones, and long enough for the rule."""
+    rule = ngram_join.Rule(85)
+    rng = np.random.default_rng(0)
+    every = np.sort(rng.integers(0, 1 << 63, 400, dtype=np.uint64))
+    rows = [(k, 100, np.concatenate([every[:60], np.sort(rng.choice(every[60:], 40, replace=False))]).tobytes()) for k in range(50)]
+    near = spark.createDataFrame([(r, n, bytearray(s)) for r, n, s in rows], "rid long, n int, shared binary")
+    got = collections.defaultdict(list)
+    for r in ngram_join._prefixes(near, rule, 1 << 20).collect():
+        got[r["rid"]].append((np.int64(r["token"]).astype(np.uint64), r["is_index"]))
+    assert all(len(got[k]) == rule.probe(100) and sum(i for _, i in got[k]) == rule.index(100) for k in range(50))
+    assert all(t not in every[:60] for k in got for t, _ in got[k])
+
+
 def test_empty_tables(spark):
     with Scratch(spark) as scratch:
         assert ngram_join.join(table(spark, []), scratch).count() == 0

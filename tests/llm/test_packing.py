@@ -53,6 +53,44 @@ def test_solver_is_optimal_on_small_cases_and_never_worse_than_best_fit():
         P.solve({11: 1}, 10)
 
 
+def packed(counts, found):
+    """Bins of a packing that is right: within the capacity, and of just these pieces."""
+    used = collections.Counter()
+    for times, items in found:
+        assert times > 0 and sum(items) <= 2048
+        for x in items:
+            used[x] += times
+    assert used == counts
+    return P.bins(found)
+
+
+@pytest.mark.parametrize(("low", "high", "most"), [(500, 900, 1.035), (400, 700, 1.02), (600, 1200, 1.045), (1, 2048, 1.005)])
+def test_thousands_of_items_come_near_the_bound(low, high, most):
+    """Where best fit is far from the bound of volume (8 to 12 % in the first two), bin completion is near it."""
+    rng = random.Random(1)
+    counts = collections.Counter(rng.randint(low, high) for _ in range(4000))
+    best, bound = P.bins(P.best_fit(counts, 2048)), P.lower_bound(counts, 2048)
+    got = packed(counts, P.solve(counts))
+    assert got <= best and got <= most * bound
+    if low in (400, 500):
+        assert got < 0.95 * best
+
+
+def test_fullest_fillings():
+    """Against all sums of small histograms; of items that leave no room, pairs and triples with the largest."""
+    rng = random.Random(4)
+    for _ in range(200):
+        n = np.zeros(101, dtype=np.int64)
+        for _ in range(rng.randint(0, 5)):
+            n[rng.randint(1, 60)] += rng.randint(1, 3)
+        room = rng.randint(0, 100)
+        sums = {0}
+        for x in np.nonzero(n)[0].tolist():
+            sums = {s + k * x for s in sums for k in range(int(n[x]) + 1)}
+        got = P.fullest(n, room)
+        assert sum(got) == max(s for s in sums if s <= room) and all(got.count(x) <= n[x] for x in got)
+
+
 def test_branch_and_bound_beats_best_fit():
     counts = collections.Counter([6, 6, 5, 5, 4, 4, 3, 3, 2, 2])
     assert P.bins(P.solve(counts, 10)) == 4
