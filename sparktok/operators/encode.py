@@ -57,12 +57,11 @@ def _text(value: str | bytes, strict: bool) -> str:
     return value if isinstance(value, str) else bytes(value).decode("utf-8", "strict" if strict else "surrogateescape")
 
 
-def _packer(model: TokenizerModel, normalized: bool, added: bool) -> Callable[[str | bytes], bytes]:
-    """What gives a text's ids as bytes."""
-    own = _cached(model)
-    if model.kind == "piece":
-        return lambda v: own.packed(_text(v, True), normalized)
-    return (lambda v: own.packed(_text(v, False))) if added else (lambda v: own.plain(_text(v, False)))
+def _packer(model: TokenizerModel, normalized: bool, added: bool) -> Callable[[list], list[bytes | None]]:
+    """What gives many texts' ids as bytes."""
+    own, strict = _cached(model), model.kind == "piece"
+    option = normalized if strict else added
+    return lambda values: own.packed_all([None if v is None else _text(v, strict) for v in values], option)
 
 
 def lists(codes: list[bytes | None]) -> pa.Array:
@@ -82,8 +81,8 @@ def encode(df: DataFrame, model: TokenizerModel, text: str = "text", out: str =
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def make():
-        one = _packer(shared.value, normalized, added)
-        return lambda values: lists([None if v is None else one(v) for v in values.to_pylist()])
+        many = _packer(shared.value, normalized, added)
+        return lambda values: lists(many(values.to_pylist()))
 
     return _with(df, text, out, "array<int>", make)
 
@@ -93,8 +92,8 @@ def count_tokens(df: DataFrame, model: TokenizerModel, text: str = "text", out:
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def make():
-        one = _packer(shared.value, normalized, added)
-        return lambda values: pa.array([None if v is None else len(one(v)) // 4 for v in values.to_pylist()], pa.int64())
+        many = _packer(shared.value, normalized, added)
+        return lambda values: pa.array([None if c is None else len(c) // 4 for c in many(values.to_pylist())], pa.int64())
 
     return _with(df, text, out, "long", make)
 
@@ -131,8 +130,8 @@ def register(spark: SparkSession, model: TokenizerModel, prefix: str = "bpe") ->
 
     @F.pandas_udf("array<int>")
     def encoded(texts: pd.Series) -> pd.Series:
-        one = _packer(shared.value, False, True)
-        return texts.map(lambda t: None if t is None else np.frombuffer(one(t), dtype="<i4"))
+        many = _packer(shared.value, False, True)
+        return pd.Series([None if c is None else np.frombuffer(c, dtype="<i4") for c in many(texts.tolist())])
 
     @F.pandas_udf("string")
     def decoded(ids: pd.Series) -> pd.Series:

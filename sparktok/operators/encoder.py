@@ -22,8 +22,10 @@ from ..functions.normalize import trim
 from ..plans.loaders import BYTE_TOKEN
 from ..plans.model import AddedToken, TokenizerModel
 from .charsmap import Charsmap
-from .merging import merge
+from .merging import Table, merge
 
+#: Characters of texts whose new words are merged together, and the length of those worth it.
+TOGETHER, MERGED_LENGTH = 1 << 20, 64
 #: Words that an encoder remembers before it starts anew, and the length of those worth it.
 MEMO, MEMO_LENGTH = 500_000, 256
 
@@ -42,12 +44,15 @@ class Memo(dict):
     def __missing__(self, word: str) -> bytes:
         found = code(self.make(word))
         if len(word) <= MEMO_LENGTH:
-            if len(self) >= MEMO:
-                self.clear()
-                self.update(self.given)
-            self[word] = found
+            self.add([word], [found])
         return found
 
+    def add(self, words: list[str], codes: list[bytes]) -> None:
+        if len(self) >= MEMO:
+            self.clear()
+            self.update(self.given)
+        self.update(zip(words, codes, strict=True))
+
 
 def literals(tokens: list[AddedToken]) -> re.Pattern | None:
     """Matches the longest of the literals that begin furthest left."""
@@ -96,6 +101,7 @@ class ByteEncoder:
             self.ranks.setdefault((a, b), (rank, merged))
         single = {b[0]: i for i, b in reversed(list(enumerate(model.vocab))) if len(b) == 1}
         self.single = [single.get(b, -1) for b in range(256)]
+        self.singles, self.table = np.array(self.single), Table(self.ranks)
         self.whole = {b: i for i, b in reversed(list(enumerate(model.vocab))) if b} if model.ignore_merges else {}
         self.patterns = [regex.compile(p, regex.V1) for p in schemes.PATTERNS[schemes.by_name(model.scheme)]]
         self.memo = Memo(self.word)
@@ -125,23 +131,53 @@ class ByteEncoder:
         whole = self.whole.get(data)
         return [whole] if whole is not None else merge([s for b in data if (s := self.single[b]) >= 0], self.ranks)
 
-    def plain(self, text: str) -> bytes:
-        """Ids of a text in which nothing is looked for but words."""
-        return b"".join(map(self.ordinary.__getitem__, self.pieces(text)))
-
-    def packed(self, text: str) -> bytes:
-        """Ids of a text, as bytes."""
-        out: list[bytes] = []
+    def parts(self, text: str) -> Iterator[int | list[str]]:
+        """Added tokens of a text, and the pieces between them."""
         for part in self.split(text):
             if isinstance(part, int):
-                out.append(code([part]))
+                yield part
                 continue
             if self.model.nfc and not part.isascii():
                 part = unicodedata.normalize("NFC", part)
             if self.model.prefix_space and not part.startswith(" "):
                 part = " " + part
-            out += map(self.memo.__getitem__, self.pieces(part))
-        return b"".join(out)
+            yield self.pieces(part)
+
+    def packed(self, text: str) -> bytes:
+        """Ids of a text, as bytes."""
+        return self._joined(self.parts(text), self.memo)
+
+    @staticmethod
+    def _joined(parts: Iterator[int | list[str]] | list[int | list[str]], memo: Memo) -> bytes:
+        return b"".join(code([p]) if isinstance(p, int) else b"".join(map(memo.__getitem__, p)) for p in parts)
+
+    def learn(self, words: list[str], memo: Memo) -> None:
+        """Ids of new words, all of them merged together."""
+        data = [w.encode("utf-8", "surrogateescape") for w in words]
+        single = self.singles[np.frombuffer(b"".join(data), dtype=np.uint8)]
+        sizes = np.fromiter(map(len, data), dtype=np.int64, count=len(data))
+        if (single < 0).any():
+            owner = np.repeat(np.arange(len(sizes)), sizes)[single >= 0]
+            single, sizes = single[single >= 0], np.bincount(owner, minlength=len(sizes))
+        found, sizes = self.table.merge(single, sizes)
+        whole = found.astype("<i4").tobytes()
+        cuts = (4 * np.cumsum(np.concatenate([[0], sizes]))).tolist()
+        memo.add(words, [whole[a:b] for a, b in zip(cuts, cuts[1:], strict=False)])
+
+    def packed_all(self, texts: list[str | None], added: bool = True) -> list[bytes | None]:
+        """Ids of many texts; ``added`` False: nothing is looked for but words."""
+        memo, out, a, size = self.memo if added else self.ordinary, [], 0, 0
+        for b, text in enumerate(texts, 1):
+            size += len(text or "")
+            if size < TOGETHER and b < len(texts):
+                continue
+            found = [None if t is None else list(self.parts(t)) if added else [self.pieces(t)] for t in texts[a:b]]
+            every = {w for parts in found if parts for p in parts if not isinstance(p, int) for w in p}
+            new = [w for w in every if w not in memo and len(w) <= MERGED_LENGTH]
+            self.learn([w for w in new if w.encode("utf-8", "surrogateescape") not in self.whole] if self.whole else new, memo)
+            out += [None if parts is None else self._joined(parts, memo) for parts in found]
+            a, size = b, 0
+        return out
 
     def __call__(self, text: str) -> list[int]:
         return np.frombuffer(self.packed(text), dtype="<i4").tolist()
@@ -213,6 +249,10 @@ class PieceEncoder:
             out += (code([inner]) if isinstance(inner, int) else self.section(inner, n == 0 and m == 0) for m, inner in enumerate(self.late(ready)))
         return b"".join(out)
 
+    def packed_all(self, texts: list[str | None], normalized: bool = False) -> list[bytes | None]:
+        """Ids of many texts."""
+        return [None if t is None else self.packed(t, normalized) for t in texts]
+
     def __call__(self, text: str, normalized: bool = False) -> list[int]:
         return np.frombuffer(self.packed(text, normalized), dtype="<i4").tolist()
 

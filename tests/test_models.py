@@ -2,10 +2,13 @@ import base64
 import json
 import random
 
+import numpy as np
 import pytest
 
+from sparktok import queries
+from sparktok.operators import encoder as encoder_module
 from sparktok.operators.encoder import decode, encoder
-from sparktok.operators.merging import _merge_long, merge
+from sparktok.operators.merging import Table, _merge_long, merge
 from sparktok.plans import loaders
 from sparktok.plans.model import AddedToken, Metaspace
 
@@ -169,3 +172,29 @@ def test_models_with_changes():
     for bad in (lambda: base.with_added(AddedToken("", 5)), lambda: base.with_added(AddedToken("a", -1)), lambda: base.with_options(vocab=())):
         with pytest.raises(ValueError):
             bad()
+
+
+def test_merging_many_words_together():
+    """The same as one by one: ranks against the order of ids, pairs that overlap or repeat, empty words, no merges."""
+    rng = random.Random(9)
+    for _ in range(60):
+        ranks = {}
+        for rank in range(rng.randint(0, 25)):
+            ranks.setdefault((rng.randrange(12), rng.randrange(12)), (rank, rng.randrange(4, 12)))
+        words = [[rng.randrange(5) for _ in range(rng.choice((0, 1, 2, 5, 30)))] for _ in range(rng.randint(0, 40))]
+        found, sizes = Table(ranks).merge(np.array([x for w in words for x in w], dtype=np.int64), np.array([len(w) for w in words], dtype=np.int64))
+        cuts = np.cumsum([0, *sizes])
+        assert [found[a:b].tolist() for a, b in zip(cuts, cuts[1:])] == [merge(w, ranks) for w in words]
+
+
+def test_texts_together_equal_texts_one_by_one(monkeypatch):
+    monkeypatch.setattr(encoder_module, "TOGETHER", 50)
+    rng = random.Random(10)
+    texts = [None, "", *("".join(rng.choice(["the ", "<m>", "a\udcffb", "é", "zzz" * 30, " ", "on"]) for _ in range(rng.randint(0, 12))) for _ in range(200))]
+    base = queries.small_model()
+    for model in (base.with_added(AddedToken("<m>", 330, lstrip=True)), base.with_options(ignore_merges=True, prefix_space=True), queries.piece_model()):
+        texts = [t if t is None or model.kind == "byte" else t.replace("\udcff", "") for t in texts]
+        own = encoder(model)
+        assert encoder(model).packed_all(texts) == [None if t is None else own.packed(t) for t in texts]
+    own = encoder(base)
+    assert encoder(base).packed_all(texts, False) == [None if t is None else own._joined([own.pieces(t)], own.ordinary) for t in texts]
