@@ -178,3 +178,18 @@ def _unpacked(spark: SparkSession, paths: tuple[str, ...]) -> DataFrame:
 def _numbered(docs: DataFrame, key: Column | None = None) -> DataFrame:
     """With ``doc_id``: ascending in the order of files and of documents in them, with gaps."""
     return docs.select(F.monotonically_increasing_id().alias("doc_id") if key is None else key.alias("doc_id"), "text")
+
+
+#: A table of fewer bytes for each core is small enough to be dealt out anew.
+SPREAD_BYTES = 16 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table just read, dealt over all cores if its files are fewer than these and small.
+
+    A file of one row group is one task, whatever work its rows make.  Larger
+    tables, and those of many files, are left as they are and never shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SPREAD_BYTES and len(df.inputFiles()) < cores else df

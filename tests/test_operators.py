@@ -300,6 +300,15 @@ def test_documents_of_several_lines(spark, tmp_path):
         assert texts(files.TextSource(tmp_path / f"e.txt{ending}", END).read(spark)) == []
 
 
+def test_small_tables_are_dealt_over_all_cores(spark, tmp_path, monkeypatch):
+    spark.range(1000).coalesce(1).write.parquet(str(tmp_path / "one"))
+    spark.range(1000).repartition(9).write.parquet(str(tmp_path / "many"))
+    one, many = spark.read.parquet(str(tmp_path / "one")), spark.read.parquet(str(tmp_path / "many"))
+    assert files.spread(one).rdd.getNumPartitions() == 4 and files.spread(one).count() == 1000 and files.spread(many) is many
+    monkeypatch.setattr(files, "SPREAD_BYTES", 10)
+    assert files.spread(one) is one
+
+
 def test_source_errors(spark, corpus, tmp_path):
     with pytest.raises(ValueError, match="there are: text"):
         files.ParquetSource(corpus / "d.parquet", "nope").read(spark)
