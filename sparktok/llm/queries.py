@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
+from ..sources.files import spread
 from . import decontam, langid, lm, ngram_join, packing, pii, quality, secrets, sharding, substr_dedup
 from .scratch import Scratch
 
@@ -16,7 +17,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def tokenizer_path() -> str:
