@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..shipping import ship
 from ..sources.files import spread
-from . import decontam, langid, lm, ngram_join, packing, pii, quality, secrets, sharding, substr_dedup
+from . import decontam, langid, lm, mixing, ngram_join, packing, pii, quality, secrets, sharding, substr_dedup
 from .scratch import Scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -192,8 +192,15 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_
 """
 
 
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies of every document in a mix of sources by weight, and the words that it gives."""
+    with Scratch(spark) as scratch:
+        out = mixing.mix(table(spark, sf_dir, "documents"), scratch)
+        return scratch.keep(out.select("doc_id", "size", "source_size", "target", "taken", "rate", "copies"))
+
+
 def queries() -> dict[str, Query]:
-    found = (op1_best_fit_packing, op2_lm_scoring, op3_language_id, op4_quality_rules, op5_pii, op6_sharding, op7_decontamination, op8_ngram_join, op9_secret_scan, op10_substring_dedup)
+    found = (op1_best_fit_packing, op2_lm_scoring, op3_language_id, op4_quality_rules, op5_pii, op6_sharding, op7_decontamination, op8_ngram_join, op9_secret_scan, op10_substring_dedup, op13_mixing)
     return {f.__name__: f for f in found}
 
 
