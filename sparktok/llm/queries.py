@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..shipping import ship
 from ..sources.files import spread
-from . import decontam, langid, lm, mixing, ngram_join, packing, pii, quality, secrets, sharding, substr_dedup
+from . import decontam, langid, lm, mixing, ngram_join, packing, pii, prefix_trie, quality, secrets, sharding, substr_dedup
 from .scratch import Scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -192,6 +192,29 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_
 """
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every prefix of the rebuilt conversations, with its subtree's leaves and savings."""
+    with Scratch(spark) as scratch:
+        return scratch.keep(prefix_trie.nodes(table(spark, sf_dir, "conversations"), scratch))
+
+
+OP12_SQL = f"""
+WITH d AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations WHERE conv_id IS NOT NULL),
+m AS (SELECT *, md5(length(r) || ':' || r || t) AS m FROM d),
+o AS (SELECT conv_id, list({{'r': r, 't': t}} ORDER BY turn NULLS FIRST, r, m[1:15], m[17:31]) AS own FROM m GROUP BY conv_id),
+c AS (SELECT *, (xor(list_reduce([4294967295::UBIGINT] || list_transform(range(1, length(conv_id::VARCHAR) + 1), lambda i: ascii((conv_id::VARCHAR)[i])::UBIGINT),
+    lambda c, b: list_reduce([xor(c, b)] || range(8)::UBIGINT[], lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::UBIGINT) ELSE x >> 1 END)), 4294967295::UBIGINT) % {prefix_trie.HEADS})::BIGINT AS h FROM o),
+p AS (SELECT c.conv_id, coalesce(b.own[1:c.h], []) || c.own[c.h + 1:] AS turns FROM c LEFT JOIN o b ON b.conv_id = c.conv_id - c.conv_id % {prefix_trie.GROUP}),
+s AS (SELECT conv_id, turns, unnest(range(len(turns) + 1)) AS depth FROM p),
+g AS (SELECT turns[1:depth] AS k, depth, min(conv_id) AS conv_id, count(*) AS n, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (len(turns) = depth), '')) AS ends FROM s GROUP BY k, depth),
+w AS (SELECT k[1:depth - 1] AS k, count(*) AS n FROM g WHERE depth > 0 GROUP BY 1),
+a AS (SELECT g.*, coalesce(w.n, 0) AS n_children FROM g LEFT JOIN w ON w.k = g.k),
+b AS (SELECT k[1:j] AS k, sum(leaf) AS leaves, sum(save) AS saved FROM (SELECT k, unnest(range(depth + 1)) AS j, (n_children = 0)::INT AS leaf, CASE WHEN depth > 0 THEN (n - 1) * length(k[depth].t) ELSE 0 END AS save FROM a) GROUP BY 1)
+SELECT a.conv_id, a.depth, q.conv_id AS parent_conv_id, a.n AS n_convs, a.n_children, b.leaves::BIGINT AS n_leaves, b.saved::BIGINT AS saved_tokens, a.ends AS ends_sha256
+FROM a JOIN b ON b.k = a.k LEFT JOIN g q ON a.depth > 0 AND q.k = a.k[1:a.depth - 1]
+"""
+
+
 def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Copies of every document in a mix of sources by weight, and the words that it gives."""
     with Scratch(spark) as scratch:
@@ -200,10 +223,10 @@ def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_best_fit_packing, op2_lm_scoring, op3_language_id, op4_quality_rules, op5_pii, op6_sharding, op7_decontamination, op8_ngram_join, op9_secret_scan, op10_substring_dedup, op13_mixing)
+    found = (op1_best_fit_packing, op2_lm_scoring, op3_language_id, op4_quality_rules, op5_pii, op6_sharding, op7_decontamination, op8_ngram_join, op9_secret_scan, op10_substring_dedup, op12_prefix_trie, op13_mixing)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
     """None for the others: DuckDB has no tokenizer, no CRC-32, no decoding worklist and no training."""
-    return {"op4_quality_rules": OP4_SQL, "op5_pii": OP5_SQL, "op8_ngram_join": OP8_SQL, "op10_substring_dedup": OP10_SQL}
+    return {"op4_quality_rules": OP4_SQL, "op5_pii": OP5_SQL, "op8_ngram_join": OP8_SQL, "op10_substring_dedup": OP10_SQL, "op12_prefix_trie": OP12_SQL}
