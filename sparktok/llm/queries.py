@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..shipping import ship
 from ..sources.files import spread
-from . import decontam, langid, lm, mixing, ngram_join, packing, pii, prefix_trie, quality, secrets, sharding, substr_dedup
+from . import decontam, hard_negatives, langid, lm, mixing, ngram_join, packing, pii, prefix_trie, quality, secrets, sharding, substr_dedup
 from .scratch import Scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -192,6 +192,22 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_
 """
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first rows of other labels inside the score window of each anchor and positive."""
+    with Scratch(spark) as scratch:
+        return scratch.keep(hard_negatives.mine(table(spark, sf_dir, "embeddings"), scratch))
+
+
+OP11_SQL = """
+WITH v AS (SELECT vec_id, (CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END) AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+    FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS a, v.vec_id AS b, a.label = v.label AS same, list_inner_product(a.v, v.v)::BIGINT AS s FROM v a JOIN v ON v.vec_id <> a.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT a, b AS p, s FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5)
+SELECT p.a AS anchor_id, p.p AS positive_id, (row_number() OVER (PARTITION BY p.a, p.p ORDER BY n.s DESC, n.b))::INTEGER AS rank, n.b AS negative_id, p.s AS positive_score, n.s AS negative_score
+FROM p JOIN s n ON n.a = p.a AND NOT n.same AND 30 * p.s <= 100 * n.s AND 100 * n.s <= 90 * p.s QUALIFY rank <= 10
+"""
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every prefix of the rebuilt conversations, with its subtree's leaves and savings."""
     with Scratch(spark) as scratch:
@@ -223,10 +239,10 @@ def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_best_fit_packing, op2_lm_scoring, op3_language_id, op4_quality_rules, op5_pii, op6_sharding, op7_decontamination, op8_ngram_join, op9_secret_scan, op10_substring_dedup, op12_prefix_trie, op13_mixing)
+    found = (op1_best_fit_packing, op2_lm_scoring, op3_language_id, op4_quality_rules, op5_pii, op6_sharding, op7_decontamination, op8_ngram_join, op9_secret_scan, op10_substring_dedup, op11_hard_negatives, op12_prefix_trie, op13_mixing)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
     """None for the others: DuckDB has no tokenizer, no CRC-32, no decoding worklist and no training."""
-    return {"op4_quality_rules": OP4_SQL, "op5_pii": OP5_SQL, "op8_ngram_join": OP8_SQL, "op10_substring_dedup": OP10_SQL, "op12_prefix_trie": OP12_SQL}
+    return {"op4_quality_rules": OP4_SQL, "op5_pii": OP5_SQL, "op8_ngram_join": OP8_SQL, "op10_substring_dedup": OP10_SQL, "op11_hard_negatives": OP11_SQL, "op12_prefix_trie": OP12_SQL}
