@@ -25,6 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from . import words
 from .decontam import SEPARATORS, slices
 
@@ -249,6 +250,7 @@ def fit(docs: DataFrame) -> Model | None:
     IN_ALL of all; the driver gets their subword counts.  Repeated rows are in
     it together or not at all; an empty or unlabelled table gives None.
     """
+    ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("string").alias("id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), held_out().alias("held_out"))
     rows = rows.where("not held_out and text is not null and lang is not null")
     sizes = rows.groupBy("lang").agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "lang").limit(MOST_LANGUAGES)
@@ -277,6 +279,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     score is below the model's threshold keeps its prediction and is rejected.  Rows are read one by one, whole;
     an empty table gives no rows.  Columns of those three names are replaced.
     """
+    ship(docs.sparkSession)
     docs = docs.drop("lang_pred", "score", "rejected")
     at, shared = docs.columns.index("text"), docs.sparkSession.sparkContext.broadcast(model)
 
@@ -302,6 +305,7 @@ def keep(docs: DataFrame, model: Model | None) -> DataFrame:
     row) no language is known, so every row goes.  Each row is judged by its
     own text: repeated rows stay or go together; an empty table gives no rows.
     """
+    ship(docs.sparkSession)
     at, shared = docs.columns.index("text"), docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

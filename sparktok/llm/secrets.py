@@ -2,20 +2,20 @@
 
 Each text starts a worklist of layers.  A layer is scanned, then searched for
 encoded parts: percent and Unicode escapes are undone in place, base64 (plain,
-URL-safe, compressed) is unwrapped token by token.  Every result is a new
-layer unless the same content from the same place has been met in this text,
-which ends cycles, and layers are taken until none is left.  A layer knows for each of its characters
-where it came from, so spans map back to the text.
+URL-safe, wrapped in lines) is unwrapped token by token, and zlib and gzip
+streams in it, and in one another, are unpacked.  Every result is a new layer
+unless the same content from the same place has been met in this text, which
+ends cycles, and layers are taken until none is left.  A layer knows for each
+of its characters where it came from, so spans map back to the text.
 """
 
 from __future__ import annotations
 
 import base64
-import gzip
 import re
 import zlib
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +23,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 #: Every match of ASSIGN has one of these in lower case.
@@ -34,12 +36,16 @@ LEAST = {"assign": 8, "access": 16}
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})")
+CHARACTERS = re.compile(r"[A-Za-z0-9+/_-]+")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-#: Where in such a run a zlib or gzip stream may begin.
-STREAM = re.compile(r"(?:^|(?<=[/_-]))(?:e[A-P]|H4sI)")
+#: Such a run that goes on in the next lines, as mail and PEM files wrap it.
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:[ \t\r]*+\n[ \t]*+[A-Za-z0-9+/_-]++)++={0,2}")
+#: Where in such a run a zlib or gzip stream may begin: by their first bytes without a dictionary or unknown flags.
+STREAM = re.compile(r"(?:^|(?<=[/_-]))(?:e(?:A[E-H]|F[4-7]|J[w-z]|N[o-r])|H4sI[A-H])")
 #: A compressed part that unpacks to more is read in pieces that overlap.
 LARGEST, OVERLAP, SLICE = 1 << 24, 1 << 16, 1 << 16
 _ABOVE = rb"[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2}"
+CONTROLS = bytes(b for b in range(32) if b not in b"\t\n\r")
 UTF8 = re.compile(rb"(?:[\x00-\x7f]|" + _ABOVE + rb")+")
 #: Readable stretches of bytes; the shortest secret has 14 characters.
 STRETCH = re.compile(rb"(?:[\t\n\r\x20-\x7e]|" + _ABOVE + rb"){14,}")
@@ -142,47 +148,99 @@ def _wbits(data: bytes) -> int | None:
     return zlib.MAX_WBITS if data[:1] == b"\x78" and len(data) > 2 and (data[0] * 256 + data[1]) % 31 == 0 else None
 
 
-def _inflated(data: bytes) -> Iterator[bytes]:
+class Feed:
+    """Bytes that come in chunks, taken a few at a time; what was too much can be given back."""
+
+    def __init__(self, chunks: Iterable[bytes]):
+        self.chunks, self.now, self.at, self.done = iter(chunks), memoryview(b""), 0, 0
+
+    def take(self, most: int) -> memoryview:
+        while self.at >= len(self.now):
+            chunk = next(self.chunks, None)
+            if chunk is None:
+                return memoryview(b"")
+            self.now, self.at = memoryview(chunk), 0
+        got = self.now[self.at : self.at + most]
+        self.at += len(got)
+        self.done += len(got)
+        return got
+
+    def back(self, count: int) -> None:
+        self.at -= count
+        self.done -= count
+
+    def peek(self, most: int) -> bytes:
+        got = bytes(self.take(most))
+        while len(got) < most and (more := self.take(most - len(got))):
+            got += more
+            if len(more) == self.at:  # it is all that was taken of a new chunk: put both in front of the rest
+                self.now, self.at = memoryview(got + bytes(self.now[self.at :])), len(got)
+        self.back(len(got))
+        return got
+
+
+@dataclass
+class Taken:
+    """Where a stream's members begin, and how far it has been read."""
+
+    starts: list[int] = field(default_factory=list)
+    end: int = 0
+
+
+def _inflated(feed: Feed, taken: Taken | None = None) -> Iterator[bytes]:
     """Parts of what all members of a stream hold, in order; ends where it breaks."""
-    while (wbits := _wbits(data)) is not None:
-        stream, at = zlib.decompressobj(wbits), 0
+    taken = taken or Taken()
+    while (wbits := _wbits(feed.peek(3))) is not None:
+        taken.starts.append(feed.done)
+        stream, size = zlib.decompressobj(wbits), 1 << 9
         while not stream.eof:
-            some, at = (stream.unconsumed_tail, at) if stream.unconsumed_tail else (data[at : at + SLICE], at + SLICE)
+            some = stream.unconsumed_tail or feed.take(size)
+            size, taken.end = min(2 * size, SLICE), feed.done
             try:
                 out = stream.decompress(some, 1 << 20)
             except zlib.error:
                 return
+            taken.end = feed.done - len(stream.unused_data)
             if out:
                 yield out
             elif not some:
                 return
-        data = (stream.unused_data + data[at:]).lstrip(b"\0")
-
+        feed.back(len(stream.unused_data))
+        while some := feed.take(SLICE):
+            left = len(bytes(some).lstrip(b"\0"))
+            feed.back(left)
+            if left:
+                break
 
-def pieces(data: bytes, limit: int = LARGEST, overlap: int = OVERLAP) -> Iterator[bytes]:
-    """All that a stream's members hold, in pieces of about ``limit`` bytes that overlap; none if it is no stream."""
-    held, new = bytearray(), 0
-    for out in _inflated(data):
-        held += out
-        new += len(out)
-        if new >= limit:
-            yield bytes(held)
-            held, new = held[-overlap:], 0
-    if new:
-        yield bytes(held)
 
+def pieces(data: bytes, limit: int = LARGEST, overlap: int = OVERLAP, taken: Taken | None = None) -> Iterator[bytes]:
+    """All that a stream's members hold, in pieces of about ``limit`` bytes that overlap; none if it is no stream.
 
-def unpacked(data: bytes, limit: int = LARGEST) -> bytes | None:
-    """What a zlib or gzip stream of one member holds; None if it is none, broken, or larger than ``limit``."""
-    wbits = _wbits(data)
-    if wbits is None:
-        return None
-    stream = zlib.decompressobj(wbits)
-    try:
-        out = stream.decompress(data, limit)
-    except (zlib.error, gzip.BadGzipFile):
-        return None
-    return out if stream.eof and not stream.unused_data else None
+    What is itself a stream is unpacked in turn, each level read through to its
+    end; a level whose content was met before, as that of a stream that holds
+    itself, is the last.  A level that fits in one piece is kept for the next,
+    a longer one is unpacked anew.
+    """
+    make, seen = (lambda: _inflated(Feed([data]), taken)), set()
+    while True:
+        held, new, cut, head, digest = bytearray(), 0, False, b"", xxhash.xxh3_128()
+        for out in make():
+            digest.update(out)
+            head = (head + out[:3])[:3]
+            held += out
+            new += len(out)
+            if new >= limit:
+                yield bytes(held)
+                held, new, cut = held[-overlap:], 0, True
+        if new:
+            yield bytes(held)
+        if _wbits(head) is None or digest.digest() in seen:
+            return
+        seen.add(digest.digest())
+        if cut:
+            make = lambda m=make: _inflated(Feed(m()))
+        else:
+            make = lambda d=bytes(held): _inflated(Feed([d]))
 
 
 def _readable(data: bytes) -> str | None:
@@ -191,17 +249,17 @@ def _readable(data: bytes) -> str | None:
         text = data.decode()
     except UnicodeDecodeError:
         return None
-    odd = sum(c < " " and c not in "\t\n\r" for c in text)
+    odd = len(data) - len(data.translate(None, CONTROLS))
     return text if text and odd * 20 <= len(text) else None
 
 
-def _texts(data: bytes) -> Iterator[tuple[str, int]]:
-    """The readable text that bytes hold, or its readable stretches, with the byte where it begins."""
+def _texts(data: bytes) -> Iterator[tuple[str, bytes, int]]:
+    """The readable text that bytes hold, or its readable stretches, with their bytes and where these begin."""
     text = _readable(data)
     if text is not None:
-        yield text, 0
+        yield text, data, 0
     else:
-        yield from ((m[0].decode(), m.start()) for m in STRETCH.finditer(data))
+        yield from ((m[0].decode(), m[0], m.start()) for m in STRETCH.finditer(data))
 
 
 def _bytes(token: str) -> bytes:
@@ -210,34 +268,61 @@ def _bytes(token: str) -> bytes:
     return base64.b64decode(token + "=" * (-len(token) % 4))
 
 
+def _runs(text: str) -> Iterator[tuple[str, np.ndarray]]:
+    """Runs of base64 characters with the place of each: those of one line, and lines put together where they are wrapped.
+
+    Wrapped lines but the first and the last hold nothing else and a multiple
+    of four characters; the first may begin with other text.
+    """
+    for m in BASE64.finditer(text):
+        yield m[0].rstrip("="), np.arange(m.start(), m.end())
+    for m in WRAPPED.finditer(text):
+        lines = [(x.start(), x.end()) for x in CHARACTERS.finditer(text, *m.span())]
+        first = 0
+        for k in range(1, len(lines)):
+            if k == len(lines) - 1 or (lines[k][1] - lines[k][0]) % 4:
+                some = lines[first : k + 1]
+                padded = m.end() if k == len(lines) - 1 else lines[k][1]
+                yield "".join(text[a:b] for a, b in some), np.concatenate([*(np.arange(a, b) for a, b in some), np.arange(lines[k][1], padded)])
+                first = k
+
+
 def _packed(layer: Layer) -> Iterator[Layer]:
     """Texts inside base64 tokens of a layer; three bytes come from four characters.
 
     A token may stand behind others of its characters, as in a path, so each
-    run is read at all four alignments, and from where a stream may begin.
+    run is decoded at all four alignments, and streams are unpacked from where
+    one may begin.
     """
-    for m in BASE64.finditer(layer.text):
-        run, (a, b) = m[0].rstrip("="), m.span()
+    for run, places in _runs(layer.text):
+        stop = int(places[-1]) + 1
+        places = places[: len(run)]
         plain = run.replace("-", "+").replace("_", "/")
-        whole = False
+        decoded = [_bytes(plain[k:]) for k in range(4)]
+
+        def mapped(text: str, first: np.ndarray, last: np.ndarray) -> Layer:
+            if layer.begin is not None:
+                first, last = layer.begin[first], layer.end[last - 1]
+            return Layer(text, first, last, layer.depth + 1)
+
+        known: set[int] = set()  # where members begin that were unpacked with those before them
         for s in STREAM.finditer(run):
-            data = _bytes(plain[s.start() :])
-            one = unpacked(data)
-            whole = whole or (one is not None and s.start() == 0)
-            for piece in pieces(data) if one is None else (one,):
-                for text, _ in _texts(piece):
-                    first, last = a + s.start(), b
-                    if layer.begin is not None:
-                        first, last = layer.begin[first], layer.end[last - 1]
-                    yield Layer(text, np.broadcast_to(np.int64(first), len(text)), np.broadcast_to(np.int64(last), len(text)), layer.depth + 1)
-        for k in range(whole, 4):
-            for text, at in _texts(_bytes(plain[k:])):
-                sizes = np.array([len(c.encode()) for c in text], dtype=np.int64)
-                stops = np.cumsum(sizes) + at
-                first, last = a + k + (stops - sizes) // 3 * 4, np.minimum(a + k + ((stops - 1) // 3 + 1) * 4, b)
-                if layer.begin is not None:
-                    first, last = layer.begin[first], layer.end[last - 1]
-                yield Layer(text, first, last, layer.depth + 1)
+            if s.start() in known:
+                continue
+            k, taken = s.start() % 4, Taken()
+            for piece in pieces(memoryview(decoded[k])[s.start() // 4 * 3 :], taken=taken):
+                # Where the stream ends is known once its first level is read, as it is but for very long ones.
+                last = min(s.start() + -(-taken.end // 3) * 4, len(run)) if len(piece) < LARGEST else len(run)
+                for text, _, _ in _texts(piece):
+                    got = mapped(text, places[s.start()][None], np.array([places[last - 1] + 1 if last < len(run) else stop]))
+                    yield Layer(text, np.broadcast_to(got.begin, len(text)), np.broadcast_to(got.end, len(text)), got.depth)
+            known.update(s.start() + m // 3 * 4 for m in taken.starts if m % 3 == 0)
+        for k in range(4):
+            for text, data, at in _texts(decoded[k]):
+                begins = np.flatnonzero((np.frombuffer(data, dtype=np.uint8) & 0xC0) != 0x80)
+                stops = np.append(begins[1:], len(data)) + at
+                first, last = (begins + at) // 3 * 4 + k, np.minimum(((stops - 1) // 3 + 1) * 4 + k, len(run))
+                yield mapped(text, places[first], np.where(last < len(run), places[last - 1] + 1, stop))
 
 
 def _decoded(layer: Layer) -> Iterator[Layer]:
@@ -304,6 +389,7 @@ def find_all(docs: DataFrame) -> DataFrame:
     null ids get a row each, an empty table none.  Other columns are left out,
     so their names don't matter.
     """
+    ship(docs.sparkSession)
     base_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
     span_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("depth", pa.int32())]))
 
@@ -325,6 +411,7 @@ def redact_all(docs: DataFrame, text: str = "text") -> DataFrame:
     ``find``).  Each row is read by itself: repeated rows come out alike, an
     empty table gives no rows.
     """
+    ship(docs.sparkSession)
     at = docs.columns.index(text)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,6 +5,7 @@ import collections
 import gzip
 import random
 import re
+import time
 import urllib.parse
 import zlib
 
@@ -128,6 +129,23 @@ def test_pieces_overlap_and_reach_the_end():
     assert len(got) > 5 and got[0] + b"".join(p[100:] for p in got[1:]) == data and list(secrets.pieces(b"none")) == []
 
 
+def is_text(data):
+    try:
+        return data.decode() is not None
+    except ValueError:
+        return False
+
+
+def plain_unpacked(data, depth=0):
+    yield data
+    for unpack in (zlib.decompress, gzip.decompress):
+        try:
+            if depth < 5:
+                yield from plain_unpacked(unpack(data), depth + 1)
+        except (ValueError, OSError, EOFError, zlib.error):
+            pass
+
+
 def plain_layers(text, depth=0):
     """All that a text holds, decoded by other means: each encoding tried on each run of its characters, recursively."""
     yield text
@@ -142,11 +160,9 @@ def plain_layers(text, depth=0):
     for run in re.findall(r"[A-Za-z0-9+/_-]{16,}", text):
         for part in {run, *re.split(r"[/_-]", run)}:
             data = base64.urlsafe_b64decode(part.replace("+", "-").replace("/", "_") + "=" * (-len(part) % 4)) if len(part) % 4 != 1 else b""
-            for unpack in (bytes, zlib.decompress, gzip.decompress):
-                try:
-                    found.add(unpack(data).decode())
-                except (ValueError, OSError, EOFError, zlib.error):
-                    pass
+            found |= {x.decode() for x in plain_unpacked(data) if is_text(x)}
+    for block in re.findall(r"(?:[A-Za-z0-9+/_-]{76}\n)+[A-Za-z0-9+/_-]*", text):
+        found |= {x.decode() for x in plain_unpacked(base64.urlsafe_b64decode(block.replace("\n", "").replace("+", "-").replace("/", "_") + "===")) if is_text(x)}
     for inner in found - {text, ""}:
         yield from plain_layers(inner, depth + 1)
 
@@ -164,6 +180,8 @@ WRAP = {
     "url-safe": lambda t: base64.urlsafe_b64encode(t.encode()).decode(),
     "zlib": lambda t: base64.b64encode(zlib.compress(t.encode())).decode(),
     "gzip": lambda t: base64.b64encode(gzip.compress(t.encode(), mtime=0)).decode(),
+    "twice": lambda t: base64.b64encode(zlib.compress(gzip.compress(zlib.compress(t.encode()), mtime=0))).decode(),
+    "lines": lambda t: base64.encodebytes(gzip.compress(t.encode(), mtime=0)).decode().rstrip("\n"),
 }
 
 
@@ -193,7 +211,37 @@ def test_nested_layers_hold_no_secret_that_is_not_found(seed):
 def test_cycles_end_and_broken_layers_stay():
     for text in ("%25" * 50, "%2525252541", "A" * 500, b64(b"\x78\x9c broken"), "\\ud800\\u0041", "%ff%fe", ""):
         secrets.find(text)
-    assert secrets.unpacked(zlib.compress(b"a" * 5000), 100) is None
+
+
+def test_streams_inside_streams_and_wrapped_lines():
+    inner = (OTHER + SECRET + OTHER).encode()
+    packers = (zlib.compress, gzip.compress, lambda d: zlib.compress(d[: len(d) // 2]) + zlib.compress(d[len(d) // 2 :]))
+    for one in packers:
+        for two in packers:
+            for three in (lambda d: d, *packers):
+                for text in (b64(three(two(one(inner)))), base64.encodebytes(three(two(one(inner)))).decode(), "key: " + base64.encodebytes(three(two(one(inner)))).decode().replace("\n", "\r\n  ")):
+                    spans = secrets.find(text)[1]
+                    assert [s[0] for s in spans] == ["assign"] and not any("hunter2" in x.text for x in secrets.layers(secrets.redact(text, spans)))
+    large = zlib.compress(zlib.compress(b"a " * 999 + bytes(random.Random(1).choices(b"abcdef \n", k=700_000)) + SECRET.encode()))
+    assert any(SECRET.encode() in p for p in secrets.pieces(large, 1 << 16, 64))
+    lines = base64.encodebytes((OTHER + SECRET + " and " + SECRET).encode()).decode()
+    spans = secrets.find(f"see\n{lines}\nend")[1]
+    assert len(spans) == 2 and spans[0][2] <= spans[1][1] + 4 and not any("hunter2" in x.text for x in secrets.layers(secrets.redact(lines, secrets.find(lines)[1])))
+    assert len(secrets.find("a first line of internationalization\npassword = hunter2hunter2\nand more")[1]) == 1
+
+
+def test_a_stream_that_holds_itself_ends(monkeypatch):
+    """Every stream is taken to hold the same stream again."""
+    loop = zlib.compress(b"x")
+    monkeypatch.setattr(secrets, "_inflated", lambda feed, taken=None: iter([loop]))
+    assert list(secrets.pieces(loop)) == [loop, loop]
+
+
+@pytest.mark.parametrize("text", ["/H4sI" * 200_000, "/H4sIA" * 166_000, "eJ/" * 330_000, "eJw/" * 250_000, "x_eNqrVkrLz1eyUkpKLFKqBQAdegQ0" * 30_000, "A" * 1_000_000, "a\nbcdefghijklmnopqrst" * 50_000])
+def test_a_million_hostile_characters_take_seconds(text):
+    began = time.process_time()
+    secrets.find(text)
+    assert time.process_time() - began < 8
 
 
 def test_base_secrets_and_digests(spark, edge_rows):
