@@ -40,18 +40,9 @@ def mismatches(left: DataFrame, right: DataFrame, key: str = "n", ids: str = "id
     return a.join(b, key, "full_outer").where(~F.col("left_ids").eqNullSafe(F.col("right_ids")))
 
 
-def _ordinals(docs: DataFrame) -> DataFrame:
-    """Gapless numbers by the order of ``doc_id``; partitions are numbered, then rows in them."""
-    parts = docs.withColumn("_part", F.shiftright("doc_id", 33))
-    sizes = parts.groupBy("_part").agg(F.count("*").alias("_k"))
-    first = sizes.select("_part", F.expr("coalesce(sum(_k) over (order by _part rows between unbounded preceding and 1 preceding), 0)").alias("_first"))
-    inside = F.expr("row_number() over (partition by _part order by doc_id) - 1")
-    return parts.withColumn("_at", inside).join(F.broadcast(first), "_part").withColumn("n", F.col("_first") + F.col("_at")).drop("_part", "_at", "_first")
-
-
 def validate(spark: SparkSession, model: TokenizerModel, paths: list[str], separator: str) -> DataFrame:
     """Documents that come out differently when files are split by the reader and when texts are split first."""
-    by_reader = encode(_ordinals(TextSource(paths, separator).read(spark)), model)
+    by_reader = encode(TextSource(paths, separator).read(spark).withColumnRenamed("doc_id", "n"), model)
     whole = TextSource(paths).read(spark)
     parts = whole.select(F.col("doc_id").alias("_file"), split_docs(F.col("text"), separator).alias("_parts"))
     # One row a file: few enough to be summed in order.

@@ -62,7 +62,7 @@ def pretoken_counts_files(spark: SparkSession, source: Source | str | list, sche
     if not isinstance(source, Source):
         found = resolve(source)
         source = TextSource(found.paths, separator) if isinstance(found, TextSource) else found
-    return pretoken_counts(source.read(spark), scheme=scheme)
+    return pretoken_counts(source.read(spark, ordered=False), scheme=scheme)
 
 
 @dataclass(frozen=True)

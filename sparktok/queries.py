@@ -7,9 +7,13 @@ import functools
 import tempfile
 import uuid
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 import regex
+import zstandard
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +22,7 @@ from .operators import counts, encode, scan, shape
 from .operators import train as training
 from .plans.loaders import byte_alphabet, load
 from .plans.model import AddedToken, Metaspace, TokenizerModel
+from .shipping import ship
 from .sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -387,7 +392,7 @@ PACKED_SQL = f"WITH i AS ({_IDS_SQL}) SELECT doc_id, len(ids)::BIGINT AS length,
 
 def limit_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first documents of 100 kB in all."""
-    cut = scan.limit_bytes(docs(spark, sf_dir).select("doc_id", "text"), scan.parse_size("100KB"))
+    cut = scan.limit_bytes(table(spark, sf_dir, "documents").select("doc_id", "text"), scan.parse_size("100KB"))
     return cut.select("doc_id", F.octet_length("text").cast("long").alias("bytes"), F.sha2("text", 256).alias("sha"))
 
 
@@ -400,17 +405,17 @@ SELECT doc_id, least(octet_length(b), 100000 - done)::BIGINT AS bytes, sha256(un
 def doc_split_sep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts of each document between separators, empty ones left out."""
     parts = scan.split_docs(F.col("text"), SEPARATOR)
-    return docs(spark, sf_dir).select("doc_id", F.size(parts).cast("long").alias("parts"), F.array_join(F.transform(parts, lambda x: F.char_length(x).cast("string")), " ").alias("lengths"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(parts).cast("long").alias("parts"), F.array_join(F.transform(parts, lambda x: F.char_length(x).cast("string")), " ").alias("lengths"))
 
 
 def forbid_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether any document holds each forbidden substring."""
-    return scan.forbidden(docs(spark, sf_dir), FORBIDDEN)
+    return scan.forbidden(table(spark, sf_dir, "documents"), FORBIDDEN)
 
 
 def substr_present(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which of the substrings each document holds."""
-    return docs(spark, sf_dir).select("doc_id", F.array_join(F.transform(scan.present(F.col("text"), FORBIDDEN), lambda x: x.cast("string")), ",").alias("patterns"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.transform(scan.present(F.col("text"), FORBIDDEN), lambda x: x.cast("string")), ",").alias("patterns"))
 
 
 def added_token_split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -437,7 +442,7 @@ def jsonl_field_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scan_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents read as a Parquet source: how many, and how many bytes."""
-    return files.ParquetSource(f"{sf_dir}/documents.parquet", "text").read(spark).agg(F.count("*").alias("docs"), F.sum(F.octet_length("text").cast("long")).alias("bytes"))
+    return files.ParquetSource(f"{sf_dir}/documents.parquet", "text").read(spark, ordered=False).agg(F.count("*").alias("docs"), F.sum(F.octet_length("text").cast("long")).alias("bytes"))
 
 
 def scan_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -465,15 +470,52 @@ def _counted(texts: DataFrame) -> DataFrame:
 def scan_text_sep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents written as plain text with a separator, and read again."""
     path = _folder(spark, "")
-    docs(spark, sf_dir).select("text").write.option("lineSep", END).text(path)
-    return _counted(files.TextSource(path, END).read(spark))
+    table(spark, sf_dir, "documents").select("text").write.option("lineSep", END).text(path)
+    return _counted(files.TextSource(path, END).read(spark, ordered=False))
+
+
+def _write_frames(spark: SparkSession, texts: DataFrame, ending: str) -> list[str]:
+    """Texts of a table as Zstandard files of many small frames, one file for each task; their paths."""
+    ship(spark)
+    path = _folder(spark, "")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        folder, name = fs.FileSystem.from_uri(path)
+        folder.create_dir(name)
+        number = TaskContext.get().partitionId()
+        with folder.open_output_stream(f"{name}/{number:05d}{ending}") as file:
+            for batch in batches:
+                whole = "".join(t + END for t in batch.column("text").to_pylist()).encode()
+                for at in range(0, len(whole), FRAME_BYTES):
+                    file.write(zstandard.ZstdCompressor().compress(whole[at : at + FRAME_BYTES]))
+        yield pa.RecordBatch.from_arrays([pa.array([f"{path}/{number:05d}{ending}"])], names=["path"])
+
+    return sorted(r["path"] for r in texts.select("text").mapInArrow(work, "path string").collect())
+
+
+#: Unpacked bytes of a frame of the query's files; most documents go over several.
+FRAME_BYTES = 50_000
+
+
+def scan_text_zst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as Zstandard files of many frames, which cut documents, and read frame by frame."""
+    return _counted(files.TextSource(_write_frames(spark, docs(spark, sf_dir), ".txt.zst"), END).read(spark, ordered=False))
+
+
+def scan_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of documents in folders of which each holds twice as many as the one after it, as their paths are listed; written when called."""
+    path = _folder(spark, "")
+    rows = table(spark, sf_dir, "documents").where("text <> ''").select(F.floor(F.log2(F.col("doc_id") + F.lit(1))).cast("int").alias("folder"), "doc_id", "text")
+    rows.repartitionByRange("folder", "doc_id").sortWithinPartitions("folder", "doc_id").drop("doc_id").write.partitionBy("folder").option("lineSep", END).text(path)
+    most = rows.agg(F.max("folder")).first()[0]
+    return files.TextSource([f"{path}/folder={k}" for k in reversed(range(most + 1))], END).read(spark).select("doc_id", F.md5("text").alias("md5"))
 
 
 def scan_text_gz(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same, compressed."""
     path = _folder(spark, "")
-    docs(spark, sf_dir).select("text").write.option("lineSep", END).option("compression", "gzip").text(path)
-    return _counted(files.TextSource(path, END).read(spark))
+    table(spark, sf_dir, "documents").select("text").write.option("lineSep", END).option("compression", "gzip").text(path)
+    return _counted(files.TextSource(path, END).read(spark, ordered=False))
 
 
 def scan_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -487,7 +529,7 @@ def scan_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents written as JSON lines, and read by the ending of the folder's name."""
     path = _folder(spark, ".jsonl")
     docs(spark, sf_dir).select(F.to_json(F.struct("doc_id", "text")).alias("value")).write.text(path)
-    return _counted(files.resolve(path).read(spark))
+    return _counted(files.resolve(path).read(spark, ordered=False))
 
 
 def load_tiktoken(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -514,7 +556,7 @@ def queries() -> dict[str, Query]:
     named = {f"pretok_{s}" if s != "gpt2" else "pretoken_counts_gpt2": _pretok(s)[0] for s in schemes.PATTERNS}
     found = (
         tokens_per_lang, conversation_token_counts, pretok_rows, bpe_encode_words, bpe_encode_docs, bpe_token_totals, bpe_decode_roundtrip, bpe_decode_udf, pair_counts, vocab, merges, vocab_size,
-        train_bpe, train_bpe_raw_ids, train_bpe_assembled_bytes, sp_encode, sp_decode, bpe_known_words, pad_truncate, pad_left, wrap_truncate, packed_offsets, limit_bytes, doc_split_sep, forbid_scan, substr_present, added_token_split, jsonl_field_extract, scan_parquet, scan_bytes, scan_text, scan_text_sep, scan_text_gz, scan_jsonl, load_tiktoken,
+        train_bpe, train_bpe_raw_ids, train_bpe_assembled_bytes, sp_encode, sp_decode, bpe_known_words, pad_truncate, pad_left, wrap_truncate, packed_offsets, limit_bytes, doc_split_sep, forbid_scan, substr_present, added_token_split, jsonl_field_extract, scan_parquet, scan_bytes, scan_text, scan_text_sep, scan_text_gz, scan_text_zst, scan_order, scan_jsonl, load_tiktoken,
     )
     return named | {"pretoken_topk_gpt2": pretoken_topk} | {f.__name__: f for f in found} | {k: _normalizer(step) for k, (step, _) in _NORMALIZERS.items()}
 
@@ -558,6 +600,8 @@ def oracle_sql() -> dict[str, str]:
         "scan_text": f"SELECT md5(string_agg(text || {_quoted(END)}, '' ORDER BY item_id)) AS md5, 1::BIGINT AS cnt FROM benchmark",
         "scan_text_sep": "SELECT md5(text) AS md5, count(*)::BIGINT AS cnt FROM documents WHERE text <> '' GROUP BY ALL",
         "scan_text_gz": "SELECT md5(text) AS md5, count(*)::BIGINT AS cnt FROM documents WHERE text <> '' GROUP BY ALL",
+        "scan_text_zst": "SELECT md5(text) AS md5, count(*)::BIGINT AS cnt FROM documents WHERE text <> '' GROUP BY ALL",
+        "scan_order": "SELECT row_number() OVER (ORDER BY floor(log2(doc_id + 1)) DESC, doc_id) - 1 AS doc_id, md5(text) AS md5 FROM documents WHERE text <> ''",
         "scan_jsonl": "SELECT md5(text) AS md5, count(*)::BIGINT AS cnt FROM documents GROUP BY ALL",
         "load_tiktoken": 'SELECT rank::INTEGER AS rank, l::INTEGER AS "left", r::INTEGER AS "right", m::INTEGER AS merged FROM (VALUES (0, 116, 104, 256), (1, 104, 101, 257), (2, 256, 101, 258), (3, 32, 258, 259)) v(rank, l, r, m)',
         "scan_bytes": "SELECT text FROM (VALUES ('a'), ('b'), ('c'), ('d')) v(text)",

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import json
 import os
 from dataclasses import dataclass, field
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.scan import split_docs
+from ..shipping import ship
+from . import frames, order
 
 COMPRESSIONS = {".zst": "zst", ".zstd": "zst", ".gz": "gz"}
 FORMATS = {".jsonl": "jsonl", ".parquet": "parquet"}
@@ -45,15 +47,15 @@ class TextSource:
         object.__setattr__(self, "paths", _paths(paths))
         object.__setattr__(self, "separator", separator)
 
-    def read(self, spark: SparkSession) -> DataFrame:
-        if any(detect_format(p)[1] == "zst" for p in self.paths):
-            whole = _unpacked(spark, self.paths)
-            docs = whole.select(F.explode(split_docs(F.col("text"), self.separator)).alias("text")) if self.separator else whole
-        elif not self.separator:
-            docs = spark.read.text(list(self.paths), wholetext=True).withColumnRenamed("value", "text")
+    def read(self, spark: SparkSession, ordered: bool = True) -> DataFrame:
+        """(doc_id, text); ``ordered``: doc_id gapless in the order of paths and files, for which splits are counted first, else only unique."""
+        if any(detect_format(p)[1] for p in self.paths):
+            docs = _unpacked(spark, self.paths, self.separator or "")
         else:
-            docs = spark.read.option("lineSep", self.separator).text(list(self.paths)).where("value <> ''").withColumnRenamed("value", "text")
-        return _numbered(docs)
+            reader = spark.read.option("lineSep", self.separator) if self.separator else spark.read
+            docs = order.placed(reader.text(list(dict.fromkeys(self.paths)), wholetext=not self.separator).withColumnRenamed("value", "text"))
+            docs = docs.where("text <> ''") if self.separator else docs
+        return _numbered(docs, self.paths, ordered)
 
 
 @dataclass(frozen=True)
@@ -75,22 +77,23 @@ class JsonlSource:
         object.__setattr__(self, "field", field)
         object.__setattr__(self, "on_error", on_error)
 
-    def read(self, spark: SparkSession) -> DataFrame:
-        if any(detect_format(p)[1] == "zst" for p in self.paths):
-            lines = _unpacked(spark, self.paths).select(F.explode(F.split("text", "\r?\n", -1)).alias("value"))
+    def read(self, spark: SparkSession, ordered: bool = True) -> DataFrame:
+        """As that of ``TextSource``."""
+        if any(detect_format(p)[1] for p in self.paths):
+            lines = _unpacked(spark, self.paths, "\n").withColumnRenamed("text", "value")
         else:
-            lines = spark.read.text(list(self.paths))
+            lines = order.placed(spark.read.text(list(dict.fromkeys(self.paths))))
         lines = lines.where(F.trim("value") != "").where("value <> '\\r'")
-        return _numbered(json_field(lines, "value", self.field, self.on_error))
+        return _numbered(json_field(lines, "value", self.field, self.on_error), self.paths, ordered)
 
 
 def json_field(lines: DataFrame, column: str, field: str, on_error: str = "fail") -> DataFrame:
-    """(text): a string field of a column of JSON objects."""
+    """(text): a string field of a column of JSON objects, and where it is from if ``lines`` say so."""
     value = F.try_variant_get(F.try_parse_json(F.col(column)), "$['" + field.replace("\\", "\\\\").replace("'", "\\'") + "']", "variant")
     text = F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))
     if on_error == "fail":
         text = F.coalesce(text, F.raise_error(F.concat(F.lit(f"no string field {field!r} in: "), F.substring(F.col(column), 1, 80))))
-    out = lines.select(text.alias("text"))
+    out = lines.select(text.alias("text"), *(c for c in lines.columns if c in (order.FILE, order.START)))
     return out.where("text is not null") if on_error == "skip" else out
 
 
@@ -105,12 +108,17 @@ class ParquetSource:
         object.__setattr__(self, "paths", _paths(paths))
         object.__setattr__(self, "column", column)
 
-    def read(self, spark: SparkSession) -> DataFrame:
-        return _numbered(text_column(spark.read.parquet(*self.paths), self.column))
+    def read(self, spark: SparkSession, ordered: bool = True) -> DataFrame:
+        """As that of ``TextSource``; files' counts come from their footers."""
+        table = spark.read.parquet(*dict.fromkeys(self.paths))
+        if not ordered:
+            return _numbered(text_column(table, self.column), self.paths, False)
+        where = [F.col("_metadata.file_path").alias(order.FILE), F.lit(0).cast("long").alias(order.START), F.col("_metadata.row_index").alias(order.ROW)]
+        return order.numbered(text_column(table, self.column, where), self.paths)
 
 
-def text_column(df: DataFrame, column: str) -> DataFrame:
-    """(text) of a top-level string or binary column; errors name what there is."""
+def text_column(df: DataFrame, column: str, more: list[Column] | None = None) -> DataFrame:
+    """(text) of a top-level string or binary column, and ``more`` columns; errors name what there is."""
     fields = {f.name: f.dataType for f in df.schema.fields}
     if column not in fields:
         raise ValueError(f"no column {column!r}; there are: {', '.join(fields)}")
@@ -118,7 +126,7 @@ def text_column(df: DataFrame, column: str) -> DataFrame:
     if not isinstance(kind, (T.StringType, T.BinaryType)):
         raise ValueError(f"column {column!r} has the unsupported type {kind.simpleString()}")
     empty = F.lit("") if isinstance(kind, T.StringType) else F.lit("").cast("binary")
-    return df.select(F.coalesce(F.col(f"`{column}`"), empty).alias("text"))
+    return df.select(F.coalesce(F.col(f"`{column}`"), empty).alias("text"), *(more or []))
 
 
 @dataclass(frozen=True)
@@ -135,11 +143,14 @@ class BytesSource:
         object.__setattr__(self, "data", data)
         object.__setattr__(self, "separator", separator)
 
-    def read(self, spark: SparkSession) -> DataFrame:
+    def read(self, spark: SparkSession, ordered: bool = True) -> DataFrame:
+        """(doc_id, text), numbered in the order of buffers."""
         if self.data and isinstance(self.data[0], bytes) and not self.separator:
-            return _numbered(spark.createDataFrame([(bytearray(d),) for d in self.data], "text binary"))
-        rows = spark.createDataFrame([(d if isinstance(d, str) else d.decode(),) for d in self.data], "text string")
-        return _numbered(rows.select(F.explode(split_docs(F.col("text"), self.separator)).alias("text")) if self.separator else rows)
+            return spark.createDataFrame([(i, bytearray(d)) for i, d in enumerate(self.data)], "doc_id long, text binary")
+        texts = [d if isinstance(d, str) else d.decode() for d in self.data]
+        if self.separator:
+            texts = [part for t in texts for part in t.split(self.separator) if part]
+        return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
 
 
 Source = TextSource | JsonlSource | ParquetSource | BytesSource
@@ -158,26 +169,38 @@ def resolve(source) -> Source:
     return {"text": TextSource, "jsonl": JsonlSource, "parquet": ParquetSource}[formats[0]](paths)
 
 
-def _unpacked(spark: SparkSession, paths: tuple[str, ...]) -> DataFrame:
-    """(text) of whole files, Zstandard undone by Arrow where the name says so."""
-
-    def work(batches):
-        for batch in batches:
-            out = []
-            for path, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                if detect_format(path)[1] == "zst":
-                    data = pa.CompressedInputStream(pa.BufferReader(data), "zstd").read()
-                elif detect_format(path)[1] == "gz":
-                    data = pa.CompressedInputStream(pa.BufferReader(data), "gzip").read()
-                out.append(bytes(data).decode())
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["text"])
-
-    return spark.read.format("binaryFile").load(list(paths)).select("path", "content").mapInArrow(work, "text string")
-
-
-def _numbered(docs: DataFrame, key: Column | None = None) -> DataFrame:
-    """With ``doc_id``: ascending in the order of files and of documents in them, with gaps."""
-    return docs.select(F.monotonically_increasing_id().alias("doc_id") if key is None else key.alias("doc_id"), "text")
+def _files(spark: SparkSession, paths: tuple[str, ...]) -> list[str]:
+    """The files that paths name, those of folders too, in order of their names; hidden ones are left out."""
+    jvm, conf, found = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), []
+    for path in dict.fromkeys(paths):
+        there = jvm.org.apache.hadoop.fs.Path(path)
+        system = there.getFileSystem(conf)
+        tops = list(system.globStatus(there) or [])
+        if not tops:
+            raise FileNotFoundError(path)
+        files = [f for s in tops for f in (system.listStatus(s.getPath()) if s.isDirectory() else [s]) if not f.isDirectory()]
+        found += [f.getPath().toUri().toString() for f in files if not f.getPath().getName().startswith(("_", "."))]
+    return found
+
+
+def _unpacked(spark: SparkSession, paths: tuple[str, ...], separator: str) -> DataFrame:
+    """(text, _file, _start) of compressed files, a partition for each run of frames; files beside them that aren't compressed are read as text."""
+    ship(spark)
+    spark.dataSource.register(frames.FrameSource)
+    found = _files(spark, paths)
+    packed = [p for p in found if detect_format(p)[1]]
+    docs = spark.read.format(frames.NAME).option("paths", json.dumps(packed)).option("separator", separator).load()
+    plain = [p for p in found if not detect_format(p)[1]]
+    if plain:
+        reader = spark.read.option("lineSep", separator) if separator else spark.read
+        rest = order.placed(reader.text(plain, wholetext=not separator).withColumnRenamed("value", "text"))
+        docs = docs.union(rest.where("text <> ''") if separator else rest)
+    return docs
+
+
+def _numbered(docs: DataFrame, paths: tuple[str, ...], ordered: bool) -> DataFrame:
+    """With ``doc_id``."""
+    return order.numbered(docs, paths) if ordered else docs.select(F.monotonically_increasing_id().alias("doc_id"), "text")
 
 
 #: A table of fewer bytes for each core is small enough to be dealt out anew.
