@@ -483,7 +483,7 @@ def _write_frames(spark: SparkSession, texts: DataFrame, ending: str) -> list[st
         folder, name = fs.FileSystem.from_uri(path)
         folder.create_dir(name)
         number = TaskContext.get().partitionId()
-        with folder.open_output_stream(f"{name}/{number:05d}{ending}") as file:
+        with folder.open_output_stream(f"{name}/{number:05d}{ending}", compression=None) as file:
             for batch in batches:
                 whole = "".join(t + END for t in batch.column("text").to_pylist()).encode()
                 for at in range(0, len(whole), FRAME_BYTES):
