@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.schemes import interleave
+from . import literals
 
 
 def present(text: Column, patterns: list[str]) -> Column:
@@ -17,8 +18,16 @@ def present(text: Column, patterns: list[str]) -> Column:
     return F.filter(flags.cast("array<int>"), lambda x: x.isNotNull())
 
 
+#: From so many patterns on, one automaton looks for all of them.
+MANY = 32
+
+
 def forbidden(df: DataFrame, patterns: list[str], text: str = "text") -> DataFrame:
     """One row (pattern int, found boolean) for each pattern: whether any text holds it. One pass, partial aggregates."""
+    if len(patterns) >= MANY and all(patterns) and len(set(patterns)) == len(patterns):
+        found = literals.literal_counts(df, patterns, text).withColumn("found", F.lit(True))
+        every = df.sparkSession.range(len(patterns)).select(F.col("id").cast("int").alias("pattern"))
+        return every.join(found, "pattern", "left").select("pattern", F.coalesce("found", F.lit(False)).alias("found"))
     if not patterns:
         return df.sparkSession.createDataFrame([], "pattern int, found boolean")
     flags = df.agg(*(F.coalesce(F.bool_or(F.contains(F.col(text), F.lit(p))), F.lit(False)).alias(f"p{i}") for i, p in enumerate(patterns)))

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import normalize, schemes
-from .operators import counts, encode, scan, shape
+from .operators import counts, encode, literals, scan, shape
 from .operators import train as training
 from .plans.loaders import byte_alphabet, load
 from .plans.model import AddedToken, Metaspace, TokenizerModel
@@ -423,6 +423,32 @@ def added_token_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", F.md5(F.array_join(scan.split_added(F.col("text"), LITERALS), "|")).alias("md5"))
 
 
+#: Bytes of all words that the driver takes as literals.
+MOST_LITERAL_BYTES = 16 << 20
+
+
+def _benchmark_words(spark: SparkSession, sf_dir: str) -> list[str]:
+    """The distinct words of the benchmark items; more than MOST_LITERAL_BYTES are refused."""
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", r"[ \t\n\r\f\x0B]+")).alias("word")).where("word <> ''").distinct()
+    size = words.agg(F.sum(F.octet_length("word"))).first()[0] or 0
+    if size > MOST_LITERAL_BYTES:
+        raise ValueError(f"{size} bytes of literals")
+    return sorted(r["word"] for r in words.collect())
+
+
+def literal_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many documents hold each word of the benchmark items, anywhere; all words in one pass."""
+    words = _benchmark_words(spark, sf_dir)
+    names = spark.createDataFrame(list(enumerate(words)), "pattern int, word string")
+    return literals.literal_counts(table(spark, sf_dir, "documents"), words).join(names, "pattern").select("word", "docs")
+
+
+def literal_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents cut at the words of the benchmark items, leftmost and longest first: number and digest of the parts."""
+    parts = literals.literal_parts(table(spark, sf_dir, "documents").select("doc_id", "text"), _benchmark_words(spark, sf_dir))
+    return parts.select("doc_id", F.size("parts").cast("long").alias("parts"), F.md5(F.array_join("parts", "|")).alias("md5"))
+
+
 def _normalizer(step: Callable[[Column], Column]) -> Query:
     return lambda spark, sf_dir: table(spark, sf_dir, "conversations").select("conv_id", "turn", step(F.concat(F.lit("  "), F.col("text"), F.lit(" \t"))).alias("text"))
 
@@ -556,7 +582,7 @@ def queries() -> dict[str, Query]:
     named = {f"pretok_{s}" if s != "gpt2" else "pretoken_counts_gpt2": _pretok(s)[0] for s in schemes.PATTERNS}
     found = (
         tokens_per_lang, conversation_token_counts, pretok_rows, bpe_encode_words, bpe_encode_docs, bpe_token_totals, bpe_decode_roundtrip, bpe_decode_udf, pair_counts, vocab, merges, vocab_size,
-        train_bpe, train_bpe_raw_ids, train_bpe_assembled_bytes, sp_encode, sp_decode, bpe_known_words, pad_truncate, pad_left, wrap_truncate, packed_offsets, limit_bytes, doc_split_sep, forbid_scan, substr_present, added_token_split, jsonl_field_extract, scan_parquet, scan_bytes, scan_text, scan_text_sep, scan_text_gz, scan_text_zst, scan_order, scan_jsonl, load_tiktoken,
+        train_bpe, train_bpe_raw_ids, train_bpe_assembled_bytes, sp_encode, sp_decode, bpe_known_words, pad_truncate, pad_left, wrap_truncate, packed_offsets, limit_bytes, doc_split_sep, forbid_scan, substr_present, added_token_split, literal_counts, literal_split, jsonl_field_extract, scan_parquet, scan_bytes, scan_text, scan_text_sep, scan_text_gz, scan_text_zst, scan_order, scan_jsonl, load_tiktoken,
     )
     return named | {"pretoken_topk_gpt2": pretoken_topk} | {f.__name__: f for f in found} | {k: _normalizer(step) for k, (step, _) in _NORMALIZERS.items()}
 
@@ -567,6 +593,7 @@ def oracle_sql() -> dict[str, str]:
     by_doc = f"SELECT doc_id, lang, unnest({gpt2}) AS pretoken FROM documents"
     names = ", ".join(f"({i}, '{b.hex()}')" for i, b in model.vocab_dict().items())
     flags = " UNION ALL ".join(f"SELECT {i} AS pattern, coalesce(bool_or(contains(text, {_quoted(p)})), false) AS found FROM documents" for i, p in enumerate(FORBIDDEN))
+    words_sql = r"w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[^ \t\n\r\f\x{0B}]+')) AS word FROM benchmark)"
     held = ", ".join(f"CASE WHEN contains(text, {_quoted(p)}) THEN '{i}' END" for i, p in enumerate(FORBIDDEN))
     literal = "|".join(["<m>", "then", "the", r"\."])
     out = {f"pretok_{s}" if s != "gpt2" else "pretoken_counts_gpt2": sql for s in schemes.PATTERNS if (sql := _pretok(s)[1])}
@@ -595,6 +622,9 @@ def oracle_sql() -> dict[str, str]:
         "forbid_scan": flags,
         "substr_present": f"SELECT doc_id, concat_ws(',', {held}) AS patterns FROM documents",
         "added_token_split": f"SELECT doc_id, md5(array_to_string(list_filter(string_split(regexp_replace(text, '({literal})', chr(57345) || '\\1' || chr(57345), 'g'), chr(57345)), lambda x: x <> ''), '|')) AS md5 FROM documents",
+        "literal_counts": f"WITH {words_sql} SELECT word, count(*)::BIGINT AS docs FROM w JOIN documents d ON contains(d.text, w.word) GROUP BY word",
+        "literal_split": rf"""WITH {words_sql}, p AS (SELECT '(' || string_agg(regexp_replace(word, '([!-/:-@\[-`{{-~])', '\\\1', 'g'), '|' ORDER BY octet_length(encode(word)) DESC, word) || ')' AS p FROM w),
+            s AS (SELECT doc_id, list_filter(string_split(regexp_replace(text, p, chr(57345) || '\1' || chr(57345), 'g'), chr(57345)), lambda x: x <> '') AS s FROM documents, p) SELECT doc_id, len(s)::BIGINT AS parts, md5(array_to_string(s, '|')) AS md5 FROM s""",
         "jsonl_field_extract": "SELECT text, count(*)::BIGINT AS cnt FROM conversations GROUP BY text",
         "scan_parquet": "SELECT count(*)::BIGINT AS docs, sum(octet_length(encode(coalesce(text, ''))))::BIGINT AS bytes FROM documents",
         "scan_text": f"SELECT md5(string_agg(text || {_quoted(END)}, '' ORDER BY item_id)) AS md5, 1::BIGINT AS cnt FROM benchmark",
