@@ -38,6 +38,9 @@ END_ID = 0
 TAIL_ITEMS, NODES, FILLINGS = 120, 20_000, 4000
 #: Lengths at which the solver begins anew, at most: coarse steps, then finer ones around the best.
 DIVES = 24
+#: Steps of work in one solution and at least in one exact search (some 2 microseconds each), and the steps that a test of
+#: domination and a fullest filling count as.  So the driver's time is bounded whatever the lengths are.
+WORK, TAIL_WORK, DOMINATION, FULLEST = 8_000_000, 20_000, 5, 250
 #: Units that a worker remembers, twice: those of now and those of before.
 MEMO = 600_000
 
@@ -200,19 +203,38 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
     return best
 
 
-def fillings(items: list[int], room: int, least: int) -> list[tuple[int, ...]]:
+@dataclass
+class Work:
+    """Steps that searches may still take: one for a set that is grown, more for a test of domination.
+
+    They are counted and not timed, so that reruns agree.
+    """
+
+    left: int
+
+    def part(self, most: int) -> Work:
+        """A share of what is left, taken out of it."""
+        most = min(most, self.left)
+        self.left -= most
+        return Work(most)
+
+
+def fillings(items: list[int], room: int, least: int, work: Work | None = None) -> list[tuple[int, ...]]:
     """Undominated sets of ``items`` (sorted, largest first) within ``room`` of at least ``least``; fullest first.
 
-    They are of the first FILLINGS sets that are found, those with large items.
+    They are of the first FILLINGS sets that are found, those with large
+    items, or of those found before ``work`` is used up.
 
     A set is dominated if some of it could be replaced by one larger item left
     out that still fits.
     """
+    work = work or Work(WORK)
     out: set[tuple[int, ...]] = set()
     rest = list(itertools.accumulate(reversed(items)))[::-1] + [0]
 
     def grow(k: int, chosen: tuple[int, ...], total: int) -> None:
-        if len(out) > FILLINGS or total + min(rest[k], room - total) < least:
+        work.left -= 1
+        if work.left < 0 or len(out) > FILLINGS or total + min(rest[k], room - total) < least:
             return
         while k < len(items) and items[k] > room - total:
             k += 1
@@ -229,6 +251,7 @@ def fillings(items: list[int], room: int, least: int) -> list[tuple[int, ...]]:
     grow(0, (), 0)
 
     def dominated(chosen: tuple[int, ...]) -> bool:
+        work.left -= DOMINATION
         spare, left = room - sum(chosen), list(items)
         for x in chosen:
             left.remove(x)
@@ -253,6 +276,7 @@ class Completion:
     items: list[int]
     capacity: int
     nodes: int = NODES
+    work: Work = field(default_factory=lambda: Work(WORK))
     best: list[tuple[int, ...]] = field(default_factory=list)
 
     def solve(self) -> list[tuple[int, ...]]:
@@ -270,7 +294,7 @@ class Completion:
             if len(done) < len(self.best):
                 self.best = list(done)
             return
-        if len(self.best) <= self.bound or self.nodes <= 0:
+        if len(self.best) <= self.bound or self.nodes <= 0 or self.work.left <= 0:
             return
         self.nodes -= 1
         spare = (len(self.best) - 1) * self.capacity - self.volume - waste
@@ -278,12 +302,12 @@ class Completion:
             return
         largest, others = left[0], left[1:]
         room = self.capacity - largest
-        for f in fillings(others, room, max(0, room - spare)):
+        for f in fillings(others, room, max(0, room - spare), self.work):
             rest = list(others)
             for x in f:
                 rest.remove(x)
             self._search(rest, (*done, (largest, *f)), waste + room - sum(f))
-            if len(self.best) <= self.bound or self.nodes <= 0:
+            if len(self.best) <= self.bound or self.nodes <= 0 or self.work.left <= 0:
                 return
 
 
@@ -331,8 +355,8 @@ def fullest(n: np.ndarray, room: int) -> tuple[int, ...]:
     return tuple(out)
 
 
-def complete(counts: dict[int, int], capacity: int, spare: int, tail_items: int, nodes: int) -> list[Pattern] | None:
-    """Bins of a histogram by completion of the largest length, each filling as often as it can be; None once more than ``spare`` is wasted."""
+def complete(counts: dict[int, int], capacity: int, spare: int, tail_items: int, nodes: int, work: Work) -> list[Pattern] | None:
+    """Bins of a histogram by completion of the largest length, each filling as often as it can be; None once more than ``spare`` is wasted or ``work`` is used up."""
     n = np.zeros(capacity + 1, dtype=np.int64)
     for x, k in counts.items():
         n[x] = k
@@ -340,6 +364,9 @@ def complete(counts: dict[int, int], capacity: int, spare: int, tail_items: int,
     while int(n.sum()) > tail_items:
         largest = int(np.nonzero(n)[0][-1])
         n[largest] -= 1
+        work.left -= FULLEST
+        if work.left <= 0:
+            return None
         chosen = (largest, *fullest(n, capacity - largest))
         n[largest] += 1
         uses = {x: chosen.count(x) for x in chosen}
@@ -351,7 +378,7 @@ def complete(counts: dict[int, int], capacity: int, spare: int, tail_items: int,
         if spare < 0:
             return None
     tail = [x for x in np.nonzero(n)[0].tolist() for _ in range(int(n[x]))]
-    return out + [(1, items) for items in Completion(tail, capacity, nodes).solve()]
+    return out + [(1, items) for items in Completion(tail, capacity, nodes, work.part(max(TAIL_WORK, work.left // 20))).solve()]
 
 
 def solve(counts: dict[int, int], capacity: int = CAPACITY, tail_items: int = TAIL_ITEMS, nodes: int = NODES, dives: int = DIVES) -> list[Pattern]:
@@ -363,7 +390,7 @@ def solve(counts: dict[int, int], capacity: int = CAPACITY, tail_items: int = TA
         raise ValueError(f"lengths are from 1 to {capacity}")
     best, bound = best_fit(counts, capacity), lower_bound(counts, capacity)
     volume = sum(x * k for x, k in counts.items())
-    lengths, tried = sorted(counts), set()
+    lengths, tried, work = sorted(counts), set(), Work(WORK)
 
     def dive(top: int) -> int:
         """Pack lengths above ``top`` among themselves and all others among themselves; how many bins that takes."""
@@ -371,7 +398,7 @@ def solve(counts: dict[int, int], capacity: int = CAPACITY, tail_items: int = TA
         tried.add(top)
         bins_now, spare = [], (bins(best) - 1) * capacity - volume
         for part in ({x: k for x, k in counts.items() if x > top}, {x: k for x, k in counts.items() if x <= top}):
-            found = complete(part, capacity, spare, tail_items, nodes)
+            found = complete(part, capacity, spare, tail_items, nodes, work)
             if found is None:
                 return bins(best) + 1
             spare -= sum(times * (capacity - sum(items)) for times, items in found)
@@ -381,12 +408,12 @@ def solve(counts: dict[int, int], capacity: int = CAPACITY, tail_items: int = TA
         return bins(bins_now)
 
     step, centre = len(lengths), len(lengths) - 1
-    while bins(best) > bound and len(tried) < dives:
+    while bins(best) > bound and len(tried) < dives and work.left > 0:
         step = max(1, step // 4)
         near = [k for k in range(centre - 4 * step, centre + 4 * step + 1, step) if 0 <= k < len(lengths) and lengths[k] not in tried]
         scores = {}
         for k in near:
-            if bins(best) > bound and len(tried) < dives:
+            if bins(best) > bound and len(tried) < dives and work.left > 0:
                 scores[k] = dive(lengths[k])
         if scores and min(scores.values()) <= bins(best):
             centre = min(scores, key=lambda k: (scores[k], -k))

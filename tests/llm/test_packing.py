@@ -1,5 +1,6 @@
 import collections
 import random
+import time
 
 import numpy as np
 import pytest
@@ -134,3 +135,15 @@ def test_pieces_are_whole_and_gapless(spark, edge_rows, encoder):
 def test_empty_table(spark):
     with Scratch(spark) as scratch:
         assert P.digests(table(spark, []), scratch, tokenizer_path()).count() == 0
+
+
+@pytest.mark.parametrize(("low", "high", "most"), [(100, 1000, 1080), (200, 1000, 1175), (500, 900, 1440)])
+def test_time_is_bounded(low, high, most):
+    """Lengths for which best fit misses the bound by far: few bins all the same, within seconds of the driver."""
+    rng = random.Random(1)
+    counts = collections.Counter(rng.randint(low, high) for _ in range(4000))
+    began = time.process_time()
+    found = P.solve(counts)
+    assert time.process_time() - began < 40 and P.bins(found) <= most
+    assert collections.Counter(x for times, items in found for x in items for _ in range(times)) == counts and all(sum(items) <= 2048 for _, items in found)
+    assert found == P.solve(counts) if high == 1000 and low == 100 else True
