@@ -3,7 +3,8 @@
 Spark counts the words of the corpus.  Where the distinct ones fit, they come
 to the driver, which keeps the places of each pair in numpy arrays and a heap
 of pair counts, so each merge touches only what it changes.  Where they don't,
-pairs are counted by Spark in rounds, and only the most frequent ones come.
+they stay in written tables, a round of Spark jobs touches the words of its
+merges only, and the most frequent pairs come.
 """
 
 from __future__ import annotations
@@ -12,15 +13,18 @@ import heapq
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.schemes import DEFAULT
 from ..plans.loaders import byte_alphabet
 from ..plans.model import AddedToken, TokenizerModel
+from ..shared import folder, remove
 from ..shipping import ship
 from .counts import pretoken_counts
 from .merging import merge
@@ -152,64 +156,185 @@ def train(words: list[tuple[bytes, int]], vocab_size: int, specials: tuple[str,
     return Trained(tuple(vocab), tuple(merges), tuple(specials))
 
 
-WORDS = "word binary, cnt long"
+#: Rows of a round's log: a pair that it made in a word, or (without word) what a pair lost.
+LOG = "left int, right int, word binary, cnt long, delta long"
+#: Merges of one round at most.
+MOST_MERGES = 64
 
 
-def _pairs(words: DataFrame, merges: list[tuple[int, int, int]]) -> DataFrame:
-    """(left, right, cnt) of a table of words (word, cnt) after merges, in the order of these."""
+def _log(words: DataFrame, ranks: dict, fresh: dict | None) -> DataFrame:
+    """Log rows of a table of words (word, cnt): how ``fresh`` merges change pairs after those of ``ranks``; None: all pairs of bytes."""
     ship(words.sparkSession)
-    ranks = {}
-    for rank, (a, b, new) in enumerate(merges):
-        ranks.setdefault((a, b), (rank, new))
-    shared = words.sparkSession.sparkContext.broadcast(ranks)
+    shared = words.sparkSession.sparkContext.broadcast((ranks, fresh))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks, fresh = shared.value
         for batch in batches:
-            found: Counter = Counter()
+            lost: Counter = Counter()
+            rows = []
             for word, n in zip(batch.column("word").to_pylist(), batch.column("cnt").to_pylist(), strict=True):
-                symbols = merge(list(word), shared.value)
-                for p in zip(symbols, symbols[1:]):
-                    found[p] += n
-            cols = [[a for a, _ in found], [b for _, b in found], list(found.values())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int32(), pa.int64()), strict=True)], names=["left", "right", "cnt"])
-
-    return words.mapInArrow(work, "left int, right int, cnt long").groupBy("left", "right").agg(F.sum("cnt").alias("cnt"))
-
+                was = [] if fresh is None else merge(list(word), ranks)
+                now = list(word) if fresh is None else merge(was, fresh)
+                before, after = Counter(zip(was, was[1:])), Counter(zip(now, now[1:]))
+                rows += [(*pair, word, n, k * n) for pair, k in after.items() if pair not in before]
+                for pair, k in before.items():
+                    lost[pair] += (after[pair] - k) * n
+            rows += [(*pair, None, None, n) for pair, n in lost.items() if n]
+            columns = zip(*rows, strict=True) if rows else [[]] * 5
+            kinds = (pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["left", "right", "word", "cnt", "delta"])
+
+    return words.mapInArrow(work, LOG)
+
+
+class Rounds:
+    """Training state in written tables: an index from pairs to words, and what each round did to the counts.
+
+    A pair first stands in a word in the round that made the later of its two
+    symbols and in no other one, so the words that may hold it are found in
+    that round's log alone (in the first one, by its left byte's folder).
+    Symbols of a word are worked out from its bytes and the merges, so words
+    themselves are never rewritten.
+
+    Old pairs only become rarer.  So the driver holds the first ``most_pairs``
+    pairs with exact counts and a bound that all others rank behind; a round
+    brings changes of held pairs and new pairs before the bound, and only when
+    none is left before it are all counts added up again.
+    """
 
-def train_distributed(words: DataFrame, vocab_size: int, specials: tuple[str, ...] = (), tie_breaking: str = "huggingface", most_pairs: int = 1000) -> Trained:
+    def __init__(self, words: DataFrame, vocab: list[bytes], tie_breaking: str, most_pairs: int):
+        self.spark, self.vocab, self.tie, self.most = words.sparkSession, vocab, tie_breaking, most_pairs
+        self.key = _tie_key(tie_breaking, vocab)
+        self.root = folder(self.spark, "-training")
+        self.made: dict[int, str] = {}
+        self.ranks: dict[tuple[int, int], tuple[int, int]] = {}
+        self.held: dict[tuple[int, int], int] = {}
+        self.bound: tuple | None = None
+        base = _log(words.where("word IS NOT NULL AND cnt > 0").groupBy("word").agg(F.sum("cnt").alias("cnt")), {}, None)
+        base.hint("rebalance", "left").sortWithinPartitions("left", "right").write.partitionBy("left").parquet(f"{self.root}/base")
+        self.pending, self.total, self.totals = [f"{self.root}/base"], None, 0
+        self.refill()
+
+    def rank(self, pair: tuple[int, int], n: int) -> tuple:
+        return -n, self.key(pair), pair
+
+    def _read(self, *paths: str) -> DataFrame:
+        return self.spark.read.schema(LOG).parquet(*paths)
+
+    def _ordered(self, counts: DataFrame, *first: Column) -> DataFrame:
+        """Pairs (left, right, delta) in the order of ranks."""
+        if self.tie == "assembled_bytes":
+            # As many rows as the vocabulary has tokens.
+            tokens = F.broadcast(self.spark.createDataFrame(list(enumerate(self.vocab)), "id int, bytes binary"))
+            for side in ("left", "right"):
+                counts = counts.join(tokens.select(F.col("id").alias(side), F.col("bytes").alias(f"_{side}")), side)
+            keys = ["_left", "_right"]
+        elif self.tie == "huggingface":
+            places = F.lit([self.key((b, b))[0] for b in range(256)])
+            keys = [F.coalesce(F.get(places, F.col(side)), F.col(side)) for side in ("left", "right")]
+        else:
+            keys = []
+        return counts.orderBy(*first, F.desc("delta"), *keys, "left", "right")
+
+    def refill(self) -> None:
+        """Add up all logs since the last time and hold the first pairs."""
+        logs = self._read(*self.pending).select("left", "right", "delta")
+        if self.total is not None:
+            logs = logs.union(self.spark.read.schema("left int, right int, delta long").parquet(self.total))
+        self.total, self.pending, self.totals = f"{self.root}/total-{self.totals}", [], self.totals + 1
+        logs.groupBy("left", "right").agg(F.sum("delta").alias("delta")).where("delta > 0").write.parquet(self.total)
+        counts = self.spark.read.schema("left int, right int, delta long").parquet(self.total)
+        found = self._ordered(counts).limit(self.most).collect()
+        self.held = {(r["left"], r["right"]): r["delta"] for r in found}
+        self.bound = self.rank(*list(self.held.items())[-1]) if len(found) == self.most else None
+
+    def best(self) -> list[tuple]:
+        """Held pairs before the bound, in order; none if no pair is left at all."""
+        self._forget()
+        if not self.held and self.bound is not None:
+            self.refill()
+        return sorted(self.rank(p, n) for p, n in self.held.items())
+
+    def _forget(self) -> None:
+        self.held = {p: n for p, n in self.held.items() if n > 0 and (self.bound is None or self.rank(p, n) <= self.bound)}
+        if len(self.held) > 2 * self.most:
+            self.bound = sorted(self.rank(p, n) for p, n in self.held.items())[self.most - 1]
+            self._forget()
+
+    def _words(self, pairs: list[tuple[int, int]]) -> DataFrame:
+        """(word, cnt) of all words that some pairs may stand in."""
+        homes: dict[str, list[tuple[int, int]]] = {}
+        for a, b in pairs:
+            homes.setdefault(self.made.get(max(a, b), f"{self.root}/base/left={a}"), []).append((a, b))
+        parts = []
+        for path, own in homes.items():
+            of_base = path.startswith(f"{self.root}/base/")
+            table = self.spark.read.schema(LOG.split(", ", 1)[1]).parquet(path) if of_base else self._read(path)
+            asked = [F.col("right") == b if of_base else (F.col("left") == a) & (F.col("right") == b) for a, b in own]
+            parts.append(table.where(F.col("word").isNotNull() & reduce(or_, asked)).select("word", "cnt"))
+        found = reduce(DataFrame.union, parts)
+        return found if len(pairs) == 1 else found.groupBy("word").agg(F.first("cnt").alias("cnt"))
+
+    def apply(self, merges: list[tuple[int, int, int]]) -> None:
+        """One round: merges that share no symbol, with their new ids, in order; ``vocab`` has their tokens already."""
+        fresh = {(a, b): (len(self.ranks) + k, new) for k, (a, b, new) in enumerate(merges)}
+        path = f"{self.root}/round-{len(self.ranks)}"
+        _log(self._words([(a, b) for a, b, _ in merges]), self.ranks, fresh).write.parquet(path)
+        self.ranks |= fresh
+        self.made |= {new: path for _, _, new in merges}
+        self.pending.append(path)
+        touched = {s for a, b, _ in merges for s in (a, b)}
+        near = [p for p in self.held if touched.intersection(p)]
+        known = F.broadcast(self.spark.createDataFrame([(*p, True) for p in near], "left int, right int, held boolean"))
+        least = 1 if self.bound is None else -self.bound[0]
+        net = self._read(path).groupBy("left", "right").agg(F.sum("delta").alias("delta")).join(known, ["left", "right"], "left")
+        net = net.where(F.col("held") | (F.col("delta") >= least))
+        found = self._ordered(net, F.desc_nulls_last("held")).select("left", "right", "delta", "held").limit(len(near) + self.most).collect()
+        new = [r for r in found if not r["held"]]
+        for r in found:
+            pair = r["left"], r["right"]
+            self.held[pair] = self.held.get(pair, 0) + r["delta"]
+        if len(new) == self.most:
+            last = self.rank((new[-1]["left"], new[-1]["right"]), new[-1]["delta"])
+            self.bound = last if self.bound is None else min(self.bound, last)
+
+
+def train_distributed(words: DataFrame, vocab_size: int, specials: tuple[str, ...] = (), tie_breaking: str = "huggingface", most_pairs: int = 10_000) -> Trained:
     """The same merges from a table of words (word binary, cnt long) that stays distributed.
 
-    A round counts all pairs under the merges so far and takes the most
-    frequent ones as long as they share no symbol with one before them, taken
-    or not: such merges change no other's count, and a pair that one of them
-    makes is at most as frequent as one that was passed over.  The driver gets
-    ``most_pairs`` pairs a round, and all that tie with the last of them.
+    Rows of the same word are added up; words that are null or occur less than
+    once are left out.  A round merges the most frequent pairs as long as they
+    share no symbol with one before them: such merges change no other's count,
+    and a pair that one of them makes is at most as frequent as one that
+    shares a symbol with it and so comes later (a pair of equal symbols shares
+    them with itself, so it is the last of its round).  A round reads and
+    writes what belongs to the words that its pairs may stand in; see
+    ``Rounds``.  The driver gets at most two times ``most_pairs`` pairs a round.
     """
     vocab = [bytes([b]) for b in range(256)] + [s.encode() for s in specials]
-    key = _tie_key(tie_breaking, vocab)
     merges: list[tuple[int, int, int]] = []
-    while len(vocab) < vocab_size:
-        pairs = _pairs(words, merges)
-        top = pairs.orderBy(F.desc("cnt")).limit(most_pairs)
-        least = F.broadcast(top.agg(F.min("cnt").alias("least"), F.count("*").alias("n")))
-        found = pairs.join(least, F.col("cnt") >= F.col("least")).select("left", "right", "cnt", "n").collect()
-        if not found:
-            break
-        ranked = sorted(((-r["cnt"], key((r["left"], r["right"])), (r["left"], r["right"])) for r in found))
-        complete = found[0]["n"] < most_pairs
-        taken, seen = [], set()
-        for n, _, pair in ranked:
-            if seen.intersection(pair):
-                break
-            taken.append((n, pair))
-            seen.update(pair)
-        else:
-            n = None if complete else ranked[-1][0]
-        # What the first one passed over, or one that was not collected, may bring forth is as frequent as it at most.
-        sure = [pair for m, pair in taken if n is None or m < n] or [ranked[0][2]]
-        for pair in sure[: vocab_size - len(vocab)]:
-            merges.append((*pair, len(vocab)))
-            vocab.append(vocab[pair[0]] + vocab[pair[1]])
+    rounds = Rounds(words, vocab, tie_breaking, most_pairs)
+    try:
+        while len(vocab) < vocab_size and (ranked := rounds.best()):
+            taken, seen = [], set()
+            least = 0 if rounds.bound is None else -rounds.bound[0]
+            for n, _, pair in ranked:
+                if seen.intersection(pair) or len(taken) == MOST_MERGES or (taken and len(set(taken[-1][1])) == 1):
+                    least = max(least, -n)
+                    break
+                taken.append((-n, pair))
+                seen.update(pair)
+            # What a merge makes, or what isn't held, may come before those that are as frequent as ``least``.
+            sure = [pair for n, pair in taken if n > least] or [ranked[0][2]]
+            made = []
+            for a, b in sure[: vocab_size - len(vocab)]:
+                made.append((a, b, len(vocab)))
+                vocab.append(vocab[a] + vocab[b])
+            merges += made
+            if len(vocab) < vocab_size:
+                rounds.apply(made)
+    finally:
+        remove(rounds.spark, rounds.root)
     return Trained(tuple(vocab), tuple(merges), tuple(specials))
 
 

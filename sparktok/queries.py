@@ -5,7 +5,6 @@ from __future__ import annotations
 import base64
 import functools
 import tempfile
-import uuid
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -22,6 +21,7 @@ from .operators import counts, encode, literals, scan, shape
 from .operators import train as training
 from .plans.loaders import byte_alphabet, load
 from .plans.model import AddedToken, Metaspace, TokenizerModel
+from .shared import folder
 from .shipping import ship
 from .sources import files
 
@@ -195,6 +195,11 @@ def train_bpe_assembled_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _learned(spark, training.train_bpe(table(spark, sf_dir, "benchmark"), 256 + TRAINED, tie_breaking="assembled_bytes"))
 
 
+def _rounds(source: str, tie: str, text: str = "text") -> Query:
+    """Merges learned from a table whose words stay distributed."""
+    return lambda spark, sf_dir: _learned(spark, training.train_bpe(table(spark, sf_dir, source), 256 + TRAINED, tie_breaking=tie, text=text, most_words=0))
+
+
 #: Merges of the training queries.
 TRAINED = 20
 
@@ -476,26 +481,13 @@ def scan_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.BytesSource(["a<|sep|>b<|sep|><|sep|>c", "d"], "<|sep|>").read(spark).select("text")
 
 
-def _folder(spark: SparkSession, ending: str) -> str:
-    """A new folder in the one that driver and executors share (a local session may name none), gone when the session ends."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        shared = "file://" + tempfile.mkdtemp(prefix="sparktok-")
-    path = f"{shared.rstrip('/')}/sparktok-{uuid.uuid4().hex}{ending}"
-    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(there)
-    return path
-
-
 def _counted(texts: DataFrame) -> DataFrame:
     return texts.groupBy(F.md5("text").alias("md5")).agg(F.count("*").alias("cnt"))
 
 
 def scan_text_sep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents written as plain text with a separator, and read again."""
-    path = _folder(spark, "")
+    path = folder(spark, "")
     table(spark, sf_dir, "documents").select("text").write.option("lineSep", END).text(path)
     return _counted(files.TextSource(path, END).read(spark, ordered=False))
 
@@ -503,7 +495,7 @@ def scan_text_sep(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _write_frames(spark: SparkSession, texts: DataFrame, ending: str) -> list[str]:
     """Texts of a table as Zstandard files of many small frames, one file for each task; their paths."""
     ship(spark)
-    path = _folder(spark, "")
+    path = folder(spark, "")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         folder, name = fs.FileSystem.from_uri(path)
@@ -530,7 +522,7 @@ def scan_text_zst(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scan_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers of documents in folders of which each holds twice as many as the one after it, as their paths are listed; written when called."""
-    path = _folder(spark, "")
+    path = folder(spark, "")
     rows = table(spark, sf_dir, "documents").where("text <> ''").select(F.floor(F.log2(F.col("doc_id") + F.lit(1))).cast("int").alias("folder"), "doc_id", "text")
     rows.repartitionByRange("folder", "doc_id").sortWithinPartitions("folder", "doc_id").drop("doc_id").write.partitionBy("folder").option("lineSep", END).text(path)
     most = rows.agg(F.max("folder")).first()[0]
@@ -539,21 +531,21 @@ def scan_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scan_text_gz(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same, compressed."""
-    path = _folder(spark, "")
+    path = folder(spark, "")
     table(spark, sf_dir, "documents").select("text").write.option("lineSep", END).option("compression", "gzip").text(path)
     return _counted(files.TextSource(path, END).read(spark, ordered=False))
 
 
 def scan_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The benchmark items written as one file, and read as one document."""
-    path = _folder(spark, "")
+    path = folder(spark, "")
     table(spark, sf_dir, "benchmark").orderBy("item_id").coalesce(1).select("text").write.option("lineSep", END).text(path)
     return _counted(files.resolve(path).read(spark))
 
 
 def scan_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents written as JSON lines, and read by the ending of the folder's name."""
-    path = _folder(spark, ".jsonl")
+    path = folder(spark, ".jsonl")
     docs(spark, sf_dir).select(F.to_json(F.struct("doc_id", "text")).alias("value")).write.text(path)
     return _counted(files.resolve(path).read(spark, ordered=False))
 
@@ -584,6 +576,7 @@ def queries() -> dict[str, Query]:
         tokens_per_lang, conversation_token_counts, pretok_rows, bpe_encode_words, bpe_encode_docs, bpe_token_totals, bpe_decode_roundtrip, bpe_decode_udf, pair_counts, vocab, merges, vocab_size,
         train_bpe, train_bpe_raw_ids, train_bpe_assembled_bytes, sp_encode, sp_decode, bpe_known_words, pad_truncate, pad_left, wrap_truncate, packed_offsets, limit_bytes, doc_split_sep, forbid_scan, substr_present, added_token_split, literal_counts, literal_split, jsonl_field_extract, scan_parquet, scan_bytes, scan_text, scan_text_sep, scan_text_gz, scan_text_zst, scan_order, scan_jsonl, load_tiktoken,
     )
+    named |= {"train_rounds": _rounds("documents", "huggingface"), "train_rounds_raw_ids": _rounds("pages", "raw_token_ids", "html"), "train_rounds_bytes": _rounds("conversations", "assembled_bytes")}
     return named | {"pretoken_topk_gpt2": pretoken_topk} | {f.__name__: f for f in found} | {k: _normalizer(step) for k, (step, _) in _NORMALIZERS.items()}
 
 
@@ -595,6 +588,7 @@ def oracle_sql() -> dict[str, str]:
     flags = " UNION ALL ".join(f"SELECT {i} AS pattern, coalesce(bool_or(contains(text, {_quoted(p)})), false) AS found FROM documents" for i, p in enumerate(FORBIDDEN))
     words_sql = r"w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[^ \t\n\r\f\x{0B}]+')) AS word FROM benchmark)"
     held = ", ".join(f"CASE WHEN contains(text, {_quoted(p)}) THEN '{i}' END" for i, p in enumerate(FORBIDDEN))
+    by_character = ", ".join(f"CASE WHEN {x} < 256 THEN {_ints(byte_order())}[{x} + 1] ELSE {x} END" for x in "lr")
     literal = "|".join(["<m>", "then", "the", r"\."])
     out = {f"pretok_{s}" if s != "gpt2" else "pretoken_counts_gpt2": sql for s in schemes.PATTERNS if (sql := _pretok(s)[1])}
     out |= {
@@ -607,7 +601,10 @@ def oracle_sql() -> dict[str, str]:
         "bpe_token_totals": f"WITH RECURSIVE {_encoded_sql(by_doc)} SELECT w.lang, count(DISTINCT w.doc_id)::BIGINT AS docs, sum({_tokens('ids')})::BIGINT AS tokens FROM w JOIN enc ON enc.pretoken = w.pretoken GROUP BY w.lang",
         "bpe_decode_roundtrip": "SELECT doc_id, md5(text) AS md5 FROM documents",
         "bpe_decode_udf": "SELECT doc_id, md5(text) AS md5 FROM documents",
-        "train_bpe": _train_sql("documents", ", ".join(f"CASE WHEN {x} < 256 THEN {_ints(byte_order())}[{x} + 1] ELSE {x} END" for x in "lr")),
+        "train_bpe": _train_sql("documents", by_character),
+        "train_rounds": _train_sql("documents", by_character),
+        "train_rounds_raw_ids": _train_sql("(SELECT html AS text FROM pages)", "l, r"),
+        "train_rounds_bytes": _train_sql("conversations", "lb, rb"),
         "train_bpe_raw_ids": _train_sql("benchmark", "l, r"),
         "train_bpe_assembled_bytes": _train_sql("benchmark", "lb, rb"),
         "sp_encode": _sp_sql(),

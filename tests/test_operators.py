@@ -225,6 +225,28 @@ def test_distributed_training_equals_that_on_the_driver(spark):
         assert train.train_distributed(table, size, (), tie, most) == train.train(list(words.items()), size, (), tie)
 
 
+def test_distributed_training_of_runs_and_repeated_rows(spark):
+    """A pair of equal symbols makes pairs that are more frequent than others of its round; rows of a word are added up."""
+    rows = [(b"aaaaaaaa", 10), (b"bc", 8), (b"de", 4), (b"de", 4), (None, 9), (b"fg", 0), (b"", 3), (b"aab", 2)]
+    table = spark.createDataFrame([(None if w is None else bytearray(w), n) for w, n in rows], "word binary, cnt long")
+    once = [(b"aaaaaaaa", 10), (b"bc", 8), (b"de", 8), (b"aab", 2)]
+    for most in (1, 3, 100):
+        assert train.train_distributed(table, 999, (), "raw_token_ids", most) == train.train(once, 999, (), "raw_token_ids")
+    assert train.train_distributed(table.limit(0), 999).merges == ()
+
+
+@pytest.mark.parametrize("tie", train.TIES)
+def test_rounds_hold_few_pairs_and_read_the_words_of_theirs_only(spark, tie):
+    rng = random.Random(8)
+    words = Counter(bytes(rng.choice(b"abcdefgh") for _ in range(rng.randint(1, 9))) for _ in range(300))
+    table = spark.createDataFrame([(bytearray(w), n) for w, n in words.items()], "word binary, cnt long").coalesce(2)
+    assert train.train_distributed(table, 256 + 1 + 12, ("<s>",), tie, 7) == train.train(list(words.items()), 256 + 1 + 12, ("<s>",), tie)
+    rounds = train.Rounds(table, vocab := [bytes([b]) for b in range(256)], tie, 5)
+    vocab.append(b"ab")
+    rounds.apply([(97, 98, 256)])
+    assert len(rounds.held) <= 10 and {r["word"] for r in rounds._words([(256, 99)]).collect()} == {w for w in words if b"abc" in w}
+
+
 @pytest.mark.parametrize("tie", train.TIES)
 def test_training_equals_recounting(tie):
     from sparktok.plans.loaders import byte_alphabet
