@@ -205,6 +205,7 @@ class Rounds:
     def __init__(self, words: DataFrame, vocab: list[bytes], tie_breaking: str, most_pairs: int):
         self.spark, self.vocab, self.tie, self.most = words.sparkSession, vocab, tie_breaking, most_pairs
         self.key = _tie_key(tie_breaking, vocab)
+        self.places = ", ".join(str(self.key((b, b))[0]) for b in range(256)) if tie_breaking == "huggingface" else ""
         self.root = folder(self.spark, "-training")
         self.made: dict[int, str] = {}
         self.ranks: dict[tuple[int, int], tuple[int, int]] = {}
@@ -230,8 +231,7 @@ class Rounds:
                 counts = counts.join(tokens.select(F.col("id").alias(side), F.col("bytes").alias(f"_{side}")), side)
             keys = ["_left", "_right"]
         elif self.tie == "huggingface":
-            places = F.lit([self.key((b, b))[0] for b in range(256)])
-            keys = [F.coalesce(F.get(places, F.col(side)), F.col(side)) for side in ("left", "right")]
+            keys = [F.expr(f"coalesce(get(array({self.places}), {side}), {side})") for side in ("left", "right")]
         else:
             keys = []
         return counts.orderBy(*first, F.desc("delta"), *keys, "left", "right")
