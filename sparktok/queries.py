@@ -23,7 +23,7 @@ from .plans.loaders import byte_alphabet, load
 from .plans.model import AddedToken, Metaspace, TokenizerModel
 from .shared import folder
 from .shipping import ship
-from .sources import files
+from .sources import files, packed
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -481,6 +481,17 @@ def scan_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.BytesSource(["a<|sep|>b<|sep|><|sep|>c", "d"], "<|sep|>").read(spark).select("text")
 
 
+def packed_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents encoded, written as packed ids and read again: their places in the order of ids, and digests of the decoded texts.
+
+    Writes when it is called.
+    """
+    path = folder(spark, "-packed")
+    packed.write_packed(encode.encode(docs(spark, sf_dir).select("doc_id", "text"), small_model()), path)
+    found = packed.read_packed(spark, path).withColumnRenamed("key", "doc_id")
+    return encode.decode_text(found, small_model()).select("doc_id", "place", F.md5("text").alias("md5"))
+
+
 def _counted(texts: DataFrame) -> DataFrame:
     return texts.groupBy(F.md5("text").alias("md5")).agg(F.count("*").alias("cnt"))
 
@@ -574,7 +585,7 @@ def queries() -> dict[str, Query]:
     named = {f"pretok_{s}" if s != "gpt2" else "pretoken_counts_gpt2": _pretok(s)[0] for s in schemes.PATTERNS}
     found = (
         tokens_per_lang, conversation_token_counts, pretok_rows, bpe_encode_words, bpe_encode_docs, bpe_token_totals, bpe_decode_roundtrip, bpe_decode_udf, pair_counts, vocab, merges, vocab_size,
-        train_bpe, train_bpe_raw_ids, train_bpe_assembled_bytes, sp_encode, sp_decode, bpe_known_words, pad_truncate, pad_left, wrap_truncate, packed_offsets, limit_bytes, doc_split_sep, forbid_scan, substr_present, added_token_split, literal_counts, literal_split, jsonl_field_extract, scan_parquet, scan_bytes, scan_text, scan_text_sep, scan_text_gz, scan_text_zst, scan_order, scan_jsonl, load_tiktoken,
+        train_bpe, train_bpe_raw_ids, train_bpe_assembled_bytes, sp_encode, sp_decode, bpe_known_words, pad_truncate, pad_left, wrap_truncate, packed_offsets, limit_bytes, doc_split_sep, forbid_scan, substr_present, added_token_split, literal_counts, literal_split, jsonl_field_extract, scan_parquet, scan_bytes, scan_text, scan_text_sep, scan_text_gz, scan_text_zst, scan_order, scan_jsonl, load_tiktoken, packed_sink,
     )
     named |= {"train_rounds": _rounds("documents", "huggingface"), "train_rounds_raw_ids": _rounds("pages", "raw_token_ids", "html"), "train_rounds_bytes": _rounds("conversations", "assembled_bytes")}
     return named | {"pretoken_topk_gpt2": pretoken_topk} | {f.__name__: f for f in found} | {k: _normalizer(step) for k, (step, _) in _NORMALIZERS.items()}
@@ -631,6 +642,7 @@ def oracle_sql() -> dict[str, str]:
         "scan_order": "SELECT row_number() OVER (ORDER BY floor(log2(doc_id + 1)) DESC, doc_id) - 1 AS doc_id, md5(text) AS md5 FROM documents WHERE text <> ''",
         "scan_jsonl": "SELECT md5(text) AS md5, count(*)::BIGINT AS cnt FROM documents GROUP BY ALL",
         "load_tiktoken": 'SELECT rank::INTEGER AS rank, l::INTEGER AS "left", r::INTEGER AS "right", m::INTEGER AS merged FROM (VALUES (0, 116, 104, 256), (1, 104, 101, 257), (2, 256, 101, 258), (3, 32, 258, 259)) v(rank, l, r, m)',
+        "packed_sink": "SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS place, md5(coalesce(text, '')) AS md5 FROM documents",
         "scan_bytes": "SELECT text FROM (VALUES ('a'), ('b'), ('c'), ('d')) v(text)",
     }
     return out | {k: _normalizer_sql(sql) for k, (_, sql) in _NORMALIZERS.items()}

@@ -30,11 +30,16 @@ ZSTD_MAGIC, SKIPPABLE = 0xFD2FB528, 0x184D2A50
 SCHEMA = "text string, _file string, _start long"
 
 
-def open_file(path: str) -> pa.NativeFile:
-    """A file by its URI, or a local one by its path."""
+def split_path(path: str) -> tuple[fs.FileSystem, str]:
+    """Where a URI, or a local path, points to: its store and its name there."""
     if path.startswith("file:"):
         path = unquote(re.sub("^file:/+", "/", path))
-    there, name = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
+def open_file(path: str) -> pa.NativeFile:
+    """A file by its URI, or a local one by its path."""
+    there, name = split_path(path)
     return there.open_input_file(name)
 
 
