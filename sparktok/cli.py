@@ -9,6 +9,7 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .operators.compare import first_difference
 from .operators.encode import count_tokens, encode
 from .operators.scan import limit_bytes, parse_size, split_docs
 from .operators.shape import Packed
@@ -34,21 +35,15 @@ def bench(spark: SparkSession, model: TokenizerModel, docs: DataFrame, packed: b
     return rates(total["b"], total["t"], time.perf_counter() - began)
 
 
-def mismatches(left: DataFrame, right: DataFrame, key: str = "n", ids: str = "ids") -> DataFrame:
-    """Rows of two encoded tables that differ, matched by ``key``; a row that only one has differs too."""
-    a, b = left.select(key, F.col(ids).alias("left_ids")), right.select(key, F.col(ids).alias("right_ids"))
-    return a.join(b, key, "full_outer").where(~F.col("left_ids").eqNullSafe(F.col("right_ids")))
-
-
 def validate(spark: SparkSession, model: TokenizerModel, paths: list[str], separator: str) -> DataFrame:
-    """Documents that come out differently when files are split by the reader and when texts are split first."""
-    by_reader = encode(TextSource(paths, separator).read(spark).withColumnRenamed("doc_id", "n"), model)
+    """The first document that comes out differently when files are split by the reader and when texts are split first."""
+    by_reader = TextSource(paths, separator).read(spark).withColumnRenamed("doc_id", "n")
     whole = TextSource(paths).read(spark)
     parts = whole.select(F.col("doc_id").alias("_file"), split_docs(F.col("text"), separator).alias("_parts"))
     # One row a file: few enough to be summed in order.
     first = parts.select("_file", F.size("_parts").alias("_k")).select("_file", F.expr("coalesce(sum(_k) over (order by _file rows between unbounded preceding and 1 preceding), 0)").alias("_first"))
     numbered = parts.join(first, "_file").select(F.col("_first"), F.posexplode("_parts").alias("_pos", "text")).select((F.col("_first") + F.col("_pos")).alias("n"), "text")
-    return mismatches(by_reader, encode(numbered, model))
+    return first_difference(by_reader, numbered, lambda docs: encode(docs, model))
 
 
 def main(args: list[str] | None = None) -> int:
@@ -72,7 +67,7 @@ def main(args: list[str] | None = None) -> int:
         docs = limit_bytes(docs, limit) if limit is not None else docs
         print(bench(spark, model, docs if o.parallel else docs.coalesce(1), o.packed))
         return 0
-    first = validate(spark, model, o.files, o.doc_separator).orderBy("n").limit(1).collect()
+    first = validate(spark, model, o.files, o.doc_separator).collect()
     print(f"first mismatch: {first[0]}" if first else "all documents match")
     return int(bool(first))
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import normalize, schemes
-from .operators import counts, encode, literals, scan, shape
+from .operators import compare, counts, encode, literals, scan, shape
 from .operators import train as training
 from .plans.loaders import byte_alphabet, load
 from .plans.model import AddedToken, Metaspace, TokenizerModel
@@ -423,6 +423,22 @@ def substr_present(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.transform(scan.present(F.col("text"), FORBIDDEN), lambda x: x.cast("string")), ",").alias("patterns"))
 
 
+def pretok_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of the documents and literals in them, with their places in bytes."""
+    return counts.pretoken_spans(docs(spark, sf_dir), "doc_id", added=tuple(LITERALS))
+
+
+def first_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first document whose ids differ once a literal is replaced in all texts, found by fingerprints of ranges.
+
+    Runs a job when it is called.
+    """
+    whole = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("n"), "text")
+    found = compare.first_difference(whole, whole.withColumn("text", F.replace("text", F.lit(FORBIDDEN[0]), F.lit("-"))), lambda df: encode.encode(df, small_model()), keys=64)
+    texts = encode.decode_text(encode.decode_text(found, small_model(), "left_ids", "a"), small_model(), "right_ids", "b")
+    return texts.select("n", F.md5("a").alias("left_md5"), F.md5("b").alias("right_md5"))
+
+
 def added_token_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts of the documents between and at literals."""
     return docs(spark, sf_dir).select("doc_id", F.md5(F.array_join(scan.split_added(F.col("text"), LITERALS), "|")).alias("md5"))
@@ -585,7 +601,7 @@ def queries() -> dict[str, Query]:
     named = {f"pretok_{s}" if s != "gpt2" else "pretoken_counts_gpt2": _pretok(s)[0] for s in schemes.PATTERNS}
     found = (
         tokens_per_lang, conversation_token_counts, pretok_rows, bpe_encode_words, bpe_encode_docs, bpe_token_totals, bpe_decode_roundtrip, bpe_decode_udf, pair_counts, vocab, merges, vocab_size,
-        train_bpe, train_bpe_raw_ids, train_bpe_assembled_bytes, sp_encode, sp_decode, bpe_known_words, pad_truncate, pad_left, wrap_truncate, packed_offsets, limit_bytes, doc_split_sep, forbid_scan, substr_present, added_token_split, literal_counts, literal_split, jsonl_field_extract, scan_parquet, scan_bytes, scan_text, scan_text_sep, scan_text_gz, scan_text_zst, scan_order, scan_jsonl, load_tiktoken, packed_sink,
+        train_bpe, train_bpe_raw_ids, train_bpe_assembled_bytes, sp_encode, sp_decode, bpe_known_words, pad_truncate, pad_left, wrap_truncate, packed_offsets, limit_bytes, doc_split_sep, forbid_scan, substr_present, added_token_split, literal_counts, literal_split, jsonl_field_extract, scan_parquet, scan_bytes, scan_text, scan_text_sep, scan_text_gz, scan_text_zst, scan_order, scan_jsonl, load_tiktoken, packed_sink, pretok_spans, first_difference,
     )
     named |= {"train_rounds": _rounds("documents", "huggingface"), "train_rounds_raw_ids": _rounds("pages", "raw_token_ids", "html"), "train_rounds_bytes": _rounds("conversations", "assembled_bytes")}
     return named | {"pretoken_topk_gpt2": pretoken_topk} | {f.__name__: f for f in found} | {k: _normalizer(step) for k, (step, _) in _NORMALIZERS.items()}
@@ -600,6 +616,7 @@ def oracle_sql() -> dict[str, str]:
     words_sql = r"w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[^ \t\n\r\f\x{0B}]+')) AS word FROM benchmark)"
     held = ", ".join(f"CASE WHEN contains(text, {_quoted(p)}) THEN '{i}' END" for i, p in enumerate(FORBIDDEN))
     by_character = ", ".join(f"CASE WHEN {x} < 256 THEN {_ints(byte_order())}[{x} + 1] ELSE {x} END" for x in "lr")
+    quoted = ", ".join(map(_quoted, LITERALS))
     literal = "|".join(["<m>", "then", "the", r"\."])
     out = {f"pretok_{s}" if s != "gpt2" else "pretoken_counts_gpt2": sql for s in schemes.PATTERNS if (sql := _pretok(s)[1])}
     out |= {
@@ -642,6 +659,11 @@ def oracle_sql() -> dict[str, str]:
         "scan_order": "SELECT row_number() OVER (ORDER BY floor(log2(doc_id + 1)) DESC, doc_id) - 1 AS doc_id, md5(text) AS md5 FROM documents WHERE text <> ''",
         "scan_jsonl": "SELECT md5(text) AS md5, count(*)::BIGINT AS cnt FROM documents GROUP BY ALL",
         "load_tiktoken": 'SELECT rank::INTEGER AS rank, l::INTEGER AS "left", r::INTEGER AS "right", m::INTEGER AS merged FROM (VALUES (0, 116, 104, 256), (1, 104, 101, 257), (2, 256, 101, 258), (3, 32, 258, 259)) v(rank, l, r, m)',
+        "pretok_spans": f"""WITH s AS (SELECT doc_id, list_filter(string_split(regexp_replace(text, '({literal})', chr(57345) || '\\1' || chr(57345), 'g'), chr(57345)), lambda x: x <> '') AS s FROM documents),
+            p AS (SELECT doc_id, flatten(list_transform(s, lambda x: CASE WHEN x IN ({quoted}) THEN [x] ELSE {_pieces_sql("gpt2", "x")} END)) AS p FROM s),
+            f AS (SELECT doc_id, (generate_subscripts(p, 1) - 1)::INTEGER AS pos, unnest(p) AS pretoken FROM p), n AS (SELECT *, octet_length(encode(pretoken)) AS n FROM f)
+            SELECT doc_id, pos, (sum(n) OVER w - n)::BIGINT AS byte_start, (sum(n) OVER w)::BIGINT AS byte_end, pretoken, pretoken IN ({quoted}) AS added FROM n WINDOW w AS (PARTITION BY doc_id ORDER BY pos)""",
+        "first_difference": f"SELECT doc_id AS n, md5(text) AS left_md5, md5(replace(text, {_quoted(FORBIDDEN[0])}, '-')) AS right_md5 FROM documents WHERE contains(text, {_quoted(FORBIDDEN[0])}) ORDER BY doc_id LIMIT 1",
         "packed_sink": "SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS place, md5(coalesce(text, '')) AS md5 FROM documents",
         "scan_bytes": "SELECT text FROM (VALUES ('a'), ('b'), ('c'), ('d')) v(text)",
     }

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 import sparktok
 from sparktok import cli, queries
 from sparktok.functions import normalize, schemes
-from sparktok.operators import batch, counts, encode, fragments, scan, shape, train
+from sparktok.operators import batch, compare, counts, encode, fragments, scan, shape, train
 from sparktok.operators import encoder as encoder_module
 from sparktok.operators.encoder import decode, encoder
 from sparktok.plans.model import AddedToken, TokenizerModel
@@ -181,6 +181,43 @@ def test_normalizers(spark):
 # ---- counting and training
 
 
+@pytest.mark.parametrize("scheme", sorted(schemes.PATTERNS))
+def test_spans_tile_texts(spark, scheme):
+    """Pieces by place are those of the texts between literals; null, empty and repeated rows; null keys."""
+    rng = random.Random(9)
+    texts = ["".join(rng.choice(["a", "the", "T", " ", "\n", "7", "é", "漢", "😀", "<m>", "<m", "!", "'s", "\u0301"]) for _ in range(rng.randint(0, 25))) for _ in range(60)]
+    rows = [*enumerate(texts), (None, "the <m>"), (61, None), (62, ""), (63, texts[0])]
+    table = spark.createDataFrame(rows, "k int, text string").coalesce(1)
+    for added in ((), ("<m>", "the", "<m")):
+        got = counts.pretoken_spans(table, "k", scheme=scheme, added=added).collect()
+        for k, text in rows:
+            own = sorted((r for r in got if r["k"] == k), key=lambda r: r["pos"])
+            raw = (text or "").encode()
+            assert [r["pos"] for r in own] == list(range(len(own)))
+            assert [r["byte_start"] for r in own] == [0, *(r["byte_end"] for r in own)][: len(own)] and (own[-1]["byte_end"] if own else 0) == len(raw)
+            assert all(raw[r["byte_start"] : r["byte_end"]] == r["pretoken"].encode() for r in own)
+            assert [r["pretoken"] for r in own if r["added"]] == (regex.findall("<m>|the|<m", text or "") if added else [])
+    assert counts.pretoken_spans(table.limit(0), "k", added=("a",)).count() == 0
+
+
+def test_first_difference_by_ranges(spark):
+    """One id, an order, a null for nothing, a row more; keys below zero; only the range that differs is made again."""
+    rows = [(k, [k, 1, 2]) for k in range(-50, 400)]
+    table = spark.createDataFrame(rows, "n long, ids array<int>").repartition(5)
+
+    def first(changed, keys=16, make=lambda df: df):
+        other = spark.createDataFrame(changed, "n long, ids array<int>").repartition(3)
+        return [(r["n"], r["left_ids"], r["right_ids"]) for r in compare.first_difference(table, other, make, keys=keys).collect()]
+
+    assert first(rows) == []
+    assert first([(k, [k, 2, 1] if k in (77, 300) else v) for k, v in rows]) == [(77, [77, 1, 2], [77, 2, 1])]
+    assert first([(k, None if k == -50 else v) for k, v in rows], 1000) == [(-50, [-50, 1, 2], None)]
+    assert first([*rows, (400, None)]) == [(400, None, None)] and first(rows[:-1]) == [(399, [399, 1, 2], None)]
+    assert first([(k, v[:2]) for k, v in rows], make=lambda df: df.withColumn("ids", F.slice("ids", 1, 1))) == []
+    empty = table.limit(0)
+    assert compare.first_difference(empty, empty).count() == 0
+
+
 def test_counts_weights_and_pairs(spark):
     df = spark.createDataFrame([("a a", 2), ("a", 3), ("", 1), (None, 1)], "text string, w int")
     assert {r["pretoken"]: r["cnt"] for r in counts.pretoken_counts(df).collect()} == {"a": 2, " a": 1}
@@ -366,7 +403,7 @@ def test_command_line(spark, corpus, tmp_path, capsys, model):
     assert cli.main(["bench", str(path), str(corpus / "d.txt"), "--limit-bytes", "40"]) == 0 and "40 bytes, 40 tokens" in capsys.readouterr().out
     assert cli.main(["validate", str(path), str(corpus / "d.txt")]) == 0 and "all documents match" in capsys.readouterr().out
     left, right = rows(spark, [1], [2]).withColumnRenamed("doc_id", "n"), rows(spark, [1], [3], [4]).withColumnRenamed("doc_id", "n")
-    assert sorted(r["n"] for r in cli.mismatches(left, right).collect()) == [1, 2]
+    assert sorted(r["n"] for r in compare.mismatches(left, right).collect()) == [1, 2]
 
 
 def test_stream_equals_batch(spark, tmp_path, model):
