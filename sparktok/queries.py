@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import normalize, schemes
-from .operators import compare, counts, encode, literals, scan, shape
+from .operators import charsmap, compare, counts, encode, literals, scan, shape
 from .operators import train as training
 from .plans.loaders import byte_alphabet, load
 from .plans.model import AddedToken, Metaspace, TokenizerModel
@@ -439,6 +439,16 @@ def first_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.select("n", F.md5("a").alias("left_md5"), F.md5("b").alias("right_md5"))
 
 
+#: A small character map: letters, signs of two bytes, white space, and what becomes nothing.
+MAPPED = {"T": "t", "é": "e", "ß": "ss", "ü": "ue", "\n": " ", ",": "", "x": "×"}
+
+
+def sp_precompiled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the documents under a character map."""
+    mapped = charsmap.precompiled(docs(spark, sf_dir).select("doc_id", "text"), charsmap.build(MAPPED))
+    return mapped.select("doc_id", F.md5("text").alias("md5"))
+
+
 def added_token_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts of the documents between and at literals."""
     return docs(spark, sf_dir).select("doc_id", F.md5(F.array_join(scan.split_added(F.col("text"), LITERALS), "|")).alias("md5"))
@@ -601,7 +611,7 @@ def queries() -> dict[str, Query]:
     named = {f"pretok_{s}" if s != "gpt2" else "pretoken_counts_gpt2": _pretok(s)[0] for s in schemes.PATTERNS}
     found = (
         tokens_per_lang, conversation_token_counts, pretok_rows, bpe_encode_words, bpe_encode_docs, bpe_token_totals, bpe_decode_roundtrip, bpe_decode_udf, pair_counts, vocab, merges, vocab_size,
-        train_bpe, train_bpe_raw_ids, train_bpe_assembled_bytes, sp_encode, sp_decode, bpe_known_words, pad_truncate, pad_left, wrap_truncate, packed_offsets, limit_bytes, doc_split_sep, forbid_scan, substr_present, added_token_split, literal_counts, literal_split, jsonl_field_extract, scan_parquet, scan_bytes, scan_text, scan_text_sep, scan_text_gz, scan_text_zst, scan_order, scan_jsonl, load_tiktoken, packed_sink, pretok_spans, first_difference,
+        train_bpe, train_bpe_raw_ids, train_bpe_assembled_bytes, sp_encode, sp_decode, bpe_known_words, pad_truncate, pad_left, wrap_truncate, packed_offsets, limit_bytes, doc_split_sep, forbid_scan, substr_present, added_token_split, literal_counts, literal_split, jsonl_field_extract, scan_parquet, scan_bytes, scan_text, scan_text_sep, scan_text_gz, scan_text_zst, scan_order, scan_jsonl, load_tiktoken, packed_sink, pretok_spans, first_difference, sp_precompiled,
     )
     named |= {"train_rounds": _rounds("documents", "huggingface"), "train_rounds_raw_ids": _rounds("pages", "raw_token_ids", "html"), "train_rounds_bytes": _rounds("conversations", "assembled_bytes")}
     return named | {"pretoken_topk_gpt2": pretoken_topk} | {f.__name__: f for f in found} | {k: _normalizer(step) for k, (step, _) in _NORMALIZERS.items()}
@@ -664,6 +674,7 @@ def oracle_sql() -> dict[str, str]:
             f AS (SELECT doc_id, (generate_subscripts(p, 1) - 1)::INTEGER AS pos, unnest(p) AS pretoken FROM p), n AS (SELECT *, octet_length(encode(pretoken)) AS n FROM f)
             SELECT doc_id, pos, (sum(n) OVER w - n)::BIGINT AS byte_start, (sum(n) OVER w)::BIGINT AS byte_end, pretoken, pretoken IN ({quoted}) AS added FROM n WINDOW w AS (PARTITION BY doc_id ORDER BY pos)""",
         "first_difference": f"SELECT doc_id AS n, md5(text) AS left_md5, md5(replace(text, {_quoted(FORBIDDEN[0])}, '-')) AS right_md5 FROM documents WHERE contains(text, {_quoted(FORBIDDEN[0])}) ORDER BY doc_id LIMIT 1",
+        "sp_precompiled": "SELECT doc_id, md5(" + functools.reduce(lambda t, e: f"replace({t}, {_quoted(e[0])}, {_quoted(e[1])})", MAPPED.items(), "text") + ") AS md5 FROM documents",
         "packed_sink": "SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS place, md5(coalesce(text, '')) AS md5 FROM documents",
         "scan_bytes": "SELECT text FROM (VALUES ('a'), ('b'), ('c'), ('d')) v(text)",
     }

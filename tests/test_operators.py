@@ -419,6 +419,31 @@ def test_stream_equals_batch(spark, tmp_path, model):
     assert {tuple(r) for r in streams.running_counts(batch).collect()} == {tuple(r) for r in counts.pretoken_counts(batch).collect()}
 
 
+def test_charsmaps_that_are_built(spark):
+    """Shared beginnings and keys inside others; clusters replaced whole up to five bytes, else by character; the column against one text at a time."""
+    from sparktok.operators.charsmap import Charsmap, build, precompiled
+
+    rng = random.Random(4)
+    keys = {"".join(rng.choice("abcé漢ﬁ") for _ in range(rng.randint(1, 3))): rng.choice(["", "z", "ßß"]) for _ in range(200)}
+    found = Charsmap(build(keys))._find
+    for key in keys:
+        shortest = next(k for n in range(1, len(key) + 1) if (k := key[:n]) in keys)
+        assert found(key.encode()) == keys[shortest]
+    assert found(b"q") is None and found("ü".encode()) is None
+    accents = Charsmap(build({"e": "E", "\u0301": "+", "\r": "R", "👩": "w"}))
+    # Two characters in one cluster; clusters above five bytes; a line end of two characters, a zero.
+    assert [accents(t) for t in ("e", "e\u0301", "e\u0301\u0301\u0301", "\r\n", "👩\u200d👩", "q\0")] == ["E", "E", "E+++", "R", "w\u200dw", "q\0"]
+    texts = [None, "", "none", *("".join(rng.choice("abcdé漢ﬁ\u0301 \0") for _ in range(rng.randint(0, 12))) for _ in range(80)), "q"]
+    table = spark.createDataFrame(list(enumerate(texts)), "k int, text string").coalesce(1)
+    few = build({"é": "e", "漢ﬁ": "x", "a": ""})
+    got = {r["k"]: r["out"] for r in precompiled(table, few, out="out").collect()}
+    assert got == {k: None if t is None else Charsmap(few)(t) for k, t in enumerate(texts)}
+    assert precompiled(table.limit(0), few).count() == 0 and [r["text"] for r in precompiled(table, build({})).orderBy("k").collect()] == texts
+    for bad in ({"": "a"}, {"a\0": "b"}):
+        with pytest.raises(ValueError):
+            build(bad)
+
+
 def test_charsmap():
     import struct
 
