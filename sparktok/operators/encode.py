@@ -11,7 +11,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -125,6 +124,8 @@ def decode_join(df: DataFrame, vocab: DataFrame, key: str, ids: str = "ids", out
 
 def register(spark: SparkSession, model: TokenizerModel, prefix: str = "bpe") -> None:
     """SQL functions ``<prefix>_encode(text)`` and ``<prefix>_decode(ids)``."""
+    import pandas as pd  # here alone, for its import takes a worker longer than all others
+
     ship(spark)
     shared = spark.sparkContext.broadcast(model)
 

@@ -10,15 +10,14 @@ from __future__ import annotations
 import re
 import struct
 import unicodedata
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-import regex
 
-from ..functions import schemes
 from ..functions.normalize import trim
+from ..functions.pieces import Pieces
 from ..plans.loaders import BYTE_TOKEN
 from ..plans.model import AddedToken, TokenizerModel
 from .charsmap import Charsmap
@@ -26,8 +25,8 @@ from .merging import Table, merge
 
 #: Characters of texts whose new words are merged together, and the length of those worth it.
 TOGETHER, MERGED_LENGTH = 1 << 20, 64
-#: Words that an encoder remembers before it starts anew, and the length of those worth it.
-MEMO, MEMO_LENGTH = 500_000, 256
+#: Bytes of words that an encoder remembers in each of two generations, what an entry takes beside its word and ids, and the length of words worth it.
+MEMO_BYTES, ENTRY_BYTES, MEMO_LENGTH = 96 << 20, 180, 256
 
 
 def code(ids: list[int]) -> bytes:
@@ -35,23 +34,39 @@ def code(ids: list[int]) -> bytes:
 
 
 class Memo(dict):
-    """Ids by word, as bytes; words that were ``given`` are never forgotten."""
+    """Ids by word, as bytes, in bounded memory; words that were ``given`` are never forgotten.
 
-    def __init__(self, make: Callable[[str], list[int]], given: dict[str, bytes] | None = None):
+    When a generation is full, it becomes the old one, and the one before that
+    is forgotten.  An old word that is met again goes on into the new one, so
+    words that come back often are merged once.
+    """
+
+    def __init__(self, make: Callable[[str], list[int]], given: dict[str, bytes] | None = None, most: int = MEMO_BYTES):
         super().__init__(given or {})
-        self.make, self.given = make, given or {}
+        self.make, self.given, self.most = make, given or {}, most
+        self.old: dict[str, bytes] = {}
+        self.size = 0
 
     def __missing__(self, word: str) -> bytes:
-        found = code(self.make(word))
+        found = self.old.get(word)
+        if found is None:
+            found = code(self.make(word))
         if len(word) <= MEMO_LENGTH:
             self.add([word], [found])
         return found
 
+    def new(self, words: Iterable[str]) -> list[str]:
+        """Those of some words that it doesn't know."""
+        return [w for w in words if w not in self and w not in self.old]
+
     def add(self, words: list[str], codes: list[bytes]) -> None:
-        if len(self) >= MEMO:
+        if self.size > self.most:
+            self.old = dict(self)
             self.clear()
             self.update(self.given)
+            self.size = 0
         self.update(zip(words, codes, strict=True))
+        self.size += ENTRY_BYTES * len(words) + sum(map(len, words)) + sum(map(len, codes))
 
 
 def literals(tokens: list[AddedToken]) -> re.Pattern | None:
@@ -103,28 +118,12 @@ class ByteEncoder:
         self.single = [single.get(b, -1) for b in range(256)]
         self.singles, self.table = np.array(self.single), Table(self.ranks)
         self.whole = {b: i for i, b in reversed(list(enumerate(model.vocab))) if b} if model.ignore_merges else {}
-        self.patterns = [regex.compile(p, regex.V1) for p in schemes.PATTERNS[schemes.by_name(model.scheme)]]
+        self.pieces = Pieces(model.scheme)
         self.memo = Memo(self.word)
         # Without a split at added tokens, a piece that is one's content is that token (fixed: of up to 15 bytes).
         whole = {t.content: code([t.id]) for t in model.added if 1 <= len(t.content.encode()) <= 15}
         self.ordinary = Memo(self.word, whole) if whole else self.memo
 
-    def pieces(self, text: str) -> list[str]:
-        """A text's pieces under the scheme."""
-        if len(self.patterns) == 1:
-            return self.patterns[0].findall(text)
-        out = [text] if text else []
-        for pattern in self.patterns:
-            parts = []
-            for piece in out:
-                at = 0
-                for m in pattern.finditer(piece):
-                    parts += [piece[at : m.start()], m[0]]
-                    at = m.end()
-                parts.append(piece[at:])
-            out = [p for p in parts if p]
-        return out
-
     def word(self, piece: str) -> list[int]:
         """Ids of one piece, by merges."""
         data = piece.encode("utf-8", "surrogateescape")
@@ -173,7 +172,7 @@ class ByteEncoder:
                 continue
             found = [None if t is None else list(self.parts(t)) if added else [self.pieces(t)] for t in texts[a:b]]
             every = {w for parts in found if parts for p in parts if not isinstance(p, int) for w in p}
-            new = [w for w in every if w not in memo and len(w) <= MERGED_LENGTH]
+            new = [w for w in memo.new(every) if len(w) <= MERGED_LENGTH]
             self.learn([w for w in new if w.encode("utf-8", "surrogateescape") not in self.whole] if self.whole else new, memo)
             out += [None if parts is None else self._joined(parts, memo) for parts in found]
             a, size = b, 0

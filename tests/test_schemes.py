@@ -2,9 +2,13 @@ import random
 
 import pytest
 import regex
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sparktok.functions import schemes
+from sparktok.functions.pieces import Pieces
+from sparktok.operators.encoder import Memo, code
 
 ALPHABET = " \n\r\t\x0b\x85\xa0​\x01\ue000\u3099\u3040\u0301・゠'stSTvLl1Ⅷ½.,!?/()ſéé日本々かナ゛ー漢Ǆǅʰ😀"
 CASES = ["", " ", "  a", "a  ", "don't DON'T", "'ſx", "a\r\n\r\n b", "12345 678", "camelCaseHTTPServer", "日本語のテキスト", "x\n\n\n", "foo/bar//\n", " \t\n x", "a 中文b"]
@@ -50,3 +54,39 @@ def test_names_and_spellings():
         schemes.by_name("nope")
     with pytest.raises(ValueError):
         schemes.by_patterns(("x+",))
+
+
+#: Letters, digits, marks, signs, spaces and line ends of several planes, case pairs beyond ASCII, and a lone surrogate.
+MIXED = "aZ's'ſLL7٣ \t\n\r\x85 　_-./éßİıǅʰ́中あアΩЖक्\ud800😀𝒜𐒀"
+
+
+@given(st.text(st.sampled_from(MIXED), max_size=40), st.sampled_from(sorted(schemes.PATTERNS)))
+@settings(max_examples=600, deadline=None)
+def test_written_out_classes_give_the_published_pieces(text, scheme):
+    assert Pieces(scheme)(text) == expected(text, scheme)
+
+
+@pytest.mark.parametrize("scheme", sorted(schemes.PATTERNS))
+def test_written_out_classes_hold_each_character_of_the_plane(scheme):
+    pieces = Pieces(scheme)
+    for pattern, plain in zip(pieces.whole, pieces.plane, strict=True):
+        text = "".join(f"'{c}a{c}{c}7{c}\n{c} " for c in map(chr, range(0x10000)))
+        assert plain.findall(text) == pattern.findall(text)
+
+
+def test_memo_forgets_by_bytes_and_keeps_what_comes_back():
+    made = []
+
+    def make(word):
+        made.append(word)
+        return [len(word)]
+
+    memo = Memo(make, {"given": code([9])}, most=4000)
+    for k in range(200):
+        assert memo[f"rare{k}"] == code([len(f"rare{k}")])
+        assert memo["often"] == code([5]) and memo["given"] == code([9])
+        assert len(memo) + len(memo.old) < 60
+    assert made.count("often") == 1 and "given" not in made
+    assert memo.new(["often", "given", "never"]) == ["never"]
+    long = "x" * 1000
+    assert memo[long] == code([1000]) and long not in memo
