@@ -79,12 +79,22 @@ _WS = r"\t\n\x{0B}\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{2
 _WS_LINE = _WS.replace(r"\n", "").replace(r"\r", "")
 
 
+#: A class that leaves another one out, which RE2 doesn't know.
+_INTERSECTION = regex.compile(r"\[[^\[\]]*&&\[\^[^\[\]]*\]\]")
+
+
+def _written_out(found: str) -> str:
+    """Such a class as ranges of code points."""
+    runs = [m.span() for m in regex.finditer(f"{found}+", "".join(map(chr, range(0x110000))), regex.V1)]
+    return "[" + "".join(rf"\x{{{a:X}}}-\x{{{b - 1:X}}}" for a, b in runs) + "]"
+
+
 def _re2(scheme: str) -> tuple[str, str]:
     """A scheme without lookahead and possessives: a mark goes where the lookahead would stop a run of white space.
 
     Returns the class of the white space after which the mark goes, and the pattern.
     """
-    pattern = schemes.PATTERNS[scheme][0]
+    pattern = _INTERSECTION.sub(lambda m: _written_out(m[0]), schemes.PATTERNS[scheme][-1])
     pattern = pattern.replace("++", "+").replace("*+", "*").replace("?+", "?").replace("{1,3}+", "{1,3}").replace(r"|\s+(?!\S)", "")
     pattern = pattern.replace(r"[^\s\p{L}", rf"[^{_WS}\x{{E000}}\p{{L}}").replace(r"[^\r\n\p{L}\p{N}]", r"[^\r\n\x{E000}\p{L}\p{N}]").replace(r"\s", f"[{_WS}]")
     return (_WS if scheme == "gpt2" else _WS_LINE), pattern
@@ -95,14 +105,30 @@ def _pieces_sql(scheme: str, text: str = "text") -> str:
     return f"regexp_extract_all(regexp_replace({text}, '([{before}])([^{_WS}])', chr(57344) || '\\1\\2', 'g'), {_quoted(pattern)})"
 
 
-def _pretok(scheme: str) -> tuple[Query, str | None]:
+def _deepseek_sql() -> str:
+    """The three splits one after another: marks go around what a pattern finds, and marks part the text."""
+    first, second, _ = schemes.PATTERNS["deepseek_v3"]
+    before, third = _re2("deepseek_v3")
+    stopped = f"regexp_replace(x, '([{before}])([^{_WS}])', chr(57344) || '\\1\\2', 'g')"
+
+    def parted(parts: str, text: str, pattern: str) -> str:
+        marked = f"regexp_replace({text}, {_quoted(f'({pattern})')}, chr(57345) || '\\1' || chr(57345), 'g')"
+        return f"flatten(list_transform({parts}, lambda x: list_filter(list_transform(string_split({marked}, chr(57345)), lambda y: replace(y, chr(57344), '')), lambda y: y <> '')))"
+
+    return parted(parted(parted("[text]", "x", first), "x", second), stopped, third)
+
+
+def _pretok(scheme: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         return counts.pretoken_counts(docs(spark, sf_dir), scheme=scheme)
 
     query.__doc__ = f"How often each piece of {scheme} occurs in the documents."
-    if scheme in ("kimi", "deepseek_v3"):
-        return query, None
-    return query, f"SELECT pretoken, count(*)::BIGINT AS cnt FROM (SELECT unnest({_pieces_sql(scheme)}) AS pretoken FROM documents) GROUP BY pretoken"
+    return query
+
+
+def _pretok_sql(scheme: str) -> str:
+    pieces = _deepseek_sql() if scheme == "deepseek_v3" else _pieces_sql(scheme)
+    return f"SELECT pretoken, count(*)::BIGINT AS cnt FROM (SELECT unnest({pieces}) AS pretoken FROM documents) GROUP BY pretoken"
 
 
 def pretoken_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -608,7 +634,7 @@ _NORMALIZERS: dict[str, tuple[Callable[[Column], Column], str]] = {
 
 
 def queries() -> dict[str, Query]:
-    named = {f"pretok_{s}" if s != "gpt2" else "pretoken_counts_gpt2": _pretok(s)[0] for s in schemes.PATTERNS}
+    named = {f"pretok_{s}" if s != "gpt2" else "pretoken_counts_gpt2": _pretok(s) for s in schemes.PATTERNS}
     found = (
         tokens_per_lang, conversation_token_counts, pretok_rows, bpe_encode_words, bpe_encode_docs, bpe_token_totals, bpe_decode_roundtrip, bpe_decode_udf, pair_counts, vocab, merges, vocab_size,
         train_bpe, train_bpe_raw_ids, train_bpe_assembled_bytes, sp_encode, sp_decode, bpe_known_words, pad_truncate, pad_left, wrap_truncate, packed_offsets, limit_bytes, doc_split_sep, forbid_scan, substr_present, added_token_split, literal_counts, literal_split, jsonl_field_extract, scan_parquet, scan_bytes, scan_text, scan_text_sep, scan_text_gz, scan_text_zst, scan_order, scan_jsonl, load_tiktoken, packed_sink, pretok_spans, first_difference, sp_precompiled,
@@ -628,7 +654,7 @@ def oracle_sql() -> dict[str, str]:
     by_character = ", ".join(f"CASE WHEN {x} < 256 THEN {_ints(byte_order())}[{x} + 1] ELSE {x} END" for x in "lr")
     quoted = ", ".join(map(_quoted, LITERALS))
     literal = "|".join(["<m>", "then", "the", r"\."])
-    out = {f"pretok_{s}" if s != "gpt2" else "pretoken_counts_gpt2": sql for s in schemes.PATTERNS if (sql := _pretok(s)[1])}
+    out = {f"pretok_{s}" if s != "gpt2" else "pretoken_counts_gpt2": _pretok_sql(s) for s in schemes.PATTERNS}
     out |= {
         "pretoken_topk_gpt2": f"SELECT pretoken, count(*)::BIGINT AS cnt FROM ({words}) GROUP BY pretoken ORDER BY cnt DESC, pretoken LIMIT 100",
         "tokens_per_lang": f"SELECT lang, count(*)::BIGINT AS docs, sum(len({gpt2}))::BIGINT AS pretokens, sum(octet_length(encode(text)))::BIGINT AS bytes FROM documents GROUP BY lang",
