@@ -191,19 +191,28 @@ def pair_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.pair_counts(words).select(F.col("left").cast("long").alias("left"), F.col("right").cast("long").alias("right"), F.col("cnt").cast("long").alias("cnt"))
 
 
+def _used(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, cnt): how many tokens of the documents have each id that occurs, counted by way of distinct pieces."""
+    words = encode.encode(_words(spark, sf_dir), small_model(), "pretoken", added=False)
+    return words.select(F.explode("ids").alias("id"), "cnt").groupBy("id").agg(F.sum("cnt").alias("cnt"))
+
+
 def vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The vocabulary table of the small model."""
-    return small_model().vocab_table(spark).select("id", F.lower(F.hex("bytes")).alias("bytes"))
+    """The vocabulary table of the small model, and how many tokens of the documents have each id."""
+    known = small_model().vocab_table(spark).join(_used(spark, sf_dir), "id", "left")
+    return known.select("id", F.lower(F.hex("bytes")).alias("bytes"), F.coalesce("cnt", F.lit(0)).cast("long").alias("cnt"))
 
 
 def merges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The merges table of the small model."""
-    return small_model().merges_table(spark)
+    """The merges table of the small model, and how many tokens of the documents each merge made that no other took in."""
+    known = small_model().merges_table(spark).join(_used(spark, sf_dir).withColumnRenamed("id", "merged"), "merged", "left")
+    return known.select("rank", "left", "right", "merged", F.coalesce("cnt", F.lit(0)).cast("long").alias("cnt"))
 
 
 def vocab_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Highest id and one."""
-    return small_model().vocab_table(spark).agg((F.max("id") + 1).cast("long").alias("vocab_size"))
+    """Highest id and one, how many ids the documents use, and the highest of these."""
+    known = small_model().vocab_table(spark).join(_used(spark, sf_dir), "id", "left")
+    return known.agg((F.max("id") + 1).cast("long").alias("vocab_size"), F.count("cnt").alias("used"), F.max(F.when(F.col("cnt").isNotNull(), F.col("id"))).cast("long").alias("highest"))
 
 
 def train_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -296,21 +305,15 @@ SELECT d.doc_id, (length(coalesce(s, '')) - length(replace(coalesce(s, ''), '<',
 """
 
 
-#: Words whose ids are known for each of some small models: (case, text, ids), worked out by hand.
-KNOWN = (
-    ("rank order is list order", "abc", "97 350"),
-    ("rank order is list order", "ab", "300"),
-    ("rank order is list order", "bc", "350"),
-    ("rank order is id order", "abc", "300 99"),
-    ("whole words first", "abc", "400"),
-    ("whole words first", "ab", "300"),
-    ("no whole words", "abc", "97 350"),
-    ("added tokens", "a <m> b", "97 400 32 98"),
-    ("added tokens", "a \t\n<m>", "97 400"),
-    ("added tokens", "a <r> b", "97 32 401 98"),
-    ("added tokens", "<r>\n\n\nb", "401 98"),
-    ("added tokens", "<r> <m>", "401 400"),
-)
+#: Letters of the documents that become a, b and c, and words that become added tokens, so that the rules of merging show.
+LETTERS, TO_LETTERS, WORDS = "the", "abc", {" and ": " <m> ", " of ": " <r> "}
+#: For each small model the merges that it comes down to, in order, and the pieces that are tokens whole.
+CASES: dict[str, tuple[tuple[str, ...], dict[str, int]]] = {
+    "rank order is list order": (("bc", "ab"), {}),
+    "rank order is id order": (("ab", "bc"), {}),
+    "whole words first": (("bc", "ab"), {"abc": 400, "ab": 300, "bc": 350}),
+    "no whole words": (("bc", "ab"), {}),
+}
 
 
 def _known_models() -> dict[str, TokenizerModel]:
@@ -332,15 +335,48 @@ def _known_models() -> dict[str, TokenizerModel]:
 
 
 def bpe_known_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids of words under models that differ in the order of merges, whole words and added tokens."""
-    out = None
+    """Ids of the documents' pieces, with some letters exchanged, under models that differ in the order of merges and in whole words."""
+    lettered = docs(spark, sf_dir).select(F.translate("text", LETTERS, TO_LETTERS).alias("text"))
+    words, out = counts.pretoken_counts(lettered).select("pretoken"), None
     for case, model in _known_models().items():
-        rows = spark.createDataFrame([(case, text) for c, text, _ in KNOWN if c == case], "case string, text string")
-        found = encode.encode(rows, model).select("case", "text", F.array_join(F.transform("ids", lambda i: i.cast("string")), " ").alias("ids"))
-        out = found if out is None else out.union(found)
+        if case in CASES:
+            found = encode.encode(words, model, "pretoken", added=False).select(F.lit(case).alias("case"), "pretoken", F.array_join(F.transform("ids", lambda i: i.cast("string")), " ").alias("ids"))
+            out = found if out is None else out.union(found)
     return out
 
 
+def bpe_added_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with added tokens in the place of words, of which one takes in the white space before it and one that after it: digests of the ids."""
+    text = functools.reduce(lambda t, e: F.replace(t, F.lit(e[0]), F.lit(e[1])), WORDS.items(), F.col("text"))
+    ids = encode.encode(docs(spark, sf_dir).select("doc_id", text.alias("text")), _known_models()["added tokens"])
+    return ids.select("doc_id", F.size("ids").cast("long").alias("tokens"), F.md5(F.array_join(F.transform("ids", lambda i: i.cast("string")), " ")).alias("md5"))
+
+
+def _known_sql() -> str:
+    """Bytes are <id>; each merge is a replacement, in the order of ranks, unless the piece is a token whole."""
+    ids = {"a": "<97>", "b": "<98>", "c": "<99>", "ab": "<300>", "bc": "<350>"}
+    rows = []
+    for case, (merged, whole) in CASES.items():
+        text = functools.reduce(lambda t, m: f"replace({t}, '{ids[m[0]]}{ids[m[1]]}', '{ids[m]}')", merged, "s")
+        own = " ".join(f"WHEN {_quoted(w)} THEN '<{i}>'" for w, i in whole.items())
+        rows.append(f"SELECT {_quoted(case)} AS \"case\", pretoken, {f'CASE pretoken {own} ELSE {text} END' if own else text} AS s FROM b")
+    return f"""
+WITH t AS (SELECT translate(text, {_quoted(LETTERS)}, {_quoted(TO_LETTERS)}) AS text FROM documents),
+p AS (SELECT DISTINCT unnest({_pieces_sql("gpt2")}) AS pretoken FROM t),
+b AS (SELECT pretoken, array_to_string(list_transform(regexp_extract_all(hex(encode(pretoken)), '..'), lambda x: '<' || ('0x' || x)::INT || '>'), '') AS s FROM p),
+c AS ({" UNION ALL ".join(rows)})
+SELECT "case", pretoken, replace(s[2:-2], '><', ' ') AS ids FROM c
+"""
+
+
+def _overwrite_sql() -> str:
+    """White space before <m> and after <r> goes; both become characters of one, all else is bytes."""
+    text = functools.reduce(lambda t, e: f"replace({t}, {_quoted(e[0])}, {_quoted(e[1])})", WORDS.items(), "text")
+    marked = rf"regexp_replace(regexp_replace({text}, '[{_WS}]*<m>', chr(57345), 'g'), '<r>[{_WS}]*', chr(57346), 'g')"
+    one = "CASE x WHEN chr(57345) THEN ['400'] WHEN chr(57346) THEN ['401'] ELSE list_transform(regexp_extract_all(hex(encode(x)), '..'), lambda y: ('0x' || y)::INT::VARCHAR) END"
+    return f"WITH i AS (SELECT doc_id, flatten(list_transform(regexp_extract_all({marked}, '(?s).'), lambda x: {one})) AS i FROM documents) SELECT doc_id, len(i)::BIGINT AS tokens, md5(array_to_string(i, ' ')) AS md5 FROM i"
+
+
 def _merge_values() -> str:
     def name(i: int) -> str:
         return f"<{i:02x}>" if i < 256 else f"<m{i}>"
@@ -529,8 +565,13 @@ def scan_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scan_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Buffers in memory parted by a separator."""
-    return files.BytesSource(["a<|sep|>b<|sep|><|sep|>c", "d"], "<|sep|>").read(spark).select("text")
+    """Benchmark items in buffers in memory, one for each remainder of their ids, parted by a separator; more than MOST_LITERAL_BYTES are refused."""
+    items = table(spark, sf_dir, "benchmark")
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if size > MOST_LITERAL_BYTES:
+        raise ValueError(f"{size} bytes of buffers")
+    buffers = items.groupBy(F.col("item_id") % 7).agg(F.array_join(F.collect_list("text"), END).alias("buffer"))
+    return _counted(files.BytesSource([r["buffer"] for r in buffers.collect()], END).read(spark))
 
 
 def packed_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -614,12 +655,13 @@ def scan_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def load_tiktoken(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Merges found again from a list of tokens by rank."""
-    tokens = [*(bytes([b]) for b in range(256)), b"th", b"he", b"the", b" the"]
+    """Tokens learned from the benchmark items written as a list by rank, and merges found again from that list; runs jobs when called."""
+    tokens = training.train_bpe(table(spark, sf_dir, "benchmark"), 256 + TRAINED, tie_breaking="raw_token_ids").vocab
     with tempfile.NamedTemporaryFile("w", suffix=".tiktoken") as file:
         file.write("".join(f"{base64.b64encode(t).decode()} {rank}\n" for rank, t in enumerate(tokens)))
         file.flush()
-        return load(file.name).merges_table(spark)
+        model = load(file.name)
+    return model.merges_table(spark).join(model.vocab_table(spark).select(F.col("id").alias("merged"), F.lower(F.hex("bytes")).alias("token")), "merged").select("rank", "left", "right", "token")
 
 
 _NORMALIZERS: dict[str, tuple[Callable[[Column], Column], str]] = {
@@ -637,7 +679,7 @@ def queries() -> dict[str, Query]:
     named = {f"pretok_{s}" if s != "gpt2" else "pretoken_counts_gpt2": _pretok(s) for s in schemes.PATTERNS}
     found = (
         tokens_per_lang, conversation_token_counts, pretok_rows, bpe_encode_words, bpe_encode_docs, bpe_token_totals, bpe_decode_roundtrip, bpe_decode_udf, pair_counts, vocab, merges, vocab_size,
-        train_bpe, train_bpe_raw_ids, train_bpe_assembled_bytes, sp_encode, sp_decode, bpe_known_words, pad_truncate, pad_left, wrap_truncate, packed_offsets, limit_bytes, doc_split_sep, forbid_scan, substr_present, added_token_split, literal_counts, literal_split, jsonl_field_extract, scan_parquet, scan_bytes, scan_text, scan_text_sep, scan_text_gz, scan_text_zst, scan_order, scan_jsonl, load_tiktoken, packed_sink, pretok_spans, first_difference, sp_precompiled,
+        train_bpe, train_bpe_raw_ids, train_bpe_assembled_bytes, sp_encode, sp_decode, bpe_known_words, pad_truncate, pad_left, wrap_truncate, packed_offsets, limit_bytes, doc_split_sep, forbid_scan, substr_present, added_token_split, literal_counts, literal_split, jsonl_field_extract, scan_parquet, scan_bytes, scan_text, scan_text_sep, scan_text_gz, scan_text_zst, scan_order, scan_jsonl, load_tiktoken, bpe_added_overwrite, packed_sink, pretok_spans, first_difference, sp_precompiled,
     )
     named |= {"train_rounds": _rounds("documents", "huggingface"), "train_rounds_raw_ids": _rounds("pages", "raw_token_ids", "html"), "train_rounds_bytes": _rounds("conversations", "assembled_bytes")}
     return named | {"pretoken_topk_gpt2": pretoken_topk} | {f.__name__: f for f in found} | {k: _normalizer(step) for k, (step, _) in _NORMALIZERS.items()}
@@ -648,6 +690,7 @@ def oracle_sql() -> dict[str, str]:
     words = f"SELECT unnest({gpt2}) AS pretoken FROM documents"
     by_doc = f"SELECT doc_id, lang, unnest({gpt2}) AS pretoken FROM documents"
     names = ", ".join(f"({i}, '{b.hex()}')" for i, b in model.vocab_dict().items())
+    used = f"WITH RECURSIVE {_encoded_sql(words)}, t AS (SELECT pretoken, unnest(regexp_extract_all(ids, '<m?[0-9a-f]+>')) AS t FROM enc), u AS (SELECT CASE WHEN t[2] = 'm' THEN t[3:-2]::INT ELSE ('0x' || t[2:-2])::INT END AS id, count(*) AS cnt FROM w JOIN t USING (pretoken) GROUP BY 1)"
     flags = " UNION ALL ".join(f"SELECT {i} AS pattern, coalesce(bool_or(contains(text, {_quoted(p)})), false) AS found FROM documents" for i, p in enumerate(FORBIDDEN))
     words_sql = r"w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[^ \t\n\r\f\x{0B}]+')) AS word FROM benchmark)"
     held = ", ".join(f"CASE WHEN contains(text, {_quoted(p)}) THEN '{i}' END" for i, p in enumerate(FORBIDDEN))
@@ -673,11 +716,12 @@ def oracle_sql() -> dict[str, str]:
         "train_bpe_assembled_bytes": _train_sql("benchmark", "lb, rb"),
         "sp_encode": _sp_sql(),
         "sp_decode": "SELECT doc_id, md5(CASE WHEN starts_with(text, ' ') THEN substring(text, 2) ELSE text END) AS md5 FROM documents",
-        "bpe_known_words": "SELECT * FROM (VALUES " + ", ".join(f"({_quoted(c)}, {_quoted(t)}, {_quoted(i)})" for c, t, i in KNOWN) + ') v("case", text, ids)',
+        "bpe_known_words": _known_sql(),
+        "bpe_added_overwrite": _overwrite_sql(),
         "pair_counts": f"WITH RECURSIVE {_encoded_sql(words)}, n AS (SELECT pretoken, count(*) AS n FROM w GROUP BY pretoken), s AS (SELECT list_transform(regexp_extract_all(ids, '<(m?)([0-9a-f]+)>', 0), lambda x: CASE WHEN x[2] = 'm' THEN x[3:-2]::BIGINT ELSE ('0x' || x[2:-2])::BIGINT END) AS s, n FROM enc JOIN n USING (pretoken)) SELECT l AS left, r AS right, sum(n)::BIGINT AS cnt FROM (SELECT unnest(s[1:-2]) AS l, unnest(s[2:]) AS r, n FROM s WHERE len(s) > 1) GROUP BY l, r",
-        "vocab": f"SELECT id::INTEGER AS id, bytes FROM (VALUES {names}) v(id, bytes)",
-        "merges": f"SELECT rank::INTEGER AS rank, l::INTEGER AS left, r::INTEGER AS right, m::INTEGER AS merged FROM (VALUES {', '.join(f'({k}, {a}, {b}, {c})' for k, (a, b, c) in enumerate(model.merges))}) v(rank, l, r, m)",
-        "vocab_size": f"SELECT (max(id) + 1)::BIGINT AS vocab_size FROM (VALUES {names}) v(id, bytes)",
+        "vocab": f"{used} SELECT id::INTEGER AS id, bytes, coalesce(cnt, 0)::BIGINT AS cnt FROM (VALUES {names}) v(id, bytes) LEFT JOIN u USING (id)",
+        "merges": f"{used} SELECT rank::INTEGER AS rank, l::INTEGER AS left, r::INTEGER AS right, v.id::INTEGER AS merged, coalesce(cnt, 0)::BIGINT AS cnt FROM (VALUES {', '.join(f'({k}, {a}, {b}, {c})' for k, (a, b, c) in enumerate(model.merges))}) v(rank, l, r, id) LEFT JOIN u USING (id)",
+        "vocab_size": f"{used} SELECT (SELECT max(id) + 1 FROM (VALUES {names}) v(id, bytes))::BIGINT AS vocab_size, count(*)::BIGINT AS used, max(id)::BIGINT AS highest FROM u",
         "pad_truncate": PAD_SQL, "pad_left": PAD_LEFT_SQL, "wrap_truncate": WRAP_SQL, "packed_offsets": PACKED_SQL, "limit_bytes": LIMIT_SQL,
         "doc_split_sep": f"WITH p AS (SELECT doc_id, list_filter(string_split(text, {_quoted(SEPARATOR)}), lambda x: x <> '') AS p FROM documents) SELECT doc_id, len(p)::BIGINT AS parts, array_to_string(list_transform(p, lambda x: length(x)), ' ') AS lengths FROM p",
         "forbid_scan": flags,
@@ -694,7 +738,7 @@ def oracle_sql() -> dict[str, str]:
         "scan_text_zst": "SELECT md5(text) AS md5, count(*)::BIGINT AS cnt FROM documents WHERE text <> '' GROUP BY ALL",
         "scan_order": "SELECT row_number() OVER (ORDER BY floor(log2(doc_id + 1)) DESC, doc_id) - 1 AS doc_id, md5(text) AS md5 FROM documents WHERE text <> ''",
         "scan_jsonl": "SELECT md5(text) AS md5, count(*)::BIGINT AS cnt FROM documents GROUP BY ALL",
-        "load_tiktoken": 'SELECT rank::INTEGER AS rank, l::INTEGER AS "left", r::INTEGER AS "right", m::INTEGER AS merged FROM (VALUES (0, 116, 104, 256), (1, 104, 101, 257), (2, 256, 101, 258), (3, 32, 258, 259)) v(rank, l, r, m)',
+        "load_tiktoken": _train_sql("benchmark", "l, r"),
         "pretok_spans": f"""WITH s AS (SELECT doc_id, list_filter(string_split(regexp_replace(text, '({literal})', chr(57345) || '\\1' || chr(57345), 'g'), chr(57345)), lambda x: x <> '') AS s FROM documents),
             p AS (SELECT doc_id, flatten(list_transform(s, lambda x: CASE WHEN x IN ({quoted}) THEN [x] ELSE {_pieces_sql("gpt2", "x")} END)) AS p FROM s),
             f AS (SELECT doc_id, (generate_subscripts(p, 1) - 1)::INTEGER AS pos, unnest(p) AS pretoken FROM p), n AS (SELECT *, octet_length(encode(pretoken)) AS n FROM f)
@@ -702,6 +746,6 @@ def oracle_sql() -> dict[str, str]:
         "first_difference": f"SELECT doc_id AS n, md5(text) AS left_md5, md5(replace(text, {_quoted(FORBIDDEN[0])}, '-')) AS right_md5 FROM documents WHERE contains(text, {_quoted(FORBIDDEN[0])}) ORDER BY doc_id LIMIT 1",
         "sp_precompiled": "SELECT doc_id, md5(" + functools.reduce(lambda t, e: f"replace({t}, {_quoted(e[0])}, {_quoted(e[1])})", MAPPED.items(), "text") + ") AS md5 FROM documents",
         "packed_sink": "SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS place, md5(coalesce(text, '')) AS md5 FROM documents",
-        "scan_bytes": "SELECT text FROM (VALUES ('a'), ('b'), ('c'), ('d')) v(text)",
+        "scan_bytes": "SELECT md5(text) AS md5, count(*)::BIGINT AS cnt FROM benchmark WHERE text <> '' GROUP BY ALL",
     }
     return out | {k: _normalizer_sql(sql) for k, (_, sql) in _NORMALIZERS.items()}

@@ -198,3 +198,25 @@ def test_texts_together_equal_texts_one_by_one(monkeypatch):
         assert encoder(model).packed_all(texts) == [None if t is None else own.packed(t) for t in texts]
     own = encoder(base)
     assert encoder(base).packed_all(texts, False) == [None if t is None else own._joined([own.pieces(t)], own.ordinary) for t in texts]
+
+
+#: Texts whose ids are known for each of some small models: (case, text, ids), worked out by hand.
+KNOWN = (
+    ("rank order is list order", "abc", [97, 350]),
+    ("rank order is list order", "ab", [300]),
+    ("rank order is list order", "bc", [350]),
+    ("rank order is id order", "abc", [300, 99]),
+    ("whole words first", "abc", [400]),
+    ("whole words first", "ab", [300]),
+    ("no whole words", "abc", [97, 350]),
+    ("added tokens", "a <m> b", [97, 400, 32, 98]),
+    ("added tokens", "a \t\n<m>", [97, 400]),
+    ("added tokens", "a <r> b", [97, 32, 401, 98]),
+    ("added tokens", "<r>\n\n\nb", [401, 98]),
+    ("added tokens", "<r> <m>", [401, 400]),
+)
+
+
+@pytest.mark.parametrize(("case", "text", "ids"), KNOWN)
+def test_known_texts(case, text, ids):
+    assert encoder(queries._known_models()[case])(text) == ids
