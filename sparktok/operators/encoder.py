@@ -226,27 +226,34 @@ class PieceEncoder:
             start += [own] if own is not None else [i for b in c.encode() if (i := self.bytes[b]) is not None]
         return merge(start, self.ranks)
 
-    def section(self, text: str, first: bool) -> bytes:
-        """Ids of normalized text between added tokens; ``first``: at the start of the document."""
+    def marked(self, text: str, first: bool) -> str:
+        """Normalized text between added tokens with its space marks; ``first``: at the start of the document."""
         meta = self.model.metaspace
-        if meta is not None:
-            text = text.replace(" ", meta.content)
-            if text and not text.startswith(meta.content) and (meta.prepend == "always" or meta.prepend == "first" and first):
-                text = meta.content + text
-            if meta.split:
-                return b"".join(map(self.memo.__getitem__, self.words.findall(text)))
-        return self.memo[text] if text else b""
+        if meta is None:
+            return text
+        text = text.replace(" ", meta.content)
+        if text and not text.startswith(meta.content) and (meta.prepend == "always" or meta.prepend == "first" and first):
+            text = meta.content + text
+        return text
 
-    def packed(self, text: str, normalized: bool = False) -> bytes:
-        """Ids of a text, as bytes."""
-        out: list[bytes] = []
+    def sections(self, text: str, normalized: bool = False) -> Iterator[int | str]:
+        """Added tokens of a text, and what is between them, normalized and with marks."""
         for n, part in enumerate(self.raw(text)):
             if isinstance(part, int):
-                out.append(code([part]))
+                yield part
                 continue
-            ready = part if normalized else self.normalize(part)
-            out += (code([inner]) if isinstance(inner, int) else self.section(inner, n == 0 and m == 0) for m, inner in enumerate(self.late(ready)))
-        return b"".join(out)
+            for m, inner in enumerate(self.late(part if normalized else self.normalize(part))):
+                yield inner if isinstance(inner, int) else self.marked(inner, n == 0 and m == 0)
+
+    def merged(self, section: str) -> bytes:
+        """Ids of a section, as bytes."""
+        if self.model.metaspace is not None and self.model.metaspace.split:
+            return b"".join(map(self.memo.__getitem__, self.words.findall(section)))
+        return self.memo[section] if section else b""
+
+    def packed(self, text: str, normalized: bool = False) -> bytes:
+        """Ids of a text, as bytes."""
+        return b"".join(code([part]) if isinstance(part, int) else self.merged(part) for part in self.sections(text, normalized))
 
     def packed_all(self, texts: list[str | None], normalized: bool = False) -> list[bytes | None]:
         """Ids of many texts."""

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import normalize, schemes
-from .operators import charsmap, compare, counts, encode, literals, scan, shape
+from .operators import charsmap, compare, counts, encode, fragments, literals, scan, shape
 from .operators import train as training
 from .plans.loaders import byte_alphabet, load
 from .plans.model import AddedToken, Metaspace, TokenizerModel
@@ -283,6 +283,22 @@ def sp_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.encode(docs(spark, sf_dir).select("doc_id", "text"), piece_model()).select("doc_id", F.size("ids").cast("long").alias("tokens"), F.md5(_named(F.col("ids"))).alias("md5"))
 
 
+#: Characters of a fragment in the queries of long texts, so that most documents are cut.
+FRAGMENT = 400
+
+
+def sp_encode_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``sp_encode``, with documents cut at marks and merged in parts by many tasks."""
+    coded = fragments.encode_long(docs(spark, sf_dir).select("doc_id", "text"), piece_model(), "doc_id", target=FRAGMENT)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("tokens"), F.md5(_named(F.col("ids"))).alias("md5"))
+
+
+def bpe_encode_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of tokens of each document, and a digest of their bytes, with documents cut where no token crosses."""
+    coded = fragments.encode_long(docs(spark, sf_dir).select("doc_id", "text"), small_model(), "doc_id", target=FRAGMENT)
+    return encode.decode_text(coded.drop("text"), small_model()).select("doc_id", F.size("ids").cast("long").alias("tokens"), F.md5("text").alias("md5"))
+
+
 def sp_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts of the documents after encoding and decoding under the piece model, as digests."""
     ids = encode.encode(docs(spark, sf_dir).select("doc_id", "text"), piece_model()).drop("text")
@@ -679,7 +695,7 @@ def queries() -> dict[str, Query]:
     named = {f"pretok_{s}" if s != "gpt2" else "pretoken_counts_gpt2": _pretok(s) for s in schemes.PATTERNS}
     found = (
         tokens_per_lang, conversation_token_counts, pretok_rows, bpe_encode_words, bpe_encode_docs, bpe_token_totals, bpe_decode_roundtrip, bpe_decode_udf, pair_counts, vocab, merges, vocab_size,
-        train_bpe, train_bpe_raw_ids, train_bpe_assembled_bytes, sp_encode, sp_decode, bpe_known_words, pad_truncate, pad_left, wrap_truncate, packed_offsets, limit_bytes, doc_split_sep, forbid_scan, substr_present, added_token_split, literal_counts, literal_split, jsonl_field_extract, scan_parquet, scan_bytes, scan_text, scan_text_sep, scan_text_gz, scan_text_zst, scan_order, scan_jsonl, load_tiktoken, bpe_added_overwrite, packed_sink, pretok_spans, first_difference, sp_precompiled,
+        train_bpe, train_bpe_raw_ids, train_bpe_assembled_bytes, sp_encode, sp_decode, bpe_known_words, pad_truncate, pad_left, wrap_truncate, packed_offsets, limit_bytes, doc_split_sep, forbid_scan, substr_present, added_token_split, literal_counts, literal_split, jsonl_field_extract, scan_parquet, scan_bytes, scan_text, scan_text_sep, scan_text_gz, scan_text_zst, scan_order, scan_jsonl, load_tiktoken, bpe_added_overwrite, sp_encode_long, bpe_encode_long, packed_sink, pretok_spans, first_difference, sp_precompiled,
     )
     named |= {"train_rounds": _rounds("documents", "huggingface"), "train_rounds_raw_ids": _rounds("pages", "raw_token_ids", "html"), "train_rounds_bytes": _rounds("conversations", "assembled_bytes")}
     return named | {"pretoken_topk_gpt2": pretoken_topk} | {f.__name__: f for f in found} | {k: _normalizer(step) for k, (step, _) in _NORMALIZERS.items()}
@@ -715,6 +731,8 @@ def oracle_sql() -> dict[str, str]:
         "train_bpe_raw_ids": _train_sql("benchmark", "l, r"),
         "train_bpe_assembled_bytes": _train_sql("benchmark", "lb, rb"),
         "sp_encode": _sp_sql(),
+        "sp_encode_long": _sp_sql(),
+        "bpe_encode_long": f"WITH RECURSIVE {_encoded_sql(by_doc)}, n AS (SELECT w.doc_id, sum({_tokens('ids')}) AS n FROM w JOIN enc ON enc.pretoken = w.pretoken GROUP BY w.doc_id) SELECT d.doc_id, coalesce(n, 0)::BIGINT AS tokens, md5(d.text) AS md5 FROM documents d LEFT JOIN n USING (doc_id)",
         "sp_decode": "SELECT doc_id, md5(CASE WHEN starts_with(text, ' ') THEN substring(text, 2) ELSE text END) AS md5 FROM documents",
         "bpe_known_words": _known_sql(),
         "bpe_added_overwrite": _overwrite_sql(),

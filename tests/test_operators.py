@@ -16,7 +16,7 @@ from sparktok.functions import normalize, schemes
 from sparktok.operators import batch, compare, counts, encode, fragments, scan, shape, train
 from sparktok.operators import encoder as encoder_module
 from sparktok.operators.encoder import decode, encoder
-from sparktok.plans.model import AddedToken, TokenizerModel
+from sparktok.plans.model import AddedToken, Metaspace, TokenizerModel
 from sparktok.sources import files
 from sparktok.streaming import encode as streams
 
@@ -545,6 +545,40 @@ def test_long_texts_are_cut_where_no_token_crosses(spark, model, scheme):
     assert len(fragments.cuts("word " * 400, 20)) > 50
 
 
+def _piece_models():
+    base = queries.piece_model()
+    tokens = (AddedToken("</s>", 2, special=True), AddedToken("the end", 1, normalized=True), AddedToken("<r>", 0, rstrip=True))
+    for prepend in ("always", "first", "never"):
+        for split in (True, False):
+            yield dataclasses.replace(base, added=tokens, metaspace=Metaspace("▁", prepend, split))
+    yield dataclasses.replace(base, added=tokens, metaspace=None, steps=(("strip", (True, True)), ("prepend", ("▁",)), ("collapse", ("▁",)), ("replace", (" ", "▁"))))
+
+
+def test_piece_models_cut_at_marks(spark):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice(["the ", "on", " ", "  ", "▁", "é", "den", "</s>", "the end", "<r>", "x", "\n"]) for _ in range(rng.randint(0, 60))) for _ in range(150)]
+    texts += ["", None, " ", "a" * 300, " ".join(t for t in texts * 20)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for model in _piece_models():
+        assert fragments.mark_of(model) == "▁"
+        own = encoder(model)
+        got = {r["doc_id"]: r["ids"] for r in fragments.encode_long(df, model, "doc_id", target=15).collect()}
+        assert got == {i: None if t is None else own(t) for i, t in enumerate(texts)}
+    parts = fragments.sections(df.where("length(text) > 10000"), model, "doc_id", target=100)
+    assert parts.count() > 100
+
+
+def test_models_whose_tokens_cross_marks_are_not_cut(spark):
+    base = queries.piece_model()
+    n = len(base.vocab)
+    over = dataclasses.replace(base, vocab=(*base.vocab, "e▁".encode()), merges=(*base.merges, (264, 259, n)))
+    assert fragments.mark_of(over) == "▁"
+    whole = dataclasses.replace(over, metaspace=Metaspace("▁", "always", False))
+    assert fragments.mark_of(whole) is None and fragments.mark_of(dataclasses.replace(base, metaspace=None)) is None
+    with pytest.raises(ValueError):
+        fragments.encode_long(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), whole, "doc_id", target=1)
+
+
 def test_pieces_that_are_added_tokens(spark):
     """Where added tokens aren't looked for, a piece that is the content of one is that token, above or below the merge's id."""
     single = tuple(bytes([b]) for b in range(256))
