@@ -141,10 +141,9 @@ def send_counts(chunks: DataFrame, parts: int) -> DataFrame:
     return chunks.where("words is not null").select("chunk", "words", "counts").mapInArrow(work, SENT)
 
 
-def merge_counts(sent: DataFrame, parts: int) -> DataFrame:
+def merge_counts(sent: DataFrame) -> DataFrame:
     """The corpus's counts of each chunk's words, by their numbers; for each part one row without chunk:
-    its most frequent words, and tokens and distinct words by tail class."""
-    most = max(64, 8 * HEAD // parts)
+    its most frequent words, as many as the head takes, and tokens and distinct words by tail class."""
 
     def work(table: pa.Table) -> pa.Table:
         total: Counter = Counter()
@@ -158,7 +157,7 @@ def merge_counts(sent: DataFrame, parts: int) -> DataFrame:
             c = tail_class(w)
             tokens[c] += k
             kinds[c] += 1
-        top = sorted(total.items(), key=lambda x: (-x[1], x[0]))[:most]
+        top = sorted(total.items(), key=lambda x: (-x[1], x[0]))[: HEAD - 1]
         out.append((None, None, planes(np.array([k for _, k in top], dtype="<u8")), zlib.compress(b" ".join(w for w, _ in top)), tokens.tobytes(), kinds.tobytes()))
         cols = zip(*out, strict=True)
         return pa.table([pa.array(c, k) for c, k in zip(cols, (pa.int64(), *[pa.binary()] * 5), strict=True)], names=["chunk", "places", "counts", "words", "tokens", "kinds"])
@@ -166,6 +165,32 @@ def merge_counts(sent: DataFrame, parts: int) -> DataFrame:
     return sent.groupBy("part").applyInArrow(work, MERGED)
 
 
+def head_words(merged: DataFrame) -> DataFrame:
+    """``word, count``: the most frequent words over all parts, ties by the word's bytes."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for words, code in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(_listed(words), pa.binary()), pa.array(from_planes(code, "<u8").astype(np.int64))], names=["word", "count"])
+
+    flat = merged.where("chunk is null").select("words", "counts").mapInArrow(work, "word binary, count long")
+    return flat.orderBy(F.desc("count"), "word").limit(HEAD - 1)
+
+
+def tail_totals(merged: DataFrame) -> DataFrame:
+    """``class, tokens, kinds``: tokens and distinct words by tail class over all parts."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, TAIL_CLASSES), dtype=np.int64)
+        for batch in batches:
+            for k, column in enumerate(batch.columns):
+                total[k] += sum((np.frombuffer(x, dtype=np.int64) for x in column.to_pylist()), np.zeros(TAIL_CLASSES, dtype=np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(TAIL_CLASSES, dtype=np.int32)), pa.array(total[0]), pa.array(total[1])], names=["class", "tokens", "kinds"])
+
+    flat = merged.where("chunk is null").select("tokens", "kinds").mapInArrow(work, "class int, tokens long, kinds long")
+    return flat.groupBy("class").agg(F.sum("tokens").alias("tokens"), F.sum("kinds").alias("kinds"))
+
+
 @dataclass
 class Vocabulary:
     """Head words with their counts, and what is left of each tail class."""
@@ -218,6 +243,7 @@ class Symbols(dict):
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
     np.negative(x, out=x)
+    np.minimum(x, 80, out=x)  # beyond it float32 has no room, and the result is 0
     np.exp(x, out=x)
     x += 1
     return np.reciprocal(x, out=x)
@@ -628,21 +654,20 @@ def score(docs: DataFrame, scratch: Scratch, chunk_bytes: int = CHUNK) -> DataFr
     Learns from rows that aren't held out.  Null, empty and blank texts are
     their end alone.  Rows are scored one by one: repeated rows and null ids
     get a row each, an empty table none; if all rows are held out, nothing is
-    known and the model is what it starts as.  Other columns are left out, so
+    known and the model is what it starts as.  Of words that tie for the last
+    places of the head, those whose bytes come first are in it.  Other columns are left out, so
     their names don't matter.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("held_out", held_out())
     chunks = scratch.stage(coded(rows, chunk_bytes))
     about = chunks.agg(F.sum(F.octet_length("words")).alias("bytes"), F.count_if(~F.col("held_out")).alias("ends")).first()
     parts, ends = int(min(MAX_PARTS, max(12, (about["bytes"] or 0) // PART_BYTES))), about["ends"]
-    merged = scratch.stage(merge_counts(send_counts(chunks, parts), parts))
-
-    tops, tokens, kinds = [], np.zeros(TAIL_CLASSES, dtype=np.int64), np.zeros(TAIL_CLASSES, dtype=np.int64)
-    for r in merged.where("chunk is null").select("words", "counts", "tokens", "kinds").collect():
-        if r["counts"]:
-            tops += zip(_listed(r["words"]), from_planes(bytes(r["counts"]), "<u8").tolist(), strict=True)
-        tokens += np.frombuffer(r["tokens"], dtype=np.int64)
-        kinds += np.frombuffer(r["kinds"], dtype=np.int64)
+    merged = scratch.stage(merge_counts(send_counts(chunks, parts)))
+
+    tokens, kinds = np.zeros(TAIL_CLASSES, dtype=np.int64), np.zeros(TAIL_CLASSES, dtype=np.int64)
+    for r in tail_totals(merged).collect():
+        tokens[r["class"]], kinds[r["class"]] = r["tokens"], r["kinds"]
+    tops = [(bytes(r["word"]), r["count"]) for r in head_words(merged).collect()]
     vocabulary = Vocabulary.of(tops, tokens, kinds, ends)
     n, v = int(tokens.sum()) + ends, int(kinds.sum()) + (ends > 0)
     texts = scratch.stage(_symbolic(chunks, merged, vocabulary, n, v))

@@ -137,7 +137,7 @@ def test_every_training_document_reaches_backpropagation(spark):
     docs = table(spark, rows)
     with Scratch(spark) as scratch:
         chunks = scratch.stage(lm.coded(docs.select("doc_id", "text").withColumn("held_out", lm.held_out()), 2000))
-        merged = scratch.stage(lm.merge_counts(lm.send_counts(chunks, 3), 3))
+        merged = scratch.stage(lm.merge_counts(lm.send_counts(chunks, 3)))
         words = [w for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2 for w in t.encode().split()]
         _, v = vocabulary(words)
         start = lm.Model.start(v)
@@ -434,3 +434,24 @@ def test_registered_queries_equal_their_sql(spark):
 
 def test_words_of_items():
     assert decontam.tokens(["a-b", None]).counts().tolist() == [2, 0]
+
+
+def test_head_words_are_exact_and_ties_go_by_bytes(spark):
+    """More words than the head takes, of which the last places tie, most of them in one part."""
+    counts = {f"w{k}".encode(): 5 for k in range(lm.HEAD)} | {b"first": 9, b"last": 9, "é".encode(): 9} | {f"x{k}".encode(): 2 for k in range(300)}
+    text = " ".join(w.decode() for w, n in counts.items() for _ in range(n))
+    rows = spark.createDataFrame([(1, text), (4, None), (5, "")], "doc_id long, text string").withColumn("held_out", F.lit(False))
+    with Scratch(spark) as store:
+        for parts in (1, 5):
+            merged = store.stage(lm.merge_counts(lm.send_counts(store.stage(lm.coded(rows, 1 << 20)), parts)))
+            want = sorted(counts.items(), key=lambda x: (-x[1], x[0]))[: lm.HEAD - 1]
+            assert [(bytes(r["word"]), r["count"]) for r in lm.head_words(merged).collect()] == want
+            totals = {r["class"]: (r["tokens"], r["kinds"]) for r in lm.tail_totals(merged).collect()}
+            assert sum(t for t, _ in totals.values()) == sum(counts.values()) and sum(k for _, k in totals.values()) == len(counts)
+            assert len(totals) == lm.TAIL_CLASSES and all(k == sum(lm.tail_class(w) == c for w in counts) for c, (_, k) in totals.items())
+
+
+def test_gates_stay_in_range_without_warnings():
+    x = np.array([-1e4, -90, 0, 90, 1e4], dtype=np.float32)
+    with np.errstate(all="raise", under="ignore"):
+        assert lm.sigmoid(x).tolist()[1:] == pytest.approx([0, 0.5, 1, 1])
