@@ -242,10 +242,10 @@ class Symbols(dict):
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    np.negative(x, out=x)
-    np.minimum(x, 80, out=x)  # beyond it float32 has no room, and the result is 0
-    np.exp(x, out=x)
-    x += 1
+    with np.errstate(over="ignore"):  # what overflows becomes 0
+        np.negative(x, out=x)
+        np.exp(x, out=x)
+        x += 1
     return np.reciprocal(x, out=x)
 
 
