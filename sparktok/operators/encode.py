@@ -124,19 +124,16 @@ def decode_join(df: DataFrame, vocab: DataFrame, key: str, ids: str = "ids", out
 
 def register(spark: SparkSession, model: TokenizerModel, prefix: str = "bpe") -> None:
     """SQL functions ``<prefix>_encode(text)`` and ``<prefix>_decode(ids)``."""
-    import pandas as pd  # here alone, for its import takes a worker longer than all others
-
     ship(spark)
     shared = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("array<int>")
-    def encoded(texts: pd.Series) -> pd.Series:
-        many = _packer(shared.value, False, True)
-        return pd.Series([None if c is None else np.frombuffer(c, dtype="<i4") for c in many(texts.tolist())])
+    @F.arrow_udf("array<int>")
+    def encoded(texts: pa.Array) -> pa.Array:
+        return lists(_packer(shared.value, False, True)(texts.to_pylist()))
 
-    @F.pandas_udf("string")
-    def decoded(ids: pd.Series) -> pd.Series:
-        return _cached(shared.value, Decoder)(pa.array(ids, pa.list_(pa.int64()))).to_pandas()
+    @F.arrow_udf("string")
+    def decoded(ids: pa.Array) -> pa.Array:
+        return _cached(shared.value, Decoder)(ids)
 
     spark.udf.register(f"{prefix}_encode", encoded)
     spark.udf.register(f"{prefix}_decode", decoded)
