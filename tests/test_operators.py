@@ -476,7 +476,7 @@ def test_every_query_gives_rows(spark, sf):
 def test_queries_equal_their_sql(spark, sf):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
-    for name in ("documents", "benchmark", "conversations", "events"):
+    for name in ("documents", "benchmark", "conversations", "events", "pages"):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf}/{name}.parquet'")
     found = queries.queries()
     for name, sql in queries.oracle_sql().items():
