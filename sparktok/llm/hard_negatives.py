@@ -35,9 +35,10 @@ POSITIVES, NEGATIVES = 5, 10
 LEAST, MOST = 30, 90
 #: Rows of a tree and of a leaf, children of a node, anchors of a block, shares of the trees for a block.
 TREE_ROWS, LEAF, FANOUT, BLOCK, SHARES = 2048, 64, 8, 1024, 16
-#: Scores are exact in doubles below the first bound, in longs below the second.
+#: Scores are exact in doubles below the first bound, in longs below the second, beyond it in numbers of any size.
 EXACT, LARGEST = 1 << 53, 1 << 59
-NOTHING = -(1 << 62)
+NOTHING = -(1 << 63) + 1
+UNFIT = "inner products of these vectors don't fit into a long"
 #: Trees of one Arrow batch.
 BATCH = 16
 
@@ -90,7 +91,8 @@ class Tree:
             step = fanout
 
     def dump(self) -> bytes:
-        kind = np.min_scalar_type(-max(1, int(np.abs(self.vectors).max(initial=0))))
+        # Of two's complement, so the least number of a type is no sign that the greatest fits.
+        kind = np.result_type(np.int8, *(np.min_scalar_type(-1 - max(x, -1 - x)) for x in (int(self.vectors.min(initial=0)), int(self.vectors.max(initial=0)))))
         out = io.BytesIO()
         lists = {f"{x}{k}": v for x in ("low", "high", "labels_low", "labels_high") for k, v in enumerate(getattr(self, x))}
         lists = {x: v.astype(kind) if x.startswith(("low", "high")) else v for x, v in lists.items()}
@@ -128,9 +130,9 @@ class Search:
         width = max(self.vectors.shape[1], tree.vectors.shape[1])
         biggest = lambda x: int(np.abs(x.astype(np.float64)).max(initial=0)) + 1
         bound = width * biggest(self.vectors) * biggest(tree.vectors)
-        if bound >= LARGEST:
-            raise OverflowError("inner products of these vectors don't fit into a long")
-        kind = np.float64 if bound < EXACT else np.int64
+        kind = np.float64 if bound < EXACT else np.int64 if bound < LARGEST else object
+        if max(biggest(self.vectors), biggest(tree.vectors)) > 1 << 63:
+            raise OverflowError(UNFIT)
 
         def wide(x: np.ndarray) -> np.ndarray:
             return np.pad(x.astype(kind), ((0, 0), (0, width - x.shape[1])))
@@ -173,7 +175,10 @@ class Search:
         self.leaves += 1
         of = np.unique(self.anchor[queries])
         scores = np.zeros((len(anchors), len(tree.ids[rows])), dtype=np.int64)
-        scores[of] = (anchors[of] @ wide(tree.vectors[rows]).T).astype(np.int64)
+        products = anchors[of] @ wide(tree.vectors[rows]).T
+        if products.dtype == object and (abs(products) >= -NOTHING).any():
+            raise OverflowError(UNFIT)
+        scores[of] = products.astype(np.int64)
         a = self.anchor[queries]
         s, label = scores[a], tree.labels[rows][None, :] == self.labels[a][:, None]
         hit = (s >= np.maximum(self.low, self.scores[:, -1])[queries, None]) & (s <= self.high[queries, None]) & (label == self.same) & (tree.rids[rows][None, :] != self.rids[a][:, None])
@@ -256,7 +261,9 @@ FOUND = "anchor long, anchor_id long, positive int, positive_id long, positive_s
 
 def windows(scores: np.ndarray, least: int = LEAST, most: int = MOST) -> tuple[np.ndarray, np.ndarray]:
     """Least and most score s with least * p <= 100 * s <= most * p, for each score p of a positive."""
-    return -((-least * scores) // 100), (most * scores) // 100
+    # Hundreds apart from the rest, for a product with the whole score may not fit.
+    whole, rest = np.divmod(scores, 100)
+    return least * whole - (-least * rest) // 100, most * whole + (most * rest) // 100
 
 
 def _met(same: bool, k: int):
@@ -323,9 +330,8 @@ def mine(embeddings: DataFrame, scratch: Scratch) -> DataFrame:
     rows of their own, each an anchor if the id is divisible by 100; ties of
     score go by vec_id, beyond which results are alike.  Without positives, or
     negatives in the window, there are no rows; an empty table gives none.
-    Other columns are left out, so their names don't matter.  A component
-    beyond a long counts as the nearest one; inner products that may not fit
-    are an error.
+    Other columns are left out, so their names don't matter.  Components
+    and inner products that don't fit into a long are an error.
     """
     x = F.col("embedding").cast("array<double>")
     fit = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))

@@ -70,6 +70,19 @@ def test_edges(spark):
         mined(spark, [(k, [1e30], 1) for k in range(3)])
 
 
+def test_largest_components_of_a_type(spark):
+    """256 * 0.5 is 128, which one byte holds with a minus only; large scores stay exact, and products fit though their bound doesn't."""
+    rng = random.Random(8)
+    for most in (0.5, 128.0, 2.0**21):
+        rows = [(k * 10, [rng.choice([most, -most, most / 2, 0.25]) for _ in range(3)], rng.randrange(3)) for k in range(200)]
+        assert mined(spark, rows) == brute(rows)
+    far = [(k * 10, [rng.choice([5.5e5, 1.1e6, 5.0e5]), 0.0], k % 3) for k in range(60)] + [(7000 + k, [0.0, 1e15 + k], 1) for k in range(1, 4)]
+    assert mined(spark, far) == brute(far)
+    scores = [0, 7, -7, 99, -101, 1 << 58, -(1 << 58), (1 << 63) - 2]
+    low, high = hard_negatives.windows(np.array(scores))
+    assert low.tolist() == [-(-30 * p // 100) for p in scores] and high.tolist() == [90 * p // 100 for p in scores]
+
+
 def test_tree_prunes_and_is_exact():
     """Clustered rows: far boxes are never opened, and large numbers stay exact in longs."""
     rng = np.random.default_rng(3)
