@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from ..plans.model import TokenizerModel
 from ..shipping import ship
 from .encoder import Decoder, Encoder, encoder
+from .slices import slices
 
 _MADE: dict[tuple[str, str], Encoder | Decoder] = {}
 
@@ -44,9 +45,10 @@ def _with(df: DataFrame, column: str, out: str, kind: str, make: Callable[[], Ca
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = make()
-        for batch in batches:
-            values = one(batch.column(batch.schema.get_field_index(column)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(k)) for k in names), values], names=[*names, out])
+        for whole in batches:
+            for batch in slices(whole, whole.schema.get_field_index(column)):
+                values = one(batch.column(batch.schema.get_field_index(column)))
+                yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(k)) for k in names), values], names=[*names, out])
 
     return df.mapInArrow(work, _schema(df, out, kind))
 
