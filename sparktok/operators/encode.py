@@ -113,11 +113,44 @@ def decode_text(df: DataFrame, model: TokenizerModel, ids: str = "ids", out: str
     return _with(df, ids, out, "string", lambda: _cached(shared.value, Decoder))
 
 
+#: Ids, and bytes of tokens, of a vocabulary that goes to the tasks as one array.
+MOST_IDS, MOST_TOKEN_BYTES = 1 << 20, 16 << 20
+#: In that array, an id that is none.
+_HOLE = "-"
+
+
 def decode_join(df: DataFrame, vocab: DataFrame, key: str, ids: str = "ids", out: str = "text") -> DataFrame:
-    """The same without Python for byte-level models: ids joined with the vocabulary table, bytes put together again.
+    """The same without Python for byte-level models: ids looked up in the vocabulary table, bytes put together again.
 
-    ``key`` tells rows apart.  An id without a row in ``vocab`` is an error.
+    ``key`` tells rows apart.  An id without a row in ``vocab`` is an error.  A
+    vocabulary of up to MOST_IDS and MOST_TOKEN_BYTES is read once, when this is
+    called, and is an array by id in the plan, so nothing is shuffled; a larger
+    one is joined with all ids.
     """
+    known = vocab.where("id IS NOT NULL AND bytes IS NOT NULL")
+    most, size, least, number, different = known.agg(F.max("id"), F.sum(F.octet_length("bytes")), F.min("id"), F.count("*"), F.count_distinct("id")).first()
+    if number and least >= 0 and most < MOST_IDS and size <= MOST_TOKEN_BYTES and number == different:
+        tokens = [_HOLE] * (most + 1)
+        for row in known.select("id", F.hex("bytes").alias("hex")).collect():
+            tokens[row["id"]] = row["hex"]
+        return df.withColumn(out, _looked_up(F.col(ids), tokens))
+    return _joined(df, vocab, key, ids, out)
+
+
+def _looked_up(ids: Column, tokens: list[str]) -> Column:
+    """Texts of ids by an array of hexadecimal tokens."""
+    table = F.split(F.lit(",".join(tokens)), ",")
+
+    def token(i: Column) -> Column:
+        # A place beyond the array is null, and one that doesn't fit a place is beyond it.
+        found = F.get(table, F.when(i.between(0, len(tokens) - 1), i).cast("int"))
+        return F.when(found != _HOLE, found).otherwise(F.raise_error(F.concat(F.lit("id outside the vocabulary: "), F.coalesce(i.cast("string"), F.lit("null")))))
+
+    return F.unhex(F.coalesce(F.array_join(F.transform(ids, token), ""), F.lit(""))).cast("string")
+
+
+def _joined(df: DataFrame, vocab: DataFrame, key: str, ids: str, out: str) -> DataFrame:
+    """``decode_join`` for a vocabulary of any size, by a join of all ids."""
     flat = df.select(key, F.posexplode(ids).alias("_at", "id")).join(vocab.select("id", F.hex("bytes").alias("_hex")), "id", "left")
     flat = flat.withColumn("_hex", F.coalesce("_hex", F.raise_error(F.concat(F.lit("id outside the vocabulary: "), F.col("id").cast("string")))))
     whole = flat.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_at", "_hex"))), lambda x: x["_hex"]), "").alias("_all"))
