@@ -13,6 +13,7 @@ from ..plans.model import AddedToken, TokenizerModel
 from ..shipping import ship
 from .encode import _cached, encode, lists
 from .encoder import code
+from .slices import slices
 
 #: Characters of a fragment, about; a text of fewer is left whole.
 TARGET = 16 << 20
@@ -47,13 +48,16 @@ def fragments(df: DataFrame, model: TokenizerModel, key: str, text: str = "text"
     shared = df.sparkSession.sparkContext.broadcast(model.added)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
+            rows, numbers, texts = [], [], []
             for k, whole in enumerate(batch.column(1).to_pylist()):
                 if whole is None:
                     continue
                 edges = [0, *cuts(whole, target, shared.value), len(whole)]
-                for n, (a, b) in enumerate(zip(edges, edges[1:])):
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), pa.array([n], pa.int32()), pa.array([whole[a:b]], pa.string())], names=[key, "fragment", text])
+                rows += [k] * (len(edges) - 1)
+                numbers += range(len(edges) - 1)
+                texts += (whole[a:b] for a, b in zip(edges, edges[1:]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(numbers, pa.int32()), pa.array(texts, pa.string())], names=[key, "fragment", text])
 
     kind = df.schema[key].dataType.simpleString()
     return df.select(key, text).mapInArrow(work, f"`{key}` {kind}, fragment int, `{text}` string")
@@ -99,7 +103,8 @@ def sections(df: DataFrame, model: TokenizerModel, key: str, text: str = "text",
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _cached(shared.value)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
+            of, numbers, tokens, texts = [], [], [], []
             for k, whole in enumerate(batch.column(1).to_pylist()):
                 if whole is None:
                     continue
@@ -111,9 +116,12 @@ def sections(df: DataFrame, model: TokenizerModel, key: str, text: str = "text",
                         edges = [0, *marked_cuts(part, mark, target), len(part)]
                         rows += ((None, part[a:b]) for a, b in zip(edges, edges[1:]))
                 rows = rows or [(None, "")]
-                same = batch.column(0).slice(k, 1).take(pa.array([0] * len(rows)))
-                tokens, texts = zip(*rows)
-                yield pa.RecordBatch.from_arrays([same, pa.array(range(len(rows)), pa.int32()), pa.array(tokens, pa.int32()), pa.array(texts, pa.string())], names=[key, "fragment", "token", text])
+                of += [k] * len(rows)
+                numbers += range(len(rows))
+                tokens += (token for token, _ in rows)
+                texts += (section for _, section in rows)
+            same = batch.column(0).take(pa.array(of, pa.int64()))
+            yield pa.RecordBatch.from_arrays([same, pa.array(numbers, pa.int32()), pa.array(tokens, pa.int32()), pa.array(texts, pa.string())], names=[key, "fragment", "token", text])
 
     kind = df.schema[key].dataType.simpleString()
     return df.select(key, text).mapInArrow(work, f"`{key}` {kind}, fragment int, token int, `{text}` string")
@@ -125,7 +133,7 @@ def _merged(parts: DataFrame, model: TokenizerModel, key: str, text: str, out: s
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _cached(shared.value)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 3)):
             rows = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
             ids = lists([own.merged(section) if token is None else code([token]) for token, section in rows])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), ids], names=[key, "fragment", out])
