@@ -18,11 +18,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
+from .slices import slices
 
 #: Between texts: no byte of UTF-8.
 BREAK = 0xFF
 #: The largest table that is built and broadcast; bytes of a strip; bytes of texts that are read at once.
-MOST_BYTES, STRIP, GROUP = 1 << 30, 2048, 4 << 20
+MOST_BYTES, STRIP, GROUP = 1 << 30, 512, 1 << 20
 
 
 @dataclass(frozen=True)
@@ -111,11 +112,12 @@ class Automaton:
         if len(begin):
             first = np.concatenate([[True], begin[1:] != begin[:-1]])
             begin, end, literal = begin[first], end[first], literal[first]
-        kept, at = [], 0
-        for k, (a, b) in enumerate(zip(begin.tolist(), end.tolist(), strict=True)):
-            if a >= at:
-                kept.append(k)
-                at = b
+        # By each match the first one that begins at its end or behind it.
+        then = np.searchsorted(begin, end).tolist()
+        kept, k = [], 0
+        while k < len(then):
+            kept.append(k)
+            k = then[k]
         return begin[kept], literal[kept]
 
 
@@ -132,14 +134,8 @@ def joined(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _groups(texts: pa.Array) -> Iterator[pa.Array]:
-    """Texts of about GROUP bytes together; one longer text is a group of its own."""
-    sizes = np.cumsum([len(t) if t is not None else 0 for t in texts.cast(pa.large_binary()).to_pylist()])
-    at = 0
-    while at < len(texts):
-        before = sizes[at - 1] if at else 0
-        stop = max(at + 1, int(np.searchsorted(sizes, before + GROUP)))
-        yield texts.slice(at, stop - at)
-        at = stop
+    """Texts of at most GROUP bytes together; one longer text is a group of its own."""
+    return (part.column(0) for part in slices(pa.RecordBatch.from_arrays([texts], names=["text"]), 0, GROUP))
 
 
 def sent(spark: SparkSession, literals: list[str]) -> Broadcast:
@@ -190,14 +186,28 @@ def literal_spans(df: DataFrame, literals: list[str], text: str = "text", out: s
     return df.mapInArrow(work, df.select("*", F.lit(None).cast("array<struct<start:int,end:int,pattern:int>>").alias(out)).schema)
 
 
+def parted(texts: pa.Array, automaton: Automaton) -> pa.Array:
+    """Each text's parts between and at literals, without empty ones: cut wherever a text or a match begins or ends."""
+    data, begins = joined(texts)
+    begin, literal = automaton.spans(data)
+    # Before a place stands one BREAK for each text before it.
+    at = begin - (np.searchsorted(begins, begin, side="right") - 1)
+    stops = np.append(begins, len(data)) - np.arange(len(texts) + 1)
+    edges = np.unique(np.concatenate([stops, at, at + automaton.lengths[literal]]))
+    raw = pa.py_buffer(data[data != BREAK].tobytes())
+    parts = pa.LargeStringArray.from_buffers(len(edges) - 1, pa.py_buffer(edges.astype(np.int64).tobytes()), raw).cast(pa.string())
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(edges, stops).astype(np.int32)), parts, mask=texts.is_null())
+
+
 def literal_parts(df: DataFrame, literals: list[str], text: str = "text", out: str = "parts") -> DataFrame:
-    """``df`` with each text's parts between and at literals, in order, without empty ones; by ``literal_spans``."""
-    spans = literal_spans(df, literals, text, "_spans")
-    data = F.col(text).cast("binary")
+    """``df`` with each text's parts between and at literals, in order, without empty ones: those that ``literal_spans`` finds; null text: null."""
+    shared = sent(df.sparkSession, literals)
+    names = [c for c in df.columns if c != out]
 
-    def cut(a, b):
-        return F.substring(data, a + F.lit(1), b - a).cast("string")
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, whole.schema.get_field_index(text), GROUP):
+                columns = [batch.column(batch.schema.get_field_index(c)) for c in (*names, text)]
+                yield pa.RecordBatch.from_arrays([*columns[:-1], parted(columns[-1], shared.value)], names=[*names, out])
 
-    before = F.transform("_spans", lambda s, i: F.array(cut(F.when(i == 0, F.lit(0)).otherwise(F.get("_spans", i - 1)["end"]), s["start"]), cut(s["start"], s["end"])))
-    rest = F.array(F.when(F.size("_spans") > 0, cut(F.element_at("_spans", -1)["end"], F.octet_length(text))).otherwise(F.col(text)))
-    return spans.withColumn(out, F.array_remove(F.concat(F.flatten(before), rest), "")).drop("_spans")
+    return df.mapInArrow(work, df.select(*names, F.lit(None).cast("array<string>").alias(out)).schema)
