@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
+from ..operators.slices import slices
 from ..shipping import ship
 from .frames import open_file, split_path
 
@@ -64,9 +65,7 @@ class PackedWriter(DataSourceArrowWriter):
         ids, offsets, keys = files
         try:
             offsets.write(np.zeros(1, "<i8").tobytes())
-            for batch in iterator:
-                if not batch.num_rows:
-                    continue
+            for batch in (part for whole in iterator for part in slices(whole, 2)):
                 key, tie, values = batch.columns
                 first = first or (key[0].as_py(), tie[0].as_py())
                 ends = tokens + np.cumsum(pc.fill_null(pc.list_value_length(values), 0).to_numpy(zero_copy_only=False).astype("<i8"))
