@@ -193,7 +193,8 @@ def parted(texts: pa.Array, automaton: Automaton) -> pa.Array:
     # Before a place stands one BREAK for each text before it.
     at = begin - (np.searchsorted(begins, begin, side="right") - 1)
     stops = np.append(begins, len(data)) - np.arange(len(texts) + 1)
-    edges = np.unique(np.concatenate([stops, at, at + automaton.lengths[literal]]))
+    edges = np.sort(np.concatenate([stops, at, at + automaton.lengths[literal]]), kind="stable")
+    edges = edges[np.concatenate([[True], edges[1:] > edges[:-1]])]
     raw = pa.py_buffer(data[data != BREAK].tobytes())
     parts = pa.LargeStringArray.from_buffers(len(edges) - 1, pa.py_buffer(edges.astype(np.int64).tobytes()), raw).cast(pa.string())
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(edges, stops).astype(np.int32)), parts, mask=texts.is_null())
