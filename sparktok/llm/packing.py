@@ -19,7 +19,6 @@ from __future__ import annotations
 import itertools
 import os
 import re
-import struct
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -30,6 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.encoder import Memo
 from .scratch import Scratch
 
 CAPACITY = 2048
@@ -38,11 +38,11 @@ END_ID = 0
 TAIL_ITEMS, NODES, FILLINGS = 120, 20_000, 4000
 #: Lengths at which the solver begins anew, at most: coarse steps, then finer ones around the best.
 DIVES = 24
+#: Bytes of units that a worker remembers, twice: those of now and those of before.
+MEMO_BYTES = 96 << 20
 #: Steps of work in one solution and at least in one exact search (some 2 microseconds each), and the steps that a test of
 #: domination and a fullest filling count as.  So the driver's time is bounded whatever the lengths are.
 WORK, TAIL_WORK, DOMINATION, FULLEST = 8_000_000, 20_000, 5, 250
-#: Units that a worker remembers, twice: those of now and those of before.
-MEMO = 600_000
 
 Pattern = tuple[int, tuple[int, ...]]
 
@@ -81,38 +81,20 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.characters = self.tokenizer.model, byte_characters()
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.now: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
+        self.memo = Memo(self._unit, most=MEMO_BYTES)
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
-    def _learn(self, units: list[str]) -> None:
-        others = []
-        for unit in units:
-            if _WORD.fullmatch(unit):
-                found = self.model.tokenize(unit.encode().decode("latin-1").translate(self.characters))
-                self.now[unit] = struct.pack(f"<{len(found)}I", *[x.id for x in found])
-            else:
-                others.append(unit)
-        for unit, code in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False), strict=True):
-            self.now[unit] = struct.pack(f"<{len(code.ids)}I", *code.ids)
+    def _unit(self, unit: str) -> list[int]:
+        if _WORD.fullmatch(unit):
+            return [x.id for x in self.model.tokenize(unit.encode().decode("latin-1").translate(self.characters))]
+        return self.tokenizer.encode(unit, add_special_tokens=False).ids
 
     def __call__(self, text: str) -> np.ndarray:
         if any(t in text for t in self.added):
             return self._ids(text)
-        units = _UNIT.findall(text)
-        if len(self.now) > MEMO:
-            self.before, self.now = self.now, {}
-        now = self.now
-        missing = set(units).difference(now)
-        if missing and self.before:
-            known = missing.intersection(self.before)
-            now.update((u, self.before[u]) for u in known)
-            missing -= known
-        if missing:
-            self._learn(list(missing))
-        return np.frombuffer(b"".join(map(now.__getitem__, units)), dtype="<u4")
+        return np.frombuffer(b"".join(map(self.memo.__getitem__, _UNIT.findall(text))), dtype="<u4")
 
 
 _ENCODERS: dict[str, Encoder] = {}

@@ -1,4 +1,5 @@
 import collections
+import itertools
 import random
 import time
 
@@ -111,6 +112,19 @@ def test_units_encode_as_whole_texts(text):
     assert own(text).tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_a_full_memory_costs_a_new_word_no_more():
+    """Texts with a new word, after more words than a generation of the memory holds: its size is not gone through for each."""
+    own = P.Encoder(tokenizer_path())
+    words = ["".join(w) for w in itertools.islice(itertools.product("etaoinshrdlucmfw", repeat=5), 900_000)]
+    for k in range(0, 650_000, 1000):
+        own(" ".join(words[k : k + 1000]))
+    texts = [" ".join(words[k : k + 2]) for k in range(650_000, 651_000, 2)]
+    began = time.process_time()
+    found = [own(t).tolist() for t in texts]
+    assert time.process_time() - began < 2
+    assert found == [own.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_pieces_are_whole_and_gapless(spark, edge_rows, encoder):
     with Scratch(spark) as scratch:
         rows = P.pack(table(spark, edge_rows), scratch, tokenizer_path(), 256).collect()
