@@ -20,7 +20,7 @@ import itertools
 import os
 import re
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.encoder import Memo
+from ..operators.encoder import ENTRY_BYTES, code
 from .scratch import Scratch
 
 CAPACITY = 2048
@@ -38,8 +38,8 @@ END_ID = 0
 TAIL_ITEMS, NODES, FILLINGS = 120, 20_000, 4000
 #: Lengths at which the solver begins anew, at most: coarse steps, then finer ones around the best.
 DIVES = 24
-#: Bytes of units that a worker remembers, twice: those of now and those of before.
-MEMO_BYTES = 96 << 20
+#: Bytes of units that a worker remembers, twice: those of now and those of before; characters of the longest.
+MEMO_BYTES, LONGEST = 96 << 20, 256
 #: Steps of work in one solution and at least in one exact search (some 2 microseconds each), and the steps that a test of
 #: domination and a fullest filling count as.  So the driver's time is bounded whatever the lengths are.
 WORK, TAIL_WORK, DOMINATION, FULLEST = 8_000_000, 20_000, 5, 250
@@ -53,9 +53,15 @@ _WS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Letters that have been such since early Unicode.
 _LETTERS = r"A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0400-\u0481\u048a-\u04ff"
 _WORD = re.compile(rf" ?[{_LETTERS}]+")
+
+
+def _units(letters: str, ws: str) -> re.Pattern:
+    return re.compile(rf" ?[0-9{letters}]++(?=[\x00-\x7f]|$)|[{ws}]+(?![^{ws}])| ?[^{ws}]+|[{ws}]+")
+
+
 #: Runs that no token crosses: a word with the space before it, up to ASCII that is no letter or
-#: digit; whatever else is without white space; white space.
-_UNIT = re.compile(rf"[{_WS}]+(?![^{_WS}])| ?[0-9{_LETTERS}]++(?=[\x00-\x7f]|$)| ?[^{_WS}]+|[{_WS}]+")
+#: digit; whatever else is without white space; white space. Small classes are matched faster, so ASCII has its own.
+_UNIT, _ASCII_UNIT = _units(_LETTERS, _WS), _units("A-Za-z", r"\t-\r ")
 
 
 def byte_characters() -> dict[int, str]:
@@ -65,6 +71,26 @@ def byte_characters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(0x100 + k) for k, b in enumerate(hidden)}
 
 
+class Units(dict):
+    """Ids by unit, as bytes, made when a unit is asked for; two generations of ``most`` bytes, and no unit of over LONGEST characters, are kept."""
+
+    def __init__(self, make: Callable[[str], bytes], most: int):
+        self.make, self.most, self.size = make, most, 0
+        self.old: dict[str, bytes] = {}
+
+    def __missing__(self, unit: str) -> bytes:
+        found = self.old.get(unit)
+        if found is None:
+            found = self.make(unit)
+        if len(unit) <= LONGEST:
+            if self.size > self.most:
+                self.old, self.size = dict(self), 0
+                self.clear()
+            self[unit] = found
+            self.size += ENTRY_BYTES + len(unit) + len(found)
+        return found
+
+
 class Encoder:
     """Ids of whole texts by the ``tokenizers`` library, remembered by unit.
 
@@ -81,24 +107,36 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.characters = self.tokenizer.model, byte_characters()
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.memo = Memo(self._unit, most=MEMO_BYTES)
+        self.memo = Units(self._unit, MEMO_BYTES)
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
-    def _unit(self, unit: str) -> list[int]:
-        if _WORD.fullmatch(unit):
-            return [x.id for x in self.model.tokenize(unit.encode().decode("latin-1").translate(self.characters))]
-        return self.tokenizer.encode(unit, add_special_tokens=False).ids
+    def _unit(self, unit: str) -> bytes:
+        word = unit[1:] if unit[0] == " " else unit
+        if word.isascii() and word.isalpha():
+            found = self.model.tokenize(word if word is unit else self.characters[0x20] + word)
+        elif _WORD.fullmatch(unit):
+            found = self.model.tokenize(unit.encode().decode("latin-1").translate(self.characters))
+        else:
+            return code(self.tokenizer.encode(unit, add_special_tokens=False).ids)
+        return code([x.id for x in found])
 
     def __call__(self, text: str) -> np.ndarray:
         if any(t in text for t in self.added):
             return self._ids(text)
-        return np.frombuffer(b"".join(map(self.memo.__getitem__, _UNIT.findall(text))), dtype="<u4")
+        units = (_ASCII_UNIT if text.isascii() else _UNIT).findall(text)
+        return np.frombuffer(b"".join(map(self.memo.__getitem__, units)), dtype="<u4")
 
 
 _ENCODERS: dict[str, Encoder] = {}
 
+
+def _encoder(path: str) -> Encoder:
+    """A worker's encoder, kept over its tasks; called by name, for a function sent to workers brings its own copy of a dict."""
+    return _ENCODERS.get(path) or _ENCODERS.setdefault(path, Encoder(path))
+
+
 PIECES = "doc_id long, piece int, start long, length int, ids binary, part int, place long"
 
 
@@ -111,7 +149,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _ENCODERS.get(tokenizer_path) or _ENCODERS.setdefault(tokenizer_path, Encoder(tokenizer_path))
+        encode = _encoder(tokenizer_path)
         part, used = TaskContext.get().partitionId(), np.zeros(capacity + 1, dtype=np.int64)
         for batch in batches:
             out: list[tuple] = []
@@ -494,6 +532,6 @@ def pack(docs: DataFrame, scratch: Scratch, tokenizer_path: str, capacity: int =
 
 
 def digests(docs: DataFrame, scratch: Scratch, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """The same with ``ids_crc32`` (long) instead of the ids; only numbers are shuffled."""
-    staged = scratch.stage(pieces(docs, tokenizer_path, capacity, end_id))
-    return assign(staged.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), capacity).drop("part", "place")
+    """The same with ``ids_crc32`` (long) instead of the ids; only numbers are written and shuffled."""
+    staged = scratch.stage(pieces(docs, tokenizer_path, capacity, end_id).withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+    return assign(staged, capacity).drop("part", "place")

@@ -4,6 +4,7 @@ import random
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -112,6 +113,34 @@ def test_units_encode_as_whole_texts(text):
     assert own(text).tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet=" \n\t\r\x0b\x0c\x00\x1c\x1f\x7fab'stTLl12.,!_<|>", max_size=24))
+def test_units_of_ascii_encode_as_whole_texts(text):
+    own = P._ENCODERS.get("t") or P._ENCODERS.setdefault("t", P.Encoder(tokenizer_path()))
+    assert P._ASCII_UNIT.findall(text) == P._UNIT.findall(text) and "".join(P._UNIT.findall(text)) == text
+    assert own(text).tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_workers_keep_their_encoder_over_tasks(spark, edge_rows):
+    P.pieces(table(spark, edge_rows).repartition(8), tokenizer_path()).count()
+
+    def kept(batches):
+        from sparktok.llm import packing
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(packing._ENCODERS)] * batch.num_rows, pa.int64())], names=["n"])
+
+    assert max(r["n"] for r in spark.range(0, 8, 1, 8).mapInArrow(kept, "n long").collect()) == 1
+
+
+def test_memory_of_units_is_bounded():
+    made = []
+    memo = P.Units(lambda unit: made.append(unit) or unit.encode(), 5000)
+    for unit in [*(f"w{k}" for k in range(500)), "w499", "x" * 257, "x" * 257]:
+        assert memo[unit] == unit.encode()
+    assert len(made) == 502 and len(memo) + len(memo.old) < 60 and "x" * 257 not in memo
+
+
 def test_a_full_memory_costs_a_new_word_no_more():
     """Texts with a new word, after more words than a generation of the memory holds: its size is not gone through for each."""
     own = P.Encoder(tokenizer_path())
